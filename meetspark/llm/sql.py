@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-_SPLIT = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), x -> x <> '')"
-_FOLD = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+_SPLIT = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '')"
+_FOLD = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 OP1 = f"""
 WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
