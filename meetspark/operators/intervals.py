@@ -137,8 +137,8 @@ def embedding_windows(regions: DataFrame, win: float = 1.5, step: float = 0.75,
 
 def speaker_at(points: DataFrame, turns: DataFrame, eps: float = 1e-6) -> DataFrame:
     """Speaker of the first turn that holds the point ``mid``; the point's own where none does."""
-    t = turns.select("job_id", F.col("start").alias("ts"), F.col("end").alias("te"), F.col("ord").alias("tord"), F.col("speaker").alias("found"))
-    met = points.join(t, (points["job_id"] == t["job_id"]) & (points["mid"] >= t["ts"] - eps) & (points["mid"] <= t["te"] + eps), "left").drop(t["job_id"])
+    t = turns.select(F.col("job_id").alias("tj"), F.col("start").alias("ts"), F.col("end").alias("te"), F.col("ord").alias("tord"), F.col("speaker").alias("found"))
+    met = points.join(t, (F.col("job_id") == F.col("tj")) & (F.col("mid") >= F.col("ts") - eps) & (F.col("mid") <= F.col("te") + eps), "left").drop("tj")
     return met.groupBy("job_id", "ord", "mid").agg(F.coalesce(F.min_by("found", "tord"), F.first("speaker")).alias("speaker"))
 
 
