@@ -76,9 +76,23 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     opened = texts.select("doc_id", "h", "which", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.array_contains(F.map_keys("which"), F.col("at")))
     opened = saved(opened.select(place.alias("first"), F.element_at("which", F.col("at")).alias("key"), _words(F.col("line")).alias("words")).dropDuplicates(["first"]), "opened")
     # deletion neighbourhood
-    variants = F.transform("words", lambda x, i: F.struct((i + 1).alias("gap"), F.xxhash64(F.array_join(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.size("words"))), " ")).alias("v")))
-    own = F.array(F.struct(F.lit(0).alias("gap"), F.xxhash64(F.array_join("words", " ")).alias("v")))
-    spread = saved(opened.select("first", F.explode(F.concat(own, variants)).alias("x")).select("first", "x.gap", "x.v"), "variants")
+
+    def neighbourhood(b: Column) -> Column:
+        """All variants of a line by one running XOR: ``b`` has the hash of each word with the place it gets by a deletion
+        before it, and what a deletion after it changes. A line as it is has gap 0."""
+        step = F.aggregate(b, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.try_element_at(s, F.lit(-1)).bitwiseXOR(x["d"]))))
+        shifted = F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x["b"]))
+
+        def rows(run: Column, end: Column) -> Column:
+            own = F.array(F.struct(F.lit(0).alias("gap"), F.xxhash64(F.try_element_at(run, F.lit(-1)).bitwiseXOR(end), F.size(b)).alias("v")))
+            cut = F.transform(b, lambda x, i: F.struct((i + 1).alias("gap"), F.xxhash64(F.get(run, i).bitwiseXOR(x["b"]).bitwiseXOR(end), F.size(b) - 1).alias("v")))
+            return F.concat(own, cut)
+
+        return let(step, lambda run: let(shifted, lambda end: rows(run, end)))
+
+    placed = F.transform("words", lambda w, j: F.struct(F.xxhash64(w, j - 1).alias("b"), F.xxhash64(w, j).bitwiseXOR(F.xxhash64(w, j - 1)).alias("d")))
+    variants = let(placed, neighbourhood)
+    spread = saved(opened.select("first", F.explode(variants).alias("x")).select("first", "x.gap", "x.v"), "variants")
     buckets = saved(
         spread.groupBy("v", "gap").agg(F.min("first").alias("lo"), F.count("*").alias("c")).groupBy("v")
         .agg(F.map_from_entries(F.collect_list(F.struct("gap", "lo"))).alias("by_gap"), F.min(F.when(F.col("gap") > 0, F.col("lo"))).alias("variant"), F.min(F.when(F.col("gap") == 0, F.col("lo"))).alias("whole"), F.sum("c").alias("c"))
