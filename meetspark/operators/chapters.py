@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, word_count
 
-_JOB = Window.partitionBy("job_id").orderBy("ord")
+
+def _by_ord():
+    return Window.partitionBy("job_id").orderBy("ord")
 
 
 def attach_empty_segments(segments: DataFrame) -> DataFrame:
     """Piece of each segment: blank ones belong to the piece before; leading blanks to the first."""
-    n = F.sum(F.when(is_blank(F.col("text")), 0).otherwise(1)).over(_JOB)
+    n = F.sum(F.when(is_blank(F.col("text")), 0).otherwise(1)).over(_by_ord())
     return segments.withColumn("piece", F.greatest(n, F.lit(1)).cast("long"))
 
 
@@ -94,7 +96,7 @@ def chapter_text(chapters: DataFrame, segments: DataFrame, with_speaker: bool =
 
 
 def chapter_neighbors(chapters: DataFrame) -> DataFrame:
-    return chapters.select("job_id", "chapter_id", F.lag("chapter_id").over(_JOB).alias("previous"), F.lead("chapter_id").over(_JOB).alias("next"))
+    return chapters.select("job_id", "chapter_id", F.lag("chapter_id").over(_by_ord()).alias("previous"), F.lead("chapter_id").over(_by_ord()).alias("next"))
 
 
 def digest_chapters(chapters: DataFrame, segments: DataFrame, chars: int = 700, most: int = 8) -> DataFrame:
