@@ -32,7 +32,7 @@ ROWS_PER_BLOCK = 20_000
 class Encoder:
     """Token ids of texts. White space never joins two words in this vocabulary, so words are encoded once and kept."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, most: int = 300_000):
+    def __init__(self, vocabulary: str = VOCABULARY, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -58,9 +58,19 @@ class Encoder:
         return b"".join([known[w] for w in words]) + self.end
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """The process's encoder of a vocabulary: tasks that follow each other in one Python worker share its known words."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
 def _tokens(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         width = np.dtype(encoder.dtype).itemsize
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -186,7 +196,7 @@ def pack(docs: DataFrame, window: int = 2048, weights: dict[str, float] | None =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").alias("text"))
     tokens = texts.mapInArrow(_tokens(vocabulary), "doc_id long, source string, n long, ids binary")
     tokens = saved(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    width = 2 if Encoder(vocabulary).dtype is np.uint16 else 4
+    width = 2 if encoder_of(vocabulary).dtype is np.uint16 else 4
     sources = tokens.select("source").distinct()
     if sources.limit(MAX_QUEUES + 1).count() <= MAX_QUEUES:
         names = sorted(r[0] for r in sources.collect())
