@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+import math
+
+from .licenses import PHRASES, TEMPLATES, THRESHOLD
+
 _SPLIT = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '')"
 _FOLD = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
@@ -30,6 +34,43 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_PLACES = " UNION ALL ".join(
+    f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {j}] IS NOT DISTINCT FROM {chr(39)}{x}{chr(39)}' for j, x in enumerate(phrase.split()))})) - 1 AS pos FROM d"
+    for phrase, label in sorted(PHRASES.items())
+)
+_SETS = [(label, sorted(set(text.split()))) for label, texts in sorted(TEMPLATES.items()) for text in texts]
+_TEMPLATES = ", ".join(f"('{label}', {words}, {math.ceil(THRESHOLD * len(words) - 1e-9)})" for label, words in _SETS)
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_FOLD} AS w FROM documents),
+p AS ({_PLACES}),
+l AS (SELECT doc_id, unnest(x) AS text, unnest(range(0, len(x))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM d)),
+b AS (SELECT doc_id, line, list_distinct({_FOLD}) AS block FROM l),
+t(label, words, needed) AS (VALUES {_TEMPLATES}),
+c AS (SELECT doc_id, line, label, needed, len(list_intersect(block, words)) AS n, len(words) AS size FROM b, t),
+best AS (SELECT doc_id, label, n / size AS score FROM c WHERE n >= needed QUALIFY n / size = max(n / size) OVER (PARTITION BY doc_id, line)),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM best) GROUP BY doc_id),
+scores AS (SELECT doc_id, max(score) AS score FROM best GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN scores USING (doc_id)
+"""
+
+OP10 = f"""
+WITH l AS (SELECT doc_id, unnest(x) AS text, unnest(range(0, len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT doc_id, pos, text, {_SPLIT} AS w FROM l),
+u AS (SELECT w, min((doc_id, pos)) AS first FROM k WHERE len(w) > 0 GROUP BY w),
+v AS (SELECT first, gap, array_to_string(CASE WHEN gap = 0 THEN w ELSE list_concat(w[1:gap - 1], w[gap + 1:]) END, ' ') AS v
+      FROM (SELECT first, w, unnest(range(0, len(w) + 1)) AS gap FROM u WHERE len(w) >= 5)),
+b AS (SELECT v, gap, min(first) AS lo FROM v GROUP BY v, gap),
+m AS (SELECT v, min(first) FILTER (gap = 0) AS whole, min(first) FILTER (gap > 0) AS variant FROM v GROUP BY v),
+near AS (SELECT DISTINCT first, true AS near FROM v JOIN b USING (v, gap) JOIN m USING (v) WHERE CASE WHEN gap = 0 THEN variant < first ELSE lo < first OR whole < first END),
+g AS (SELECT k.doc_id, k.pos, k.text, coalesce((k.doc_id, k.pos) > u.first OR near, false) AS gone FROM k LEFT JOIN u USING (w) LEFT JOIN near USING (first)),
+r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept) AS kept_sha256 FROM documents LEFT JOIN r USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_decontaminate": OP2}
+    return {"op1_substring_dedup": OP1, "op2_decontaminate": OP2, "op8_licenses": OP8, "op10_line_dedup": OP10}
