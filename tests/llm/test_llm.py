@@ -220,6 +220,13 @@ def test_toxicity_generalises_to_misspellings(spark):
     assert got[1000].predicted == 1 and got[1001].predicted == 0 and got[1002].predicted == 0
 
 
+def test_toxicity_scores_many_words_as_it_scores_one():
+    rng = random.Random(9)
+    model = toxicity.Model(np.random.default_rng(9).normal(size=toxicity.BUCKETS), 0.0, 1.0, 0.0)
+    words = [b"...", b"a", b"aaaaaaa", "ü".encode(), b"x" * 90] + ["".join(rng.choice("abAB.-é1") for _ in range(rng.randint(1, 12))).encode() for _ in range(2000)]
+    assert np.allclose(model.words(words), [model.word(w.decode()) for w in words], rtol=0, atol=1e-12) and model.words([]) == []
+
+
 def test_html_keeps_the_article_alone():
     page = """<!DOCTYPE html><html lang=en><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>menu</a></li></ul></nav>
     <div class="cookie-notice">cookies</div><main><article><h1>Head &amp; more</h1><p><b>One.<br><p>Two&nbsp;  &lt;x&gt;<form><p>search</form><div class="ad">buy</div><section id="comments"><p>first!</p></section></article></main><aside>side</aside><footer>&copy;"""
