@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import clip_turn_overlaps, merge_turns
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -125,3 +127,11 @@ def absorb_micro_speakers(speakers: DataFrame, least: float = 2.0) -> DataFrame:
         return pd.DataFrame({"job_id": rows.job_id, "speaker": rows.speaker, "target": [target[s] for s in rows.speaker]})
 
     return speakers.groupBy("job_id").applyInPandas(one, "job_id long, speaker string, target string")
+
+
+def turns_from_windows(windows: DataFrame, max_gap: float = 0.3, min_dur: float = 1.0, renumber: bool = False) -> DataFrame:
+    """Windows of known speakers to turns that do not overlap; ids by first appearance if ``renumber``."""
+    turns = clip_turn_overlaps(merge_turns(windows, max_gap, min_dur))
+    if renumber:
+        turns = turns.drop("speaker").join(renumber_speakers(turns), ["job_id", "ord"])
+    return turns.select("job_id", "ord", "turn_id", "speaker", "start", "end")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, word_count
-from .intervals import overlap_join
+from ..functions.text import latin_chars, tokens, word_count
+from .clustering import greedy_remap
+from .gates import script_word_ratio
+from .intervals import intersection_sec, interval_union, overlap_join, speech_iou
 
 
 def token_recall(gold: Column, hyp: Column) -> Column:
@@ -58,3 +60,91 @@ def speaker_count_gate(turns: DataFrame, most: int = 5, tiny: float = 3.0) -> Da
 def grid_summary(segments: DataFrame) -> DataFrame:
     """Median length and number of segments of three words or fewer, per job."""
     return segments.groupBy("job_id").agg(F.round(F.percentile(F.col("end") - F.col("start"), F.lit(0.5)), 6).alias("median_sec"), F.count(F.when(word_count(F.col("text")) <= 3, 1)).alias("n_short"))
+
+
+def map_speakers(gold: DataFrame, hyp: DataFrame, least: float = 0.2, near: float = 2.0) -> DataFrame:
+    """``job_id, hyp, gold``: hypothesis speakers matched one to one, gold segments in order.
+
+    A gold segment of two different words or more takes the best segment of a speaker not yet matched: share of its words, plus
+    half the share of its time, among segments that overlap it or start within ``near`` seconds. A fold per job, over the best
+    candidate of each speaker.
+    """
+    g = gold.select("job_id", F.col("ord").alias("g_ord"), F.col("speaker").alias("g_speaker"), F.array_distinct(tokens(F.col("text"))).alias("g_words"), F.col("start").alias("gs"), F.col("end").alias("ge")).filter("size(g_words) >= 2")
+    h = hyp.select("job_id", F.col("ord").alias("h_ord"), F.col("speaker").alias("h_speaker"), F.array_distinct(tokens(F.col("text"))).alias("h_words"), F.col("start").alias("hs"), F.col("end").alias("he"))
+    shared = F.least("ge", "he") - F.greatest("gs", "hs")
+    met = g.join(h, "job_id").filter((shared > 0) | (F.abs(F.col("gs") - F.col("hs")) <= near)).withColumn("common", F.size(F.array_intersect("g_words", "h_words"))).filter("common > 0")
+    score = F.col("common") / F.size("g_words") + F.when(shared > 0, 0.5 * shared / F.greatest(F.col("ge") - F.col("gs"), F.lit(0.01))).otherwise(0.0)
+    best = met.groupBy("job_id", "g_ord", "g_speaker", "h_speaker").agg(F.min(F.struct((-F.round(score, 9)).alias("k"), "h_ord", "h_speaker")).alias("b"))
+    per = best.groupBy("job_id", "g_ord", "g_speaker").agg(F.array_sort(F.collect_list("b")).alias("c"))
+    jobs = per.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("g_ord", "g_speaker", "c"))).alias("p"))
+    fold = f"""aggregate(p, cast(array() AS array<struct<hyp:string,gold:string>>), (a, x) ->
+      aggregate(array(get(filter(x.c, y -> NOT exists(a, z -> z.hyp = y.h_speaker)), 0)), a, (b, y) ->
+        IF(y IS NOT NULL AND y.k <= {-least!r}D AND NOT exists(b, z -> z.gold = x.g_speaker), concat(b, array(named_struct('hyp', y.h_speaker, 'gold', x.g_speaker))), b)))"""
+    return jobs.select("job_id", F.inline(F.expr(fold)))
+
+
+def chapters_glue(hyp: DataFrame, base: DataFrame, ends: DataFrame, good: float = 0.80, fair: float = 0.60) -> DataFrame:
+    """``job_id, check_id, status``: chapters of a part (ending at ``ends(job_id, duration)``) against those of a baseline.
+
+    A job without chapters fails the first check and has no others.
+    """
+    w = Window.partitionBy("job_id").orderBy("ord")
+    own = hyp.withColumn("ps", F.lag("start").over(w)).withColumn("pe", F.lag("end").over(w))
+    own = own.groupBy("job_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("start") < F.col("ps"), 1)).alias("back"), F.count(F.when(F.col("pe") - F.col("start") > 0.25, 1)).alias("laps"), F.max("end").alias("last"))
+    both = base.groupBy("job_id").agg(F.count("*").alias("n_base")).join(own, "job_id", "full").join(intersection_sec(hyp, base), "job_id", "left").join(ends, "job_id", "left")
+    share = lambda other: F.coalesce(F.col("both_sec") / F.greatest(F.col("both_sec") + F.col(other), F.lit(1e-9)), F.lit(0.0))
+    worse = F.least(share("only_a_sec"), share("only_b_sec"))
+    ratio = F.col("n") / F.col("n_base")
+    passed = lambda cond, other: F.when(cond, "PASS").otherwise(other)
+    checks = {
+        "C1_time_order": passed(F.col("back") == 0, "FAIL"),
+        "C2_no_overlap": passed(F.col("laps") == 0, "FAIL"),
+        "C3_inside_part": passed(F.col("last") <= F.col("duration") + 1.0, "FAIL"),
+        "C4_timeline_vs_baseline": F.when(worse >= good, "PASS").when(worse >= fair, "WARN").otherwise("FAIL"),
+        "C5_count_vs_baseline": F.when(F.col("n_base").isNotNull(), passed(ratio.between(0.5, 2.0), "WARN")),
+    }
+    rows = [F.struct(F.lit("C0_nonempty").alias("check_id"), passed(F.col("n").isNotNull(), "FAIL").alias("status"))]
+    rows += [F.struct(F.lit(c).alias("check_id"), F.when(F.col("n").isNotNull(), s).alias("status")) for c, s in checks.items()]
+    return both.select("job_id", F.inline(F.array(*rows))).filter("status IS NOT NULL")
+
+
+def der(ref: DataFrame, hyp: DataFrame, collar: float = 0.25, slice_sec: float = 60.0) -> DataFrame:
+    """Missed, false and confused seconds over the seconds of reference speech, per job; null without such speech.
+
+    Speakers are matched one to one by common seconds. Both sides are cut at every ``slice_sec`` seconds, so the join has a slice
+    as its key beside the job; the rest is one sweep. Time within ``collar`` of a reference boundary does not count.
+    """
+
+    def per_speaker(df: DataFrame) -> DataFrame:
+        keyed = df.select(F.struct("job_id", "speaker").alias("job_id"), "ord", "start", "end")
+        return interval_union(keyed).select("job_id.job_id", "job_id.speaker", "start", "end")
+
+    def sliced(df: DataFrame, name: str) -> DataFrame:
+        k = df.withColumn("k", F.explode(F.sequence(F.floor(F.col("start") / slice_sec), F.floor(F.col("end") / slice_sec))))
+        return k.select("job_id", "k", F.col("speaker").alias(name), F.greatest(F.col("start"), F.col("k") * slice_sec).alias(f"{name}_s"), F.least(F.col("end"), (F.col("k") + 1) * slice_sec).alias(f"{name}_e"))
+
+    r, h = per_speaker(ref), per_speaker(hyp)
+    met = sliced(h, "cluster").join(sliced(r, "published"), ["job_id", "k"]).select("job_id", "cluster", "published", F.greatest("cluster_s", "published_s").alias("start"), F.least("cluster_e", "published_e").alias("end")).filter("end > start")
+    names = greedy_remap(met.groupBy("job_id", "cluster", "published").agg(F.sum(F.col("end") - F.col("start")).alias("sec"))).select("job_id", "cluster", "published")
+    right = met.join(names, ["job_id", "cluster", "published"])
+    edges = r.select("job_id", F.explode(F.array("start", "end")).alias("t")).select("job_id", (F.col("t") - collar).alias("start"), (F.col("t") + collar).alias("end"))
+    events = None
+    for kind, df in (("ref", r), ("hyp", h), ("right", right), ("edge", edges)):
+        for col, step in (("start", 1), ("end", -1)):
+            part = df.select("job_id", F.col(col).alias("t"), *(F.lit(step if kind == k else 0).alias(k) for k in ("ref", "hyp", "right", "edge")))
+            events = part if events is None else events.unionByName(part)
+    at = events.groupBy("job_id", "t").agg(*(F.sum(k).alias(k) for k in ("ref", "hyp", "right", "edge")))
+    w = Window.partitionBy("job_id").orderBy("t")
+    on = at.select("job_id", (F.lead("t").over(w) - F.col("t")).alias("dt"), *(F.sum(k).over(w).alias(k) for k in ("ref", "hyp", "right", "edge"))).withColumn("dt", F.when(F.col("edge") <= 0, F.col("dt")).otherwise(0.0))
+    zero = F.lit(0)
+    sec = lambda n, name: F.round(F.coalesce(F.sum(n * F.col("dt")), F.lit(0.0)), 3).alias(name)
+    out = on.groupBy("job_id").agg(sec(F.col("ref"), "ref_sec"), sec(F.greatest(F.col("ref") - F.col("hyp"), zero), "miss_sec"), sec(F.greatest(F.col("hyp") - F.col("ref"), zero), "false_sec"), sec(F.least("ref", "hyp") - F.col("right"), "confused_sec"))
+    return out.withColumn("der", F.round(F.when(F.col("ref_sec") > 0, (F.col("miss_sec") + F.col("false_sec") + F.col("confused_sec")) / F.col("ref_sec")), 6))
+
+
+def regression_bands(ref: DataFrame, hyp: DataFrame, segments: DataFrame, min_iou: float = 0.7, speakers: tuple[int, int] = (2, 4), min_ratio: float = 0.9, max_latin: int = 0) -> DataFrame:
+    """``job_id, check_id, ok`` for speech overlap, speakers of ``hyp``, and the script and Latin letters of ``segments``."""
+    jobs = speech_iou(ref, hyp).join(hyp.groupBy("job_id").agg(F.countDistinct("speaker").alias("n")), "job_id", "left").join(script_word_ratio(segments), "job_id", "left")
+    jobs = jobs.join(segments.groupBy("job_id").agg(F.sum(latin_chars(F.col("text"))).alias("latin")), "job_id", "left")
+    ok = {"REG.VAD.IoU": F.col("iou") >= min_iou, "REG.DIAR.speakers": F.col("n").between(*speakers), "REG.ASR.ratio": F.col("word_ratio") >= min_ratio, "REG.ASR.latin": F.col("latin") <= max_latin}
+    return jobs.select("job_id", F.inline(F.array(*(F.struct(F.lit(k).alias("check_id"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in ok.items()))))

@@ -66,3 +66,32 @@ def clock_gate(sources: DataFrame, segments: DataFrame) -> DataFrame:
     met = sources.join(truth, ["job_id", "segment_id"], "left")
     same = F.col("start").eqNullSafe(F.col("s")) & F.col("end").eqNullSafe(F.col("e")) & F.col("speaker").eqNullSafe(F.col("p"))
     return met.groupBy("job_id").agg(F.count("*").alias("n_sources"), F.count(F.when(~same, 1)).alias("n_bad")).withColumn("ok", F.col("n_bad") == 0)
+
+
+REPORT = "struct<summary:string,key_moments:array<struct<text:string,chapter_id:string,segment_id:string>>>"
+
+
+def hydrate_moments(replies: DataFrame, sources: DataFrame, strict: bool = False) -> DataFrame:
+    """Key moments of ``replies(job_id, text)`` with times and speaker of ``sources(job_id, chapter_id, segment_id, start, end, speaker)``.
+
+    A moment without a source is an error if ``strict``; else it is left out, and so is any but the first of the same source.
+    """
+    m = replies.select("job_id", F.posexplode(F.from_json("text", REPORT)["key_moments"]).alias("pos", "m")).select("job_id", "pos", "m.text", "m.chapter_id", "m.segment_id")
+    key = ["job_id", "chapter_id", "segment_id"]
+    known = sources.select(*key, "start", "end", "speaker").dropDuplicates(key).withColumn("known", F.lit(True))
+    if strict:
+        lost = F.raise_error(F.concat(F.lit("moment without a source: "), F.col("chapter_id"), F.lit("/"), F.col("segment_id"))).cast("double")
+        return m.join(known, key, "left").withColumn("start", F.when(F.col("known").isNull(), lost).otherwise(F.col("start"))).drop("known")
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
+    return m.join(known, key).withColumn("first", first).filter("first = 1").drop("first", "known")
+
+
+def build_report(replies: DataFrame, sources: DataFrame, chapters: DataFrame, segments: DataFrame, profile: str = "demo", strict: bool = False) -> DataFrame:
+    """One row per job of ``replies``: summary, key moments, seconds of each speaker, chapters, and whether it is a draft."""
+    moments = hydrate_moments(replies, sources, strict).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "start", "end", "speaker", "chapter_id"))).alias("key_moments"))
+    speakers = speaker_totals(segments).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.col("speaker").alias("id"), "speech_sec"))).alias("speakers"))
+    refs = chapters.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("chapter_id").alias("id"), "title", "start", "end"))).alias("chapters"))
+    out = replies.select("job_id", F.from_json("text", REPORT)["summary"].alias("summary"))
+    for part in (moments, speakers, refs):
+        out = out.join(part, "job_id", "left")
+    return out.withColumn("draft_warning", F.lit(profile == "demo"))

@@ -198,3 +198,28 @@ def overlap_join(gold: DataFrame, hyp: DataFrame, pad: float = 0.0, least: float
     met = gold.join(h, "job_id").withColumn("over", over).filter(F.col("over") > least)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("hs", "hord", "htext"))), lambda x: x["htext"])
     return met.groupBy("job_id", "ord").agg(F.count("*").alias("n"), F.array_join(texts, " ").alias("hyp_text"))
+
+
+def coverage_diff(df: DataFrame, systems: list[str]) -> DataFrame:
+    """``df(job_id, system, start, end)``: for any two of a few named systems, seconds of the one outside and inside the other.
+
+    ``other`` is ``*`` for all others together. One sweep over the boundaries with a counter for each system.
+    """
+    real = df.filter(F.col("end") > F.col("start")).filter(F.col("system").isin(systems))
+    opens = real.select("job_id", "system", F.col("start").alias("t"), F.lit(1).alias("step"))
+    closes = real.select("job_id", "system", F.col("end").alias("t"), F.lit(-1).alias("step"))
+    steps = [F.sum(F.when(F.col("system") == s, F.col("step")).otherwise(0)).alias(f"n{i}") for i, s in enumerate(systems)]
+    at = opens.unionByName(closes).groupBy("job_id", "t").agg(*steps)
+    w = Window.partitionBy("job_id").orderBy("t")
+    open_ = at.select("job_id", (F.lead("t").over(w) - F.col("t")).alias("dt"), *((F.sum(f"n{i}").over(w) > 0).alias(f"on{i}") for i in range(len(systems))))
+    sec = lambda cond: F.round(F.coalesce(F.sum(F.when(cond, F.col("dt"))), F.lit(0.0)), 3)
+    cells = []
+    for i, system in enumerate(systems):
+        rest = F.lit(False)
+        for j, other in enumerate(systems):
+            if j != i:
+                rest = rest | F.col(f"on{j}")
+                cells.append((system, other, F.col(f"on{i}"), F.col(f"on{j}")))
+        cells.append((system, "*", F.col(f"on{i}"), rest))
+    table = F.array(*(F.struct(F.lit(s).alias("system"), F.lit(o).alias("other"), sec(a & ~b).alias("only_sec"), sec(a & b).alias("both_sec")) for s, o, a, b in cells))
+    return open_.groupBy("job_id").agg(table.alias("c")).select("job_id", F.inline("c"))

@@ -62,3 +62,32 @@ def cut_metrics(pauses: DataFrame, top: int = 15) -> DataFrame:
     """The ``top`` longest pauses of each job."""
     w = Window.partitionBy("job_id").orderBy(F.desc("duration"), "mid")
     return pauses.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("job_id", F.col("rank").cast("long").alias("rank"), "mid", "duration")
+
+
+def merge_parts(parts: DataFrame, segments: DataFrame, chapters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments and chapters with times and ids of their part, as those of the whole job.
+
+    ``parts(job_id, part_id, start)``; ``segments(job_id, part_id, ord, segment_id, start, end)``; ``chapters(job_id, part_id, ord,
+    start, end, source_ids)``. Segments and chapters are numbered in order of part and place; source ids follow.
+    """
+    at = parts.select("job_id", "part_id", F.col("start").alias("shift"))
+    w = Window.partitionBy("job_id").orderBy("part_id", "ord")
+
+    def moved(df: DataFrame) -> DataFrame:
+        return df.join(at, ["job_id", "part_id"]).withColumn("n", F.row_number().over(w)).withColumn("start", F.round(F.col("start") + F.col("shift"), 3)).withColumn("end", F.round(F.col("end") + F.col("shift"), 3))
+
+    numbered = moved(segments).withColumn("new_id", F.format_string("s%04d", "n"))
+    sources = chapters.select("job_id", "part_id", "ord", F.posexplode("source_ids").alias("pos", "segment_id")).join(numbered.select("job_id", "part_id", "segment_id", "new_id"), ["job_id", "part_id", "segment_id"])
+    lists = sources.groupBy("job_id", "part_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new_id"))), lambda x: x["new_id"]).alias("source_ids"))
+    whole = moved(chapters.drop("source_ids")).join(lists, ["job_id", "part_id", "ord"], "left")
+    out = numbered.select("job_id", "part_id", F.col("n").cast("long").alias("ord"), F.col("new_id").alias("segment_id"), "start", "end")
+    return out, whole.select("job_id", "part_id", (F.col("n") - 1).cast("long").alias("ord"), F.format_string("C%02d", F.col("n") - 1).alias("chapter_id"), "start", "end", "source_ids")
+
+
+def validate_merge(segments: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Per job: segments, segments that start before the one in front, and segments that no chapter or several have."""
+    used = chapters.select("job_id", F.explode("source_ids").alias("segment_id")).groupBy("job_id", "segment_id").agg(F.count("*").alias("uses"))
+    prev = F.lag("start").over(Window.partitionBy("job_id").orderBy("ord"))
+    met = segments.withColumn("prev", prev).join(used, ["job_id", "segment_id"], "left")
+    out = met.groupBy("job_id").agg(F.count("*").alias("n_segments"), F.count(F.when(F.col("start") < F.col("prev"), 1)).alias("n_back"), F.count(F.when(F.coalesce("uses", F.lit(0)) != 1, 1)).alias("n_not_once"))
+    return out.withColumn("ok", (F.col("n_back") == 0) & (F.col("n_not_once") == 0))

@@ -102,10 +102,10 @@ def c3_covered_sec(spark, d):
     return V.covered_sec(X.intervals(spark, d))
 
 
-_TWO = f"""{X.INTERVALS}, ai AS (SELECT * FROM intervals WHERE speaker IN ('click', 'view')), bi AS (SELECT * FROM intervals WHERE speaker NOT IN ('click', 'view')),
- {_islands('ai', 0.0, 'a')}, {_islands('bi', 0.0, 'b')}, swp AS (SELECT job_id, t, sum(a) AS a, sum(b) AS b FROM (SELECT job_id, "start" AS t, 1 AS a, 0 AS b FROM a UNION ALL SELECT job_id, "end", -1, 0 FROM a UNION ALL SELECT job_id, "start", 0, 1 FROM b UNION ALL SELECT job_id, "end", 0, -1 FROM b) GROUP BY job_id, t),
+_SWEEP = f"""{_islands('ai', 0.0, 'a')}, {_islands('bi', 0.0, 'b')}, swp AS (SELECT job_id, t, sum(a) AS a, sum(b) AS b FROM (SELECT job_id, "start" AS t, 1 AS a, 0 AS b FROM a UNION ALL SELECT job_id, "end", -1, 0 FROM a UNION ALL SELECT job_id, "start", 0, 1 FROM b UNION ALL SELECT job_id, "end", 0, -1 FROM b) GROUP BY job_id, t),
  o AS (SELECT job_id, lead(t) OVER w - t AS dt, sum(a) OVER w AS a, sum(b) OVER w AS b FROM swp WINDOW w AS (PARTITION BY job_id ORDER BY t)),
  s AS (SELECT job_id, round(coalesce(sum(dt) FILTER (a > 0 AND b > 0), 0), 3) AS both_sec, round(coalesce(sum(dt) FILTER (a > 0 AND b <= 0), 0), 3) AS only_a_sec, round(coalesce(sum(dt) FILTER (b > 0 AND a <= 0), 0), 3) AS only_b_sec, round(coalesce(sum(dt) FILTER (a > 0 OR b > 0), 0), 3) AS any_sec FROM o GROUP BY job_id)"""
+_TWO = f"""{X.INTERVALS}, ai AS (SELECT * FROM intervals WHERE speaker IN ('click', 'view')), bi AS (SELECT * FROM intervals WHERE speaker NOT IN ('click', 'view')), {_SWEEP}"""
 
 
 def _two(spark, d):
@@ -128,6 +128,18 @@ _HOLES = """r AS (SELECT *, coalesce(max("end") OVER (PARTITION BY job_id ORDER
  holes AS (SELECT job_id, round(reach, 3) AS "start", round("start", 3) AS "end" FROM r WHERE "start" - reach >= {1} UNION ALL SELECT job_id, round(last, 3), round(duration, 3) FROM durations LEFT JOIN (SELECT job_id, max("end") AS last FROM r GROUP BY job_id) USING (job_id) WHERE duration - coalesce(last, 0) >= {1})"""
 
 
+_SYSTEMS = ["click", "view", "purchase"]
+_OTHERS = {(a, b): f'"{b}"' for a in _SYSTEMS for b in _SYSTEMS if a != b} | {(a, "*"): " OR ".join(f'"{b}"' for b in _SYSTEMS if b != a) for a in _SYSTEMS}
+
+
+@query("c6_coverage_diff", f"""WITH {X.INTERVALS}, st AS (SELECT job_id, speaker, "start" AS t, 1 AS step FROM intervals UNION ALL SELECT job_id, speaker, "end", -1 FROM intervals),
+ sw AS (SELECT job_id, t, {', '.join(f"coalesce(sum(step) FILTER (speaker = '{a}'), 0) AS {a}" for a in _SYSTEMS)} FROM st GROUP BY job_id, t HAVING count(*) FILTER (speaker IN ('click', 'view', 'purchase')) > 0),
+ op AS (SELECT job_id, lead(t) OVER w - t AS dt, {', '.join(f"sum({a}) OVER w > 0 AS {a}" for a in _SYSTEMS)} FROM sw WINDOW w AS (PARTITION BY job_id ORDER BY t))
+ {' UNION ALL '.join(f"""SELECT job_id, '{a}' AS system, '{b}' AS other, round(coalesce(sum(dt) FILTER ("{a}" AND NOT ({on})), 0), 3) AS only_sec, round(coalesce(sum(dt) FILTER ("{a}" AND ({on})), 0), 3) AS both_sec FROM op GROUP BY job_id""" for (a, b), on in _OTHERS.items())}""")
+def c6_coverage_diff(spark, d):
+    return V.coverage_diff(X.intervals(spark, d).withColumnRenamed("speaker", "system"), _SYSTEMS)
+
+
 @query("c7_find_holes", f"WITH {X.SEGMENTS}, {_DUR.format('segments')}, {_HOLES.format('segments', 0.5)} SELECT * FROM holes")
 def c7_find_holes(spark, d):
     s = X.segments(spark, d)
@@ -326,6 +338,11 @@ def e6_assign_to_gallery(spark, d):
     return E.assign_to_gallery(X.vectors(spark, d), E.speaker_centroids(_spoken(spark, d)))
 
 
+@query("e11_turns_from_windows")
+def e11_turns_from_windows(spark, d):
+    return E.turns_from_windows(_spoken(spark, d).select("job_id", "ord", "speaker", "start", "end"), renumber=True)
+
+
 @query("e8_greedy_remap")
 def e8_greedy_remap(spark, d):
     v = _spoken(spark, d).withColumn("published", F.concat(F.lit("P"), (F.col("ord") % 7).cast("string")))
@@ -382,6 +399,34 @@ def f6_chapter_metrics(spark, d):
 _BRIDGE = "bridge AS (SELECT job_id, chapter_id, unnest(source_ids) AS segment_id, unnest(range(0, len(source_ids))) AS pos FROM chapters)"
 
 
+def _part_tables(spark, d):
+    s = X.segments(spark, d)
+    parts = _parts(s)
+    local = V.clip_to_part(s, parts).withColumn("segment_id", F.format_string("p%04d", "ord"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "segment_id"))), lambda x: x["segment_id"])
+    return parts, local, local.groupBy("job_id", "part_id", F.expr("ord div 4").alias("ord")).agg(F.min("start").alias("start"), F.max("end").alias("end"), ids.alias("source_ids"))
+
+
+_MERGED = f"""{X.SEGMENTS}, {_DUR.format('segments')}, {_PARTS}, {_CLIP}, mg AS (SELECT job_id, part_id, ord // 4 AS block, row_number() OVER (PARTITION BY job_id ORDER BY part_id, ord) AS ord, round(c."start" + p."start", 3) AS "start", round(c."end" + p."start", 3) AS "end" FROM clipped c JOIN parts p USING (job_id, part_id)),
+ ms AS (SELECT job_id, part_id, ord, printf('s%04d', ord) AS segment_id, "start", "end", block FROM mg)"""
+
+
+@query("f7_merge_parts", f"WITH {_MERGED} SELECT * EXCLUDE (block) FROM ms")
+def f7_merge_parts(spark, d):
+    return D.merge_parts(*_part_tables(spark, d))[0]
+
+
+@query("f7_merge_chapters", f"""WITH {_MERGED}, g AS (SELECT job_id, part_id, block, min("start") AS "start", max("end") AS "end", string_agg(segment_id, ',' ORDER BY ord) AS sources FROM ms GROUP BY ALL)
+ SELECT job_id, part_id, row_number() OVER (PARTITION BY job_id ORDER BY part_id, block) - 1 AS ord, printf('C%02d', row_number() OVER (PARTITION BY job_id ORDER BY part_id, block) - 1) AS chapter_id, "start", "end", sources FROM g""")
+def f7_merge_chapters(spark, d):
+    return D.merge_parts(*_part_tables(spark, d))[1].withColumn("sources", F.array_join("source_ids", ",")).drop("source_ids")
+
+
+@query("f7_validate_merge", f"""WITH {_MERGED}, l AS (SELECT *, lag("start") OVER (PARTITION BY job_id ORDER BY ord) AS prev FROM ms) SELECT job_id, count(*) AS n_segments, count(*) FILTER ("start" < prev) AS n_back, 0 AS n_not_once, count(*) FILTER ("start" < prev) = 0 AS ok FROM l GROUP BY job_id""")
+def f7_validate_merge(spark, d):
+    return D.validate_merge(*D.merge_parts(*_part_tables(spark, d)))
+
+
 @query("f8_chapter_speakers", f"""WITH {X.CHAPTERS}, {_BRIDGE}, f AS (SELECT job_id, chapter_id, speaker, min(pos) AS pos FROM bridge JOIN segments USING (job_id, segment_id) GROUP BY ALL) SELECT job_id, chapter_id, string_agg(speaker, ',' ORDER BY pos) AS speakers FROM f GROUP BY ALL""")
 def f8_chapter_speakers(spark, d):
     return C.chapter_speakers(X.chapters(spark, d), X.segments(spark, d))
@@ -431,6 +476,38 @@ def g5_build_insights(spark, d):
     return G.build_insights(_replies(spark, d), X.chapters(spark, d), X.segments(spark, d))
 
 
+def _report_replies(spark, d):
+    """Two moments for each chapter: its first source, then the same again or, in two chapters of three, an unknown one."""
+    c = X.chapters(spark, d)
+    moment = lambda text, sid: F.struct(text.alias("text"), F.col("chapter_id"), sid.alias("segment_id"))
+    first = F.col("source_ids")[0]
+    two = F.array(moment(F.col("title"), first), moment(F.concat("title", F.lit("!")), F.when(F.col("ord") % 3 == 0, first).otherwise("s9999")))
+    jobs = c.groupBy("job_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", two.alias("m")))), lambda x: x["m"])).alias("m"), F.min_by("title", "ord").alias("t"))
+    return jobs.select("job_id", F.to_json(F.struct(F.col("t").alias("summary"), F.col("m").alias("key_moments"))).alias("text"))
+
+
+def _sources(spark, d):
+    s = X.segments(spark, d).select("job_id", "segment_id", "start", "end", "speaker")
+    return C.chapter_segments(X.chapters(spark, d)).select("job_id", "chapter_id", "segment_id").join(s, ["job_id", "segment_id"])
+
+
+_MOMENTS = f"""{X.CHAPTERS}, mo AS (SELECT c.job_id, 2 * (row_number() OVER (PARTITION BY c.job_id ORDER BY c.ord) - 1) AS pos, title AS text, chapter_id, segment_id, s."start", s."end", s.speaker FROM chapters c JOIN segments s ON s.job_id = c.job_id AND s.segment_id = c.source_ids[1])"""
+
+
+@query("g7_hydrate_moments", f"WITH {_MOMENTS} SELECT * FROM mo")
+def g7_hydrate_moments(spark, d):
+    return G.hydrate_moments(_report_replies(spark, d), _sources(spark, d))
+
+
+@query("g9_build_report", f"""WITH {_MOMENTS}, sp AS (SELECT job_id, speaker, round(sum("end" - "start"), 3) AS sec FROM segments GROUP BY ALL), t AS (SELECT job_id, string_agg(speaker, ',' ORDER BY speaker) AS speakers, round(sum(sec), 3) AS speech_sec FROM sp GROUP BY job_id),
+ m AS (SELECT job_id, count(*) AS n_moments, string_agg(speaker, ',' ORDER BY pos) AS moment_speakers FROM mo GROUP BY job_id), c AS (SELECT job_id, min_by(title, ord) AS summary, string_agg(chapter_id, ',' ORDER BY ord) AS chapters FROM chapters GROUP BY job_id)
+ SELECT job_id, summary, n_moments, moment_speakers, speakers, speech_sec, chapters, true AS draft_warning FROM c JOIN t USING (job_id) JOIN m USING (job_id)""")
+def g9_build_report(spark, d):
+    r = G.build_report(_report_replies(spark, d), _sources(spark, d), X.chapters(spark, d), X.segments(spark, d))
+    total = F.round(F.aggregate("speakers", F.lit(0.0), lambda a, x: a + x["speech_sec"]), 3)
+    return r.select("job_id", "summary", F.size("key_moments").cast("long").alias("n_moments"), F.array_join("key_moments.speaker", ",").alias("moment_speakers"), F.array_join("speakers.id", ",").alias("speakers"), total.alias("speech_sec"), F.array_join("chapters.id", ",").alias("chapters"), "draft_warning")
+
+
 @query("g11_clock_gate", f"""WITH {X.HYPOTHESIS} SELECT job_id, count(*) AS n_sources, count(*) FILTER (bad) AS n_bad, count(*) FILTER (bad) = 0 AS ok FROM (SELECT h.job_id, NOT (h."start" IS NOT DISTINCT FROM s."start" AND h."end" IS NOT DISTINCT FROM s."end" AND h.speaker IS NOT DISTINCT FROM s.speaker) AS bad
  FROM (SELECT job_id, segment_id, speaker, CASE WHEN ord % 4 = 0 THEN "start" ELSE "start" - 0.25 END AS "start", "end" - 0.25 AS "end" FROM hypothesis) h LEFT JOIN segments s USING (job_id, segment_id)) GROUP BY job_id""")
 def g11_clock_gate(spark, d):
@@ -543,6 +620,11 @@ def j2_pair_status(spark, d):
     return J.pair_status(X.segments(spark, d), X.hypothesis(spark, d))
 
 
+@query("j3_map_speakers")
+def j3_map_speakers(spark, d):
+    return J.map_speakers(X.segments(spark, d), X.hypothesis(spark, d))
+
+
 @query("j4_transcript_glue", f"""WITH {X.INTERVALS}, p AS (SELECT *, lag("start") OVER w AS ps, lag("end") OVER w AS pe FROM intervals WINDOW w AS (PARTITION BY job_id ORDER BY ord)) SELECT job_id, count(*) FILTER ("start" < ps) AS n_disorder, count(*) FILTER (pe - "start" > 0.25) AS n_overlap FROM p GROUP BY job_id""")
 def j4_transcript_glue(spark, d):
     return J.transcript_glue(X.intervals(spark, d))
@@ -553,6 +635,22 @@ def j5_speaker_stats(spark, d):
     return J.speaker_stats(X.segments(spark, d))
 
 
+_GLUE = f"""{X.CHAPTERS}, {_DUR.format('segments')}, ai AS (SELECT job_id, ord, "start", "end" FROM chapters WHERE ord % 5 <> 4 AND job_id % 9 <> 0), bi AS (SELECT job_id, ord, "start", "end" FROM chapters), {_SWEEP},
+ nh AS (SELECT job_id, count(*) AS n, count(*) FILTER ("start" < ps) AS back, count(*) FILTER (pe - "start" > 0.25) AS laps, max("end") AS last FROM (SELECT *, lag("start") OVER w AS ps, lag("end") OVER w AS pe FROM ai WINDOW w AS (PARTITION BY job_id ORDER BY ord)) GROUP BY job_id),
+ fj AS (SELECT job_id, nb, n, back, laps, last <= duration + 1 AS inside, least(both_sec / greatest(both_sec + only_a_sec, 1e-9), both_sec / greatest(both_sec + only_b_sec, 1e-9)) AS worse FROM (SELECT job_id, count(*) AS nb FROM bi GROUP BY job_id) LEFT JOIN nh USING (job_id) LEFT JOIN s USING (job_id) LEFT JOIN durations USING (job_id))"""
+
+
+@query("j6_chapters_glue", f"""WITH {_GLUE} SELECT job_id, 'C0_nonempty' AS check_id, CASE WHEN n IS NULL THEN 'FAIL' ELSE 'PASS' END AS status FROM fj
+ UNION ALL SELECT job_id, 'C1_time_order', CASE WHEN back = 0 THEN 'PASS' ELSE 'FAIL' END FROM fj WHERE n > 0
+ UNION ALL SELECT job_id, 'C2_no_overlap', CASE WHEN laps = 0 THEN 'PASS' ELSE 'FAIL' END FROM fj WHERE n > 0
+ UNION ALL SELECT job_id, 'C3_inside_part', CASE WHEN inside THEN 'PASS' ELSE 'FAIL' END FROM fj WHERE n > 0
+ UNION ALL SELECT job_id, 'C4_timeline_vs_baseline', CASE WHEN worse >= 0.8 THEN 'PASS' WHEN worse >= 0.6 THEN 'WARN' ELSE 'FAIL' END FROM fj WHERE n > 0
+ UNION ALL SELECT job_id, 'C5_count_vs_baseline', CASE WHEN n / nb BETWEEN 0.5 AND 2.0 THEN 'PASS' ELSE 'WARN' END FROM fj WHERE n > 0""")
+def j6_chapters_glue(spark, d):
+    c = X.chapters(spark, d).select("job_id", "ord", "start", "end")
+    return J.chapters_glue(c.filter("ord % 5 <> 4 AND job_id % 9 <> 0"), c, _durations(X.segments(spark, d)))
+
+
 @query("j7_turn_metrics", f"""WITH {X.SEGMENTS}, p AS (SELECT *, lag(speaker) OVER (PARTITION BY job_id ORDER BY "start", ord) AS prev FROM segments) SELECT job_id, count(*) AS n, count(*) FILTER ("end" - "start" < 1) AS n_below_1s, count(*) FILTER ("end" - "start" < 2) AS n_below_2s, count(*) FILTER (prev <> speaker) AS switches, count(DISTINCT speaker) AS speakers FROM p GROUP BY job_id""")
 def j7_turn_metrics(spark, d):
     return J.turn_metrics(X.segments(spark, d))
@@ -563,6 +661,11 @@ def j8_grid_summary(spark, d):
     return J.grid_summary(X.segments(spark, d))
 
 
+@query("j9_der")
+def j9_der(spark, d):
+    return J.der(X.segments(spark, d), X.hypothesis(spark, d), collar=0.1)
+
+
 @query("j10_cer")
 def j10_cer(spark, d):
     return J.cer(X.segments(spark, d), X.hypothesis(spark, d))
@@ -573,6 +676,14 @@ def j11_speaker_count_gate(spark, d):
     return J.speaker_count_gate(X.intervals(spark, d), 2, 30.0)
 
 
+@query("j12_regression_bands", f"""WITH {_GATE}, {X.HYPOTHESIS.removeprefix(X.SEGMENTS + ', ')}, ai AS (SELECT job_id, ord, "start", "end" FROM segments), bi AS (SELECT job_id, ord, "start", "end" FROM hypothesis), {_SWEEP}, hs AS (SELECT job_id, count(DISTINCT speaker) AS n FROM hypothesis GROUP BY job_id),
+ fj AS (SELECT job_id, CASE WHEN any_sec > 0 THEN both_sec / any_sec ELSE 1 END AS iou, hs.n AS speakers, coalesce(r, 1.0) AS ratio, latin FROM s LEFT JOIN hs USING (job_id) LEFT JOIN wr USING (job_id) LEFT JOIN cn USING (job_id))
+ SELECT job_id, 'REG.VAD.IoU' AS check_id, round(iou, 6) >= 0.7 AS ok FROM fj UNION ALL SELECT job_id, 'REG.DIAR.speakers', coalesce(speakers BETWEEN 2 AND 4, false) FROM fj UNION ALL SELECT job_id, 'REG.ASR.ratio', ratio >= 0.9 FROM fj UNION ALL SELECT job_id, 'REG.ASR.latin', latin <= 0 FROM fj""")
+def j12_regression_bands(spark, d):
+    s = X.segments(spark, d)
+    return J.regression_bands(s, X.hypothesis(spark, d), s)
+
+
 # ---- jobs
 
 
@@ -604,6 +715,12 @@ def k4_admission_audit(spark, d):
     return K.admission_audit(X.intervals(spark, d).withColumnRenamed("job_id", "client"))
 
 
+@query("k5_expired", f"""WITH {_EV} SELECT job_id, epoch_us(min(ts)) AS started FROM ev GROUP BY job_id HAVING min(ts) + INTERVAL 20 DAYS <= TIMESTAMP '2024-01-22'""")
+def k5_expired(spark, d):
+    jobs = K.job_state(_events(spark, d)).withColumn("expires_at", F.expr("started + INTERVAL 20 DAYS"))
+    return K.expired(jobs, F.lit("2024-01-22 00:00:00").cast("timestamp")).select("job_id", F.unix_micros("started").alias("started"))
+
+
 @query("k6_stalled_jobs", f"""WITH {_EV} SELECT job_id, epoch_us(max(ts)) AS seen FROM ev GROUP BY job_id HAVING max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 12 HOURS""")
 def k6_stalled_jobs(spark, d):
     return K.stalled_jobs(K.job_state(_events(spark, d), terminal="failed"), F.lit("2024-01-31 00:00:00").cast("timestamp"), 12 * 3600).select("job_id", F.unix_micros("seen").alias("seen"))
