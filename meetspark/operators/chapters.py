@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, word_count
+from .clustering import cosine
 
 
 def _by_ord():
@@ -42,15 +43,17 @@ def units(packed: DataFrame) -> DataFrame:
     return packed.groupBy("job_id", "unit").agg(F.min("start").alias("start"), F.max("end").alias("end"), words.alias("words"), ids.alias("source_ids")).filter("words > 0")
 
 
-def merge_similar_units(units_with_vectors: DataFrame, threshold: float = 0.7, cap: float = 180.0) -> DataFrame:
+def merge_similar_units(units_with_vectors: DataFrame, threshold: float = 0.7, cap: float = 180.0, max_units: int | None = None) -> DataFrame:
     """Chapter of each unit of ``(job_id, unit, start, end, words, vector)``: a unit joins while its cosine with the running weighted
-    unit vector reaches ``threshold`` and the chapter stays within ``cap`` seconds. A fold per job with the vector as state."""
+    unit vector reaches ``threshold`` and the chapter stays within ``cap`` seconds and ``max_units`` units. A fold per job with the vector
+    as state."""
+    few = "true" if max_units is None else f"size(filter(a.ids, c -> c = a.c)) < {max_units}"
     listed = units_with_vectors.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("unit", "start", "end", "words", F.transform("vector", lambda x: x.cast("double")).alias("v")))).alias("u"))
     dot = "aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
     near = f"coalesce(try_divide({dot.format(a='a.v', b='u[i].v')}, sqrt({dot.format(a='a.v', b='a.v')}) * sqrt({dot.format(a='u[i].v', b='u[i].v')})), 0D)"
     mixed = "zip_with(a.v, u[i].v, (x, y) -> (x * a.w + y * greatest(u[i].words, 1)) / (a.w + greatest(u[i].words, 1)))"
     fold = f"""aggregate(sequence(0, size(u) - 1), named_struct('ids', cast(array() AS array<int>), 'c', -1, 's', 0D, 'w', cast(0 AS bigint), 'v', cast(array() AS array<double>)),
-      (a, i) -> IF(a.c >= 0 AND {near} >= {threshold}D AND u[i].end - a.s <= {cap}D,
+      (a, i) -> IF(a.c >= 0 AND {near} >= {threshold}D AND u[i].end - a.s <= {cap}D AND {few},
         named_struct('ids', concat(a.ids, array(a.c)), 'c', a.c, 's', a.s, 'w', a.w + greatest(u[i].words, 1), 'v', {mixed}),
         named_struct('ids', concat(a.ids, array(a.c + 1)), 'c', a.c + 1, 's', u[i].start, 'w', greatest(u[i].words, cast(1 AS bigint)), 'v', u[i].v)),
       a -> zip_with(u, a.ids, (y, c) -> named_struct('unit', y.unit, 'chapter', c)))"""
@@ -108,3 +111,35 @@ def digest_chapters(chapters: DataFrame, segments: DataFrame, chars: int = 700,
     rows = F.array_sort(F.collect_list(F.struct("pos", "line", "segment_id")))
     out = met.groupBy("job_id", "chapter_id").agg(rows.alias("r"))
     return out.select("job_id", "chapter_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("digest"), F.array_join(F.slice(F.transform("r", lambda x: x["segment_id"]), 1, most), ",").alias("sources"))
+
+
+def merge_by_title_vectors(chapters: DataFrame, threshold: float = 0.75, max_leaves: int = 8, cap: float = 180.0) -> DataFrame:
+    """``chapters(job_id, ord, start, end, vector)`` of titles to the group each belongs to: all weigh the same, a group has few leaves."""
+    units = chapters.select("job_id", F.col("ord").alias("unit"), "start", "end", F.lit(1).cast("long").alias("words"), "vector")
+    return merge_similar_units(units, threshold, cap, max_leaves).select("job_id", F.col("unit").alias("ord"), F.col("chapter").alias("parent"))
+
+
+def late_windows(segments: DataFrame, win: float = 240.0, overlap: float = 60.0) -> DataFrame:
+    """Each segment once for every overlapping window that it starts in, as ``win_id``."""
+    step = win - overlap
+    first = F.greatest(F.floor((F.col("start") - win) / step) + 1, F.lit(0)).cast("int")
+    return segments.withColumn("win_id", F.explode(F.sequence(first, F.floor(F.col("start") / step).cast("int"))))
+
+
+def late_chunk_boundaries(vectors: DataFrame, shortest: float = 45.0, longest: float = 180.0) -> DataFrame:
+    """Chapter of each segment of ``vectors(job_id, win_id, ord, start, end, vector)``, which has a vector for each window it is in.
+
+    The cosine of neighbours is averaged over windows. A chapter ends before a local minimum once it lasts ``shortest`` seconds, and
+    before any segment that would carry it beyond ``longest``. A fold over the job's segments.
+    """
+    w = Window.partitionBy("job_id", "win_id").orderBy("ord")
+    near = vectors.withColumn("sim", F.when(F.lag("ord").over(w).isNotNull(), cosine(F.col("vector"), F.lag("vector").over(w))))
+    each = near.groupBy("job_id", "ord").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.round(F.avg("sim"), 9).alias("sim"))
+    low = (F.col("sim") < F.coalesce(F.lag("sim").over(_by_ord()), F.lit(2.0))) & (F.col("sim") <= F.coalesce(F.lead("sim").over(_by_ord()), F.lit(2.0)))
+    jobs = each.withColumn("low", F.coalesce(low, F.lit(False))).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "low"))).alias("u"))
+    fold = f"""aggregate(u, named_struct('ids', cast(array() AS array<bigint>), 'c', cast(-1 AS bigint), 's', 0D), (a, x) ->
+      IF(a.c < 0 OR (x.low AND x.start - a.s >= {shortest}D) OR x.end - a.s > {longest}D,
+        named_struct('ids', concat(a.ids, array(a.c + 1)), 'c', a.c + 1, 's', x.start),
+        named_struct('ids', concat(a.ids, array(a.c)), 'c', a.c, 's', a.s)),
+      a -> zip_with(u, a.ids, (y, c) -> named_struct('ord', y.ord, 'chapter', c)))"""
+    return jobs.select("job_id", F.inline(F.expr(fold)))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import clip_turn_overlaps, merge_turns
+from .intervals import clip_turn_overlaps, merge_turns, speaker_at
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -135,3 +135,49 @@ def turns_from_windows(windows: DataFrame, max_gap: float = 0.3, min_dur: float
     if renumber:
         turns = turns.drop("speaker").join(renumber_speakers(turns), ["job_id", "ord"])
     return turns.select("job_id", "ord", "turn_id", "speaker", "start", "end")
+
+
+def _with_free_ids(unnamed: DataFrame, taken: DataFrame) -> DataFrame:
+    """``unnamed(job_id, cluster)`` with the lowest ``SPEAKER_nn`` that ``taken(job_id, speaker)`` leaves free, in order of cluster.
+
+    A job's speakers are few, so the set of those taken is a small array.
+    """
+    sets = taken.filter("speaker IS NOT NULL").groupBy("job_id").agg(F.collect_set("speaker").alias("taken"))
+    rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.col("cluster").cast("long"), "cluster"))
+    met = unnamed.withColumn("rank", rank).join(sets, "job_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
+    free = F.expr("filter(transform(sequence(0, size(taken) + rank), k -> format_string('SPEAKER_%02d', k)), s -> NOT array_contains(taken, s))")
+    return met.select("job_id", "cluster", F.get(free, F.col("rank") - 1).alias("speaker"))
+
+
+def refine_speakers(windows: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``windows(job_id, ord, start, end, embedding, speaker)`` clustered anew; clusters keep the published speakers they share most time with.
+
+    Clusters without one get the lowest free ids. Returns ``job_id, ord, speaker``.
+    """
+    met = windows.select("job_id", "ord", "start", "end", F.col("speaker").alias("published")).join(cluster_windows(windows, threshold), ["job_id", "ord"]).withColumn("cluster", F.col("label").cast("string"))
+    shared = met.groupBy("job_id", "cluster", "published").agg(F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(0.0))).alias("sec"))
+    named = greedy_remap(shared.filter("published IS NOT NULL")).select("job_id", "cluster", F.col("published").alias("speaker"))
+    rest = shared.select("job_id", "cluster").distinct().join(named, ["job_id", "cluster"], "left_anti")
+    names = named.unionByName(_with_free_ids(rest, windows.select("job_id", "speaker").distinct()))
+    return met.join(names, ["job_id", "cluster"]).select("job_id", "ord", "speaker")
+
+
+def cluster_then_match(windows: DataFrame, gallery: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Windows clustered first; each cluster's mean takes the nearest speaker of the gallery as it was before, or a free id."""
+    met = windows.select("job_id", "ord", "embedding").join(cluster_windows(windows, threshold), ["job_id", "ord"]).withColumn("cluster", F.col("label").cast("string"))
+    means = speaker_centroids(met.withColumn("speaker", F.col("cluster"))).select("job_id", F.col("speaker").alias("ord"), F.col("centroid").alias("embedding"))
+    named = assign_to_gallery(means, gallery, threshold).filter("speaker IS NOT NULL").select("job_id", F.col("ord").alias("cluster"), "speaker")
+    rest = met.select("job_id", "cluster").distinct().join(named, ["job_id", "cluster"], "left_anti")
+    names = named.unionByName(_with_free_ids(rest, gallery.select("job_id", "speaker")))
+    return met.join(names, ["job_id", "cluster"]).select("job_id", "ord", "speaker")
+
+
+def finalize_speakers(windows: DataFrame, segments: DataFrame, threshold: float = 0.85, least: float = 2.0) -> DataFrame:
+    """Speakers of the segments of finished jobs: windows refined, made into turns that name each segment by its middle, then
+    speakers below ``least`` seconds of speech taken into their nearest."""
+    refined = windows.drop("speaker").join(refine_speakers(windows, threshold), ["job_id", "ord"])
+    middle = segments.select("job_id", "ord", "speaker", ((F.col("start") + F.col("end")) / 2).alias("mid"))
+    named = speaker_at(middle, turns_from_windows(refined)).select("job_id", "ord", "speaker")
+    sec = segments.select("job_id", "ord", "start", "end").join(named, ["job_id", "ord"]).groupBy("job_id", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("sec"))
+    targets = absorb_micro_speakers(sec.join(speaker_centroids(refined), ["job_id", "speaker"], "left").select("job_id", "speaker", "sec", "centroid"), least)
+    return named.join(targets, ["job_id", "speaker"]).select("job_id", "ord", F.col("target").alias("speaker"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -338,11 +339,21 @@ def e6_assign_to_gallery(spark, d):
     return E.assign_to_gallery(X.vectors(spark, d), E.speaker_centroids(_spoken(spark, d)))
 
 
+@query("e10_refine_speakers")
+def e10_refine_speakers(spark, d):
+    return E.refine_speakers(X.vectors(spark, d).withColumn("speaker", F.format_string("SPEAKER_%02d", F.col("label"))))
+
+
 @query("e11_turns_from_windows")
 def e11_turns_from_windows(spark, d):
     return E.turns_from_windows(_spoken(spark, d).select("job_id", "ord", "speaker", "start", "end"), renumber=True)
 
 
+@query("e7_cluster_then_match")
+def e7_cluster_then_match(spark, d):
+    return E.cluster_then_match(X.vectors(spark, d), E.speaker_centroids(_spoken(spark, d).filter("label < 6")))
+
+
 @query("e8_greedy_remap")
 def e8_greedy_remap(spark, d):
     v = _spoken(spark, d).withColumn("published", F.concat(F.lit("P"), (F.col("ord") % 7).cast("string")))
@@ -427,6 +438,19 @@ def f7_validate_merge(spark, d):
     return D.validate_merge(*D.merge_parts(*_part_tables(spark, d)))
 
 
+@query("f11_late_chunk_boundaries")
+def f11_late_chunk_boundaries(spark, d):
+    s = C.late_windows(X.segments(spark, d).select("job_id", "ord", "start", "end"), 20.0, 5.0)
+    v = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return C.late_chunk_boundaries(s.join(v, (F.col("job_id") * 7 + F.col("ord") * 3 + F.col("win_id")) % 500 == F.col("vec_id")).drop("vec_id"), 4.0, 15.0)
+
+
+@query("f12_merge_by_title_vectors")
+def f12_merge_by_title_vectors(spark, d):
+    v = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return C.merge_by_title_vectors(X.chapters(spark, d).join(v, (F.col("job_id") * 7 + F.col("ord")) % 500 == F.col("vec_id")), 0.0)
+
+
 @query("f8_chapter_speakers", f"""WITH {X.CHAPTERS}, {_BRIDGE}, f AS (SELECT job_id, chapter_id, speaker, min(pos) AS pos FROM bridge JOIN segments USING (job_id, segment_id) GROUP BY ALL) SELECT job_id, chapter_id, string_agg(speaker, ',' ORDER BY pos) AS speakers FROM f GROUP BY ALL""")
 def f8_chapter_speakers(spark, d):
     return C.chapter_speakers(X.chapters(spark, d), X.segments(spark, d))
@@ -445,6 +469,23 @@ def f10_chapter_neighbors(spark, d):
 # ---- insights
 
 
+def _title_replies(spark, d):
+    """Two attempts for each chapter; the first is no JSON, or the title of the job's first chapter, or its own."""
+    c = X.chapters(spark, d).withColumn("first", F.first("title").over(Window.partitionBy("job_id").orderBy("ord")))
+    title = lambda t: F.to_json(F.struct(t.alias("title")))
+    own = F.when(F.col("ord") % 3 == 1, "no title").when(F.col("ord") % 3 == 2, title(F.upper("first"))).otherwise(title(F.col("title")))
+    again = title(F.concat_ws("  ", "title", "chapter_id"))
+    return c.select("job_id", "chapter_id", F.posexplode(F.array(own, again)).alias("n", "text")).select("job_id", "chapter_id", (F.col("n") + 1).alias("attempt"), "text")
+
+
+@query("g2_select_titles", f"""WITH RECURSIVE {X.CHAPTERS}, t AS (SELECT job_id, ord, chapter_id, CASE WHEN ord % 3 = 1 THEN NULL WHEN ord % 3 = 2 THEN upper(first(title) OVER (PARTITION BY job_id ORDER BY ord)) ELSE title END AS a, title || ' ' || chapter_id AS b FROM chapters),
+ u AS (SELECT job_id, ord, chapter_id, trim(regexp_replace(a, '\\s+', ' ', 'g')) AS a, trim(regexp_replace(b, '\\s+', ' ', 'g')) AS b FROM t), f AS (SELECT u.job_id, ord, chapter_id, CASE WHEN a <> '' THEN a ELSE b END AS title, CASE WHEN a <> '' THEN 1 ELSE 2 END AS attempt, [lower(CASE WHEN a <> '' THEN a ELSE b END)] AS used FROM u WHERE ord = 0
+ UNION ALL SELECT job_id, ord, chapter_id, title, attempt, list_append(used, lower(title)) FROM (SELECT u.job_id, u.ord, u.chapter_id, used, CASE WHEN a <> '' AND NOT list_contains(used, lower(a)) THEN a ELSE b END AS title, CASE WHEN a <> '' AND NOT list_contains(used, lower(a)) THEN 1 ELSE 2 END AS attempt FROM f JOIN u ON u.job_id = f.job_id AND u.ord = f.ord + 1))
+ SELECT job_id, chapter_id, title, attempt FROM f""")
+def g2_select_titles(spark, d):
+    return G.select_titles(_title_replies(spark, d), X.chapters(spark, d))
+
+
 @query("g6_digest_chapters", f"""WITH {X.CHAPTERS}, {_BRIDGE}, l AS (SELECT job_id, chapter_id, pos, segment_id, speaker || ': ' || text AS line FROM bridge JOIN segments USING (job_id, segment_id) WHERE trim(text) <> ''),
  u AS (SELECT *, sum(length(line) + 1) OVER w AS used, row_number() OVER w AS n FROM l WINDOW w AS (PARTITION BY job_id, chapter_id ORDER BY pos)) SELECT job_id, chapter_id, string_agg(line, chr(10) ORDER BY pos) AS digest, string_agg(segment_id, ',' ORDER BY pos) FILTER (n <= 8) AS sources FROM u WHERE used <= 700 OR n = 1 GROUP BY ALL""")
 def g6_digest_chapters(spark, d):
@@ -736,6 +777,12 @@ def k9_artifact_completeness(spark, d):
     return K.artifact_completeness(K.latest_stage(_events(spark, d)), ["click", "view", "error", "purchase", "asr"])
 
 
+@query("k12_finalize_speakers")
+def k12_finalize_speakers(spark, d):
+    v = X.vectors(spark, d).withColumn("speaker", F.format_string("SPEAKER_%02d", F.col("label")))
+    return E.finalize_speakers(v, v.filter("ord % 2 = 0").select("job_id", "ord", "speaker", "start", "end"), least=16.0)
+
+
 @query("k13_time_to_first", f"""WITH {_EV} SELECT job_id, round((epoch_us(min(ts) FILTER (stage = 'purchase')) - epoch_us(min(ts))) / 1e6, 3) AS sec FROM ev GROUP BY job_id HAVING count(*) FILTER (stage = 'purchase') > 0""")
 def k13_time_to_first(spark, d):
     return K.time_to_first(_events(spark, d), "purchase")
