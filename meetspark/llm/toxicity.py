@@ -5,14 +5,20 @@ its words (by default each word is a span: insults stand alone, and any average
 sample of labelled rows. Labels are given for documents, so of a toxic training document only the spans that score highest
 count as toxic, chosen anew in each step; a document's score is that of its worst span, calibrated on the sample.
 Misspellings that were never seen share most of their n-grams with words that were.
+
+A run of more than ``LONG`` characters without white space (a script without spaces, joined words, a URL) is no word: its parts
+between marks and overlapping stretches of what is still long are its words, and its score is that of the worst of them.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +30,38 @@ DIMENSIONS = 8
 SPAN = 1
 SHORTEST, LONGEST = 3, 5
 TOXIC_ROWS, HARMLESS_ROWS = 600, 1_200
+LONG, STRETCH = 64, 16
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+@cache
+def _parts() -> re.Pattern:
+    """Runs of letters, digits and the combining marks that many scripts write vowels with."""
+    marks = "".join(re.escape(chr(c)) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M")
+    return re.compile(rf"(?:[^\W_]|[{marks}])+")
+
+
+def stretches(word: str) -> Iterator[str]:
+    """The words of a run of text without white space: itself up to ``LONG`` characters; else its parts between marks, and
+    of a part above ``LONG`` stretches that overlap by half, so that every character is in one of them."""
+    if len(word) <= LONG:
+        yield word
+        return
+    found = 0
+    for m in _parts().finditer(word):
+        part, found = m[0], found + 1
+        if len(part) <= LONG:
+            yield part
+        else:
+            for i in range(0, len(part) - STRETCH // 2, STRETCH // 2):
+                yield part[i : i + STRETCH]
+    if not found:
+        yield ""
+
+
 def _marked(word: str) -> str:
     """A word lower-cased, without the marks around it, with its ends marked."""
-    return "<" + _EDGE.sub("", word.lower())[:64] + ">"
+    return "<" + _EDGE.sub("", word.lower()) + ">"
 
 
 def subwords(word: str) -> list[int]:
@@ -67,15 +99,29 @@ class Model:
     offset: float
 
     def word(self, word: str) -> float:
-        return float(self.buckets[subwords(word)].mean())
+        return max(float(self.buckets[subwords(w)].mean()) for w in stretches(word))
+
+    def words(self, words: list[bytes], at_once: int = 100_000) -> list[float]:
+        """The same for many words, of long ones by at most ``at_once`` stretches at a time."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._short(words)
+        of_long = set(long)
+        out = np.full(len(words), -np.inf)
+        short = [i for i in range(len(words)) if i not in of_long]
+        out[short] = self._short([words[i] for i in short])
+        parts = ((i, s.encode()) for i in long for s in stretches(words[i].decode()))
+        while some := list(islice(parts, at_once)):
+            np.maximum.at(out, [i for i, _ in some], self._short([s for _, s in some]))
+        return out.tolist()
 
-    def words(self, words: list[bytes]) -> list[float]:
-        """The same for many words: CRC-32s of the n-grams of all ASCII words at once, one byte further each step."""
+    def _short(self, words: list[bytes]) -> list[float]:
+        """CRC-32s of the n-grams of all ASCII words at once, one byte further each step."""
         out = np.zeros(len(words))
         plain = [i for i, w in enumerate(words) if w.isascii()]
         for i, w in enumerate(words):
             if not w.isascii():
-                out[i] = self.word(w.decode())
+                out[i] = self.buckets[subwords(w.decode())].mean()
         if plain:
             marked = [_marked(words[i].decode()).encode() for i in plain]
             data = np.frombuffer(b"".join(marked), np.uint8)
@@ -114,7 +160,7 @@ def _scatter(index: np.ndarray, rows: np.ndarray, take: np.ndarray, weight: np.n
 def train(texts: list[str], toxic: np.ndarray, prevalence: float = 0.5, steps: int = 40, rate: float = 0.05, seed: int = 7) -> Model:
     """Fit embeddings and softmax together on documents and their labels."""
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.lower().split()], dtype=np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for x in t.lower().split() for w in stretches(x)], dtype=np.int64) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, toxic = [docs[i] for i in keep], np.asarray(toxic)[keep]
     if not docs or toxic.min() == toxic.max():

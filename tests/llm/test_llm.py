@@ -227,6 +227,22 @@ def test_toxicity_scores_many_words_as_it_scores_one():
     assert np.allclose(model.words(words), [model.word(w.decode()) for w in words], rtol=0, atol=1e-12) and model.words([]) == []
 
 
+def test_toxicity_reads_runs_without_spaces_to_their_end(spark):
+    rng = random.Random(8)
+    plain = [f"{a}{b}" for a in ("ri", "sto", "ble", "than", "mo") for b in ("ver", "ne", "sh", "ing", "er")]
+    some = lambda n: [rng.choice(plain) for _ in range(n)]
+    rows = [(i, " ".join(some(30) + ["grubbling"] * (i % 2) + some(30))) for i in range(240)]
+    harmless = some(40)
+    runs = ["-".join(harmless), "_".join(harmless), "\u200b".join(harmless), "http://x.org/" + "/".join(harmless), "".join(harmless)]
+    rows += [(1000 + i, r) for i, r in enumerate(runs)] + [(2000 + i, r + j + "grubbling") for i, (r, j) in enumerate(zip(runs, ("-", "_", "\u200b", "/", ""), strict=True))]
+    got = {r.doc_id: r for r in toxicity.toxicity(docs(spark, rows), spark.createDataFrame([(i, 1, i % 2) for i in range(240)], "doc_id long, quality int, toxic int")).collect()}
+    assert [got[1000 + i].predicted for i in range(4)] == [0] * 4 and [got[2000 + i].predicted for i in range(4)] == [1] * 4
+    assert got[2004].score > got[1004].score
+    for run in ("x" * 500, "語" * 300 + "。" + "文" * 90, "a-" * 200 + "b" * 70):
+        assert set(run) - set("-。") <= set("".join(toxicity.stretches(run))) and max(map(len, toxicity.stretches(run))) <= toxicity.LONG
+    assert "".join(p[: toxicity.STRETCH // 2] for p in toxicity.stretches("".join(map(chr, range(0x4E00, 0x4E64))))) == "".join(map(chr, range(0x4E00, 0x4E60)))
+
+
 def test_html_keeps_the_article_alone():
     page = """<!DOCTYPE html><html lang=en><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>menu</a></li></ul></nav>
     <div class="cookie-notice">cookies</div><main><article><h1>Head &amp; more</h1><p><b>One.<br><p>Two&nbsp;  &lt;x&gt;<form><p>search</form><div class="ad">buy</div><section id="comments"><p>first!</p></section></article></main><aside>side</aside><footer>&copy;"""
