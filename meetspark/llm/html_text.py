@@ -2,9 +2,10 @@
 
 Text nodes are grouped by their path of block-level tags from the root. For each path of a page the length of its text, its
 punctuation, its link text and its nodes are summed; the ratios of text and of punctuation to nodes are smoothed over
-neighbouring paths in page order, fused into one score and thresholded, which selects the paths whose nodes are content.
-Declared page furniture (nav, footer, advert classes and the like) scores zero; where a page declares an article or main
-element, the paths in it are the only candidates and all of them that are not furniture pass.
+neighbouring paths in page order, fused into one score and thresholded, which selects the paths whose nodes are content. An
+article or main element raises the score of the paths in it. The deepest element that holds nearly all selected text is the
+content with all its blocks, so that short headings and list items stay. Declared page furniture (nav, footer, advert classes
+and the like) scores zero.
 """
 
 from __future__ import annotations
@@ -32,9 +33,13 @@ _FURNITURE_WORDS = frozenset(
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
 _SCOPE = frozenset("html body article section main div table ul ol dl blockquote td th aside nav footer header form figure".split())
 _ROOTS = frozenset(["article", "main"])
+_HOLDERS = frozenset("html body article main section div td center fieldset".split())
+_HEADING = re.compile(r"(?:^|/)h[1-3](?:/|$)")
+# How much a path's score gains in an article or main element; the share of the selected text that the chosen element holds.
+ROOT_GAIN, SHARE = 4.0, 0.9
 
 
-def _furniture(tag: str, attributes: str, stack: list[tuple[str, bool, bool]]) -> bool:
+def _furniture(tag: str, attributes: str, stack: list[tuple[str, bool, bool, int]]) -> bool:
     if tag in _FURNITURE_TAGS or tag == "header" and not any(s[2] for s in stack):
         return True
     if tag in ("html", "body"):
@@ -46,10 +51,11 @@ def _furniture(tag: str, attributes: str, stack: list[tuple[str, bool, bool]]) -
     return False
 
 
-def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int]]:
-    """Blocks in page order: path, text, furniture?, in an article?, characters inside links."""
-    out: list[tuple[str, str, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture so far, in a root so far
+def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int, list[tuple[int, str]]]]:
+    """Blocks in page order: path, text, furniture?, in an article?, characters inside links, elements (number, tag) around it."""
+    out: list[tuple[str, str, bool, bool, int, list[tuple[int, str]]]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, furniture so far, in a root so far, number from 1
+    opened = 0
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -58,7 +64,7 @@ def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int]]:
         joined = " ".join("".join(text).split())
         if joined:
             path = "/".join(s[0] for s in stack if s[0] in _BLOCK)
-            out.append((path, joined, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], linked))
+            out.append((path, joined, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], linked, [(s[3], s[0]) for s in stack if s[0] in _HOLDERS]))
         text.clear()
         linked = 0
 
@@ -117,8 +123,9 @@ def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int]]:
             continue
         if tag == "a":
             in_link += 1
-        above = stack[-1] if stack else ("", False, False)
-        stack.append((tag, above[1] or _furniture(tag, m[3], stack), above[2] or tag in _ROOTS))
+        opened += 1
+        above = stack[-1] if stack else ("", False, False, 0)
+        stack.append((tag, above[1] or _furniture(tag, m[3], stack), above[2] or tag in _ROOTS, opened))
     flush()
     return out
 
@@ -127,27 +134,49 @@ _STOPS = re.compile(r"[.,;:!?…。、¿¡\"'()-]")
 
 
 def content(page: str | None, threshold: float = 0.25) -> str:
-    """The blocks of the selected tag paths, joined by one line feed."""
-    nodes = text_nodes(page or "")
-    if any(root and not furniture for _, _, furniture, root, _ in nodes):
-        return "\n".join(t for _, t, furniture, root, _ in nodes if root and not furniture)
-    nodes = [x for x in nodes if not x[2]]
+    """The blocks of the subtree that the path scores select, joined by one line feed."""
+    nodes = [x for x in text_nodes(page or "") if not x[2]]
     if not nodes:
         return ""
-    paths = {p: i for i, p in enumerate(dict.fromkeys(x[0] for x in nodes))}
-    own = np.array([paths[x[0]] for x in nodes])
     size = np.array([len(x[1]) for x in nodes], dtype=float)
     link = np.array([min(x[4], len(x[1])) for x in nodes], dtype=float)
     stops = np.array([len(_STOPS.findall(x[1])) for x in nodes], dtype=float)
+    root = [next((i for i, tag in x[5] if tag in _ROOTS), 0) for x in nodes]
+    paths = {p: i for i, p in enumerate(dict.fromkeys((x[0], r > 0) for x, r in zip(nodes, root, strict=True)))}
+    own = np.array([paths[x[0], r > 0] for x, r in zip(nodes, root, strict=True)])
+    gain = np.where(np.array(root) > 0, ROOT_GAIN, 1.0)
     count, n = np.bincount(own), len(paths)
     length, marks = np.bincount(own, size - link, n) / count, np.bincount(own, stops * (1 - link / size), n) / count
     if n > 2:  # neighbours in page order
         kernel = np.array([0.1, 0.8, 0.1])
         length, marks = (np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") for x in (length, marks))
-    fused = np.sqrt(length * (1 + marks))
-    linkish = np.bincount(own, link, n) > 0.5 * np.bincount(own, size, n)
-    good = (fused >= threshold * fused.max()) & ~linkish
-    return "\n".join(x[1] for x, i in zip(nodes, own, strict=True) if good[i])
+    linkish = np.bincount(own, link, n)[own] > 0.5 * np.bincount(own, size, n)[own]
+    score = np.where(linkish, 0.0, np.sqrt(length * (1 + marks))[own] * gain)
+    seed = (score >= threshold * score.max()) & ~linkish
+    if not seed.any():  # nothing but links: those of an article are its content
+        return "\n".join(x[1] for x, r in zip(nodes, root, strict=True) if r)
+    mass: dict[int, float] = {}
+    holders = [[0, *(i for i, tag in x[5] if tag in _HOLDERS)] for x in nodes]  # 0: the page; others from the outside in
+    for i in np.flatnonzero(seed):
+        for e in holders[i]:
+            mass[e] = mass.get(e, 0.0) + (size[i] - link[i]) * gain[i]
+    chosen = max((e for e, m in mass.items() if m >= SHARE * mass[0]), default=0)  # elements are numbered as they open
+    above = next(h[: h.index(chosen) + 1] for h in holders if chosen in h)
+    of_root = next(r for r, h in zip(root, holders, strict=True) if chosen in h)
+    chosen = of_root if of_root in above and of_root else chosen
+    whole = {i for x in nodes for i, tag in x[5] if tag in ("html", "body")} | {0}
+    inside = np.array([chosen in h for h in holders])
+    while not of_root and chosen not in whole:  # a wrapper that adds little but the heading
+        parent = above[above.index(chosen) - 1]
+        wider = np.array([parent in h for h in holders])
+        more, first = wider & ~inside, int(np.argmax(inside))
+        titled = any(more[i] and _HEADING.search(nodes[i][0]) for i in range(first))
+        if parent in whole or not titled or size[more].sum() > 0.2 * size[inside].sum() or link[more].sum() > 0.5 * size[more].sum():
+            break
+        chosen, inside = parent, wider
+    if chosen in whole:  # no element of its own: what stands beside selected paths, and articles that have any
+        inside &= np.array([h[-1] in mass or r > 0 and r in mass for h, r in zip(holders, root, strict=True)])
+    return "\n".join(x[1] for x, use, r, links in zip(nodes, inside, root, linkish, strict=True) if use and (r or not links))
 
 
 def _extract(threshold: float):
@@ -165,7 +194,7 @@ def extract_text(pages: DataFrame, threshold: float = 0.25) -> DataFrame:
     """Main text of each row of ``pages(page_id, url, html)``: ``page_id, url, text, n_chars``.
 
     A page's ratios come from that page alone, so no shuffle is needed. ``threshold`` is the share of the best fused path
-    score that a path needs on pages without an article element. A null or empty page has text ``''``; unclosed tags and
+    score that a path needs to be selected. A null or empty page has text ``''``; unclosed tags and
     cut-off pages are read as far as they go; null ids and urls pass through; extra columns are ignored.
     """
     return pages.select(F.col("page_id"), F.col("url"), F.col("html")).mapInArrow(_extract(threshold), "page_id long, url string, text string, n_chars long")

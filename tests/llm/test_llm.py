@@ -253,6 +253,20 @@ def test_html_keeps_the_article_alone():
     assert html_text.content(None) == "" and html_text.content("<<<>") == html.unescape("<<<>")
 
 
+def test_html_path_scores_choose_a_subtree_with_its_short_blocks():
+    long = "A sentence, with some words; and an end. " * 10
+    body = f"<h1>A heading of thirty characters</h1><p>{long}</p><ul><li>short item</li><li>other</li></ul><h2>Next</h2><p>{long}</p>"
+    want = f"A heading of thirty characters\n{long.strip()}\nshort item\nother\nNext\n{long.strip()}"
+    around = "<body><div><ul><li><a href=1>home page</a></li><li><a href=2>news</a></li></ul></div>{}<div>short</div></body>"
+    for inner in (f"<div>{body}</div>", f"<article>{body}</article>", f"<main><div>{body}</div></main>", body, body.replace("</h1>", "</h1><div>", 1) + "</div>"):
+        got = html_text.content(around.format(inner if inner.startswith(("<div", "<a", "<m")) else f"<div>{inner}</div>"))
+        assert got == want
+    # scores decide although an article is declared
+    assert html_text.content(around.format(f"<article><p>Teaser.</p></article><div>{body}</div>")) == want
+    assert html_text.content("<article><a href=1>one</a> <a href=2>two</a></article>") == "one two"
+    assert html_text.content(f"<body>{body}<div>short</div></body>") == want
+
+
 def test_html_and_language_of_awkward_pages(spark):
     pages = [(1, "https://a.example.fr/fr/x", "<html lang='fr'><p>le chat et la rue de la ville est grande</p>"), (2, None, None), (3, "nonsense", "<p>the cat and the street of the town is large"), (3, "http://b.example.com/", "<html lang=en><p>the cat and the street of the town is large"), (None, "", "<html lang=en><p>123")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
