@@ -4,8 +4,8 @@ Text nodes are grouped by their path of block-level tags from the root. For each
 punctuation, its link text and its nodes are summed; the ratios of text and of punctuation to nodes are smoothed over
 neighbouring paths in page order, fused into one score and thresholded, which selects the paths whose nodes are content. An
 article or main element raises the score of the paths in it. The deepest element that holds nearly all selected text is the
-content with all its blocks, so that short headings and list items stay. Declared page furniture (nav, footer, advert classes
-and the like) scores zero.
+content with all its blocks, so that short headings and list items stay. Declared page furniture (nav, footer and the like) scores zero; elements named like
+furniture (advert classes and the like) score less, unless they hold the article itself, and stay if the rest suffices.
 """
 
 from __future__ import annotations
@@ -30,6 +30,11 @@ _FURNITURE_WORDS = frozenset(
     "menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related respond replies share sharing sidebar sidenav signup skip social sponsor sponsored subscribe "
     "subscription tags toolbar topbar widget widgets contentinfo complementary search alert".split()
 )
+# Words that often name parts of the content too, and first parts that say what an element has or is about, not what it is.
+_WEAK_WORDS = frozenset("alert copyright disclaimer header notice notices related replies respond search tags".split())
+_STATES = frozenset("has no not is with without category cat tag type format status page single hentry js".split())
+_TITLES = frozenset("article content entry post section story title".split())  # whose header is the content's
+STRONG, WEAK = 0.05, 0.5
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
 _SCOPE = frozenset("html body article section main div table ul ol dl blockquote td th aside nav footer header form figure".split())
 _ROOTS = frozenset(["article", "main"])
@@ -39,22 +44,33 @@ _HEADING = re.compile(r"(?:^|/)h[1-3](?:/|$)")
 ROOT_GAIN, SHARE = 4.0, 0.9
 
 
-def _furniture(tag: str, attributes: str, stack: list[tuple[str, bool, bool, int]]) -> bool:
-    if tag in _FURNITURE_TAGS or tag == "header" and not any(s[2] for s in stack):
-        return True
-    if tag in ("html", "body"):
-        return False
-    for kind, *values in _ATTRIBUTE.findall(attributes):
-        words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(values)).lower())
-        if not _FURNITURE_WORDS.isdisjoint(words):
-            return True
-    return False
+def _furniture(tag: str, stack: list[tuple[str, bool, bool, int, tuple]]) -> bool:
+    return tag in _FURNITURE_TAGS or tag == "header" and not any(s[2] for s in stack)
 
 
-def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int, list[tuple[int, str]]]]:
-    """Blocks in page order: path, text, furniture?, in an article?, characters inside links, elements (number, tag) around it."""
-    out: list[tuple[str, str, bool, bool, int, list[tuple[int, str]]]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, furniture so far, in a root so far, number from 1
+def _penalty(tag: str, attributes: str, in_root: bool) -> float:
+    """What an element's names leave of its score: a name counts if it, its first or its last part is a furniture word."""
+    least = 1.0
+    if tag in ("html", "body"):
+        return least
+    for kind, *values in _ATTRIBUTE.findall(attributes):
+        for name in "".join(values).split():
+            parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+            if len(parts) > 1 and parts[0] in _STATES:
+                continue
+            found = {"".join(parts), parts[0], parts[-1]} & _FURNITURE_WORDS
+            if in_root or parts[0] in _TITLES:
+                found -= {"header"}
+            if found:
+                least = min(least, WEAK if found <= _WEAK_WORDS else STRONG)
+    return least
+
+
+def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int, list[tuple[int, str]], list[tuple[int, float]]]]:
+    """Blocks in page order: path, text, furniture?, in an article?, characters inside links, elements around it (number, tag) and
+    those that are named like furniture (number, penalty)."""
+    out: list[tuple[str, str, bool, bool, int, list[tuple[int, str]], list[tuple[int, float]]]] = []
+    stack: list[tuple[str, bool, bool, int, tuple]] = []  # tag, furniture so far, in a root so far, number from 1, penalties so far
     opened = 0
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
@@ -64,7 +80,7 @@ def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int, list[tuple[in
         joined = " ".join("".join(text).split())
         if joined:
             path = "/".join(s[0] for s in stack if s[0] in _BLOCK)
-            out.append((path, joined, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], linked, [(s[3], s[0]) for s in stack if s[0] in _HOLDERS]))
+            out.append((path, joined, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], linked, [(s[3], s[0]) for s in stack if s[0] in _HOLDERS], list(stack[-1][4]) if stack else []))
         text.clear()
         linked = 0
 
@@ -124,8 +140,9 @@ def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int, list[tuple[in
         if tag == "a":
             in_link += 1
         opened += 1
-        above = stack[-1] if stack else ("", False, False, 0)
-        stack.append((tag, above[1] or _furniture(tag, m[3], stack), above[2] or tag in _ROOTS, opened))
+        above = stack[-1] if stack else ("", False, False, 0, ())
+        penalty = _penalty(tag, m[3], above[2] or tag in _ROOTS)
+        stack.append((tag, above[1] or _furniture(tag, stack), above[2] or tag in _ROOTS, opened, (*above[4], (opened, penalty)) if penalty < 1 else above[4]))
     flush()
     return out
 
@@ -142,9 +159,16 @@ def content(page: str | None, threshold: float = 0.25) -> str:
     link = np.array([min(x[4], len(x[1])) for x in nodes], dtype=float)
     stops = np.array([len(_STOPS.findall(x[1])) for x in nodes], dtype=float)
     root = [next((i for i, tag in x[5] if tag in _ROOTS), 0) for x in nodes]
-    paths = {p: i for i, p in enumerate(dict.fromkeys((x[0], r > 0) for x, r in zip(nodes, root, strict=True)))}
-    own = np.array([paths[x[0], r > 0] for x, r in zip(nodes, root, strict=True)])
-    gain = np.where(np.array(root) > 0, ROOT_GAIN, 1.0)
+    # names say nothing of an element that is or holds one of the page's main roots
+    of_roots = {r: sum(a - b for a, b, x in zip(size, link, root, strict=True) if x == r) for r in set(root) - {0}}
+    main = {r for r, x in of_roots.items() if x >= threshold * max(of_roots.values())}
+    exempt = {i for x, r in zip(nodes, root, strict=True) if r in main for i, _ in x[5] if i <= r}
+    named = [[(i, p) for i, p in x[6] if i not in exempt] for x in nodes]
+    penalty = np.array([min((p for _, p in x), default=1.0) for x in named])
+    keys = [(x[0], r > 0, p) for x, r, p in zip(nodes, root, penalty, strict=True)]
+    paths = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+    own = np.array([paths[k] for k in keys])
+    gain = np.where(np.array(root) > 0, ROOT_GAIN, 1.0) * penalty
     count, n = np.bincount(own), len(paths)
     length, marks = np.bincount(own, size - link, n) / count, np.bincount(own, stops * (1 - link / size), n) / count
     if n > 2:  # neighbours in page order
@@ -152,9 +176,15 @@ def content(page: str | None, threshold: float = 0.25) -> str:
         length, marks = (np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") for x in (length, marks))
     linkish = np.bincount(own, link, n)[own] > 0.5 * np.bincount(own, size, n)[own]
     score = np.where(linkish, 0.0, np.sqrt(length * (1 + marks))[own] * gain)
-    seed = (score >= threshold * score.max()) & ~linkish
+    # an element named like furniture is judged whole, by the mean score of its text
+    weight: dict[int, list[float]] = {}
+    for x, a, b in zip(named, size, score * size, strict=True):
+        for i, _ in x:
+            weight[i] = [u + v for u, v in zip(weight.get(i, (0.0, 0.0)), (a, b), strict=True)]
+    plain = np.array([all(weight[i][1] >= threshold * score.max() * weight[i][0] for i, _ in x) for x in named])
+    seed = (score >= threshold * score.max()) & ~linkish & plain
     if not seed.any():  # nothing but links: those of an article are its content
-        return "\n".join(x[1] for x, r in zip(nodes, root, strict=True) if r)
+        return "\n".join(x[1] for x, r, p in zip(nodes, root, penalty, strict=True) if r and p == 1)
     mass: dict[int, float] = {}
     holders = [[0, *(i for i, tag in x[5] if tag in _HOLDERS)] for x in nodes]  # 0: the page; others from the outside in
     for i in np.flatnonzero(seed):
@@ -176,6 +206,7 @@ def content(page: str | None, threshold: float = 0.25) -> str:
         chosen, inside = parent, wider
     if chosen in whole:  # no element of its own: what stands beside selected paths, and articles that have any
         inside &= np.array([h[-1] in mass or r > 0 and r in mass for h, r in zip(holders, root, strict=True)])
+    inside &= plain
     return "\n".join(x[1] for x, use, r, links in zip(nodes, inside, root, linkish, strict=True) if use and (r or not links))
 
 

@@ -253,6 +253,19 @@ def test_html_keeps_the_article_alone():
     assert html_text.content(None) == "" and html_text.content("<<<>") == html.unescape("<<<>")
 
 
+def test_html_names_are_a_penalty_and_spare_the_article():
+    long = "A sentence, with some words; and an end. " * 10
+    inner = f"<header class='entry-header'><h1>Title</h1></header><p>{long}</p><div class='ad'>buy</div>"
+    want = f"Title\n{long.strip()}"
+    for opened in ("<article class='post has-sidebar'>", "<main class='no-sidebar'>", "<article class='post category-social tag-search'>", "<div id='page' class='nav-open'><article>", "<div class='widget'><main class='content sidebar'>"):
+        assert html_text.content(f"<body><div class='cookie-notice'>cookies</div>{opened}{inner}") == want, opened
+    for name in ("id='tags'", "class='related-work'", "class='has-comments'"):
+        assert html_text.content(f"<article>{inner}<section {name}><h2>More</h2><p>{long}</p></section></article>") == f"{want}\nMore\n{long.strip()}", name
+    remarks = "<section id='comments'>" + "<article class='comment'><p>Well, that is so.</p></article>" * 5 + "</section>"
+    assert html_text.content(f"<body><article>{inner}</article>{remarks}</body>") == want
+    assert html_text.content(f"<body><div class='post has-sidebar'>{inner.replace('header', 'div')}</div><div class='sidebar'><p>{long}</p></div></body>") == want
+
+
 def test_html_path_scores_choose_a_subtree_with_its_short_blocks():
     long = "A sentence, with some words; and an end. " * 10
     body = f"<h1>A heading of thirty characters</h1><p>{long}</p><ul><li>short item</li><li>other</li></ul><h2>Next</h2><p>{long}</p>"
