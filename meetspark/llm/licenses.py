@@ -3,7 +3,8 @@
 The words of the templates are ordered by how often the corpus has them, rarest first. A block that contains at least
 ``threshold`` of a template's words must contain one of the first ``|T| - ceil(threshold * |T|) + 1`` of them in that order
 (the prefix), must be long enough (length filter) and must have enough words left at and after the first common one
-(positional filter); what passes is verified on the sets. A block is a line. All of it is DataFrame operations: documents
+(positional filter); what passes is verified on the sets. A block is a line, or the end of a line and the words that follow it
+in the next lines, as many as the longest template has. All of it is DataFrame operations: documents
 without a rare prefix word are left out by the scan itself, and only the few others are taken apart into blocks.
 """
 
@@ -55,24 +56,36 @@ def ordered_templates(texts: DataFrame, templates: dict[str, list[str]]) -> list
 
 
 def license_blocks(rows: DataFrame, templates: dict[str, list[str]], threshold: float = THRESHOLD) -> DataFrame:
-    """``uid, label, score`` of the templates that lines of ``rows(uid, text)`` contain to at least ``threshold``.
+    """``uid, label, score`` of the templates that blocks of ``rows(uid, text)`` contain to at least ``threshold``.
 
-    Versions of one license differ in a word, so a line takes the labels of the templates it contains best.
+    Versions of one license (labels alike up to the first hyphen) differ in a word, so of each license a block takes the labels
+    of the templates that it contains best.
     """
     spark = rows.sparkSession
     ordered = ordered_templates(rows.select(split_words(lower_ascii(F.col("text"))).alias("words")), templates)
     needed = [math.ceil(threshold * len(words) - 1e-9) for _, words in ordered]
     prefix = {w for (_, words), o in zip(ordered, needed, strict=True) for w in words[: len(words) - o + 1]}
     table = spark.createDataFrame([(i, label, words, o, w, at) for i, ((label, words), o) in enumerate(zip(ordered, needed, strict=True)) for at, w in enumerate(words[: len(words) - o + 1])], "template int, label string, words array<string>, needed int, w string, at int")
-    lines = rows.filter(F.col("text").rlike(_any(sorted(prefix)))).select("uid", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    lines = lines.filter(F.col("t").rlike(_any(sorted(prefix)))).select("uid", "line", F.array_distinct(split_words(lower_ascii(F.col("t")))).alias("block"))
+    some = rows.filter(F.col("text").rlike(_any(sorted(prefix))))
+    lines = some.select("uid", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    lines = lines.filter(F.col("t").rlike(_any(sorted(prefix)))).select("uid", F.lit(False).alias("wrapped"), "line", F.array_distinct(split_words(lower_ascii(F.col("t")))).alias("block"))
+    # every run of up to ``most`` words that goes beyond its first line is in the wrapped block of that line
+    most = max((len(text.split()) for texts in templates.values() for text in texts), default=1)
+    worded = some.select("uid", F.filter(F.transform(F.split("text", "\n"), lambda t: split_words(lower_ascii(t))), lambda w: F.size(w) > 0).alias("lines"))
+    worded = worded.withColumn("heads", F.transform("lines", lambda w: F.slice(w, 1, most - 1)))
+    tail = lambda w: F.slice(w, F.greatest(F.size(w) - (most - 2), F.lit(1)), F.lit(most - 1))
+    after = lambda i: F.slice(F.flatten(F.slice(F.col("heads"), i + 2, F.lit(most - 1))), 1, most - 1)
+    wrapped = F.transform("lines", lambda w, i: F.array_distinct(F.concat(tail(w), after(i))))
+    wrapped = worded.filter((F.size("lines") > 1) & F.lit(most > 1)).select("uid", F.posexplode(wrapped).alias("line", "block"))
+    wrapped = wrapped.filter(F.arrays_overlap("block", F.array(*map(F.lit, sorted(prefix))))).select("uid", F.lit(True).alias("wrapped"), "line", "block")
+    lines = lines.unionByName(wrapped)
     named = ", ".join(f"'{w}'" for w in sorted(prefix))
-    keyed = lines.select("uid", "line", "block", F.explode(F.expr(f"filter(block, w -> w IN ({named}))")).alias("w"))
+    keyed = lines.select("uid", "wrapped", "line", "block", F.explode(F.expr(f"filter(block, w -> w IN ({named}))")).alias("w"))
     met = keyed.join(F.broadcast(table), "w")  # a row for each prefix word of the given templates
     met = met.filter((F.size("block") >= F.col("needed")) & (F.size("words") - F.col("at") >= F.col("needed")))
     common = met.withColumn("common", F.size(F.array_intersect("block", "words"))).filter("common >= needed")
-    scored = common.select("uid", "line", "label", (F.col("common") / F.size("words")).alias("score"))
-    best = scored.withColumn("best", F.max("score").over(Window.partitionBy("uid", "line"))).filter("score = best")
+    scored = common.select("uid", "wrapped", "line", "label", (F.col("common") / F.size("words")).alias("score"))
+    best = scored.withColumn("best", F.max("score").over(Window.partitionBy("uid", "wrapped", "line", F.substring_index("label", "-", 1)))).filter("score = best")
     return best.groupBy("uid", "label").agg(F.max("score").alias("score"))
 
 

@@ -191,6 +191,17 @@ def test_licenses_find_phrases_and_templates(spark):
     assert "apache-2.0" in r[0].labels.split(",") and r[1].labels == "" and r[1].score == 0 and r[2].base_labels == "" and r[2].labels == "mpl-2.0"
 
 
+def test_licenses_of_several_families_and_wrapped_notices(spark):
+    both = "Licensed under the Apache License 2.0 or released under the MIT License"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the Software), to deal"
+    gpl = "x\nLicensed under the GNU\nGeneral Public\n\nLicense, version 2\ny"
+    rows = [(1, both), (2, mit), (3, gpl), (4, "Licensed under the BSD 2 clause license"), (5, "released under" + " v" * 30 + "\nthe license")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got[1].labels == "apache,apache-2.0,mit"
+    assert got[2].labels == "mit" and got[2].score == 1 and set(got[3].labels.split(",")) == {"gpl", "gpl-2.0"}
+    assert got[4].labels == "bsd-2-clause" and got[5].labels == ""
+
+
 def test_quality_counts_and_verdict(spark):
     rng = random.Random(6)
     good = [(i, " ".join(rng.choice(["the", "river", "runs", "slowly", "under", "old", "trees"]) + str(rng.randint(0, 9)) for _ in range(80))) for i in range(30)]
