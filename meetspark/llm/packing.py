@@ -25,7 +25,6 @@ from .storage import saved
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-MAX_QUEUES = 256
 ROWS_PER_BLOCK = 20_000
 
 
@@ -139,9 +138,18 @@ class Schedule:
         n, rounds, q = self.given[phase][queue], self.rounds[phase], self.quantum
         after = lambda x: np.minimum(-(-((x // q + 1) * (rounds * q)) // n), rounds)  # noqa: E731  rounds until x is served
         k0, k1 = (after(lo) - 1).astype(np.int64), (after(hi - 1) - 1).astype(np.int64)
-        count = k1 - k0 + 1
+        # rounds that serve the stretch: all between, or of a slow queue those of its quanta
+        j0, j1 = (lo // q).astype(np.int64), ((hi - 1) // q).astype(np.int64)
+        slow = j1 - j0 < k1 - k0
+        count = np.where(slow, j1 - j0, k1 - k0) + 1
         i = np.repeat(np.arange(len(rows)), count)
-        k = np.repeat(k0 - (np.cumsum(count) - count), count) + np.arange(len(i))
+        k = np.repeat(np.where(slow, j0, k0) - (np.cumsum(count) - count), count) + np.arange(len(i))
+        by = slow[i]
+        quantum = (k[by] * q).astype(self.given.dtype)
+        k[by] = np.minimum(-(-((quantum // q + 1) * (rounds * q)) // n[i[by]]), rounds).astype(np.int64) - 1
+        once = np.ones(len(i), dtype=bool)
+        once[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1])
+        i, k = i[once], k[once]
         at, end, place = [], [], []
         step = max(1, (1 << 20) // self.given.shape[1])
         for j in range(0, len(i), step):
@@ -187,8 +195,8 @@ def pack(docs: DataFrame, window: int = 2048, weights: dict[str, float] | None =
 
     ``docs`` has ``doc_id, text, source``; each document's ids end with id 1. ``weights`` are target shares by source
     (missing ones: 1); None means the natural shares. Returns a row for each piece: ``doc_id, start, length, ids_crc32,
-    doc_tokens, sequence_id, offset, source``. Windows are full but for the last. At most ``MAX_QUEUES`` sources have a
-    queue each; where there are more, queues are shared by hash of the source, and every document is still packed once.
+    doc_tokens, sequence_id, offset, source``. Windows are full but for the last. Every source has a queue of its own,
+    whatever their number: the queues' totals are held by each task, and the time of a piece grows with their number.
 
     Edge cases: a null or empty text is one token; a null source is a queue of its own; repeated rows are packed each; rows
     without an id are packed with a null id; an empty table gives an empty result; extra columns are ignored.
@@ -197,18 +205,11 @@ def pack(docs: DataFrame, window: int = 2048, weights: dict[str, float] | None =
     tokens = texts.mapInArrow(_tokens(vocabulary), "doc_id long, source string, n long, ids binary")
     tokens = saved(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
     width = 2 if encoder_of(vocabulary).dtype is np.uint16 else 4
-    sources = tokens.select("source").distinct()
-    if sources.limit(MAX_QUEUES + 1).count() <= MAX_QUEUES:
-        names = sorted(r[0] for r in sources.collect())
-        queue = F.create_map(*(x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))))[F.col("source")] if names else F.lit(0)
-        shares = None if weights is None else [weights.get(s, 1.0) for s in names]
-    else:
-        if weights is not None:
-            raise ValueError(f"weights need at most {MAX_QUEUES} sources")
-        names, shares = [""] * MAX_QUEUES, None
-        queue = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES))
+    names = sorted(r[0] for r in tokens.select("source").distinct().collect())
+    shares = None if weights is None else [weights.get(s, 1.0) for s in names]
+    queues = tokens.sparkSession.createDataFrame(list(enumerate(names)), "queue int, source string")
     block = F.pmod(F.xxhash64("uid"), F.lit(max(1, tokens.count() // ROWS_PER_BLOCK)))
-    sizes = tokens.select("uid", "doc_id", "n", queue.cast("int").alias("queue"), block.cast("int").alias("block"))
+    sizes = tokens.select("uid", "doc_id", "n", "source", block.cast("int").alias("block")).join(F.broadcast(queues), "source").drop("source")
     blocks = saved(sizes.groupBy("queue", "block").agg(F.sum("n").alias("n")), "blocks")
     totals = {r[0]: r[1] for r in blocks.groupBy("queue").agg(F.sum("n")).collect()}
     schedule = Schedule(phases([totals.get(i, 0) for i in range(max(1, len(names)))], shares), window, quantum)

@@ -202,6 +202,23 @@ def test_licenses_of_several_families_and_wrapped_notices(spark):
     assert got[4].labels == "bsd-2-clause" and got[5].labels == ""
 
 
+def test_packing_keeps_a_queue_for_each_of_many_sources(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randint(0, 99)}" for _ in range(40)), "en", f"s{i % 400}", 0) for i in range(800)] + [(1000 + i, "hot words here " * 40, "en", "hot", 0) for i in range(400)]
+    d = spark.createDataFrame(rows, DOC)
+    got = packing.pack(d, window=2048, quantum=1).toPandas()
+    total = got.groupby("source")["length"].sum()
+    place = (got.sequence_id * 2048 + got.offset).to_numpy()
+    order = np.argsort(place)
+    assert (place[order] == np.concatenate([[0], np.cumsum(got.length.to_numpy()[order])[:-1]])).all()
+    rounds = -(-int(total.sum()) // 2048)
+    half = got[got.sequence_id < rounds // 2].groupby("source")["length"].sum().reindex(total.index).fillna(0)
+    # half way each source, not its hash bucket, has had half of its tokens, but for about a round
+    assert (abs(half - total * (rounds // 2) / rounds) <= total / rounds + 2).all()
+    shares = packing.pack(d, window=2048, weights={"hot": 1000.0}).toPandas()
+    assert shares["length"].sum() == total.sum()
+
+
 def test_quality_counts_and_verdict(spark):
     rng = random.Random(6)
     good = [(i, " ".join(rng.choice(["the", "river", "runs", "slowly", "under", "old", "trees"]) + str(rng.randint(0, 9)) for _ in range(80))) for i in range(30)]
