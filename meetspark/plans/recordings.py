@@ -386,10 +386,16 @@ def f2_pack_pieces(spark, d):
     return C.pack_pieces(X.segments(spark, d)).select("job_id", "piece", "unit").distinct()
 
 
+def _vectors(spark, d):
+    """All embeddings, ``vec_id`` from 0 without gaps, and their number."""
+    v = _table(spark, d, "embeddings").select("vec_id", "embedding")
+    return v, max(1, v.count())
+
+
 def _unit_vectors(spark, d):
     u = C.units(C.pack_pieces(X.segments(spark, d)))
-    v = _table(spark, d, "embeddings").select(F.col("vec_id"), "embedding")
-    return u.join(v, (F.col("job_id") * 7 + F.col("unit")) % 500 == F.col("vec_id")).select("job_id", "unit", "start", "end", "words", F.col("embedding").alias("vector"))
+    v, n = _vectors(spark, d)
+    return u.join(v, (F.col("job_id") * 7 + F.col("unit")) % n == F.col("vec_id")).select("job_id", "unit", "start", "end", "words", F.col("embedding").alias("vector"))
 
 
 @query("f3_merge_similar_units")
@@ -441,14 +447,16 @@ def f7_validate_merge(spark, d):
 @query("f11_late_chunk_boundaries")
 def f11_late_chunk_boundaries(spark, d):
     s = C.late_windows(X.segments(spark, d).select("job_id", "ord", "start", "end"), 20.0, 5.0)
-    v = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return C.late_chunk_boundaries(s.join(v, (F.col("job_id") * 7 + F.col("ord") * 3 + F.col("win_id")) % 500 == F.col("vec_id")).drop("vec_id"), 4.0, 15.0)
+    v, n = _vectors(spark, d)
+    v = v.withColumnRenamed("embedding", "vector")
+    return C.late_chunk_boundaries(s.join(v, (F.col("job_id") * 7 + F.col("ord") * 3 + F.col("win_id")) % n == F.col("vec_id")).drop("vec_id"), 4.0, 15.0)
 
 
 @query("f12_merge_by_title_vectors")
 def f12_merge_by_title_vectors(spark, d):
-    v = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return C.merge_by_title_vectors(X.chapters(spark, d).join(v, (F.col("job_id") * 7 + F.col("ord")) % 500 == F.col("vec_id")), 0.0)
+    v, n = _vectors(spark, d)
+    v = v.withColumnRenamed("embedding", "vector")
+    return C.merge_by_title_vectors(X.chapters(spark, d).join(v, (F.col("job_id") * 7 + F.col("ord")) % n == F.col("vec_id")), 0.0)
 
 
 @query("f8_chapter_speakers", f"""WITH {X.CHAPTERS}, {_BRIDGE}, f AS (SELECT job_id, chapter_id, speaker, min(pos) AS pos FROM bridge JOIN segments USING (job_id, segment_id) GROUP BY ALL) SELECT job_id, chapter_id, string_agg(speaker, ',' ORDER BY pos) AS speakers FROM f GROUP BY ALL""")

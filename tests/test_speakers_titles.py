@@ -63,3 +63,18 @@ def test_titles_take_the_first_fair_attempt(spark):
     r = spark.createDataFrame([(1, k, a, json.dumps(v)) for (k, a), v in said.items()] + [(1, "C03", 1, "no json"), (1, "C03", 2, '{"title": null}')], "job_id long, chapter_id string, attempt int, text string")
     got = {x.chapter_id: (x.title, x.attempt) for x in insights.select_titles(r, c).collect()}
     assert got == {"C00": ("Plans for May", 1), "C01": ("Costs", 2), "C02": (None, None), "C03": (None, None)}
+
+
+def test_units_reach_vectors_beyond_the_first_500(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from meetspark.plans import recordings as R
+
+    vectors = spark.range(1000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    units = spark.range(300).select(F.col("id").alias("job_id"), F.lit(1).alias("unit"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.lit(3).alias("words"))
+    monkeypatch.setattr(R, "_table", lambda *_: vectors)
+    monkeypatch.setattr(R.X, "segments", lambda *_: units)
+    monkeypatch.setattr(R.C, "pack_pieces", lambda x: x)
+    monkeypatch.setattr(R.C, "units", lambda x: x)
+    got = {r.job_id: r.vector[0] for r in R._unit_vectors(spark, "").collect()}
+    assert got == {j: (7 * j + 1) % 1000 for j in range(300)}
