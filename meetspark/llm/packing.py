@@ -11,7 +11,6 @@ With weights other than the natural ones, queues run dry one after the other; ea
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -22,60 +21,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import saved
+from .tokens import encoder_of
+from .words import blocks
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-ROWS_PER_BLOCK = 20_000
-
-
-class Encoder:
-    """Token ids of texts. White space never joins two words in this vocabulary, so words are encoded once and kept."""
-
-    def __init__(self, vocabulary: str = VOCABULARY, most: int = 800_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[bytes, bytes] = {}
-        self.most = most
-        self.end = np.array([END_ID], self.dtype).tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        fresh = list({w for w in words if w not in known})
-        if fresh:
-            if len(known) > self.most:
-                known.clear()
-                fresh = list(set(words))
-            for i in range(0, len(fresh), 10_000):
-                part = fresh[i : i + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([known[w] for w in words]) + self.end
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder_of(vocabulary: str) -> Encoder:
-    """The process's encoder of a vocabulary: tasks that follow each other in one Python worker share its known words."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+ROWS_PER_BLOCK = 1_000
+BLOCKS_PER_GROUP = 1_000
 
 
 def _tokens(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
-        width = np.dtype(encoder.dtype).itemsize
+        encoder = encoder_of(vocabulary, END_ID)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids = [encoder.ids((t.as_py() or "").encode()) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
+            for b in blocks(batch.column("text")):
+                ids, n = encoder.encode(b)
+                part = batch.slice(b.rows.start, b.rows.stop - b.rows.start)
+                ends = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
+                column = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n), column], names=["doc_id", "source", "n", "ids"])
 
     return run
 
@@ -204,16 +168,20 @@ def pack(docs: DataFrame, window: int = 2048, weights: dict[str, float] | None =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").alias("text"))
     tokens = texts.mapInArrow(_tokens(vocabulary), "doc_id long, source string, n long, ids binary")
     tokens = saved(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    width = 2 if encoder_of(vocabulary).dtype is np.uint16 else 4
+    width = encoder_of(vocabulary, END_ID).dtype.itemsize
     names = sorted(r[0] for r in tokens.select("source").distinct().collect())
     shares = None if weights is None else [weights.get(s, 1.0) for s in names]
     queues = tokens.sparkSession.createDataFrame(list(enumerate(names)), "queue int, source string")
     block = F.pmod(F.xxhash64("uid"), F.lit(max(1, tokens.count() // ROWS_PER_BLOCK)))
-    sizes = tokens.select("uid", "doc_id", "n", "source", block.cast("int").alias("block")).join(F.broadcast(queues), "source").drop("source")
-    blocks = saved(sizes.groupBy("queue", "block").agg(F.sum("n").alias("n")), "blocks")
-    totals = {r[0]: r[1] for r in blocks.groupBy("queue").agg(F.sum("n")).collect()}
+    sizes = tokens.select("uid", "doc_id", "n", "source", block.alias("block")).join(queues, "source").drop("source")
+    parts = saved(sizes.groupBy("queue", "block").agg(F.sum("n").alias("n")).withColumn("group", F.expr(f"block div {BLOCKS_PER_GROUP}")), "blocks")
+    totals = {r[0]: r[1] for r in parts.groupBy("queue").agg(F.sum("n")).collect()}
     schedule = Schedule(phases([totals.get(i, 0) for i in range(max(1, len(names)))], shares), window, quantum)
-    ahead = blocks.select("queue", "block", (F.sum("n").over(Window.partitionBy("queue").orderBy("block")) - F.col("n")).alias("ahead"))
+    # tokens ahead of a block in its queue: those of the groups of blocks before, then those of the blocks before in its group
+    groups = parts.groupBy("queue", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("queue", "group", (F.sum("n").over(Window.partitionBy("queue").orderBy("group")) - F.col("n")).alias("ahead_of_group"))
+    ahead = parts.select("queue", "group", "block", (F.sum("n").over(Window.partitionBy("queue", "group").orderBy("block")) - F.col("n")).alias("in_group"))
+    ahead = ahead.join(groups, ["queue", "group"]).select("queue", "block", (F.col("ahead_of_group") + F.col("in_group")).alias("ahead"))
     inside = Window.partitionBy("queue", "block").orderBy("doc_id", "uid")
     placed = sizes.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(ahead, ["queue", "block"])
     placed = placed.select("uid", "queue", (F.col("ahead") + F.col("inside")).alias("begin"))

@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from meetspark.llm import decontaminate, html_text, language_id, licenses, line_dedup, packing, quality, simhash, substring_dedup, toxicity
+from meetspark.llm import decontaminate, html_text, language_id, licenses, line_dedup, packing, quality, simhash, substring_dedup, tokens, toxicity, words
 from meetspark.llm.components import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -136,14 +137,14 @@ def test_packing_round_trip_and_shares(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["hello", "world", "it's", "ünï", "x9"]) for _ in range(rng.randint(0, 900))), "en", f"s{i % 3}", 0) for i in range(60)]
     df = spark.createDataFrame(rows, DOC)
-    encoder = packing.Encoder()
+    encoder = packing.encoder_of(packing.VOCABULARY, packing.END_ID)
     for weights in (None, {"s0": 3.0}):
         pieces, places = collections.defaultdict(list), collections.defaultdict(list)
         for r in packing.pack(df, 256, weights, 16).collect():
             pieces[r.doc_id].append(r)
             places[r.sequence_id].append((r.offset, r.length, r.source))
         for i, t, *_ in rows:
-            ids, at = np.frombuffer(encoder.ids(t.encode()), encoder.dtype).astype("<u4"), 0
+            ids, at = encoder.encode(next(words.blocks(pa.array([t]))))[0].astype("<u4"), 0
             assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1]
             for r in sorted(pieces[i], key=lambda r: r.start):
                 assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
@@ -160,6 +161,19 @@ def test_packing_round_trip_and_shares(spark):
             assert 110 <= first <= 196  # three fifths of 256, give or take a quantum of each queue
 
 
+def test_tokens_equal_those_of_whole_texts():
+    """Units of odd characters, special tokens' strings, long words and digits against the tokenizer itself."""
+    rng = random.Random(13)
+    signs = [*"aAbBzZ'sStTreRE lLmM019.,-_;!?()<>|/\t\n éÉßÞ×÷Ñ½²Ⅳé中文 \u00a0\u3000\x00\x1c—…", "\u0301", "\u0338", "H\u0331", "İ", "Σ", "'s", "'ll", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(5000)] + ["", None, "a" * 10_000, "é'" * 500, "1" * 300]
+    encoder = tokens.Encoder(packing.VOCABULARY, packing.END_ID, most=2_000)
+    got = []
+    for b in words.blocks(pa.array(texts, pa.string()), block_bytes=1 << 14):
+        ids, n = encoder.encode(b)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [packing.END_ID] for t in texts]
+
+
 def test_line_dedup_equals_brute_force(spark):
     rows = random_docs(5) + [(1000, "p q r s t\np q r s u\nv p q r s t\nq r s t\na b\na c\n\na b")]
     got = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
