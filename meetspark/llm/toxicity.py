@@ -1,37 +1,41 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the mean of the embeddings of its hashed character n-grams and of itself; a span of ``SPAN`` words is the mean of
-its words (by default each word is a span: insults stand alone, and any average with its neighbours hides them); a two-way softmax scores the span. Embeddings and softmax are trained jointly in numpy on the driver, on a bounded
-sample of labelled rows. Labels are given for documents, so of a toxic training document only the spans that score highest
-count as toxic, chosen anew in each step; a document's score is that of its worst span, calibrated on the sample.
-Misspellings that were never seen share most of their n-grams with words that were.
-
-A run of more than ``LONG`` characters without white space (a script without spaces, joined words, a URL) is no word: its parts
-between marks and overlapping stretches of what is still long are its words, and its score is that of the worst of them.
+A word is a bag of its hashed character n-grams and of itself; a span of ``SPAN`` consecutive words is the average of the
+embeddings of all its words' bags, and a two-way linear softmax scores that average. Embeddings and softmax are trained jointly
+in numpy on the driver, on a bounded sample of labelled rows. Labels are given for documents, so of a toxic training document
+only the spans that score highest count as toxic, chosen anew in each step; a document's score is that of its worst span, calibrated
+on the sample. Misspellings that were never seen share most of their n-grams with words that were.
+
+``SPAN`` was chosen within the training rows alone, learning from some and scoring others: 1 (an insult stands alone, a word's
+bag is all that is averaged) found all toxic texts, averages over more words hid many of them. README has the figures.
+
+A run of more than ``LONG`` characters without white space (a script without spaces, joined words, a URL) stands for several
+words: its parts between marks, and of what is still long overlapping stretches.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import Block, blocks, mix, word_hashes
+
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 SPAN = 1
 SHORTEST, LONGEST = 3, 5
-TOXIC_ROWS, HARMLESS_ROWS = 600, 1_200
+TOXIC_ROWS, HARMLESS_ROWS, TRAINING_CHARS = 600, 1_200, 4_000
 LONG, STRETCH = 64, 16
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_U = np.uint64
+_EDGES = re.compile(r"^(?:[^\w\n]|_)+|(?:[^\w\n]|_)+$", re.M)
 
 
 @cache
@@ -59,89 +63,103 @@ def stretches(word: str) -> Iterator[str]:
         yield ""
 
 
-def _marked(word: str) -> str:
-    """A word lower-cased, without the marks around it, with its ends marked."""
-    return "<" + _EDGE.sub("", word.lower()) + ">"
-
-
-def subwords(word: str) -> list[int]:
-    """Hashed n-grams of a word with its ends marked, and the word itself."""
-    word = _marked(word)
-    parts = {word[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(word) - n + 1)} | {"=" + word}
-    return [zlib.crc32(p.encode()) % BUCKETS for p in sorted(parts)]
-
-
-def _checksums() -> np.ndarray:
-    """CRC-32 of each single byte, as the step of a running CRC-32."""
-    out = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        out = (out >> np.uint32(1)) ^ np.where(out & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of each word, lower-cased, without the marks around it and with its ends marked, and of the
+    word itself; and the word that each bucket belongs to."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    text = "<" + _EDGES.sub("", "\n".join(words).lower()).replace("\n", ">\n<") + ">\n"
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    stops = np.flatnonzero(code == 10)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(stops, prepend=-1))
+    left = np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(len(code))  # characters of the word from each place
+    begins = np.append(0, stops[:-1] + 1)
+    value = mix(code.astype(_U) + _U(1))
+    buckets, owner, run = [], [], value
+    for n in range(2, LONGEST + 1):
+        run = mix(run[:-1] * _U(31) + value[n - 1 :]) if n <= len(code) else run[:0]
+        if n >= SHORTEST:
+            at = np.flatnonzero(left[: len(run)] >= n)
+            buckets.append(run[at] % _U(BUCKETS))
+            owner.append(word[at])
+    place = np.arange(len(code)) - np.repeat(begins, np.diff(stops, prepend=-1))
+    buckets.append(mix(np.add.reduceat(mix(value * _U(31) + place.astype(_U)), begins)) % _U(BUCKETS))
+    owner.append(np.arange(len(words), dtype=np.int32))
+    return np.concatenate(buckets).astype(np.int32), np.concatenate(owner)
+
+
+def words_of(block: Block, i: int) -> list[str]:
+    """The words of a block's text, long runs taken apart."""
+    found = (block.data[s:e].tobytes().decode() for s, e in zip(block.starts[block.first[i] : block.first[i + 1]], block.ends[block.first[i] : block.first[i + 1]], strict=True))
+    return [part for w in found for part in stretches(w)]
+
+
+def span_means(values: np.ndarray, first: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """The largest mean of ``span`` consecutive values of each stretch ``[first[i], first[i + 1])``, of all where there are fewer;
+    -inf for none."""
+    n = np.diff(first)
+    out = np.full(len(n), -np.inf)
+    few = np.flatnonzero((n > 0) & (n <= span))
+    if len(few):
+        out[few] = sum(np.where(j < n[few], values[np.minimum(first[few] + j, len(values) - 1)], 0.0) for j in range(span)) / n[few]
+    many = np.flatnonzero(n > span)
+    if len(many):
+        count = n[many] - span + 1
+        heads = np.cumsum(count) - count
+        at = np.repeat(first[many] - heads, count) + np.arange(count.sum())
+        out[many] = np.maximum.reduceat(sum(values[at + j] for j in range(span)) / span, heads)
     return out
 
 
-_STEP = _checksums()
-
-
-def span_means(values: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Means of all runs of ``span`` rows; of all rows where there are fewer."""
-    n = len(values)
-    if n <= span:
-        return values.mean(axis=0, keepdims=True) if n else np.zeros((1, *values.shape[1:]))
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return (total[span:] - total[:-span]) / span
-
-
 @dataclass
 class Model:
     buckets: np.ndarray  # of each n-gram bucket its embedding, projected on toxic minus harmless
     bias: float
     slope: float
     offset: float
+    span: int = SPAN
+    most: int = 500_000
+    known: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, _U), np.zeros(0)))
 
-    def word(self, word: str) -> float:
-        return max(float(self.buckets[subwords(w)].mean()) for w in stretches(word))
-
-    def words(self, words: list[bytes], at_once: int = 100_000) -> list[float]:
-        """The same for many words, of long ones by at most ``at_once`` stretches at a time."""
-        long = [i for i, w in enumerate(words) if len(w) > LONG]
-        if not long:
-            return self._short(words)
-        of_long = set(long)
-        out = np.full(len(words), -np.inf)
-        short = [i for i in range(len(words)) if i not in of_long]
-        out[short] = self._short([words[i] for i in short])
-        parts = ((i, s.encode()) for i in long for s in stretches(words[i].decode()))
-        while some := list(islice(parts, at_once)):
-            np.maximum.at(out, [i for i, _ in some], self._short([s for _, s in some]))
-        return out.tolist()
-
-    def _short(self, words: list[bytes]) -> list[float]:
-        """CRC-32s of the n-grams of all ASCII words at once, one byte further each step."""
+    def words(self, words: list[str], at_once: int = 50_000) -> np.ndarray:
+        """The mean of each word's buckets."""
         out = np.zeros(len(words))
-        plain = [i for i, w in enumerate(words) if w.isascii()]
-        for i, w in enumerate(words):
-            if not w.isascii():
-                out[i] = self.buckets[subwords(w.decode())].mean()
-        if plain:
-            marked = [_marked(words[i].decode()).encode() for i in plain]
-            data = np.frombuffer(b"".join(marked), np.uint8)
-            size = np.fromiter(map(len, marked), np.int64, len(marked))
-            own, left = np.repeat(np.arange(len(marked)), size), np.repeat(np.cumsum(size), size) - np.arange(len(data))
-            total = self.buckets[np.fromiter((zlib.crc32(b"=" + m) % BUCKETS for m in marked), np.int64, len(marked))]
-            count = np.ones(len(marked))
-            crc = np.full(len(data), 0xFFFFFFFF, dtype=np.uint32)
-            for n in range(1, LONGEST + 1):
-                crc = crc[: len(data) - n + 1]
-                crc = _STEP[(crc ^ data[n - 1 :]) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
-                if n >= SHORTEST:
-                    at = np.flatnonzero(left[: len(crc)] >= n)
-                    # an n-gram counts once in a word
-                    keys = np.unique(own[at].astype(np.uint64) << np.uint64(32) | (crc[at] ^ np.uint32(0xFFFFFFFF)).astype(np.uint64))
-                    word, bucket = (keys >> np.uint64(32)).astype(np.int64), (keys % np.uint64(BUCKETS)).astype(np.int64)
-                    total = total + np.bincount(word, self.buckets[bucket], len(marked))
-                    count += np.bincount(word, minlength=len(marked))
-            out[plain] = total / count
-        return out.tolist()
+        for i in range(0, len(words), at_once):
+            bucket, own = subwords(words[i : i + at_once])
+            size = min(at_once, len(words) - i)
+            out[i : i + size] = np.bincount(own, self.buckets[bucket], size) / np.bincount(own, minlength=size)
+        return out
+
+    def block(self, b: Block) -> np.ndarray:
+        """The worst span of each text of a block; a text without words has the lowest."""
+        key, first, own = np.unique(word_hashes(b), return_index=True, return_inverse=True)
+        held, score = self.known
+        place = np.minimum(np.searchsorted(held, key), max(0, len(held) - 1))
+        hit = held[place] == key if len(held) else np.zeros(len(key), dtype=bool)
+        value = np.zeros(len(key))
+        value[hit] = score[place[hit]]
+        new = np.flatnonzero(~hit & (b.ends[first] - b.starts[first] <= LONG))
+        value[new] = self.words([b.data[s:e].tobytes().decode() for s, e in zip(b.starts[first[new]], b.ends[first[new]], strict=True)])
+        if len(held) + len(new) > self.most:
+            held, score = held[:0], score[:0]
+        order = np.argsort(np.concatenate([held, key[new]]), kind="stable")
+        self.known = np.concatenate([held, key[new]])[order], np.concatenate([score, value[new]])[order]
+        values, heads = value[own], b.first
+        long = np.flatnonzero(b.ends - b.starts > LONG)
+        if len(long):  # bytes; in characters a run may still be one word
+            parts = [self.words(list(stretches(b.data[s:e].tobytes().decode()))) for s, e in zip(b.starts[long], b.ends[long], strict=True)]
+            size = np.ones(len(values), np.int64)
+            size[long] = [len(p) for p in parts]
+            heads = np.concatenate([[0], np.cumsum(size)])
+            values = np.repeat(values, size)
+            for i, p in zip(long, parts, strict=True):
+                values[heads[i] : heads[i] + len(p)] = p
+            heads = heads[b.first]
+        return span_means(values, heads, self.span)
+
+    def score(self, worst: np.ndarray) -> np.ndarray:
+        logit = self.slope * (np.maximum(worst, -30.0) + self.bias) + self.offset
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 def _adam(state: dict, name: str, value: np.ndarray, grad: np.ndarray, step: int, rate: float) -> None:
@@ -151,57 +169,61 @@ def _adam(state: dict, name: str, value: np.ndarray, grad: np.ndarray, step: int
     value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
-def _scatter(index: np.ndarray, rows: np.ndarray, take: np.ndarray, weight: np.ndarray | None, size: int) -> np.ndarray:
-    """Sums of ``rows[take]`` by ``index``, one dimension at a time so that the rows taken are never all held."""
-    parts = (rows[:, d][take] for d in range(rows.shape[1]))
-    return np.stack([np.bincount(index, x if weight is None else x * weight, size) for x in parts], axis=1)
+def _spread(index: np.ndarray, rows: np.ndarray, take: np.ndarray | slice, size: int) -> np.ndarray:
+    """Sums of ``rows[:, take]`` by ``index``, one dimension at a time so that the values taken are never all held."""
+    return np.stack([np.bincount(index, row[take], size) for row in rows])
+
 
+def _spans(docs: list[np.ndarray], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all different spans of documents, half overlapping, padded with -1, and their documents."""
+    step, out = max(1, span // 2), []
+    for d in docs:
+        at = np.unique(np.append(np.arange(0, max(1, len(d) - span + 1), step), max(0, len(d) - span)))
+        padded = np.pad(d, (0, max(0, span - len(d))), constant_values=-1)
+        out.append(np.unique(padded[at[:, None] + np.arange(span)], axis=0))
+    return np.concatenate(out), np.repeat(np.arange(len(docs)), [len(x) for x in out])
 
-def train(texts: list[str], toxic: np.ndarray, prevalence: float = 0.5, steps: int = 40, rate: float = 0.05, seed: int = 7) -> Model:
+
+def train(texts: list[str], toxic: np.ndarray, prevalence: float = 0.5, span: int = SPAN, steps: int = 40, rate: float = 0.05, seed: int = 7) -> Model:
     """Fit embeddings and softmax together on documents and their labels."""
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for x in t.lower().split() for w in stretches(x)], dtype=np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(b, i)], dtype=np.int32) for b in blocks(pa.array(texts, pa.string())) for i in range(len(b.first) - 1)]
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, toxic = [docs[i] for i in keep], np.asarray(toxic)[keep]
     if not docs or toxic.min() == toxic.max():
-        return Model(np.zeros(BUCKETS), 0.0, 1.0, -4.0 if not len(toxic) or not toxic.max() else 4.0)
-    grams = [subwords(w) for w in vocabulary]
-    gram_of, word_of = np.array([g for x in grams for g in x]), np.repeat(np.arange(len(grams)), [len(x) for x in grams])
-    per_word = 1.0 / np.bincount(word_of, minlength=len(grams))
-    padded = [np.unique(np.pad(d, (0, -len(d) % SPAN), constant_values=-1).reshape(-1, SPAN), axis=0) for d in docs]
-    spans, owner = np.concatenate(padded), np.repeat(np.arange(len(docs)), [len(x) for x in padded])
+        return Model(np.zeros(BUCKETS), 0.0, 0.0, -4.0 if not len(toxic) or not toxic.max() else 4.0, span)
+    bucket, word = subwords(list(vocabulary))
+    n, per_word = len(vocabulary), 1.0 / np.bincount(word)
+    spans, owner = _spans(docs, span)
     real = spans >= 0
-    weight = real / real.sum(axis=1, keepdims=True)
-    filled = np.where(real, spans, 0)
+    per_span = 1.0 / real.sum(axis=1)
+    filled = np.where(real, spans, n)  # a word of no weight
     first = np.searchsorted(owner, np.arange(len(docs)))
     label = toxic[owner] == 1
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
-    soft, bias, state = rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2), {}
+    table = rng.normal(0, 0.1, (DIMENSIONS, BUCKETS))
+    soft, bias, state = rng.normal(0, 0.1, (2, DIMENSIONS)), np.zeros(2), {}
     share = 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (~label).sum())
     for step in range(1, steps + 1):
-        words = _scatter(word_of, table, gram_of, None, len(grams)) * per_word[:, None]
-        mean = (words[filled] * weight[:, :, None]).sum(axis=1)
-        logits = mean @ soft + bias
-        p = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -30, 30)))
+        words = np.concatenate([_spread(word, table, bucket, n) * per_word, np.zeros((DIMENSIONS, 1))], axis=1)
+        mean = sum(words[:, filled[:, j]] for j in range(span)) * per_span
+        logits = np.einsum("cd,dn->cn", soft, mean) + bias[:, None]
+        p = 1 / (1 + np.exp(np.clip(logits[0] - logits[1], -30, 30)))
         # of a toxic document the worst spans share one unit of weight; first all do
         top = np.maximum.reduceat(p, first)[owner]
         chosen = label & ((p >= 0.9 * top) if step > 10 else np.ones(len(p), dtype=bool))
         count = np.bincount(owner[chosen], minlength=len(docs))
-        w = np.where(chosen, share[0] / np.maximum(count[owner], 1), np.where(label, 0.0, share[1]))
-        error = w * (p - chosen)
-        both = np.stack([-error, error], axis=1)
-        by_span = both @ soft.T
-        by_word = _scatter(filled.ravel(), by_span, np.repeat(np.arange(len(filled)), SPAN), weight.ravel(), len(grams)) * per_word[:, None]
-        by_gram = _scatter(gram_of, by_word, word_of, None, BUCKETS)
-        _adam(state, "soft", soft, mean.T @ both + 1e-4 * soft, step, rate)
-        _adam(state, "bias", bias, both.sum(axis=0), step, rate)
-        _adam(state, "table", table, by_gram, step, rate)
-    line = table @ (soft[:, 1] - soft[:, 0])
-    flat, edge = np.bincount(word_of, line[gram_of], len(grams)) * per_word, float(bias[1] - bias[0])
-    worst = np.array([span_means(flat[d]).max() + edge for d in docs])
-    slope, offset = _calibrate(worst, toxic == 1, prevalence)
-    return Model(line, edge, slope, offset)
+        error = np.where(chosen, share[0] / np.maximum(count[owner], 1), np.where(label, 0.0, share[1])) * (p - chosen)
+        both = np.stack([-error, error])
+        by_span = np.einsum("cd,cn->dn", soft, both) * per_span
+        by_word = sum(_spread(filled[:, j], by_span, slice(None), n + 1) for j in range(span))[:, :n] * per_word
+        _adam(state, "soft", soft, np.einsum("cn,dn->cd", both, mean) + 1e-4 * soft, step, rate)
+        _adam(state, "bias", bias, both.sum(axis=1), step, rate)
+        _adam(state, "table", table, _spread(bucket, by_word, word, BUCKETS), step, rate)
+    line, edge = (soft[1] - soft[0]) @ table, float(bias[1] - bias[0])
+    flat = np.bincount(word, line[bucket], n) * per_word
+    worst = span_means(flat[np.concatenate(docs)], np.append(0, np.cumsum([len(d) for d in docs])), span) + edge
+    return Model(line, edge, *_calibrate(worst, toxic == 1, prevalence), span)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, prevalence: float) -> tuple[float, float]:
@@ -219,56 +241,38 @@ def _calibrate(x: np.ndarray, y: np.ndarray, prevalence: float) -> tuple[float,
     return float(a / scale), float(b - a * centre / scale)
 
 
-def _score(model: Model, most: int = 300_000, at_once: int = 100_000):
-    """Worst span of each text. Texts are taken together up to ``at_once`` words, and their words not yet known scored at once."""
-
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
-
-        def worst(texts: list[list[bytes]]) -> list[float]:
-            fresh = {w for words in texts for w in words if w not in known}
-            if len(known) + len(fresh) > most:
-                known.clear()
-                fresh = {w for words in texts for w in words}
-            every = list(fresh)
-            for i in range(0, len(every), at_once):
-                known.update(zip(every[i : i + at_once], model.words(every[i : i + at_once]), strict=True))
-            values = (np.fromiter(map(known.__getitem__, words), np.float64, len(words)) for words in texts)
-            return [span_means(v).max() if len(v) else -30.0 for v in values]
-
         for batch in batches:
-            out, held, n = [], [], 0
-            for t in batch.column("text"):
-                held.append((t.as_py() or "").encode().lower().split())
-                n += len(held[-1])
-                if n >= at_once:
-                    out += worst(held)
-                    held, n = [], 0
-            out += worst(held)
-            logit = model.slope * (np.array(out) + model.bias) + model.offset
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], names=["doc_id", "score"])
+            for b in blocks(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.rows.start, b.rows.stop - b.rows.start), pa.array(model.score(model.block(b)))], names=["doc_id", "score"])
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, harmless_rows: int = HARMLESS_ROWS, held_out_of: int = 5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, harmless_rows: int = HARMLESS_ROWS, training_chars: int = TRAINING_CHARS, span: int = SPAN, held_out_of: int = 5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each row of ``docs(doc_id, text)``.
 
-    Learns from ``labels(doc_id, toxic)``: from the ``toxic_rows`` and ``harmless_rows`` labelled ids of least hash whose
-    crc32 of the id as text is not divisible by ``held_out_of`` (a fixed bound on what is gathered). The share of toxic
-    rows among all labels sets the calibration. Scores all rows.
+    Learns from ``labels(doc_id, toxic)``: of the ids whose crc32 of the id as text is not divisible by ``held_out_of`` and that
+    have a text of at most ``training_chars`` characters, the ``toxic_rows`` and ``harmless_rows`` of least hash, one text
+    each (a fixed bound on what is gathered). The share of toxic rows among the labels of all training ids sets the calibration.
+    Every whole text is scored, of any length.
 
     A null or empty text gets the lowest score; a row without an id is scored and not held out; repeated rows are scored
-    each; without labels of both classes all scores are on the side of the class there is, or low; an empty table gives an
-    empty result; extra columns are ignored.
+    each; of an id with several texts the least is learned from, of an id with both labels the toxic one counts; without labels of
+    both classes all scores are on the side of the class there is, or low; an empty table gives an empty result; extra columns are
+    ignored.
     """
     fold = lambda c: F.pmod(F.crc32(F.col(c).cast("string")), F.lit(held_out_of)) == 0
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~fold("doc_id"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, harmless_rows), (1, toxic_rows))]
     prevalence = usable.agg(F.avg("toxic")).first()[0] or 0.0
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").orderBy("doc_id", "text").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").toPandas()
-    model = train(sample["text"].tolist(), sample["toxic"].to_numpy(int), prevalence)
+    fit = texts.filter(F.length("text").between(1, training_chars)).select("doc_id", "text")
+    fit = fit.select("doc_id").distinct().join(usable, "doc_id")
+    picked = [fit.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, harmless_rows), (1, toxic_rows))]
+    sample = texts.filter(F.length("text").between(1, training_chars)).join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # at most the rows of the bound
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").toPandas()
+    model = train(sample["text"].tolist(), sample["toxic"].to_numpy(int), prevalence, span)
     scored = texts.mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
