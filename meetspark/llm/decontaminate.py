@@ -5,9 +5,10 @@ and in documents alike, so any shared window shares its fingerprint and is found
 the whole windows are compared word by word. Items shorter than a window are one window of their own length and go the
 same way with that length.
 
-The benchmark's fingerprints are counted first. Up to ``FILTER_LIMIT`` of them also go into the scan as a set filter and the
-join with them is a broadcast, so documents are not shuffled at all. Beyond it, the fingerprints kept of each document are
-joined by a shuffle, and the documents that meet any are read again.
+The benchmark's fingerprints also set bits of a filter, ``BITS_PER_PRINT`` for each and ``MOST_BITS`` at most (1 MB, a literal of
+the plan). One scan of the documents computes the fingerprints of all window lengths and keeps the windows whose bit is
+set; those are joined with the benchmark's windows by their words. The filter only ever lets through more, so results are
+exact whatever the benchmark's size: a larger one sends more windows to the join.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .storage import saved
 
 WINDOW = 10
 GRAM = 4
-FILTER_LIMIT = 5_000
+BITS_PER_PRINT, MOST_BITS = 16, 1 << 23
 _NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,23 +55,15 @@ def window_prints(words: Column, window: int, gram: int) -> Column:
     return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: let(grams(h), least))
 
 
-def _prints(length: int, gram: int):
-    return lambda w: window_prints(w, length, gram)
+def _met(lengths: list[int], gram: int, bits: Column, size: int):
+    """Of a word array: how many words it has, and the windows of each length whose fingerprint's bit is set."""
 
+    def windows(w: Column, length: int) -> Column:
+        held = lambda x: F.getbit(F.get(bits, F.shiftright(x.bitwiseAND(F.lit(size - 1)), 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
+        at = F.filter(F.transform(window_prints(w, length, gram), lambda x, i: F.when(held(x), i)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.array_join(F.slice(w, i + 1, F.lit(length)), " ").alias("key")))
 
-def _seen(length: int, gram: int, few: list[int]):
-    """Of a word array: its size, and the windows whose fingerprint is one of ``few``."""
-
-    def body(w: Column) -> Column:
-        at = F.filter(F.transform(window_prints(w, length, gram), lambda x, i: F.when(x.isin(few), i)), lambda i: i.isNotNull())
-        return F.struct(F.size(w).cast("long").alias("n"), F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, F.lit(length)), " ").alias("seen"))).alias("met"))
-
-    return body
-
-
-def _keyed(length: int, gram: int):
-    """Of a word array: fingerprint, place and words of every window."""
-    return lambda w: F.transform(window_prints(w, length, gram), lambda x, i: F.struct(x.alias("p"), i.alias("at"), F.array_join(F.slice(w, i + 1, F.lit(length)), " ").alias("key")))
+    return lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(*(windows(w, n) for n in lengths)).alias("met"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -91,38 +84,46 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GR
     return saved(out.distinct(), "windows")
 
 
-def contaminated_words(docs: DataFrame, windows: DataFrame, gram: int = GRAM, filter_limit: int = FILTER_LIMIT) -> DataFrame:
-    """Per row of ``docs(uid, text)``: ``uid, n_words`` and the hits ``at, length, key``, or nulls for a row without hits."""
-    kinds = saved(windows.select("length", "print", "key").distinct(), "kinds")
-    lengths = [r[0] for r in kinds.select("length").distinct().orderBy(F.desc("length")).collect()]
+def _filter(windows: DataFrame, most_bits: int) -> tuple[Column, int]:
+    """The bits of all fingerprints as an array of 64-bit words, and their number, a power of two."""
+    n = windows.select("print").distinct().count()
+    size = min(most_bits, max(64, 1 << (BITS_PER_PRINT * n - 1).bit_length()))
+    slot = F.col("print").bitwiseAND(F.lit(size - 1))
+    words = windows.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(print & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    held = {r["w"]: r["b"] for r in words.collect()}  # at most most_bits / 64 rows
+    return F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(size // 64))), ",").cast("array<bigint>"), size
+
+
+def scanned(docs: DataFrame, windows: DataFrame, gram: int = GRAM, most_bits: int = MOST_BITS) -> DataFrame:
+    """The columns of ``docs(..., text)`` but ``text``, its ``n_words``, ``met`` (windows that the filter lets through) and ``uid``, a number
+    of the row."""
     words = split_words(lower_ascii(F.col("text")))
-    counts = docs.select("uid", F.size(words).cast("long").alias("n_words"))
-    none = [F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("string").alias("key")]
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most a window's words
+    others = [c for c in docs.columns if c != "text"]
     if not lengths:
-        return counts.select("*", *none)
-    out = None
-    for length in lengths:
-        own = kinds.filter(F.col("length") == length).select(F.col("print").alias("p"), "key")
-        prints = own.select("p").distinct()
-        few = [r[0] for r in prints.limit(filter_limit + 1).collect()]
-        if len(few) <= filter_limit:
-            spread = docs.select("uid", let(words, _seen(length, gram, few)).alias("x")).select("uid", F.col("x.n").alias("n_words"), F.explode_outer("x.met").alias("m")).select("uid", "n_words", "m.at", "m.seen")
-            hits = spread.join(F.broadcast(own.select("key").distinct()), F.col("seen") == F.col("key"), "left")  # at most filter_limit prints
-            found = hits.select("uid", "n_words", F.when(F.col("key").isNotNull(), F.col("at")).alias("at"), F.when(F.col("key").isNotNull(), F.lit(length)).alias("length"), "key")
-        else:
-            kept = docs.select("uid", F.explode(F.array_distinct(let(words, _prints(length, gram)))).alias("p"))
-            near = kept.join(prints, "p", "left_semi").select("uid").distinct()
-            again = docs.join(near.hint("shuffle_hash"), "uid")
-            spread = again.select("uid", F.explode(let(words, _keyed(length, gram))).alias("x"))
-            hits = spread.select("uid", "x.p", "x.at", "x.key").join(prints, "p", "left_semi").join(own.select("key").distinct(), "key")
-            found = hits.join(counts, "uid").select("uid", "n_words", "at", F.lit(length).alias("length"), "key")
-            if out is None:
-                found = found.unionByName(counts.select("*", *none))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, filter_limit: int = FILTER_LIMIT) -> DataFrame:
+        out = docs.select(*others, F.size(words).cast("long").alias("n_words"), F.lit(None).cast("array<struct<at:int,length:int,key:string>>").alias("met"))
+    else:
+        out = docs.select(*others, let(words, _met(lengths, gram, *_filter(windows, most_bits))).alias("x")).select(*others, F.col("x.n").alias("n_words"), F.col("x.met").alias("met"))
+    return saved(out.withColumn("uid", F.monotonically_increasing_id()), "scanned")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, most_bits: int) -> DataFrame:
+    """``doc_id, h`` (hash of the text) and the results of each row of ``docs``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text"))
+    windows = benchmark_windows(benchmark.filter("item_id IS NOT NULL"), window, gram)
+    scan = scanned(rows, windows, gram, most_bits)
+    kinds = windows.select("length", "key").distinct()
+    hits = saved(scan.select("uid", F.explode("met").alias("m")).select("uid", "m.*").join(kinds, ["length", "key"]), "hits")
+    covered = hits.select("uid", F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("at"))
+    covered = covered.groupBy("uid").agg(F.countDistinct("at").alias("n_hit"))
+    items = hits.select("uid", "key").distinct().join(windows.select("key", F.col("item_id").cast("string").alias("item")).distinct(), "key")
+    items = items.select("uid", "item").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+    each = scan.select("doc_id", "h", "uid", "n_words").join(covered, "uid", "left").join(items, "uid", "left")
+    none = F.array().cast("array<string>")
+    return each.select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, most_bits: int = MOST_BITS) -> DataFrame:
     """Words of documents inside windows of benchmark items, and those items.
 
     ``docs(doc_id, text)``, ``benchmark(item_id, text)``. Texts are lower-cased in A-Z and split into words. A window is
@@ -132,27 +133,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
     Edge cases: a null or empty text has no words and is clean; items without words or id match nothing; rows that repeat a
     doc_id give one row each, judged by its own text; rows without an id are judged too; an empty benchmark leaves all
-    documents clean; extra columns are ignored.
+    documents clean; an empty table gives an empty result; texts of any length are read whole; extra columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = rows.select("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h")).alias("uid"), "text")
-    windows = benchmark_windows(benchmark.filter("item_id IS NOT NULL"), window, gram)
-    found = contaminated_words(rows.select("uid", "text"), windows, gram, filter_limit)
-    per = saved(found.groupBy("uid", "n_words", "length", "key").agg(F.collect_set("at").alias("places")), "hits")
-    hits = per.filter("key IS NOT NULL")
-    covered = hits.select("uid", F.explode("places").alias("at"), "length").select("uid", F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("at"))
-    covered = covered.groupBy("uid").agg(F.countDistinct("at").alias("n_hit"))
-    items = hits.select("uid", "key").join(windows.select("key", F.col("item_id").cast("string").alias("item")).distinct(), "key")
-    items = items.select("uid", "item").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
-    words = per.groupBy("uid").agg(F.max("n_words").alias("n_words"))
-    each = rows.select("doc_id", "uid")
-    for found in (words, covered, items):
-        each = each.join(found.withColumnRenamed("uid", "own"), each["uid"].eqNullSafe(F.col("own")), "left").drop("own")
-    each = each.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
-    return each.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+    out = _judged(docs, benchmark, window, gram, most_bits)
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without a word inside a benchmark window; columns stay as they are."""
-    dirty = decontaminate(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("__dirty"), F.lit(1).alias("__hit")).distinct()
-    return docs.join(dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["__dirty"]), "left").filter("__hit IS NULL").drop("__dirty", "__hit")
+    """The rows of ``docs`` without a word inside a benchmark window; columns stay as they are.
+
+    Each row is judged by its own text: of rows that repeat an id, or have none, the clean ones stay. A null or empty text is
+    clean; an empty table gives an empty result; columns beside ``doc_id`` and ``text`` may have any name.
+    """
+    dirty = _judged(docs, benchmark, window, GRAM, MOST_BITS).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    return docs.join(dirty, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")

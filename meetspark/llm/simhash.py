@@ -51,36 +51,43 @@ def _fingerprints(width: int):
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Links ``a < b`` between different fingerprints at most two bits apart, enough to join every component."""
+    """Links ``a < b`` between different fingerprints at most two bits apart, enough to join every component.
+
+    The fingerprints are dealt out anew first: each becomes 65 rows, and few small files would be few large tasks.
+    """
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit(-(1 << 63) if i == 63 else 1 << i).cast("long") for i in range(BITS)))
-    variants = prints.select("print", F.explode(flips).alias("flip")).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
+    variants = prints.repartition(n).select("print", F.explode(flips).alias("flip")).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
     met = variants.groupBy("variant").agg(F.collect_set("print").alias("near")).filter(F.size("near") > 1)
     pairs = met.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).filter("a < b").distinct()
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id, print``: groups of documents linked by fingerprints two or fewer bits apart.
+    """``doc_id, fingerprint, component_id, print, h``: groups of documents linked by fingerprints two or fewer bits apart.
 
     Texts are lower-cased in A-Z; words are ``[^\\x20\\x09-\\x0D]+``; shingles have ``width`` words, repeats count; a text
     of fewer words is one shingle; a text without words (null, empty) has fingerprint zero and is linked like any other.
-    ``component_id`` is the smallest id reachable. One row for each row of ``docs``; extra columns are ignored. A row
-    without an id is returned and gets its component's smallest id. An empty table gives an empty result.
+    ``component_id`` is the smallest id reachable; ``h`` is a hash of the text. One row for each row of ``docs``; extra columns are
+    ignored, whatever their names; texts of any length are read whole. A row without an id is returned and gets its component's
+    smallest id; repeated rows and ids are rows like any other. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = saved(texts.mapInArrow(_fingerprints(width), "doc_id long, print long"), "prints")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    prints = saved(texts.mapInArrow(_fingerprints(width), "doc_id long, h long, print long"), "prints")
     firsts = saved(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "firsts")
     member = components(links(firsts.select("print")))
     placed = saved(firsts.join(member.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("component", "print").alias("component")), "placed")
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = saved(placed.join(smallest, "component").select("print", "component_id"), "labels")
-    return prints.join(labels, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", "print")
+    return prints.join(labels, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", "print", "h")
 
 
 def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     """The rows of ``docs``, one document of each group: that with the smallest ``doc_id``. Columns stay as they are.
 
-    A row without an id stays; rows that repeat the kept id stay together.
+    A document is an id with its text: of rows that repeat the kept id those with its text or another text of its group
+    stay, those of other groups are judged there. A row without an id stays. An empty table gives an empty result.
     """
-    keep = simhash_groups(docs, width).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__kept"], "left").filter(F.col("__kept").isNotNull() | docs["doc_id"].isNull()).drop("__kept")
+    keep = simhash_groups(docs, width).filter("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    kept = docs.join(keep, (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
+    return kept.filter(F.col("__id").isNotNull() | docs["doc_id"].isNull()).select(*(docs[c] for c in docs.columns))
