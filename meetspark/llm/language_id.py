@@ -20,16 +20,27 @@ from pyspark.sql import functions as F
 
 from .quality import buckets
 from .storage import saved
-from .words import blocks
+from .words import Block, blocks
 
 BUCKET_BITS = 15
 GRAM_BYTES = 3
-MAX_LANGUAGES = 64
+LANGUAGES_AT_ONCE = 64
 EFFECTIVE_GRAMS = 40
 RIGHT_MARKUP, RIGHT_ADDRESS = 0.9, 0.8
 HOST_WEIGHT, SUFFIX_WEIGHT = 10.0, 100.0
 MIN_POSTERIOR = 0.5
 _LETTER = "\\p{L}"
+_UNIT = 1 << 20  # log probabilities are added up as whole numbers, so sums do not depend on the order
+
+
+def _grams(b: Block, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the n-gram from each byte of a block, and whether it lies within one text."""
+    found = buckets(b.data, bits, GRAM_BYTES)
+    inside = np.ones(len(found), dtype=bool)
+    for i in range(1, GRAM_BYTES):
+        at = b.offsets[1:-1] - i
+        inside[at[(at >= 0) & (at < len(found))]] = False
+    return found, inside
 
 
 def _counts(languages: list[str], bits: int):
@@ -40,8 +51,8 @@ def _counts(languages: list[str], bits: int):
         for batch in batches:
             lang = np.array([index.get(x, -1) for x in batch.column("declared").to_pylist()])
             for b in blocks(batch.column("text")):
-                found = buckets(b.data, bits, GRAM_BYTES)
-                own = np.repeat(lang[b.rows], np.diff(b.offsets))[: len(found)]
+                found, inside = _grams(b, bits)
+                own = np.where(inside, np.repeat(lang[b.rows], np.diff(b.offsets))[: len(found)], -1)
                 for i in np.unique(own[own >= 0]):
                     counts[i] += np.bincount(found[own == i], minlength=1 << bits)
         lang, bucket = np.nonzero(counts)
@@ -50,81 +61,123 @@ def _counts(languages: list[str], bits: int):
     return run
 
 
+def log_probabilities(rows: DataFrame, languages: list[str], bits: int) -> np.ndarray:
+    """Of each of at most ``LANGUAGES_AT_ONCE`` languages the log probability of each bucket, in units of ``1 / _UNIT``."""
+    found = rows.filter(F.col("declared").isin(languages)).select("declared", "text").mapInArrow(_counts(languages, bits), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = np.full((len(languages), 1 << bits), 0.1)
+    table[found["lang"].to_numpy(int), found["bucket"].to_numpy(int)] += found["n"].to_numpy(float)
+    return np.rint((np.log(table) - np.log(table.sum(axis=1, keepdims=True))) * _UNIT).astype(np.int32)
+
+
 def _means(table: np.ndarray, bits: int):
-    """Mean log likelihood of each row's n-grams under each language."""
+    """Adds to each row's ``means`` the mean log likelihood of its n-grams under each language of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, grams = np.zeros((len(batch), table.shape[0])), np.zeros(len(batch), dtype=np.int64)
+            out, grams = np.zeros((len(batch), len(table))), np.zeros(len(batch), dtype=np.int64)
             for b in blocks(batch.column("text"), block_bytes=1 << 19):
-                found = buckets(b.data, bits, GRAM_BYTES)
+                found, _ = _grams(b, bits)
                 n = np.maximum(np.diff(b.offsets) - GRAM_BYTES + 1, 0)
                 begin = np.minimum(b.offsets[:-1], len(found))
                 end = np.minimum(begin + n, len(found))
-                for i in range(table.shape[0]):
-                    total = np.concatenate([[0.0], np.cumsum(table[i][found])])
-                    out[b.rows, i] = (total[end] - total[begin]) / np.maximum(n, 1)
+                for i, line in enumerate(table):
+                    total = np.concatenate([[0], np.cumsum(line[found], dtype=np.int64)])
+                    out[b.rows, i] = (total[end] - total[begin]) / np.maximum(n, 1) / _UNIT
                 grams[b.rows] = n
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(list(out), pa.list_(pa.float64())), pa.array(grams)], names=["uid", "means", "grams"])
+            before = _dense(batch.column("means"), len(batch))
+            kept = [c for c in batch.schema.names if c not in ("means", "grams")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(np.hstack([before, out])), pa.array(grams)], names=[*kept, "means", "grams"])
 
     return run
 
 
-def _add(values: list[Column]) -> Column:
-    out = values[0]
-    for v in values[1:]:
-        out = out + v
+def _lists(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+
+def _dense(lists: pa.Array, n: int) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return np.asarray(lists.flatten()).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def _sparse(column: pa.Array, shape: tuple[int, int]) -> np.ndarray:
+    """A column of lists of (language, count) as a matrix."""
+    out = np.zeros(shape)
+    size = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+    pairs = column.flatten()
+    if len(pairs):
+        out[np.repeat(np.arange(shape[0]), size), np.asarray(pairs.field(0))] = np.asarray(pairs.field(1))
     return out
 
 
-def identify(rows: DataFrame, bits: int = BUCKET_BITS, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
+def _fused(languages: list[str], corpus: np.ndarray):
+    """Language, posterior and language by text alone of each row."""
+    index, n = {x: i for i, x in enumerate(languages)}, len(languages)
+
+    def seen(codes: list[str | None], right: float) -> np.ndarray:
+        out = np.full((len(codes), n), np.log((1 - right) / max(1, n - 1)))
+        for i, c in enumerate(codes):
+            if c is None:
+                out[i] = 0
+            elif c in index:
+                out[i, index[c]] = np.log(right)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 19) // n)
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                shape = len(part), n
+                grams, guess = np.asarray(part.column("grams")), np.asarray(part.column("guess"))
+                letters = guess >= 0
+                own = np.zeros(shape)
+                own[np.flatnonzero(letters), guess[letters]] = 1
+                in_suffix, in_host = (_sparse(part.column(c), shape) - own for c in ("in_suffix", "in_host"))
+                suffix = (in_suffix + SUFFIX_WEIGHT * corpus) / (in_suffix.sum(axis=1, keepdims=True) + SUFFIX_WEIGHT)
+                host = (in_host + HOST_WEIGHT * suffix) / (in_host.sum(axis=1, keepdims=True) + HOST_WEIGHT)
+                score = _dense(part.column("means"), len(part)) * np.minimum(grams, EFFECTIVE_GRAMS)[:, None]
+                score += seen(part.column("declared").to_pylist(), RIGHT_MARKUP) + seen(part.column("address").to_pylist(), RIGHT_ADDRESS) + np.log(host)
+                best = score.argmax(axis=1)
+                sure = np.round(1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1), 6)
+                name = lambda of, letters=letters: pa.array([languages[i] if x else "und" for i, x in zip(of.tolist(), letters.tolist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("uid"), name(best), pa.array(np.where(letters, sure, 0.0)), name(guess)], names=["uid", "language", "posterior", "text_language"])
+
+    return run
+
+
+def identify(rows: DataFrame, bits: int = BUCKET_BITS, min_posterior: float = MIN_POSTERIOR, at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
     """``uid, language, posterior, text_language, accepted`` of ``rows(uid, text, declared, address, host, suffix)``.
 
     ``uid`` is unique; ``declared`` and ``address`` are language codes or null (no evidence); ``host`` and ``suffix`` may be
-    null (one group of their own). Languages are the ``MAX_LANGUAGES`` declared most often. A row is accepted if its text has
+    null (one group of their own). Every declared language takes part: models are fitted and texts scored ``at_once`` languages at
+    a time, which bounds the driver's and the tasks' memory, and further languages cost further passes. A row is accepted if its text has
     a letter and its best language a posterior of ``min_posterior`` or more; a text without a letter (null, empty) is ``und``
     with posterior 0. Ties go to the first language by name. If nothing is declared at all, every row is ``und``.
     """
-    declared = rows.filter("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES)
-    languages = sorted(r[0] for r in declared.collect())
+    languages = sorted(r[0] for r in rows.filter("declared IS NOT NULL").select("declared").distinct().collect())  # codes of two or three letters
     if not languages:
         return rows.select("uid", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_language"), F.lit(False).alias("accepted"))
-    n = len(languages)
-    found = rows.select("declared", "text").mapInArrow(_counts(languages, bits), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((n, 1 << bits), 0.1)
-    table[found["lang"].to_numpy(int), found["bucket"].to_numpy(int)] += found["n"].to_numpy(float)
-    table = np.log(table) - np.log(table.sum(axis=1, keepdims=True))
     kind = rows.schema["uid"].dataType.simpleString()
-    means = rows.select("uid", "text").mapInArrow(_means(table, bits), f"uid {kind}, means array<double>, grams long")
-    facts = rows.select(F.col("uid").alias("own"), F.coalesce(F.col("text").rlike(_LETTER), F.lit(False)).alias("letters"), "declared", "address", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"))
-    known = means.join(facts, F.col("uid") == F.col("own")).drop("own")
-    best = F.array_max("means")
-    known = known.withColumn("guess", F.when(F.col("letters"), F.array_position("means", best).cast("int") - 1).otherwise(-1))
-    known = saved(known, "evidence")
-    # counts of looks: corpus, suffix within it, host within the suffix
-    looks = [F.count(F.when(F.col("guess") == i, 1)).alias(f"l{i}") for i in range(n)]
-    every = known.agg(*looks).first()
-    total = sum(every)
-    corpus = [(x + 1.0) / (total + n) for x in every]
-    by_suffix = known.groupBy("suffix").agg(*looks).select("suffix", F.array(*(f"l{i}" for i in range(n))).alias("in_suffix"))
-    by_host = known.groupBy("host", "suffix").agg(*looks).select("host", "suffix", F.array(*(f"l{i}" for i in range(n))).alias("in_host"))
-    priors = saved(by_host.join(by_suffix, "suffix"), "priors")
-    placed = known.join(priors, ["host", "suffix"])
-    scores = []
-    sums = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    placed = placed.withColumn("n_suffix", sums("in_suffix")).withColumn("n_host", sums("in_host"))
-    one = F.when(F.col("guess") >= 0, 1).otherwise(0)
-    for i, name in enumerate(languages):
-        own = F.when(F.col("guess") == i, 1).otherwise(0)
-        suffix = (F.col("in_suffix")[i] - own + SUFFIX_WEIGHT * corpus[i]) / (F.col("n_suffix") - one + SUFFIX_WEIGHT)
-        host = (F.col("in_host")[i] - own + HOST_WEIGHT * suffix) / (F.col("n_host") - one + HOST_WEIGHT)
-        seen = lambda c, right, name=name: F.when(F.col(c).isNull(), 0.0).when(F.col(c) == name, float(np.log(right))).otherwise(float(np.log((1 - right) / max(1, n - 1))))
-        text = F.col("means")[i] * F.least(F.col("grams"), F.lit(EFFECTIVE_GRAMS))
-        scores.append(_add([text, seen("declared", RIGHT_MARKUP), seen("address", RIGHT_ADDRESS), F.log(host)]))
-    placed = placed.select("uid", "letters", "guess", F.array(*scores).alias("s")).withColumn("top", F.array_max("s"))
-    code = F.array(*(F.lit(x) for x in languages))
-    sure = 1.0 / F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    out = placed.select("uid", F.when(F.col("letters"), code[F.array_position("s", F.col("top")).cast("int") - 1]).otherwise("und").alias("language"), F.when(F.col("letters"), F.round(sure, 6)).otherwise(0.0).alias("posterior"), F.when(F.col("letters"), code[F.greatest(F.col("guess"), F.lit(0))]).otherwise("und").alias("text_language"))
+    letters = F.coalesce(F.col("text").rlike(_LETTER), F.lit(False))
+    now = rows.select("uid", letters.alias("letters"), "declared", "address", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"), "text", F.array().cast("array<double>").alias("means"), F.lit(0).cast("long").alias("grams"))
+    shape = f"uid {kind}, letters boolean, declared string, address string, host string, suffix string, text string, means array<double>, grams long"
+    for i in range(0, len(languages), at_once):
+        now = now.mapInArrow(_means(log_probabilities(rows, languages[i : i + at_once], bits), bits), shape)
+        if i + at_once < len(languages):
+            now = saved(now, "means")
+    guess = F.when(F.col("letters"), F.array_position("means", F.array_max("means")).cast("int") - 1).otherwise(-1)
+    known = saved(now.drop("text").withColumn("guess", guess), "evidence")
+    # how texts look: in the corpus, in the suffix and in the host
+    looks = saved(known.filter("guess >= 0").groupBy("host", "suffix", "guess").agg(F.count("*").alias("n")), "looks")
+    every = {r["guess"]: r["n"] for r in looks.groupBy("guess").agg(F.sum("n").alias("n")).collect()}
+    corpus = (np.array([every.get(i, 0) for i in range(len(languages))]) + 1.0) / (sum(every.values()) + len(languages))
+    listed = lambda name: F.collect_list(F.struct("guess", "n")).alias(name)  # noqa: E731  one entry for each language
+    by_suffix = looks.groupBy("suffix", "guess").agg(F.sum("n").alias("n")).groupBy("suffix").agg(listed("in_suffix"))
+    priors = saved(looks.groupBy("host", "suffix").agg(listed("in_host")).join(by_suffix, "suffix"), "priors")
+    placed = known.join(priors, ["host", "suffix"], "left").select("uid", "guess", "means", "grams", "declared", "address", "in_host", "in_suffix")
+    out = placed.mapInArrow(_fused(languages, corpus), f"uid {kind}, language string, posterior double, text_language string")
     return out.withColumn("accepted", F.col("posterior") >= min_posterior)
 
 
@@ -136,15 +189,18 @@ def primary(code: Column) -> Column:
 def identify_pages(pages: DataFrame) -> DataFrame:
     """Language of each row of ``pages(page_id, url, html)``: ``page_id, url, language, posterior, text_language, accepted``.
 
-    Text is the html without scripts, styles, comments and tags. Null html has no text; null or odd urls give no address
-    evidence and share one host group; repeated rows are judged each; an empty table gives an empty result.
+    Text is the html without scripts, styles, comments and tags; the declared language is that of the first ``<html lang>`` outside
+    comments, wherever it stands. Null html has no text; null or odd urls give no address evidence and share one host group;
+    repeated rows are judged each; an empty table gives an empty result; pages of any length are read whole; extra columns are
+    ignored, whatever their names.
     """
-    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?(</\1\s*>|\z)|<!--.*?(-->|\z)|<[^>]*>|&\w+;", " ")
+    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?(</\1\s*>|\z)|<!--.*?(-->|\z)|<[^<>]*>|&\w+;", " ")
+    seen = F.regexp_replace("html", r"(?s)<!--.*?(-->|\z)", " ")
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     segment = F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[/?#]|$)", 1), F.lit(""))
     suffix = F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})$", 1), F.lit(""))
     country = F.when(F.length(suffix) == 2, suffix)
-    rows = pages.select("page_id", "url", bare.alias("text"), primary(F.regexp_extract("html", r"(?is)^.{0,2000}?<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1)).alias("declared"), F.coalesce(segment, country).alias("address"), host.alias("host"), suffix.alias("suffix"))
+    rows = pages.select("page_id", "url", bare.alias("text"), primary(F.regexp_extract(seen, r"(?i)<html\b[^<>]*?[\s\"'](?:xml:)?lang\s*=\s*[\"']?([A-Za-z_-]+)", 1)).alias("declared"), F.coalesce(segment, country).alias("address"), host.alias("host"), suffix.alias("suffix"))
     rows = saved(rows.withColumn("uid", F.monotonically_increasing_id()), "bare")
     found = identify(rows.select("uid", "text", "declared", "address", "host", "suffix"))
     return rows.select("uid", "page_id", "url").join(found, "uid").drop("uid")
@@ -153,7 +209,9 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs(text, lang, source, ...)`` whose language is accepted; columns stay as they are.
 
-    ``lang`` is the declared language and ``source`` the host; documents have no address. Nulls are no evidence.
+    ``lang`` is the declared language and ``source`` the host; documents have no address. Nulls are no evidence; null, empty and
+    letterless texts are not accepted; each row is judged for itself, so repeated rows and ids stay as they are; an empty table
+    gives an empty result.
     """
     rows = saved(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
     facts = rows.select("uid", F.col("row.text").alias("text"), primary(F.col("row.lang")).alias("declared"), F.lit(None).cast("string").alias("address"), F.col("row.source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"))

@@ -20,6 +20,7 @@ BUCKET_BITS = 16
 GRAM_BYTES = 4
 TRUSTED_ROWS = 20_000
 THRESHOLD = -0.3
+_UNIT = 1 << 20  # log ratios are added up as whole numbers, so a score does not depend on the texts read together
 _SYMBOLS = ~separators(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 
 
@@ -97,6 +98,8 @@ def _dup_lines(text: bytes) -> int:
 
 
 def _rules(ratio: np.ndarray, bits: int):
+    whole = np.rint(ratio * _UNIT).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column("text"), block_bytes=BLOCK_BYTES // 2):
@@ -106,14 +109,14 @@ def _rules(ratio: np.ndarray, bits: int):
                 inside = np.cumsum(word[:-1], dtype=np.int8).astype(bool)
                 chars = _sums(inside & ((b.data & 0xC0) != 0x80), b.offsets)
                 symbols = _sums(~_SYMBOLS[b.data], b.offsets)
-                value = np.zeros(len(b.data))
+                value = np.zeros(len(b.data), dtype=np.int64)
                 found = buckets(b.data, bits)
-                value[: len(found)] = ratio[found]
+                value[: len(found)] = whole[found]
                 for i in range(1, GRAM_BYTES):
                     at = b.offsets[1:] - i
                     value[at[at >= 0]] = 0
                 grams = np.maximum(np.diff(b.offsets) - GRAM_BYTES + 1, 0)
-                score = _sums(value, b.offsets) / np.maximum(grams, 1)
+                score = _sums(value, b.offsets) / _UNIT / np.maximum(grams, 1)
                 lines = [_dup_lines(b.text(i)) if len(b.data) else 0 for i in range(len(b.first) - 1)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.rows.start, b.rows.stop - b.rows.start), *(pa.array(np.asarray(x, dtype=np.int64)) for x in (np.diff(b.first), chars, symbols, lines, _repeats(b))), pa.array(score)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"])
 
@@ -127,8 +130,8 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, t
     multinomial is fitted on the ``trusted_rows`` trusted ids of least hash, a fixed bound; the raw one on all documents.
 
     A null or empty text has zero counts and fails the rules. A text shorter than an n-gram has score 0. Without trusted
-    texts every score is 0 and the rules alone decide. Rows without an id are scored; repeated rows are scored each; an
-    empty table gives an empty result; extra columns are ignored.
+    texts every score is 0 and the rules alone decide. Rows without an id are scored; repeated rows are scored each; a score
+    at the threshold is kept; an empty table gives an empty result; texts of any length are read whole; extra columns are ignored.
     """
     chosen = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows).withColumn("trusted", F.lit(True))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
