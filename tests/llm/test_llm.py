@@ -63,7 +63,8 @@ def random_docs(seed=1, n=40):
 
 
 def test_substring_dedup_equals_brute_force(spark):
-    rows = random_docs()
+    rng = random.Random(11)
+    rows = random_docs() + [(200 + i, " ".join(["a"] * rng.randint(0, 90) + ["x"] * (i % 2) + ["b", "c"] * rng.randint(0, 60) + ["a"] * rng.randint(0, 70))) for i in range(12)]
     for window, k in ((50, 12), (8, 3)):
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(docs(spark, rows), window, k).collect()}
         first = {}
@@ -79,11 +80,11 @@ def test_substring_dedup_equals_brute_force(spark):
             assert got[i] == (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
 
 
-@pytest.mark.parametrize("limit", [5000, 0])
-def test_decontaminate_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("most_bits", [1 << 23, 64])
+def test_decontaminate_equals_brute_force(spark, most_bits):
     rows = random_docs(2)
     bench = [(1, " ".join(rows[5][1].split()[3:30])), (2, rows[7][1].upper()[:60]), (3, "a1, A2"), (4, "..."), (11, None), (12, " ".join(rows[5][1].split()[3:15]))]
-    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), filter_limit=limit).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), most_bits=most_bits).collect()}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = collections.defaultdict(set)
     for i, t in bench:
@@ -198,6 +199,17 @@ def test_line_dedup_equals_brute_force(spark):
         assert got[i] == (len(lines) - len(kept), "\n".join(kept))
 
 
+def test_line_dedup_of_very_long_lines(spark):
+    """Two lines of 60,000 words that differ in one of them, and a third that lacks one: linear, and found."""
+    rng = random.Random(14)
+    line = [f"w{rng.randint(0, 9999)}" for _ in range(60_000)]
+    other, shorter, far = list(line), line[:40_000] + line[40_001:], list(line)
+    other[31_234] = "changed"
+    far[5], far[50_000] = "one", "two"
+    rows = [(i, " ".join(x)) for i, x in enumerate((line, other, shorter, far))]
+    assert [r.n_removed for r in line_dedup.line_dedup(docs(spark, rows)).orderBy("doc_id").collect()] == [0, 1, 1, 0]
+
+
 def test_licenses_find_phrases_and_templates(spark):
     text = "x\nLicensed under the Apache License, Version 2.0.\nCC-BY and cc by-nc"
     r = licenses.scan_licenses(docs(spark, [(1, text), (2, "apache licenses"), (3, "Subject to terms of the Mozilla Public License version 2.0 only")])).orderBy("doc_id").collect()
@@ -262,11 +274,69 @@ def test_toxicity_generalises_to_misspellings(spark):
     assert got[1000].predicted == 1 and got[1001].predicted == 0 and got[1002].predicted == 0
 
 
-def test_toxicity_scores_many_words_as_it_scores_one():
+def test_quality_equals_plain_loops(spark):
+    """Counts, n-gram log ratios and verdicts of odd texts."""
+    rng = random.Random(16)
+    some = ["the", "river", "runs", "x#y", "$$", "é—ü", "w|", "a&b<c>", "zz", "11"]
+    rows = [(i, "".join(rng.choice(some) + rng.choice([" ", " ", "\n", "\t ", "\n\n", "\u00a0"]) for _ in range(rng.randint(0, 160)))) for i in range(60)] + [(900, None), (901, ""), (902, "abc"), (903, "abcd")]
+    trusted = [i for i in range(0, 60, 4)]
+    got = {r.doc_id: r for r in quality.quality(docs(spark, rows), docs(spark, [(i, "") for i in trusted])).collect()}
+    bucket = lambda g: int.from_bytes(g, "big") * 0x9E3779B1 % 2**32 >> 16
+    grams = {i: [bucket(t[j : j + 4]) for j in range(len(t) - 3)] for i, t in ((i, (t or "").encode()) for i, t in rows)}
+    raw, good = collections.Counter(), collections.Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        good.update(g if i in trusted else [])
+    n_raw, n_good = sum(raw.values()) + 2**16, sum(good.values())
+    prior = 0.001 * n_good + 1
+    for i, t in rows:
+        w, lines = re.findall(r"[^\x20\x09-\x0D]+", t or ""), [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        shingles = collections.Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        repeat = {k for j in range(len(w) - 2) if shingles[tuple(w[j : j + 3])] > 1 for k in range(j, j + 3)}
+        base = lambda b: (raw[b] + 1) / n_raw
+        score = sum(np.log((good[b] + prior * base(b)) / (n_good + prior) / base(b)) for b in grams[i]) / max(1, len(grams[i]))
+        failed = len(w) < 50 or 100 * len(repeat) > 50 * len(w)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(repeat))
+        assert abs(r.score - score) < 1e-5 and r.base_failed == failed and r.kept == (not failed and r.score >= quality.THRESHOLD)
+    parts = {r.doc_id: r.score for r in quality.quality(docs(spark, rows).repartition(7), docs(spark, [(i, "") for i in trusted])).collect()}
+    assert parts == {i: r.score for i, r in got.items()}
+
+
+def plain_worst(model, text, span):
+    """Loops: mean bucket weight of each word, the largest mean of ``span`` words in a row."""
+    values = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        for part in toxicity.stretches(w):
+            bucket, _ = toxicity.subwords([part])
+            values.append(sum(model.buckets[i] for i in bucket.tolist()) / len(bucket))
+    if len(values) <= span:
+        return sum(values) / len(values) if values else float("-inf")
+    return max(sum(values[i : i + span]) / span for i in range(len(values) - span + 1))
+
+
+@pytest.mark.parametrize("span", [1, 3])
+def test_toxicity_scores_blocks_as_plain_loops_do(span):
     rng = random.Random(9)
-    model = toxicity.Model(np.random.default_rng(9).normal(size=toxicity.BUCKETS), 0.0, 1.0, 0.0)
-    words = [b"...", b"a", b"aaaaaaa", "ü".encode(), b"x" * 90] + ["".join(rng.choice("abAB.-é1") for _ in range(rng.randint(1, 12))).encode() for _ in range(2000)]
-    assert np.allclose(model.words(words), [model.word(w.decode()) for w in words], rtol=0, atol=1e-12) and model.words([]) == []
+    model = toxicity.Model(np.random.default_rng(9).normal(size=toxicity.BUCKETS), 0.0, 1.0, 0.0, span, most=300)
+    some = ["...", "a", "aaaaaaa", "ü", "ÉTÉ", "x" * 90, "語" * 300 + "。" + "文" * 90, "a-" * 60] + ["".join(rng.choice("abAB.-é1_") for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 12))) for _ in range(150)] + ["", None, " \n "]
+    got = np.concatenate([model.block(b) for b in words.blocks(pa.array(texts, pa.string()), block_bytes=2_000)])
+    assert np.allclose(got, [plain_worst(model, t or "", span) for t in texts], rtol=0, atol=1e-9)
+    grams, own = toxicity.subwords(["«Idiot!", "idiot", "Übel"])
+    assert sorted(grams[own == 0]) == sorted(grams[own == 1]) and len(grams[own == 2]) == 1 + 4 + 3 + 2
+
+
+def test_toxicity_never_reads_held_out_labels_or_texts_for_learning(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "maple", "candle"]) + str(rng.randint(0, 40)) for _ in range(30)) + " grubbling" * (i % 2)) for i in range(150)]
+    labels = [(i, 1, i % 2) for i in range(150)]
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    other = [(i, "nothing of the kind" if out(i) else t) for i, t in rows]
+    wrong = [(i, q, 1 - y if out(i) else y) for i, q, y in labels]
+    kind = "doc_id long, quality int, toxic int"
+    score = lambda r, y: {x.doc_id: x.score for x in toxicity.toxicity(docs(spark, r), spark.createDataFrame(y, kind)).collect() if not x.held_out}
+    assert score(rows, labels) == score(other, wrong)
 
 
 def test_toxicity_reads_runs_without_spaces_to_their_end(spark):
@@ -331,6 +401,63 @@ def test_html_and_language_of_awkward_pages(spark):
     assert language_id.identify_pages(df.limit(0)).collect() == []
 
 
+def plain_language(rows, bits=language_id.BUCKET_BITS):
+    """Loops over texts, n-grams and languages: ``language, posterior`` of rows (text, declared, address, host, suffix)."""
+    languages = sorted({r[1] for r in rows if r[1]})
+    bucket = lambda g: int.from_bytes(g, "big") * 0x9E3779B1 % 2**32 >> 32 - bits
+    grams = [[bucket(t[i : i + 3]) for i in range(len(t) - 2)] for t in ((r[0] or "").encode() for r in rows)]
+    counts = {x: collections.Counter() for x in languages}
+    for r, g in zip(rows, grams, strict=True):
+        if r[1]:
+            counts[r[1]].update(g)
+    total = {x: sum(c.values()) + 0.1 * 2**bits for x, c in counts.items()}
+    means = [{x: sum(np.log((counts[x][b] + 0.1) / total[x]) for b in g) / max(1, len(g)) for x in languages} for g in grams]
+    looks = [max(languages, key=lambda x, m=m: m[x]) if any(c.isalpha() for c in r[0] or "") else None for m, r in zip(means, rows, strict=True)]
+    n, out = len(languages), []
+    for r, g, m, own in zip(rows, grams, means, looks, strict=True):
+        if own is None:
+            out.append(("und", 0.0))
+            continue
+        score = {}
+        for x in languages:
+            corpus = (sum(y == x for y in looks) + 1) / (sum(y is not None for y in looks) + n)
+            prior = corpus
+            for weight, same in ((language_id.SUFFIX_WEIGHT, lambda q: q[4] == r[4]), (language_id.HOST_WEIGHT, lambda q: q[3:] == r[3:])):
+                near = [y for q, y in zip(rows, looks, strict=True) if y is not None and same(q)]
+                prior = (near.count(x) - (own == x) + weight * prior) / (len(near) - 1 + weight)
+            score[x] = m[x] * min(len(g), language_id.EFFECTIVE_GRAMS) + np.log(prior)
+            for code, right in ((r[1], language_id.RIGHT_MARKUP), (r[2], language_id.RIGHT_ADDRESS)):
+                score[x] += 0 if code is None else np.log(right if code == x else (1 - right) / max(1, n - 1))
+        best = max(languages, key=lambda x: score[x])
+        out.append((best, 1 / sum(np.exp(v - score[best]) for v in score.values())))
+    return out
+
+
+def test_language_id_equals_plain_loops_with_many_languages(spark):
+    """Seventy languages, three of them at a time and all at once."""
+    rng = random.Random(15)
+    codes = [a + b for a in "abcdefghij" for b in "qrstuvw"]
+    letters = {c: rng.sample("abcdefghijklmnopqrstuvwxyzäöüéèñçøåß", 9) for c in codes}
+    rows = []
+    for i in range(280):
+        c = codes[i % 70]
+        text = " ".join("".join(rng.choice(letters[c]) for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(3, 30)))
+        rows.append((text, rng.choice([c, c, c, codes[0], None]), rng.choice([None, c]), f"h{i % 9}", f"s{i % 4}"))
+    rows += [(None, "aq", None, "h1", "s1"), ("", None, None, "h1", "s1"), ("12 34", "aq", "aq", "h2", "s2"), ("x" * 9_000, None, None, "h3", "s3")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "uid long, text string, declared string, address string, host string, suffix string")
+    want = plain_language(rows)
+    for at_once in (25, 64, 100):
+        got = {r.uid: (r.language, r.posterior) for r in language_id.identify(df, at_once=at_once).collect()}
+        assert all(got[i][0] == w[0] and abs(got[i][1] - w[1]) < 1e-4 for i, w in enumerate(want))
+
+
+def test_language_is_declared_anywhere_outside_comments(spark):
+    fr = "<p>le chat et la rue de la ville est grande</p>"
+    pages = [(1, None, "<!--" + " <html lang=xx> " * 300 + f"--><html class='a' lang='fr-CA'>{fr}"), (2, None, " " * 5_000 + f"<HTML xml:lang=fr>{fr}"), (3, None, "<html lang=en><p>the cat and the street"), (4, None, "<html data-lang=de><p>the cat and the street")]
+    declared = [(r.page_id, r.language) for r in language_id.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert declared == [(1, "fr"), (2, "fr"), (3, "en"), (4, "en")]
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     import corpus_pipeline
 
