@@ -1,11 +1,16 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-The words of the templates are ordered by how often the corpus has them, rarest first. A block that contains at least
-``threshold`` of a template's words must contain one of the first ``|T| - ceil(threshold * |T|) + 1`` of them in that order
-(the prefix), must be long enough (length filter) and must have enough words left at and after the first common one
-(positional filter); what passes is verified on the sets. A block is a line, or the end of a line and the words that follow it
+All words have one global order: words of no template first, then the templates' words by how often the corpus has them, rarest
+first. Blocks and templates are sets in that order, so a block is known by the ranks of its template words. A block that
+contains ``needed = ceil(threshold * |T|)`` of a template's words
+
+* has a word of the template's prefix, its first ``|T| - needed + 1`` words (prefix filter, an equi-join on that word);
+* has ``needed`` template words at all (length filter);
+* has ``needed`` words left, in the block and in the template, from the first common word on (positional filter on both sides);
+
+and what passes is verified on the sets. A block is a line, or the end of a line and the words that follow it
 in the next lines, as many as the longest template has. All of it is DataFrame operations: documents
-without a rare prefix word are left out by the scan itself, and only the few others are taken apart into blocks.
+without a prefix word are left out by the scan itself, and only the others are taken apart into blocks.
 """
 
 from __future__ import annotations
@@ -46,45 +51,66 @@ def template_sets(templates: dict[str, list[str]]) -> list[tuple[str, tuple[str,
     return [(label, tuple(sorted(set(text.split())))) for label, texts in sorted(templates.items()) for text in texts]
 
 
-def ordered_templates(texts: DataFrame, templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
-    """Templates as word lists, rarest first by their number of places in ``texts(words)``. One row for each template word."""
+def ordered_vocabulary(texts: DataFrame, templates: dict[str, list[str]]) -> list[str]:
+    """All template words, rarest first by their number of places in ``texts(words)``."""
     vocabulary = sorted({w for _, words in template_sets(templates) for w in words})
     named = ", ".join(f"'{w}'" for w in vocabulary)
     found = texts.select(F.explode(F.expr(f"filter(words, w -> w IN ({named}))")).alias("w")).groupBy("w").count()
     times = {r["w"]: r["count"] for r in found.collect()}  # at most one row for each template word
-    return [(label, sorted(words, key=lambda w: (times.get(w, 0), w))) for label, words in template_sets(templates)]
+    return sorted(vocabulary, key=lambda w: (times.get(w, 0), w))
 
 
-def license_blocks(rows: DataFrame, templates: dict[str, list[str]], threshold: float = THRESHOLD) -> DataFrame:
-    """``uid, label, score`` of the templates that blocks of ``rows(uid, text)`` contain to at least ``threshold``.
+def template_prefixes(order: list[str], templates: dict[str, list[str]], threshold: float) -> list[tuple[str, list[int], int, int, int]]:
+    """``label, words`` (ranks from 1), ``needed, rank, at`` of every prefix word of every template."""
+    rank, out = {w: i for i, w in enumerate(order, 1)}, []
+    for label, words in template_sets(templates):
+        ranks, needed = sorted(rank[w] for w in words), math.ceil(threshold * len(words) - 1e-9)
+        out += [(label, ranks, needed, r, at) for at, r in enumerate(ranks[: len(ranks) - needed + 1])]
+    return out
 
-    Versions of one license (labels alike up to the first hyphen) differ in a word, so of each license a block takes the labels
-    of the templates that it contains best.
-    """
-    spark = rows.sparkSession
-    ordered = ordered_templates(rows.select(split_words(lower_ascii(F.col("text"))).alias("words")), templates)
-    needed = [math.ceil(threshold * len(words) - 1e-9) for _, words in ordered]
-    prefix = {w for (_, words), o in zip(ordered, needed, strict=True) for w in words[: len(words) - o + 1]}
-    table = spark.createDataFrame([(i, label, words, o, w, at) for i, ((label, words), o) in enumerate(zip(ordered, needed, strict=True)) for at, w in enumerate(words[: len(words) - o + 1])], "template int, label string, words array<string>, needed int, w string, at int")
-    some = rows.filter(F.col("text").rlike(_any(sorted(prefix))))
+
+def text_blocks(rows: DataFrame, prefix: list[str], most: int) -> DataFrame:
+    """``uid, wrapped, line, block`` (different words): lines of ``rows(uid, text)``, and runs of ``most`` words over line ends, with a
+    prefix word."""
+    some = rows.filter(F.col("text").rlike(_any(prefix)))
     lines = some.select("uid", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    lines = lines.filter(F.col("t").rlike(_any(sorted(prefix)))).select("uid", F.lit(False).alias("wrapped"), "line", F.array_distinct(split_words(lower_ascii(F.col("t")))).alias("block"))
+    lines = lines.filter(F.col("t").rlike(_any(prefix))).select("uid", F.lit(False).alias("wrapped"), "line", F.array_distinct(split_words(lower_ascii(F.col("t")))).alias("block"))
     # every run of up to ``most`` words that goes beyond its first line is in the wrapped block of that line
-    most = max((len(text.split()) for texts in templates.values() for text in texts), default=1)
     worded = some.select("uid", F.filter(F.transform(F.split("text", "\n"), lambda t: split_words(lower_ascii(t))), lambda w: F.size(w) > 0).alias("lines"))
     worded = worded.withColumn("heads", F.transform("lines", lambda w: F.slice(w, 1, most - 1)))
     tail = lambda w: F.slice(w, F.greatest(F.size(w) - (most - 2), F.lit(1)), F.lit(most - 1))
     after = lambda i: F.slice(F.flatten(F.slice(F.col("heads"), i + 2, F.lit(most - 1))), 1, most - 1)
     wrapped = F.transform("lines", lambda w, i: F.array_distinct(F.concat(tail(w), after(i))))
     wrapped = worded.filter((F.size("lines") > 1) & F.lit(most > 1)).select("uid", F.posexplode(wrapped).alias("line", "block"))
-    wrapped = wrapped.filter(F.arrays_overlap("block", F.array(*map(F.lit, sorted(prefix))))).select("uid", F.lit(True).alias("wrapped"), "line", "block")
-    lines = lines.unionByName(wrapped)
-    named = ", ".join(f"'{w}'" for w in sorted(prefix))
-    keyed = lines.select("uid", "wrapped", "line", "block", F.explode(F.expr(f"filter(block, w -> w IN ({named}))")).alias("w"))
-    met = keyed.join(F.broadcast(table), "w")  # a row for each prefix word of the given templates
-    met = met.filter((F.size("block") >= F.col("needed")) & (F.size("words") - F.col("at") >= F.col("needed")))
-    common = met.withColumn("common", F.size(F.array_intersect("block", "words"))).filter("common >= needed")
-    scored = common.select("uid", "wrapped", "line", "label", (F.col("common") / F.size("words")).alias("score"))
+    wrapped = wrapped.filter(F.arrays_overlap("block", F.array(*map(F.lit, prefix)))).select("uid", F.lit(True).alias("wrapped"), "line", "block")
+    return lines.unionByName(wrapped)
+
+
+def candidates(blocks: DataFrame, order: list[str], prefixes: list[tuple[str, list[int], int, int, int]], positional: bool = True) -> DataFrame:
+    """Pairs of blocks and templates that pass the filters, once for each common prefix word: ``uid, wrapped, line, ranks, label, words,
+    needed``."""
+    table = blocks.sparkSession.createDataFrame(prefixes, "label string, words array<int>, needed int, rank int, at int")
+    place = F.array(*map(F.lit, order))
+    ranks = F.array_sort(F.filter(F.transform("block", lambda w: F.array_position(place, w).cast("int")), lambda r: r > 0))
+    heads = ", ".join(str(r) for r in sorted({r for *_, r, _ in prefixes}))
+    keyed = blocks.select("uid", "wrapped", "line", ranks.alias("ranks")).select("*", F.posexplode("ranks").alias("own", "rank")).filter(f"rank IN ({heads})")
+    met = keyed.join(F.broadcast(table), "rank").filter(F.size("ranks") >= F.col("needed"))  # a row for each prefix word of the given templates
+    return met.filter(F.least(F.size("ranks") - F.col("own"), F.size("words") - F.col("at")) >= F.col("needed")) if positional else met
+
+
+def license_blocks(rows: DataFrame, templates: dict[str, list[str]], threshold: float = THRESHOLD) -> DataFrame:
+    """``uid, label, score`` of the templates that blocks of ``rows(uid, text)`` contain to at least ``threshold``.
+
+    Versions of one license (labels alike up to the first hyphen) differ in a word, so of each license a block takes the labels
+    of the templates that it contains best.
+    """
+    order = ordered_vocabulary(rows.select(split_words(lower_ascii(F.col("text"))).alias("words")), templates)
+    prefixes = template_prefixes(order, templates, threshold)
+    most = max((len(text.split()) for texts in templates.values() for text in texts), default=1)
+    blocks = text_blocks(rows, sorted({order[r - 1] for *_, r, _ in prefixes}), most)
+    met = candidates(blocks, order, prefixes)
+    common = met.withColumn("common", F.size(F.array_intersect("ranks", "words"))).filter("common >= needed")
+    scored = common.select("uid", "wrapped", "line", "label", (F.col("common") / F.size("words")).alias("score")).distinct()
     best = scored.withColumn("best", F.max("score").over(Window.partitionBy("uid", "wrapped", "line", F.substring_index("label", "-", 1)))).filter("score = best")
     return best.groupBy("uid", "label").agg(F.max("score").alias("score"))
 
@@ -97,7 +123,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     best containment; 1 where a phrase was found). Words are those of ``split_words`` in the text lower-cased in A-Z.
 
     Edge cases: a null or empty text has no words, no labels and score 0; a row without an id is scanned; rows that repeat an
-    id are scanned each by its own text; an empty table gives an empty result; extra columns are ignored.
+    id are scanned each by its own text; an empty table gives an empty result; texts of any length are scanned whole; extra
+    columns are ignored.
     """
     phrases = PHRASES if phrases is None else phrases
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))

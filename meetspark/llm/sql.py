@@ -41,14 +41,20 @@ _PLACES = " UNION ALL ".join(
 _SETS = [(label, sorted(set(text.split()))) for label, texts in sorted(TEMPLATES.items()) for text in texts]
 _TEMPLATES = ", ".join(f"('{label}', {words}, {math.ceil(THRESHOLD * len(words) - 1e-9)})" for label, words in _SETS)
 
+_MOST = max(len(text.split()) for texts in TEMPLATES.values() for text in texts)
+
 OP8 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_FOLD} AS w FROM documents),
 p AS ({_PLACES}),
 l AS (SELECT doc_id, unnest(x) AS text, unnest(range(0, len(x))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM d)),
-b AS (SELECT doc_id, line, list_distinct({_FOLD}) AS block FROM l),
+lw AS (SELECT doc_id, list(w ORDER BY line) AS lines FROM (SELECT doc_id, line, {_FOLD} AS w FROM l) WHERE len(w) > 0 GROUP BY doc_id HAVING count(*) > 1),
+r AS (SELECT doc_id, i, lines[i][greatest(len(lines[i]) - {_MOST - 2}, 1):] AS head, flatten(list_transform(lines[i + 1:i + {_MOST - 1}], lambda x: x[1:{_MOST - 1}]))[1:{_MOST - 1}] AS tail
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM lw)),
+b AS (SELECT doc_id, false AS wrapped, line, list_distinct({_FOLD}) AS block FROM l
+      UNION ALL SELECT doc_id, true, i, list_distinct(list_concat(head, tail)) FROM r),
 t(label, words, needed) AS (VALUES {_TEMPLATES}),
-c AS (SELECT doc_id, line, label, needed, len(list_intersect(block, words)) AS n, len(words) AS size FROM b, t),
-best AS (SELECT doc_id, label, n / size AS score FROM c WHERE n >= needed QUALIFY n / size = max(n / size) OVER (PARTITION BY doc_id, line)),
+c AS (SELECT doc_id, wrapped, line, label, needed, len(list_intersect(block, words)) AS n, len(words) AS size FROM b, t),
+best AS (SELECT doc_id, label, n / size AS score FROM c WHERE n >= needed QUALIFY n / size = max(n / size) OVER (PARTITION BY doc_id, wrapped, line, split_part(label, '-', 1))),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
 named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM best) GROUP BY doc_id),
 scores AS (SELECT doc_id, max(score) AS score FROM best GROUP BY doc_id)

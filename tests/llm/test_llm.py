@@ -228,6 +228,23 @@ def test_licenses_of_several_families_and_wrapped_notices(spark):
     assert got[4].labels == "bsd-2-clause" and got[5].labels == ""
 
 
+def test_license_filters_drop_candidates_and_lose_no_pair(spark):
+    """The positional filter leaves fewer pairs, and what passes and is verified equals all pairs by plain loops."""
+    rng = random.Random(17)
+    sets = licenses.template_sets(licenses.TEMPLATES)
+    some = sorted({w for _, words in sets for w in words})
+    texts = {i: [rng.choice([*some, "plain", "other"]) for _ in range(rng.randint(4, 14))] for i in range(150)}
+    texts |= {150 + i: rng.sample(words, max(1, len(words) - i % 4)) for i, (_, words) in enumerate(sets * 4)}
+    blocks = spark.createDataFrame([(i, False, 0, sorted(set(w))) for i, w in texts.items()], "uid long, wrapped boolean, line int, block array<string>")
+    order = licenses.ordered_vocabulary(blocks.select(F.col("block").alias("words")), licenses.TEMPLATES)
+    prefixes = licenses.template_prefixes(order, licenses.TEMPLATES, licenses.THRESHOLD)
+    every = licenses.candidates(blocks, order, prefixes, positional=False)
+    left = licenses.candidates(blocks, order, prefixes)
+    assert left.count() < every.count()
+    got = {(r.uid, r.label) for r in left.filter(F.size(F.array_intersect("ranks", "words")) >= F.col("needed")).collect()}
+    assert got == {(i, label) for i, w in texts.items() for label, words in sets if len(set(w) & set(words)) >= licenses.THRESHOLD * len(words) - 1e-9}
+
+
 def test_packing_keeps_a_queue_for_each_of_many_sources(spark):
     rng = random.Random(12)
     rows = [(i, " ".join(f"w{rng.randint(0, 99)}" for _ in range(40)), "en", f"s{i % 400}", 0) for i in range(800)] + [(1000 + i, "hot words here " * 40, "en", "hot", 0) for i in range(400)]
