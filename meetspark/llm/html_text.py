@@ -12,16 +12,19 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_ATTRIBUTES = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select option button".split())
+_RAW = frozenset("script style noscript template textarea title iframe object svg canvas select option".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _FURNITURE_TAGS = frozenset("head nav footer aside form menu dialog".split())
@@ -39,13 +42,11 @@ _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(
 _SCOPE = frozenset("html body article section main div table ul ol dl blockquote td th aside nav footer header form figure".split())
 _ROOTS = frozenset(["article", "main"])
 _HOLDERS = frozenset("html body article main section div td center fieldset".split())
-_HEADING = re.compile(r"(?:^|/)h[1-3](?:/|$)")
 # How much a path's score gains in an article or main element; the share of the selected text that the chosen element holds.
 ROOT_GAIN, SHARE = 4.0, 0.9
-
-
-def _furniture(tag: str, stack: list[tuple[str, bool, bool, int, tuple]]) -> bool:
-    return tag in _FURNITURE_TAGS or tag == "header" and not any(s[2] for s in stack)
+FAILURES, DEEPEST = 8, 256
+_RAW_END = {tag: re.compile(rf"</{tag}(?![a-zA-Z0-9:-])", re.I) for tag in _RAW}
+_PARAGRAPH = frozenset(["p"])  # any other block ends an open paragraph
 
 
 def _penalty(tag: str, attributes: str, in_root: bool) -> float:
@@ -66,148 +67,250 @@ def _penalty(tag: str, attributes: str, in_root: bool) -> float:
     return least
 
 
-def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int, list[tuple[int, str]], list[tuple[int, float]]]]:
-    """Blocks in page order: path, text, furniture?, in an article?, characters inside links, elements around it (number, tag) and
-    those that are named like furniture (number, penalty)."""
-    out: list[tuple[str, str, bool, bool, int, list[tuple[int, str]], list[tuple[int, float]]]] = []
-    stack: list[tuple[str, bool, bool, int, tuple]] = []  # tag, furniture so far, in a root so far, number from 1, penalties so far
-    opened = 0
+@dataclass
+class Page:
+    """Elements in the order they open, from 1 (0 is the page), and text blocks in page order."""
+
+    tag: list[str]
+    parent: list[int]
+    last: list[int]  # the last element opened inside
+    root: list[int]  # the outermost article or main element around, or 0
+    furniture: list[bool]
+    penalty: list[float]  # of the element's own names
+    text: list[str]
+    element: list[int]  # innermost around the block
+    path: list[int]  # number of its path of block-level tags
+    linked: list[int]  # characters inside links
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """``("text", text, "")``, ``("open", tag, attributes)`` and ``("close", tag, "")`` in page order, in time linear in its length.
+
+    A tag whose quotes never close ends at its first ``>``; after ``FAILURES`` such tags quotes are no longer looked at. Without any
+    ``>`` the rest of the page is text, as is a ``<`` before anything but a tag.
+    """
+    at, failures = 0, 0
+    while at < len(page):
+        i = page.find("<", at)
+        if i < 0:
+            yield "text", page[at:], ""
+            return
+        closing = page.startswith("/", i + 1)
+        name = _NAME.match(page, i + 1 + closing)
+        if not name and not page.startswith(("!", "?"), i + 1):
+            yield "text", page[at : i + 1], ""
+            at = i + 1
+            continue
+        if i > at:
+            yield "text", page[at:i], ""
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        end = page.find(">", i)
+        if end < 0:
+            yield "text", page[i:], ""
+            return
+        at = end + 1
+        if not name:
+            continue
+        if failures < FAILURES:
+            m = _ATTRIBUTES.match(page, name.end())
+            at, failures = (m.end(), failures) if m else (at, failures + 1)
+        tag = name[0].lower()
+        yield ("close", tag, "") if closing else ("open", tag, page[name.end() : at - 1])
+        if not closing and tag in _RAW:
+            m = _RAW_END[tag].search(page, at)
+            end = page.find(">", m.end()) if m else -1
+            at = end + 1 if end >= 0 else len(page)
+
+
+def parse(page: str) -> Page:
+    """The elements and text blocks of a page. Elements nested deeper than ``DEEPEST`` count as part of those around them."""
+    out = Page([""], [0], [0], [0], [False], [1.0], [], [], [], [])
+    paths: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, element, path
+    opened: Counter[str] = Counter()
+    beyond: Counter[str] = Counter()
     text: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link = 0, 0
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined:
-            path = "/".join(s[0] for s in stack if s[0] in _BLOCK)
-            out.append((path, joined, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], linked, [(s[3], s[0]) for s in stack if s[0] in _HOLDERS], list(stack[-1][4]) if stack else []))
+            _, element, path = stack[-1]
+            out.text.append(joined)
+            out.element.append(element)
+            out.path.append(path)
+            out.linked.append(linked)
         text.clear()
         linked = 0
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        plain = html.unescape(raw)
-        text.append(plain)
-        if in_link:
-            linked += len(plain.strip())
-
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if any(s[0] == tag for s in stack):
-                if tag in _BLOCK:
+    def pop() -> str:
+        tag, element, _ = stack.pop()
+        out.last[element] = len(out.tag) - 1
+        opened[tag] -= 1
+        return tag
+
+    def close_open(these: frozenset[str]) -> None:
+        """Ends the nearest open element of these in scope, and all inside it."""
+        if not any(opened[t] for t in these):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] in these:
+                while len(stack) > i:
+                    pop()
+                return
+            if stack[i][0] in _SCOPE:
+                return
+
+    for kind, value, attributes in tokens(page):
+        if kind == "text":
+            plain = html.unescape(value)
+            text.append(plain)
+            if in_link:
+                linked += len(plain.strip())
+        elif kind == "close":
+            if beyond[value]:
+                beyond[value] -= 1
+            elif opened[value]:
+                if value in _BLOCK:
                     flush()
-                while stack.pop()[0] != tag:
+                while pop() != value:
                     pass
-            if tag == "a":
+            if value == "a":
                 in_link = max(0, in_link - 1)
-            continue
-        if tag == "br":
+        elif value == "br":
             text.append(" ")
-            continue
-        if tag in _BLOCK:
-            flush()
-            in_link = 0
-            if tag in _CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in _CLOSES[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _SCOPE:
-                        break
-            else:  # a block ends an open paragraph
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _SCOPE:
-                        break
-        if tag in _VOID or m[3].endswith("/"):
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag == "a":
-            in_link += 1
-        opened += 1
-        above = stack[-1] if stack else ("", False, False, 0, ())
-        penalty = _penalty(tag, m[3], above[2] or tag in _ROOTS)
-        stack.append((tag, above[1] or _furniture(tag, stack), above[2] or tag in _ROOTS, opened, (*above[4], (opened, penalty)) if penalty < 1 else above[4]))
+        else:
+            if value in _BLOCK:
+                flush()
+                in_link = 0
+                close_open(_CLOSES.get(value, _PARAGRAPH))
+            if value in _VOID or value in _RAW or attributes.endswith("/"):
+                continue
+            if value == "a":
+                in_link += 1
+            if len(stack) > DEEPEST:
+                beyond[value] += 1
+                continue
+            element, (_, above, path) = len(out.tag), stack[-1]
+            root = out.root[above] or (element if value in _ROOTS else 0)
+            out.tag.append(value)
+            out.parent.append(above)
+            out.last.append(element)
+            out.root.append(root)
+            out.furniture.append(out.furniture[above] or value in _FURNITURE_TAGS or value == "header" and not out.root[above])
+            out.penalty.append(_penalty(value, attributes, root > 0))
+            opened[value] += 1
+            stack.append((value, element, paths.setdefault((path, value), len(paths) + 1) if value in _BLOCK else path))
     flush()
+    while len(stack) > 1:
+        pop()
+    out.last[0] = len(out.tag) - 1
     return out
 
 
 _STOPS = re.compile(r"[.,;:!?…。、¿¡\"'()-]")
 
 
-def content(page: str | None, threshold: float = 0.25) -> str:
-    """The blocks of the subtree that the path scores select, joined by one line feed."""
-    nodes = [x for x in text_nodes(page or "") if not x[2]]
-    if not nodes:
-        return ""
-    size = np.array([len(x[1]) for x in nodes], dtype=float)
-    link = np.array([min(x[4], len(x[1])) for x in nodes], dtype=float)
-    stops = np.array([len(_STOPS.findall(x[1])) for x in nodes], dtype=float)
-    root = [next((i for i, tag in x[5] if tag in _ROOTS), 0) for x in nodes]
-    # names say nothing of an element that is or holds one of the page's main roots
-    of_roots = {r: sum(a - b for a, b, x in zip(size, link, root, strict=True) if x == r) for r in set(root) - {0}}
-    main = {r for r, x in of_roots.items() if x >= threshold * max(of_roots.values())}
-    exempt = {i for x, r in zip(nodes, root, strict=True) if r in main for i, _ in x[5] if i <= r}
-    named = [[(i, p) for i, p in x[6] if i not in exempt] for x in nodes]
-    penalty = np.array([min((p for _, p in x), default=1.0) for x in named])
-    keys = [(x[0], r > 0, p) for x, r, p in zip(nodes, root, penalty, strict=True)]
+def path_scores(keys: list[tuple], size: np.ndarray, link: np.ndarray, stops: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each block, and whether its path is mostly links, from the sums over all blocks of its path (``keys``).
+
+    A path's ratios are unlinked characters and unlinked punctuation to blocks; they are smoothed over the paths before and after it in
+    page order and fused as ``sqrt(characters * (1 + punctuation))``; a block's ``gain`` multiplies it. Link paths score zero.
+    """
     paths = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-    own = np.array([paths[k] for k in keys])
-    gain = np.where(np.array(root) > 0, ROOT_GAIN, 1.0) * penalty
-    count, n = np.bincount(own), len(paths)
+    own, n = np.array([paths[k] for k in keys]), len(paths)
+    count = np.bincount(own)
     length, marks = np.bincount(own, size - link, n) / count, np.bincount(own, stops * (1 - link / size), n) / count
-    if n > 2:  # neighbours in page order
+    if n > 2:
         kernel = np.array([0.1, 0.8, 0.1])
         length, marks = (np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") for x in (length, marks))
     linkish = np.bincount(own, link, n)[own] > 0.5 * np.bincount(own, size, n)[own]
-    score = np.where(linkish, 0.0, np.sqrt(length * (1 + marks))[own] * gain)
+    return np.where(linkish, 0.0, np.sqrt(length * (1 + marks))[own] * gain), linkish
+
+
+def content(page: str | None, threshold: float = 0.25) -> str:
+    """The blocks of the subtree that the path scores select, joined by one line feed."""
+    tree = parse(page or "")
+    use = [i for i, e in enumerate(tree.element) if not tree.furniture[e]]
+    if not use:
+        return ""
+    texts = [tree.text[i] for i in use]
+    element = np.array([tree.element[i] for i in use])
+    size = np.array([len(t) for t in texts], dtype=float)
+    link = np.minimum(np.array([tree.linked[i] for i in use], dtype=float), size)
+    stops = np.array([len(_STOPS.findall(t)) for t in texts], dtype=float)
+    n, last = len(tree.tag), np.array(tree.last)
+    root = np.array(tree.root)[element]
+    at = np.arange(n)
+
+    def inner(values: np.ndarray) -> np.ndarray:
+        """Sum of the blocks' values inside each element."""
+        total = np.concatenate([[0.0], np.cumsum(np.bincount(element, values, n))])
+        return total[last + 1] - total[at]
+
+    # names say nothing of an element that is or holds one of the page's main roots
+    of_roots = np.bincount(root, size - link, n)
+    of_roots[0] = 0
+    exempt: set[int] = set()
+    if of_roots.any():
+        for r in np.flatnonzero(of_roots >= threshold * of_roots.max()).tolist():
+            while r and r not in exempt:
+                exempt.add(r)
+                r = tree.parent[r]
+    named = np.array([p < 1 and e not in exempt for e, p in enumerate(tree.penalty)])
+    penalty = np.ones(n)
+    for e in range(1, n):
+        above = penalty[tree.parent[e]]
+        penalty[e] = min(above, tree.penalty[e]) if named[e] else above
+    gain = np.where(root > 0, ROOT_GAIN, 1.0) * penalty[element]
+    score, linkish = path_scores(list(zip((tree.path[i] for i in use), (root > 0).tolist(), penalty[element].tolist(), strict=True)), size, link, stops, gain)
     # an element named like furniture is judged whole, by the mean score of its text
-    weight: dict[int, list[float]] = {}
-    for x, a, b in zip(named, size, score * size, strict=True):
-        for i, _ in x:
-            weight[i] = [u + v for u, v in zip(weight.get(i, (0.0, 0.0)), (a, b), strict=True)]
-    plain = np.array([all(weight[i][1] >= threshold * score.max() * weight[i][0] for i, _ in x) for x in named])
+    poor = named & (inner(score * size) < threshold * score.max() * inner(size))
+    for e in range(1, n):
+        poor[e] |= poor[tree.parent[e]]
+    plain = ~poor[element]
     seed = (score >= threshold * score.max()) & ~linkish & plain
     if not seed.any():  # nothing but links: those of an article are its content
-        return "\n".join(x[1] for x, r, p in zip(nodes, root, penalty, strict=True) if r and p == 1)
-    mass: dict[int, float] = {}
-    holders = [[0, *(i for i, tag in x[5] if tag in _HOLDERS)] for x in nodes]  # 0: the page; others from the outside in
-    for i in np.flatnonzero(seed):
-        for e in holders[i]:
-            mass[e] = mass.get(e, 0.0) + (size[i] - link[i]) * gain[i]
-    chosen = max((e for e, m in mass.items() if m >= SHARE * mass[0]), default=0)  # elements are numbered as they open
-    above = next(h[: h.index(chosen) + 1] for h in holders if chosen in h)
-    of_root = next(r for r, h in zip(root, holders, strict=True) if chosen in h)
-    chosen = of_root if of_root in above and of_root else chosen
-    whole = {i for x in nodes for i, tag in x[5] if tag in ("html", "body")} | {0}
-    inside = np.array([chosen in h for h in holders])
+        return "\n".join(t for t, r, p in zip(texts, root, penalty[element], strict=True) if r and p == 1)
+    holder = np.array([t in _HOLDERS for t in tree.tag])
+    holder[0] = True
+    mass = inner(np.where(seed, (size - link) * gain, 0.0))
+    seeded = inner(seed.astype(float)) > 0
+    chosen = int(np.flatnonzero(holder & seeded & (mass >= SHARE * mass[0] * (1 - 1e-12))).max())  # elements are numbered as they open
+    within = lambda e: (element >= e) & (element <= last[e])
+    of_root = tree.root[chosen]
+    chosen = of_root or chosen
+    whole = {0} | {e for e, t in enumerate(tree.tag) if t in ("html", "body")}
+    inside = within(chosen)
     while not of_root and chosen not in whole:  # a wrapper that adds little but the heading
-        parent = above[above.index(chosen) - 1]
-        wider = np.array([parent in h for h in holders])
+        parent = tree.parent[chosen]
+        while not holder[parent]:
+            parent = tree.parent[parent]
+        wider = within(parent)
         more, first = wider & ~inside, int(np.argmax(inside))
-        titled = any(more[i] and _HEADING.search(nodes[i][0]) for i in range(first))
+        titled = any(_in_heading(tree, e) for e in element[:first][more[:first]].tolist())
         if parent in whole or not titled or size[more].sum() > 0.2 * size[inside].sum() or link[more].sum() > 0.5 * size[more].sum():
             break
         chosen, inside = parent, wider
     if chosen in whole:  # no element of its own: what stands beside selected paths, and articles that have any
-        inside &= np.array([h[-1] in mass or r > 0 and r in mass for h, r in zip(holders, root, strict=True)])
+        near = element.copy()
+        while (low := ~holder[near]).any():
+            near[low] = np.array(tree.parent)[near[low]]
+        inside &= seeded[near] | (root > 0) & seeded[root]
     inside &= plain
-    return "\n".join(x[1] for x, use, r, links in zip(nodes, inside, root, linkish, strict=True) if use and (r or not links))
+    return "\n".join(t for t, keep, r, links in zip(texts, inside, root, linkish, strict=True) if keep and (r or not links))
+
+
+def _in_heading(tree: Page, element: int) -> bool:
+    while element:
+        if tree.tag[element] in ("h1", "h2", "h3"):
+            return True
+        element = tree.parent[element]
+    return False
 
 
 def _extract(threshold: float):
@@ -226,6 +329,8 @@ def extract_text(pages: DataFrame, threshold: float = 0.25) -> DataFrame:
 
     A page's ratios come from that page alone, so no shuffle is needed. ``threshold`` is the share of the best fused path
     score that a path needs to be selected. A null or empty page has text ``''``; unclosed tags and
-    cut-off pages are read as far as they go; null ids and urls pass through; extra columns are ignored.
+    cut-off pages are read as far as they go; pages of any length are read whole, in time linear in it; paths that tie are all
+    selected; null ids and urls pass through; repeated rows are judged each; an empty table gives an empty result; extra columns
+    are ignored.
     """
     return pages.select(F.col("page_id"), F.col("url"), F.col("html")).mapInArrow(_extract(threshold), "page_id long, url string, text string, n_chars long")
