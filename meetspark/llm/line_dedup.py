@@ -21,15 +21,44 @@ from .decontaminate import let
 from .storage import saved
 
 MIN_WORDS = 5
-_SPACE = r"[\x20\x09-\x0D]+"
+RUN = 64
+
+
+def _spaced(text: Column) -> Column:
+    """A text whose white space inside lines is spaces alone: splitting at one character is much cheaper than at a pattern."""
+    for c in "\x09\x0b\x0c\x0d":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda x: x != "")
+    """Words of a line of a spaced text."""
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _halves(words: Column) -> Column:
+    """Hashes of the first and the last half of a line, as a line of its length and as one of a word more."""
+    n = F.size(words)
+    half, low = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    return F.array(
+        F.xxhash64(n, F.lit("P"), F.slice(words, F.lit(1), half)),
+        F.xxhash64(n, F.lit("S"), F.slice(words, half + 1, n - half)),
+        F.xxhash64(n - 1, F.lit("P"), F.slice(words, F.lit(1), low)),
+        F.xxhash64(n - 1, F.lit("S"), F.slice(words, low + 2, n - 1 - low)),
+    )
+
+
+def _running_xor(values: Column, of, least: int = RUN) -> Column:
+    """XOR of all ``of(x)`` before each place of an array and at its end. Runs of ``least`` places are folded, then the runs:
+    a fold over the whole array would copy its result at each step."""
+    fold = lambda a, f: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.try_element_at(s, F.lit(-1)).bitwiseXOR(f(x)))))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / least).cast("int") - 1, F.lit(0))), lambda c: fold(F.slice(values, c * least + 1, F.lit(least)), of))
 
+    def joined(runs: Column, ahead: Column) -> Column:
+        inner = F.transform(runs, lambda r, c: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda v: v.bitwiseXOR(F.get(ahead, c))))
+        return F.concat(F.flatten(inner), F.array(F.try_element_at(ahead, F.lit(-1))))
 
-def _part(words: Column, start: Column, length: Column) -> Column:
-    return F.array_join(F.slice(words, start, length), " ")
+    return let(runs, lambda r: let(fold(r, lambda x: F.try_element_at(x, F.lit(-1))), lambda ahead: joined(r, ahead)))
 
 
 def _near(words: str, other: str) -> Column:
@@ -49,20 +78,10 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     place = F.struct("doc_id", "h", "at")
 
-    def keys(words: Column) -> Column:
-        n = F.size(words)
-        half, low = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-        halves = F.array(
-            F.xxhash64(n, F.lit("P"), _part(words, F.lit(1), half)),
-            F.xxhash64(n, F.lit("S"), _part(words, half + 1, n - half)),
-            F.xxhash64(n - 1, F.lit("P"), _part(words, F.lit(1), low)),
-            F.xxhash64(n - 1, F.lit("S"), _part(words, low + 2, n - 1 - low)),
-        )
-        line = F.array_join(words, " ")
-        return F.when(n > 0, F.struct(F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"), F.when(n >= min_words, halves).alias("halves")))
-
-    keyed = docs.select("doc_id", "h", F.posexplode(F.transform(F.split("text", "\n"), lambda x: let(_words(x), keys))).alias("at", "x"))
-    keyed = keyed.filter("x IS NOT NULL").select("doc_id", "h", "at", "x.k1", "x.k2", "x.halves")
+    spaced = docs.select("doc_id", "h", _spaced(F.col("text")).alias("text"))
+    keyed = spaced.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.trim("line") != "")
+    keyed = keyed.select("doc_id", "h", "at", _words(F.col("line")).alias("words"))
+    keyed = keyed.select("doc_id", "h", "at", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), F.when(F.size("words") >= min_words, _halves(F.col("words"))).alias("halves"))
     lines = saved(keyed, "lines")
     firsts = saved(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "firsts")
     exact = lines.join(firsts.select("k1", "k2", "first"), ["k1", "k2"]).filter(place > F.col("first")).select("doc_id", "h", "at")
@@ -74,13 +93,13 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     listed = wanted.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("k1", "k2")))).alias("which"))
     texts = docs.join(listed.hint("shuffle_hash"), ["doc_id", "h"])
     opened = texts.select("doc_id", "h", "which", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.array_contains(F.map_keys("which"), F.col("at")))
-    opened = saved(opened.select(place.alias("first"), F.element_at("which", F.col("at")).alias("key"), _words(F.col("line")).alias("words")).dropDuplicates(["first"]), "opened")
+    opened = saved(opened.select(place.alias("first"), F.element_at("which", F.col("at")).alias("key"), _words(_spaced(F.col("line"))).alias("words")).dropDuplicates(["first"]), "opened")
     # deletion neighbourhood
 
     def neighbourhood(b: Column) -> Column:
         """All variants of a line by one running XOR: ``b`` has the hash of each word with the place it gets by a deletion
         before it, and what a deletion after it changes. A line as it is has gap 0."""
-        step = F.aggregate(b, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.try_element_at(s, F.lit(-1)).bitwiseXOR(x["d"]))))
+        step = _running_xor(b, lambda x: x["d"])
         shifted = F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x["b"]))
 
         def rows(run: Column, end: Column) -> Column:
@@ -119,7 +138,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Edge cases: a null text has no lines and stays null; an empty text has one empty line; rows that repeat an id with other
     texts are ordered by the hash of their text, exact repeats of a row are treated as one place and keep the same lines; a
-    row without an id keeps all its lines and removes none; an empty table gives an empty result; extra columns are ignored.
+    row without an id keeps all its lines and removes none; an empty table gives an empty result; lines and texts of any length
+    are read whole, in time linear in their length; extra columns are ignored.
     """
     return _marked(docs.select("doc_id", "text"), min_words).select("doc_id", "n_lines", "n_removed", "kept_text")
 
