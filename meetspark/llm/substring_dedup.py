@@ -31,9 +31,9 @@ from .storage import saved
 from .words import RangeHash, blocks, owner, sliding_argmin, span_hashes, word_hashes
 
 ANCHOR_WORDS = 12
-_NODES = "id long, row long, anchor long, node long, next long, lo int, hi int"
+_NODES = "id long, row long, anchor long, node long, next long, lo int, hi int, times int"
 _KMERS = "id long, row long, at int, k1 long, k2 long"
-_SPAN = ["id", "row", "lo", "n", "source_id", "source_row", "source_lo"]
+_SPAN = ["id", "row", "lo", "n", "times", "source_id", "source_row", "source_lo"]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -64,11 +64,17 @@ def _node_rows(window: int, k: int):
                 shift = ((anchor - lo) * window + (hi - lo)).astype(np.uint64)
                 node = words.of(lo, hi + window) + shift * np.uint64(0xD6E8FEB86659FD93)
                 doc = text[lo]
+                # a text that repeats itself has the same node several times in a row: one row with their number
+                fresh = np.append(True, (node[1:] != node[:-1]) | (doc[1:] != doc[:-1]))
+                heads = np.flatnonzero(fresh)
+                times = np.diff(np.append(heads, len(node)))
+                node, doc, lo, hi, anchor = node[heads], doc[heads], lo[heads], hi[heads], anchor[heads]
                 last = np.append(doc[1:] != doc[:-1], True)
                 base = b.first[doc]
                 doc = doc + b.rows.start
                 following = pa.array(np.append(node[1:], node[:1]).view(np.int64), mask=last)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(rows[doc]), _signed(grams[anchor]), _signed(node), following, pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))], names=["id", "row", "anchor", "node", "next", "lo", "hi"])
+                places = (pa.array(x.astype(np.int32)) for x in (lo - base, hi - base, times))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(rows[doc]), _signed(grams[anchor]), _signed(node), following, *places], names=["id", "row", "anchor", "node", "next", "lo", "hi", "times"])
 
     return run
 
@@ -115,9 +121,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found.is_valid:
                 stay = np.ones(len(words), dtype=bool)
                 for s in found:
-                    lo, same = s["lo"].as_py(), s["words"].as_py().encode().split()
-                    if words[lo : lo + len(same)] == same:
-                        stay[lo : lo + len(same)] = False
+                    lo, n, same = s["lo"].as_py(), s["n"].as_py(), s["words"].as_py().encode().split()
+                    for at in range(lo, lo + n * s["times"].as_py(), n):
+                        if words[at : at + len(same)] == same:
+                            stay[at : at + len(same)] = False
                 words = [words[j] for j in np.flatnonzero(stay)]
             gone.append(total[-1] - len(words))
             kept.append(b" ".join(words))
@@ -127,11 +134,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compacted_paths(nodes: DataFrame) -> DataFrame:
     """``node`` (the first one), ``source_id, source_row, source_lo, n`` of each path of repeated nodes without a branch.
 
-    ``nodes(node, source: struct(id, row, lo, hi), last, copies, next0, next1, followed)``: its first place, its largest
-    document, its number of places, the least and largest successor and the number of places that have one.
+    ``nodes(node, source: struct(id, row, lo, hi), last, copies, next0, next1, followed, times)``: its first place, its largest
+    document, its number of places, the least and largest successor, the number of places that have one, and how often in a row it
+    stands at most. A node that follows itself is a path of its own.
     """
-    one_way = nodes.filter("followed = copies AND next0 = next1").select(F.col("next0").alias("to"), F.col("copies").alias("many"))
-    joined = nodes.join(one_way, (F.col("node") == F.col("to")) & (F.col("copies") == F.col("many"))).select(F.col("node").alias("into")).distinct()
+    one_way = nodes.filter("followed = copies AND next0 = next1 AND times = 1").select(F.col("next0").alias("to"), F.col("copies").alias("many"))
+    joined = nodes.filter("times = 1").join(one_way, (F.col("node") == F.col("to")) & (F.col("copies") == F.col("many"))).select(F.col("node").alias("into")).distinct()
     flagged = nodes.join(joined, F.col("node") == F.col("into"), "left").select("node", "source.*", F.col("into").isNull().alias("opens"))
     along = Window.partitionBy("id", "row").orderBy("lo")
     placed = flagged.withColumn("begin", F.last(F.when(F.col("opens"), F.col("lo")), ignorenulls=True).over(along))
@@ -141,8 +149,8 @@ def compacted_paths(nodes: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, window: int = 50, k: int = ANCHOR_WORDS) -> DataFrame:
     """Ranges of k-mers of ``texts(id, row, text)`` that also start in a text of a smaller id, with their source.
 
-    ``id, row, lo, n, source_id, source_row, source_lo``: the k-mers ``lo`` to ``lo + n - 1`` are those of the source from
-    ``source_lo``. Spans may overlap.
+    ``id, row, lo, n, times, source_id, source_row, source_lo``: the k-mers ``lo`` to ``lo + n - 1`` are those of the source from
+    ``source_lo``, and so are the next ``n``, ``times`` times. Spans may overlap.
     """
     k = min(k, window)
     usable = texts.filter("id IS NOT NULL AND text IS NOT NULL")
@@ -151,20 +159,20 @@ def repeated_spans(texts: DataFrame, window: int = 50, k: int = ANCHOR_WORDS) ->
     anchors = saved(anchors.filter("most > least").select("anchor", F.expr("n0 <> n1").alias("branching")), "anchors")
     places = saved(every.join(anchors, "anchor").drop("anchor"), "places")
     kinds = places.groupBy("node").agg(
-        F.min(F.struct("id", "row", "lo", "hi")).alias("source"), F.max("id").alias("last"), F.count("*").alias("copies"), F.min("next").alias("next0"), F.max("next").alias("next1"), F.count("next").alias("followed"), F.first("branching").alias("branching")
+        F.min(F.struct("id", "row", "lo", "hi")).alias("source"), F.max("id").alias("last"), F.count("*").alias("copies"), F.min("next").alias("next0"), F.max("next").alias("next1"), F.count("next").alias("followed"), F.max("times").alias("times"), F.first("branching").alias("branching")
     )
     kinds = saved(kinds, "kinds")
     paths = saved(compacted_paths(kinds.filter(F.col("last") > F.col("source.id"))), "paths")
-    copies = places.select("id", "row", "lo", "node").join(paths.hint("merge"), "node").filter(F.col("id") > F.col("source_id")).select(_SPAN)
+    copies = places.select("id", "row", "lo", "times", "node").join(paths.hint("merge"), "node").filter(F.col("id") > F.col("source_id")).select(_SPAN)
     # different nodes of one anchor, each opened where it first stands
     first = kinds.filter("branching").select("node", F.col("source.id").alias("first"))
-    opened = places.filter("branching").join(first, "node").filter(F.col("id") == F.col("first")).groupBy("id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    opened = places.filter("branching").join(first, "node").filter(F.col("id") == F.col("first")).groupBy("id", "row").agg(F.collect_set(F.struct("lo", F.expr("hi + (times - 1) * (hi - lo + 1)").alias("hi"))).alias("ranges"))
     kmers = saved(usable.join(opened.hint("shuffle_hash"), ["id", "row"]).mapInArrow(_kmer_rows(window), _KMERS).distinct(), "kmers")
     shared = saved(kmers.groupBy("k1", "k2").agg(F.min(F.struct("id", "row", "at")).alias("source"), F.max("id").alias("last")).filter(F.col("last") > F.col("source.id")).drop("last"), "shared")
     single = kmers.join(shared, ["k1", "k2"]).filter(F.col("id") > F.col("source.id")).select("id", "row", "at", F.col("source.id").alias("source_id"), F.col("source.row").alias("source_row"), F.col("source.at").alias("source_at"))
     line = ["id", "row", "source_id", "source_row", "shift"]
     single = single.withColumn("shift", F.col("at") - F.col("source_at")).withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(line).orderBy("at")))
-    single = single.groupBy(*line, "run").agg(F.min("at").alias("lo"), F.count("*").cast("int").alias("n"), F.min("source_at").alias("source_lo")).select(_SPAN)
+    single = single.groupBy(*line, "run").agg(F.min("at").alias("lo"), F.count("*").cast("int").alias("n"), F.min("source_at").alias("source_lo"), F.lit(1).alias("times")).select(_SPAN)
     return copies.unionByName(single).distinct()
 
 
@@ -186,7 +194,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, k: int = ANCHOR_WORDS, id
     sources = texts.join(wanted.hint("shuffle_hash"), (F.col("id") == F.col("source_id")) & (F.col("row") == F.col("source_row"))).select("id", "row", "text", "wanted")
     words = sources.mapInArrow(_source_words(window), "source_id long, source_row long, source_lo int, n int, words string")
     words = saved(words.dropDuplicates(["source_id", "source_row", "source_lo", "n"]), "sources")
-    found = spans.join(words, ["source_id", "source_row", "source_lo", "n"]).groupBy("id", "row").agg(F.collect_list(F.struct("lo", "words")).alias("spans"))
+    found = spans.join(words, ["source_id", "source_row", "source_lo", "n"]).groupBy("id", "row").agg(F.collect_list(F.struct("lo", "n", "times", "words")).alias("spans"))
     marked = texts.alias("t").join(found.alias("s").hint("shuffle_hash"), (F.col("t.id") == F.col("s.id")) & (F.col("t.row") == F.col("s.row")), "left")
     marked = marked.select(F.col("t.id").alias("doc_id"), F.col("t.text").alias("text"), F.col("s.spans").alias("spans"))
     return marked.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
