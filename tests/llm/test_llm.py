@@ -4,6 +4,7 @@ import collections
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -409,6 +410,59 @@ def test_html_path_scores_choose_a_subtree_with_its_short_blocks():
     assert html_text.content(f"<body>{body}<div>short</div></body>") == want
 
 
+def test_path_scores_equal_plain_loops():
+    rng = random.Random(18)
+    for n in (1, 2, 3, 12):
+        keys = [(rng.randint(0, n), rng.random() < 0.5) for _ in range(n)]
+        size = [rng.randint(1, 200) for _ in keys]
+        link, stops, gain = [rng.choice([0, 0, s, s // 2]) for s in size], [rng.randint(0, 9) for _ in keys], [rng.choice([1.0, 4.0, 0.05]) for _ in keys]
+        got, links = html_text.path_scores(keys, np.array(size, float), np.array(link, float), np.array(stops, float), np.array(gain))
+        order = list(dict.fromkeys(keys))
+        of = {k: [i for i, x in enumerate(keys) if x == k] for k in order}
+        length = [sum(size[i] - link[i] for i in of[k]) / len(of[k]) for k in order]
+        marks = [sum(stops[i] * (1 - link[i] / size[i]) for i in of[k]) / len(of[k]) for k in order]
+        if len(order) > 2:
+            near = lambda v: [0.1 * v[max(j - 1, 0)] + 0.8 * v[j] + 0.1 * v[min(j + 1, len(v) - 1)] for j in range(len(v))]
+            length, marks = near(length), near(marks)
+        for i, k in enumerate(keys):
+            most = sum(link[j] for j in of[k]) > 0.5 * sum(size[j] for j in of[k])
+            j = order.index(k)
+            assert links[i] == most and abs(got[i] - (0 if most else (length[j] * (1 + marks[j])) ** 0.5 * gain[i])) < 1e-9
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", "<div>x", "<p><b>x", "<!--", "<script></script", "<html ", "&", "<", "<p><span>a</p>"])
+def test_html_of_bad_and_deep_pages_takes_linear_time(piece):
+    began = time.process_time()
+    html_text.content(piece * (500_000 // len(piece)))
+    assert time.process_time() - began < 10
+
+
+def test_html_keeps_text_of_inline_elements_and_cut_off_pages():
+    assert html_text.content("<article><p>Press <button>Go</button> if <math><mi>x</mi></math> is so.") == "Press Go if x is so."
+    assert html_text.content("<article><p>One.<p>Two <a href='x") == "One.\nTwo <a href='x"
+    deep = "<div>" * 400 + "<p>In the deep.</p>" + "</div>" * 400 + "<p>After all, that is it.</p>"
+    assert html_text.content(f"<main>{deep}</main><footer>no</footer>") == "In the deep.\nAfter all, that is it."
+
+
+def test_html_on_the_given_pages_is_the_article_without_its_furniture():
+    """With the article tags renamed, so that the path scores alone find it."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    bare = [re.sub(r"<(/?)(article|main)\b", r"<\1div", x) for x in pages]
+    blocks = lambda x: html_text.parse(x)
+    for page, other in zip(pages, bare, strict=True):
+        tree = blocks(page)
+        want = [t for t, e in zip(tree.text, tree.element, strict=True) if tree.root[e] and not tree.furniture[e] and all(p == 1 for p in _own_penalties(tree, e))]
+        assert html_text.content(page) == html_text.content(other) == "\n".join(want)
+
+
+def _own_penalties(tree, element):
+    while element:
+        yield tree.penalty[element]
+        element = tree.parent[element]
+
+
 def test_html_and_language_of_awkward_pages(spark):
     pages = [(1, "https://a.example.fr/fr/x", "<html lang='fr'><p>le chat et la rue de la ville est grande</p>"), (2, None, None), (3, "nonsense", "<p>the cat and the street of the town is large"), (3, "http://b.example.com/", "<html lang=en><p>the cat and the street of the town is large"), (None, "", "<html lang=en><p>123")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -475,6 +529,27 @@ def test_language_is_declared_anywhere_outside_comments(spark):
     assert declared == [(1, "fr"), (2, "fr"), (3, "en"), (4, "en")]
 
 
+def test_pipeline_judges_rows_one_by_one(spark, tmp_path):
+    """Repeated and missing ids, clashing columns and an empty table through all stages."""
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    say = lambda: " ".join(rng.choice(["red", "blue", "tall", "small", "house", "tree"]) + "abcdefgh"[rng.randint(0, 7)] * rng.randint(1, 3) for _ in range(40))
+    item = " ".join(f"bench{i}" for i in range(12))
+    rows = [(1, say()), (1, say() + " " + item), (None, say()), (None, say() + " " + item), (3, say()), (4, None), (4, "")]
+    clean = {t for _, t in rows if t and "bench" not in t}
+    for name, table in (("full", rows), ("none", [])):
+        d = tmp_path / name
+        clashing(docs(spark, table)).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+        now = spark.read.parquet(str(d / "documents.parquet"))
+        for stage, apply in corpus_pipeline.STAGES[:-1]:
+            now = apply(spark, now, str(d))
+            assert now.columns == corpus_pipeline.COLUMNS
+        assert {r.text for r in now.collect()} == (clean if table else set())
+        assert {r.doc_id for r in corpus_pipeline.run(spark, str(d)).collect()} == ({1, None, 3} if table else set())
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     import corpus_pipeline
 
