@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPE: ContextVar[str] = ContextVar("scope", default="kept")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset (local tests), one is made and set."""
@@ -20,9 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here and a lost executor costs no recomputation."""
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here and a lost executor costs no recomputation.
+
+    The table goes when the ``scope`` around ends, unless it is to be kept.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meetspark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/meetspark/{'kept' if keep else _SCOPE.get()}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables saved within: for callers that have written or collected all results by then."""
+    name = f"scope-{uuid.uuid4().hex}"
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/meetspark/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -529,6 +529,19 @@ def test_language_is_declared_anywhere_outside_comments(spark):
     assert declared == [(1, "fr"), (2, "fr"), (3, "en"), (4, "en")]
 
 
+def test_scopes_remove_their_tables(spark):
+    import pathlib
+
+    from meetspark.llm import storage
+
+    folder = pathlib.Path(storage.shared_dir(spark).removeprefix("file://")) / "meetspark"
+    with storage.scope(spark):
+        inside = storage.saved(spark.range(3), "some")
+        kept = storage.saved(inside, "other", keep=True)
+        assert len(list(folder.glob("scope-*/some-*"))) == 1
+    assert not list(folder.glob("scope-*")) and kept.count() == 3
+
+
 def test_pipeline_judges_rows_one_by_one(spark, tmp_path):
     """Repeated and missing ids, clashing columns and an empty table through all stages."""
     import corpus_pipeline
