@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Phrases by which a model puts a stamp in front of its answer.
+# Default phrases by which a model puts a stamp in front of its answer; a parameter of all that look for them.
 STAMPS = ("in this segment", "this chapter", "the speaker", "here is")
 
 

@@ -71,6 +71,32 @@ def absorb_short_units(df: DataFrame, least: float = 5.0) -> DataFrame:
     return out.select("job_id", F.col("ord").cast("long").alias("ord"), "x.start", "x.end")
 
 
+def build_chapters(segments: DataFrame, vectors: DataFrame, max_gap: float = 2.0, max_words: int = 80, threshold: float = 0.7, cap: float = 180.0, least: float = 5.0) -> DataFrame:
+    """Chapters of ``segments(job_id, ord, segment_id, speaker, text, start, end)`` with ``vectors(job_id, unit, vector)`` of their units.
+
+    Pieces are packed into units, units without text go, neighbours alike are merged and short ones taken into the one before (leading
+    ones into the next). Bounds are those of the first and last segment. Returns ``job_id, ord, chapter_id, start, end, source_ids,
+    speakers`` (by first appearance), ``duration_sec``; a job without text has no rows. A unit without a vector has none alike.
+    """
+    packed = pack_pieces(segments, max_gap, max_words)
+    whole = units(packed).join(vectors.select("job_id", "unit", "vector"), ["job_id", "unit"], "left")
+    whole = whole.withColumn("vector", F.coalesce("vector", F.array().cast("array<double>")))
+    merged = merge_similar_units(whole.select("job_id", "unit", "start", "end", "words", "vector"), threshold, cap)
+    rough = whole.join(merged, ["job_id", "unit"]).groupBy("job_id", F.col("chapter").alias("ord")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    bounds = absorb_short_units(rough, least)
+    # the chapters' bounds part the units: each belongs to the last chapter that starts no later
+    marks = bounds.select("job_id", "start", F.col("ord").alias("chapter"), F.lit(None).cast("long").alias("unit")).unionByName(whole.select("job_id", "start", F.lit(None).cast("long").alias("chapter"), "unit"))
+    along = Window.partitionBy("job_id").orderBy("start", F.col("chapter").isNull())
+    owner = marks.withColumn("chapter", F.last("chapter", ignorenulls=True).over(along)).filter("unit IS NOT NULL").select("job_id", "unit", "chapter")
+    rows = packed.join(owner, ["job_id", "unit"])
+    first = rows.groupBy("job_id", "chapter", "speaker").agg(F.min("ord").alias("first"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("first", "speaker"))), lambda x: x["speaker"])
+    speakers = first.groupBy("job_id", "chapter").agg(names.alias("speakers"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "segment_id"))), lambda x: x["segment_id"])
+    out = rows.groupBy("job_id", "chapter").agg(F.min_by("start", "ord").alias("start"), F.max_by("end", "ord").alias("end"), ids.alias("source_ids")).join(speakers, ["job_id", "chapter"])
+    return out.select("job_id", F.col("chapter").alias("ord"), F.format_string("C%02d", "chapter").alias("chapter_id"), "start", "end", "source_ids", "speakers", F.round(F.col("end") - F.col("start"), 3).alias("duration_sec"))
+
+
 def chapter_metrics(chapters: DataFrame, short: float = 20.0, long: float = 180.0) -> DataFrame:
     """Chapters a minute, and how many are short or long."""
     d = F.col("end") - F.col("start")

@@ -33,42 +33,76 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(a, b)))
 
 
-def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels by first appearance of average-linkage clusters under cosine distance; merging stops at ``threshold``."""
+def average_linkage(vectors: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Labels by first appearance of average-linkage clusters under cosine distance; merging stops at ``threshold``.
+
+    The mean distance between two clusters is one less the product of the means of their unit vectors, so a cluster is its mean and
+    size, and no matrix of distances is held. A chain of nearest neighbours is followed until two are each other's nearest; they
+    merge, or if they are too far apart never will. Work is quadratic. With ``sizes`` the rows are means of that many unit vectors.
+    """
     n = len(vectors)
-    if n == 0:
-        return np.zeros(0, dtype=np.int64)
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    dist = 1 - np.clip(unit @ unit.T, -1, 1)
-    np.fill_diagonal(dist, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), n
-    while alive > 1:
-        i, j = sorted(divmod(int(np.argmin(dist)), n))
-        if dist[i, j] >= threshold:
-            break
-        row = (dist[i] * size[i] + dist[j] * size[j]) / (size[i] + size[j])
-        row[i] = np.inf
-        dist[i], dist[:, i] = row, row
-        dist[j], dist[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-        alive -= 1
+    mean = np.array(vectors, dtype=float)
+    if sizes is None:
+        mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+    size, label, alive = np.ones(n) if sizes is None else np.array(sizes, dtype=float), np.arange(n), np.ones(n, dtype=bool)
+    chain: list[int] = []
+    start = 0
+    while True:
+        if not chain:
+            while start < n and not alive[start]:
+                start += 1
+            if start == n:
+                break
+            chain.append(start)
+        c = chain[-1]
+        far = np.where(alive, 1 - mean @ mean[c], np.inf)
+        far[c] = np.inf
+        near = int(np.argmin(far))
+        if len(chain) > 1 and far[chain[-2]] <= far[near]:
+            near = chain[-2]
+        if far[near] >= threshold:
+            alive[c] = False
+            chain.pop()
+        elif len(chain) > 1 and near == chain[-2]:
+            i, j = sorted((c, near))
+            mean[i] = (mean[i] * size[i] + mean[j] * size[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            label[label == j] = i
+            alive[j] = False
+            del chain[-2:]
+        else:
+            chain.append(near)
     return pd.factorize(label)[0].astype(np.int64)
 
 
-def cluster_windows(df: DataFrame, threshold: float = 0.85, most: int = 4000) -> DataFrame:
-    """``job_id, ord, label``: each job is one group, whose distances take memory of its size squared.
+def cluster_windows(df: DataFrame, threshold: float = 0.85, part: int = 2000) -> DataFrame:
+    """``job_id, ord, label`` of ``df(job_id, ord, embedding)``; labels count from 0 by first appearance.
 
-    A job of more than ``most`` windows is refused; it goes by parts through ``assign_to_gallery``.
+    A task clusters a part of ``part`` ords of a job, whatever the job's length. The parts' clusters, as means and sizes, are then
+    clustered by job in the same way: for a job of one part this changes nothing, and for others it merges by the true mean
+    distances between the parts' clusters. A job's part clusters (voices heard in a part) are one group.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"job {rows.job_id.iloc[0]} has {len(rows)} windows; cluster it by parts")
+        rows = rows.sort_values("ord").reset_index(drop=True)
+        unit = np.stack(rows.embedding.to_numpy()).astype(float)
+        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+        label = average_linkage(unit, threshold)
+        n = np.bincount(label)
+        first = np.unique(label, return_index=True)[1]
+        mean: list[list[float] | None] = [None] * len(rows)
+        for i, at in enumerate(first):
+            mean[at] = unit[label == i].mean(axis=0).tolist()
+        return pd.DataFrame({"job_id": rows.job_id, "part": rows.part, "ord": rows.ord, "label": label, "n": n[label], "mean": mean})
+
+    def both(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord")
-        return pd.DataFrame({"job_id": rows.job_id, "ord": rows.ord, "label": average_linkage(np.stack(rows.embedding.to_numpy()).astype(float), threshold)})
+        return pd.DataFrame({"job_id": rows.job_id, "part": rows.part, "label": rows.label, "whole": average_linkage(np.stack(rows["mean"].to_numpy()), threshold, rows.n.to_numpy())})
 
-    return df.select("job_id", "ord", "embedding").groupBy("job_id").applyInPandas(one, "job_id long, ord long, label long")
+    keyed = df.select("job_id", F.col("ord").cast("long").alias("ord"), F.expr(f"cast(ord as bigint) div {part}").alias("part"), "embedding")
+    parts = keyed.groupBy("job_id", "part").applyInPandas(one, "job_id long, part long, ord long, label long, n long, mean array<double>")
+    whole = parts.filter("mean IS NOT NULL").groupBy("job_id").applyInPandas(both, "job_id long, part long, label long, whole long")
+    return parts.join(whole, ["job_id", "part", "label"]).select("job_id", "ord", F.col("whole").alias("label"))
 
 
 def renumber_speakers(df: DataFrame) -> DataFrame:
@@ -88,13 +122,34 @@ def speaker_centroids(df: DataFrame) -> DataFrame:
 
 
 def assign_to_gallery(windows: DataFrame, gallery: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Nearest speaker of the job's gallery for each window; null beyond ``threshold``. ``job_id`` is the equality key."""
+    """Nearest speaker of the job's gallery for each window; null beyond ``threshold``. ``job_id`` is the equality key.
+
+    A job without a gallery has no rows. ``update_gallery`` names the rest and blends the gallery.
+    """
     g = gallery.select("job_id", F.col("speaker").alias("near"), "centroid")
     far = windows.join(g, "job_id").select("job_id", "ord", "near", F.round(cosine_distance(F.col("embedding"), F.col("centroid")), 9).alias("d"))
     best = far.groupBy("job_id", "ord").agg(F.min(F.struct("d", "near")).alias("b"))
     return best.select("job_id", "ord", F.when(F.col("b.d") <= threshold, F.col("b.near")).alias("speaker"), F.round("b.d", 6).alias("distance"))
 
 
+def update_gallery(windows: DataFrame, gallery: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """One batch of windows against ``gallery(job_id, speaker, n_windows, centroid)``: ``job_id, ord, speaker``, and the gallery after it.
+
+    Windows within ``threshold`` take their nearest speaker; the others are clustered among themselves into the lowest free ids. Then each
+    speaker's centroid is the count-weighted blend of the old one and the mean of its windows, made a unit vector again.
+    """
+    near = windows.select("job_id", "ord").join(assign_to_gallery(windows, gallery, threshold).select("job_id", "ord", "speaker"), ["job_id", "ord"], "left")
+    rest = windows.join(near.filter("speaker IS NULL").select("job_id", "ord"), ["job_id", "ord"], "left_semi")
+    made = cluster_windows(rest, threshold).withColumn("cluster", F.col("label").cast("string"))
+    names = _with_free_ids(made.select("job_id", "cluster").distinct(), gallery.select("job_id", "speaker"))
+    assigned = near.filter("speaker IS NOT NULL").unionByName(made.join(names, ["job_id", "cluster"]).select("job_id", "ord", "speaker"))
+    heard = speaker_centroids(windows.select("job_id", "ord", "embedding").join(assigned, ["job_id", "ord"])).select("job_id", "speaker", F.col("n_windows").alias("m"), F.col("centroid").alias("v"))
+    met = gallery.select("job_id", "speaker", F.col("n_windows").cast("long").alias("n"), F.col("centroid").alias("c")).join(heard, ["job_id", "speaker"], "full")
+    blend = l2_normalize(F.zip_with("c", "v", lambda x, y: x * F.col("n") + y * F.col("m")))
+    after = met.select("job_id", "speaker", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n_windows"), F.when(F.col("v").isNull(), F.col("c")).when(F.coalesce("n", F.lit(0)) <= 0, F.col("v")).otherwise(blend).alias("centroid"))
+    return assigned, after
+
+
 def greedy_remap(overlaps: DataFrame) -> DataFrame:
     """One-to-one matching of ``overlaps(job_id, cluster, published, sec)``, largest first; ties by names. A fold per job."""
     pairs = overlaps.filter("sec > 0").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("sec")).alias("k"), "cluster", "published"))).alias("p"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_title, is_blank
@@ -60,6 +60,29 @@ def apply_titles(chapters: DataFrame, titles: DataFrame) -> DataFrame:
     return out.withColumn("title", F.when(F.col("new_title").isNotNull(), clean_title(F.col("new_title"))).otherwise(F.col("title"))).drop("new_title")
 
 
+def stale_notice(markers: DataFrame) -> DataFrame:
+    """``job_id, notice`` of ``markers(job_id, reason, chapters: array<struct<chapter_id, title, n>>)``, a sentence without any text of
+    segments."""
+    each = F.transform("chapters", lambda c: F.concat(c["chapter_id"], F.when(F.coalesce(c["title"], F.lit("")) != "", F.concat(F.lit(" “"), c["title"], F.lit("”"))).otherwise(""), F.lit(" ("), c["n"].cast("string"), F.lit(")")))
+    edited = F.when(F.size("chapters") <= 0, "The summary is out of date: the transcript was edited after it.").otherwise(F.concat(F.lit("The summary is out of date because of edits in chapters: "), F.array_join(each, ", "), F.lit(".")))
+    return markers.select("job_id", F.when(F.col("reason") == "titles_edited", "The summary is out of date: chapter titles were changed after it.").otherwise(edited).alias("notice"))
+
+
+def stale_markers(changed: DataFrame, chapters: DataFrame, reports: DataFrame) -> DataFrame:
+    """``job_id, reason, chapters`` of the jobs of ``reports(job_id)`` with changed segments; without a report there is no marker."""
+    by = stale_chapters(changed, chapters).join(chapters.select("job_id", "chapter_id", "title"), ["job_id", "chapter_id"], "left")
+    rows = F.array_sort(F.collect_list(F.struct("chapter_id", F.coalesce("title", F.lit("")).alias("title"), F.size(F.split("segments", ",")).cast("long").alias("n"))))
+    return by.join(reports.select("job_id").distinct(), "job_id", "left_semi").groupBy("job_id").agg(F.lit("transcript_edited").alias("reason"), rows.alias("chapters"))
+
+
+def mark_titles_stale(markers: DataFrame, retitled: DataFrame, chapters: DataFrame, reports: DataFrame) -> DataFrame:
+    """Markers with those of ``retitled(job_id)`` added: all chapters without a count. A marker of edited text stays as it is."""
+    rows = F.array_sort(F.collect_list(F.struct("chapter_id", "title", F.lit(0).cast("long").alias("n"))))
+    new = chapters.join(retitled.select("job_id").distinct(), "job_id", "left_semi").join(reports.select("job_id").distinct(), "job_id", "left_semi")
+    new = new.join(markers.filter("reason = 'transcript_edited'"), "job_id", "left_anti").groupBy("job_id").agg(F.lit("titles_edited").alias("reason"), rows.alias("chapters"))
+    return markers.join(new, "job_id", "left_anti").unionByName(new)
+
+
 def suggest_terms(segments: DataFrame, dictionary: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """Nearest dictionary term for words of six letters or more that are none: ``1 - levenshtein / longer length``.
 
@@ -69,7 +92,9 @@ def suggest_terms(segments: DataFrame, dictionary: DataFrame, min_confidence: fl
     each = words.select("found").distinct()
     keyed = each.withColumn("a", F.substring("found", 1, 1)).withColumn("n", F.explode(F.sequence(F.length("found") - 2, F.length("found") + 2)))
     terms = dictionary.select("term").distinct().withColumn("a", F.substring("term", 1, 1)).withColumn("n", F.length("term"))
-    met = keyed.join(terms, ["a", "n"]).withColumn("confidence", F.round(1 - F.levenshtein("found", "term") / F.greatest(F.length("found"), F.length("term")), 6))
-    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("found").orderBy(F.desc("confidence"), "term"))).filter("rank = 1")
-    best = best.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") < 1)).select("found", F.col("term").alias("suggested"), "confidence")
+    longer = F.greatest(F.length("found"), F.length("term"))
+    far = F.expr(f"levenshtein(found, term, cast(floor({1 - min_confidence!r}D * greatest(length(found), length(term)) + 1e-9) as int))")  # -1 beyond the bound
+    met = keyed.join(terms, ["a", "n"]).withColumn("far", far).filter("far >= 0").withColumn("confidence", F.round(1 - F.col("far") / longer, 6))
+    best = met.groupBy("found").agg(F.min(F.struct((-F.col("confidence")).alias("k"), "term")).alias("b")).select("found", F.col("b.term").alias("suggested"), (-F.col("b.k")).alias("confidence"))
+    best = best.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") < 1))
     return words.join(best, "found").select("job_id", "segment_id", "found", "suggested", "confidence")

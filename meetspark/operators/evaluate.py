@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import latin_chars, tokens, word_count
 from .clustering import greedy_remap
 from .gates import script_word_ratio
-from .intervals import intersection_sec, interval_union, overlap_join, speech_iou
+from .intervals import intersection_sec, interval_join, interval_union, overlap_join, speech_iou
 
 
 def token_recall(gold: Column, hyp: Column) -> Column:
@@ -43,6 +43,58 @@ def transcript_glue(segments: DataFrame) -> DataFrame:
     return s.groupBy("job_id").agg(F.count(F.when(F.col("start") < F.col("ps"), 1)).alias("n_disorder"), F.count(F.when(F.col("pe") - F.col("start") > 0.25, 1)).alias("n_overlap"))
 
 
+def transcript_checks(hyp: DataFrame, base: DataFrame, ends: DataFrame) -> DataFrame:
+    """``job_id, check_id, status`` of a part's segments (ending at ``ends(job_id, duration)``) against a baseline's: order, overlaps,
+    end, share of the baseline's words (each place counts) that the hypothesis has, and ratio of the numbers of words."""
+    words = lambda df: df.select("job_id", F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " ")).alias("w")).filter("w <> ''").groupBy("job_id", "w").count()
+    h, b = words(hyp).withColumnRenamed("count", "nh"), words(base).withColumnRenamed("count", "nb")
+    bags = h.join(b, ["job_id", "w"], "full").groupBy("job_id").agg(F.sum("nh").alias("nh"), F.sum("nb").alias("nb"), F.sum(F.when(F.col("nh").isNotNull(), F.col("nb"))).alias("covered"))
+    last = hyp.groupBy("job_id").agg(F.max("end").alias("last"))
+    jobs = ends.join(transcript_glue(hyp), "job_id", "left").join(last, "job_id", "left").join(bags, "job_id", "left")
+    cover = F.when(F.coalesce("nb", F.lit(0)) == 0, 1.0).otherwise(F.coalesce("covered", F.lit(0)) / F.col("nb"))
+    ratio = F.when(F.coalesce("nb", F.lit(0)) == 0, 1.0).otherwise(F.coalesce("nh", F.lit(0)) / F.col("nb"))
+    passed = lambda cond, other: F.when(cond, "PASS").otherwise(other)
+    checks = {
+        "T1_time_order": passed(F.coalesce("n_disorder", F.lit(0)) == 0, "FAIL"),
+        "T2_overlap": passed(F.coalesce("n_overlap", F.lit(0)) == 0, "WARN"),
+        "T3_inside_part": passed(F.coalesce("last", F.lit(0.0)) <= F.col("duration") + 1.0, "FAIL"),
+        "T4_text_coverage": F.when(cover >= 0.85, "PASS").when(cover >= 0.70, "WARN").otherwise("FAIL"),
+        "T5_length_ratio": passed(ratio.between(0.75, 1.35), "WARN"),
+    }
+    return jobs.select("job_id", F.inline(F.array(*(F.struct(F.lit(c).alias("check_id"), s.alias("status")) for c, s in checks.items()))))
+
+
+def turns_glue(hyp: DataFrame, base: DataFrame, least: float = 30.0) -> DataFrame:
+    """``job_id, check_id, status``: as many speakers, and as many of ``least`` seconds or more, as the baseline has."""
+    b = speaker_stats(base, least).select("job_id", F.col("n_speakers").alias("bs"), F.col("n_large").alias("bl"))
+    met = b.join(speaker_stats(hyp, least), "job_id", "left").fillna(0, ["n_speakers", "n_large"])
+    row = lambda name, same: F.struct(F.lit(name).alias("check_id"), F.when(same, "PASS").otherwise("WARN").alias("status"))
+    return met.select("job_id", F.inline(F.array(row("D1_speaker_count", F.col("n_speakers") == F.col("bs")), row("D2_large_speakers_ge30s", F.col("n_large") == F.col("bl")))))
+
+
+def new_speakers_and_hotspot(turns: DataFrame, known: DataFrame, low: float, high: float) -> DataFrame:
+    """``job_id, new_ids, n_hotspot, hotspot_sec``: speakers that ``known(job_id, speaker)`` lacks, and turns that reach into a stretch."""
+    new = turns.select("job_id", "speaker").distinct().join(known.select("job_id", "speaker").distinct(), ["job_id", "speaker"], "left_anti")
+    new = new.groupBy("job_id").agg(F.array_join(F.array_sort(F.collect_list("speaker")), ",").alias("new_ids"))
+    inside = (F.col("end") > low) & (F.col("start") < high)
+    spot = turns.groupBy("job_id").agg(F.count(F.when(inside, 1)).alias("n_hotspot"), F.round(F.coalesce(F.sum(F.when(inside, F.col("end") - F.col("start"))), F.lit(0.0)), 3).alias("hotspot_sec"))
+    return spot.join(new, "job_id", "left").select("job_id", F.coalesce("new_ids", F.lit("")).alias("new_ids"), "n_hotspot", "hotspot_sec")
+
+
+def wer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """Words and word edits per pair of segments, and the rate over the job.
+
+    Each different word of a pair is one character, by its place among the pair's words, so the edit distance of characters is that
+    of words; a segment has fewer different words than the plane of characters used has places.
+    """
+    split = lambda c: F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    met = ref.select("job_id", "segment_id", split(F.col("text")).alias("r")).join(hyp.select("job_id", "segment_id", split(F.col("text")).alias("h")), ["job_id", "segment_id"], "left")
+    met = met.withColumn("h", F.coalesce("h", F.array().cast("array<string>"))).withColumn("all", F.array_union("r", "h"))
+    one = lambda c: F.array_join(F.transform(c, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position("all", w) + 0x4DFF), 4, "0")), "UTF-16BE")), "")
+    d = F.levenshtein(one(F.col("r")), one(F.col("h")))
+    return met.groupBy("job_id").agg(F.sum(F.size("r")).alias("words"), F.sum(d).alias("edits")).withColumn("wer", F.round(F.when(F.col("words") > 0, F.col("edits") / F.col("words")).otherwise(0.0), 6))
+
+
 def cer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """Characters and edits per pair of segments, and the rate over the job."""
     met = ref.select("job_id", "segment_id", "text").join(hyp.select("job_id", "segment_id", F.col("text").alias("h")), ["job_id", "segment_id"], "left")
@@ -72,7 +124,7 @@ def map_speakers(gold: DataFrame, hyp: DataFrame, least: float = 0.2, near: floa
     g = gold.select("job_id", F.col("ord").alias("g_ord"), F.col("speaker").alias("g_speaker"), F.array_distinct(tokens(F.col("text"))).alias("g_words"), F.col("start").alias("gs"), F.col("end").alias("ge")).filter("size(g_words) >= 2")
     h = hyp.select("job_id", F.col("ord").alias("h_ord"), F.col("speaker").alias("h_speaker"), F.array_distinct(tokens(F.col("text"))).alias("h_words"), F.col("start").alias("hs"), F.col("end").alias("he"))
     shared = F.least("ge", "he") - F.greatest("gs", "hs")
-    met = g.join(h, "job_id").filter((shared > 0) | (F.abs(F.col("gs") - F.col("hs")) <= near)).withColumn("common", F.size(F.array_intersect("g_words", "h_words"))).filter("common > 0")
+    met = interval_join(g, h, (F.col("gs") - near, F.col("ge") + near), (F.col("hs"), F.col("he"))).filter((shared > 0) | (F.abs(F.col("gs") - F.col("hs")) <= near)).withColumn("common", F.size(F.array_intersect("g_words", "h_words"))).filter("common > 0")
     score = F.col("common") / F.size("g_words") + F.when(shared > 0, 0.5 * shared / F.greatest(F.col("ge") - F.col("gs"), F.lit(0.01))).otherwise(0.0)
     best = met.groupBy("job_id", "g_ord", "g_speaker", "h_speaker").agg(F.min(F.struct((-F.round(score, 9)).alias("k"), "h_ord", "h_speaker")).alias("b"))
     per = best.groupBy("job_id", "g_ord", "g_speaker").agg(F.array_sort(F.collect_list("b")).alias("c"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ORDER = ("start", "end", "ord")
@@ -14,6 +14,20 @@ def _reach(df: DataFrame, *keys: str):
     return F.max("end").over(w)
 
 
+def interval_join(a: DataFrame, b: DataFrame, a_span: tuple[Column, Column], b_span: tuple[Column, Column], slice_sec: float = 60.0) -> DataFrame:
+    """Rows of ``a`` and ``b`` of one job whose spans ``[from, to]`` meet, each pair once.
+
+    Both sides are cut at every ``slice_sec`` seconds and joined on job and slice, so a long job is many small groups. A pair
+    counts in the later of their first slices. Columns of ``b`` beside ``job_id`` must have names of their own.
+    """
+    first = lambda span: F.floor(span[0] / slice_sec)
+    every = lambda span: F.explode(F.sequence(first(span), F.greatest(F.floor(span[1] / slice_sec), first(span))))
+    left = a.select("*", first(a_span).alias("__fa"), a_span[0].alias("__a0"), a_span[1].alias("__a1"), every(a_span).alias("__k"))
+    right = b.select("*", first(b_span).alias("__fb"), b_span[0].alias("__b0"), b_span[1].alias("__b1"), every(b_span).alias("__k"))
+    met = left.join(right, ["job_id", "__k"]).filter("__k = greatest(__fa, __fb) AND __a0 <= __b1 AND __b0 <= __a1")
+    return met.drop("__k", "__fa", "__fb", "__a0", "__a1", "__b0", "__b1")
+
+
 def merge_regions(df: DataFrame, max_gap: float = 0.0, min_dur: float = 0.0) -> DataFrame:
     """Join regions not more than ``max_gap`` apart (against the furthest end so far); drop short ones afterwards."""
     w = Window.partitionBy("job_id").orderBy(*_ORDER)
@@ -137,15 +151,16 @@ def embedding_windows(regions: DataFrame, win: float = 1.5, step: float = 0.75,
 
 def speaker_at(points: DataFrame, turns: DataFrame, eps: float = 1e-6) -> DataFrame:
     """Speaker of the first turn that holds the point ``mid``; the point's own where none does."""
-    t = turns.select(F.col("job_id").alias("tj"), F.col("start").alias("ts"), F.col("end").alias("te"), F.col("ord").alias("tord"), F.col("speaker").alias("found"))
-    met = points.join(t, (F.col("job_id") == F.col("tj")) & (F.col("mid") >= F.col("ts") - eps) & (F.col("mid") <= F.col("te") + eps), "left").drop("tj")
-    return met.groupBy("job_id", "ord", "mid").agg(F.coalesce(F.min_by("found", "tord"), F.first("speaker")).alias("speaker"))
+    t = turns.select("job_id", F.col("start").alias("ts"), F.col("end").alias("te"), F.col("ord").alias("tord"), F.col("speaker").alias("found"))
+    met = interval_join(points.select("job_id", "ord", "mid").distinct(), t, (F.col("mid"), F.col("mid")), (F.col("ts") - eps, F.col("te") + eps))
+    found = met.groupBy("job_id", "ord", "mid").agg(F.min_by("found", "tord").alias("found"))
+    return points.join(found, ["job_id", "ord", "mid"], "left").select("job_id", "ord", "mid", F.coalesce("found", "speaker").alias("speaker"))
 
 
 def clip_to_part(regions: DataFrame, parts: DataFrame) -> DataFrame:
     """Regions cut to the parts of their job, in the part's own time."""
     p = parts.select("job_id", "part_id", F.col("start").alias("ps"), F.col("end").alias("pe"))
-    met = regions.join(p, "job_id").filter((F.col("start") < F.col("pe")) & (F.col("end") > F.col("ps")))
+    met = interval_join(regions, p, (F.col("start"), F.col("end")), (F.col("ps"), F.col("pe"))).filter((F.col("start") < F.col("pe")) & (F.col("end") > F.col("ps")))
     met = met.select("job_id", "part_id", "ord", F.round(F.greatest("start", "ps") - F.col("ps"), 3).alias("start"), F.round(F.least("end", "pe") - F.col("ps"), 3).alias("end"))
     return met.filter(F.col("end") - F.col("start") > 1e-6)
 
@@ -159,24 +174,30 @@ def shift_part(df: DataFrame, parts: DataFrame) -> DataFrame:
 def slice_window(df: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows that reach into each part, with their texts in order and their number of speakers."""
     p = parts.select("job_id", "part_id", F.col("start").alias("ps"), F.col("end").alias("pe"))
-    met = df.join(p, "job_id").filter((F.col("start") < F.col("pe")) & (F.col("end") > F.col("ps")))
+    met = interval_join(df, p, (F.col("start"), F.col("end")), (F.col("ps"), F.col("pe"))).filter((F.col("start") < F.col("pe")) & (F.col("end") > F.col("ps")))
     texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("ord", "text")))), lambda x: x["text"])
     return met.groupBy("job_id", "part_id").agg(F.count("*").alias("n"), F.countDistinct("speaker").alias("n_speakers"), F.array_join(texts, " ").alias("text_concat"))
 
 
-def hysteresis_regions(frames: DataFrame, thr: float = 0.5, neg: float = 0.35, min_silence: int = 2, min_speech: int = 2, frame: float = 0.1) -> DataFrame:
-    """Speech from frame probabilities: in at ``thr``, out when below ``neg`` for ``min_silence`` frames, at the first of them."""
+def hysteresis_regions(frames: DataFrame, thr: float = 0.5, neg: float = 0.35, min_silence: int = 2, min_speech: int = 2, frame: float = 0.1, pad: float = 0.0) -> DataFrame:
+    """Speech from frame probabilities: in at ``thr``, out once ``min_silence`` frames have passed since the first of a run below
+    ``neg``, at that first one. Regions are widened by ``pad`` seconds, within the recording and not over the one before."""
     w = Window.partitionBy("job_id").orderBy("frame_idx")
     low = F.col("prob") < neg
     f = frames.withColumn("low_from", F.last(F.when(~low, F.col("frame_idx")), True).over(w) + 1)
     f = f.withColumn("low_from", F.when(low, F.coalesce("low_from", F.lit(0))))
-    event = F.when(F.col("prob") >= thr, 1).when(low & (F.col("frame_idx") - F.col("low_from") + 1 >= min_silence), 0)
+    event = F.when(F.col("prob") >= thr, 1).when(low & (F.col("frame_idx") - F.col("low_from") >= min_silence), 0)
     f = f.withColumn("state", F.coalesce(F.last(event, True).over(w), F.lit(0)))
     f = f.withColumn("rise", F.when((F.col("state") == 1) & (F.coalesce(F.lag("state").over(w), F.lit(0)) == 0), 1).otherwise(0)).withColumn("region", F.sum("rise").over(w))
     fall = F.min(F.when((F.col("state") == 0) & (F.col("region") > 0), F.col("low_from")))
     out = f.filter("region > 0").groupBy("job_id", "region").agg(F.min("frame_idx").alias("a"), fall.alias("b"), F.max("frame_idx").alias("last"))
     out = out.withColumn("b", F.coalesce("b", F.col("last") + 1)).filter(F.col("b") - F.col("a") >= min_speech)
-    return out.select("job_id", (F.row_number().over(Window.partitionBy("job_id").orderBy("a")) - 1).cast("long").alias("ord"), F.round(F.col("a") * frame, 3).alias("start"), F.round(F.col("b") * frame, 3).alias("end"))
+    total = frames.groupBy("job_id").agg((F.max("frame_idx") + 1).alias("n"))
+    order = Window.partitionBy("job_id").orderBy("a")
+    out = out.join(total, "job_id").withColumn("e", F.least(F.col("b") * frame + pad, F.col("n") * frame))
+    begin = F.greatest(F.lit(0.0), F.col("a") * frame - pad, F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    out = out.withColumn("s", begin).filter("e > s")
+    return out.select("job_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), F.round("s", 3).alias("start"), F.round("e", 3).alias("end"))
 
 
 def whole_file_region(durations: DataFrame) -> DataFrame:
@@ -186,7 +207,7 @@ def whole_file_region(durations: DataFrame) -> DataFrame:
 def fill_holes_with_fallback(primary: DataFrame, secondary: DataFrame, durations: DataFrame, min_hole: float = 0.5) -> DataFrame:
     """Primary regions, and the parts of secondary ones inside the primary's holes, each with its origin."""
     holes = find_holes(primary, durations, min_hole).select("job_id", F.col("start").alias("hs"), F.col("end").alias("he"))
-    inside = secondary.join(holes, "job_id").filter((F.col("start") < F.col("he")) & (F.col("end") > F.col("hs")))
+    inside = interval_join(secondary, holes, (F.col("start"), F.col("end")), (F.col("hs"), F.col("he"))).filter((F.col("start") < F.col("he")) & (F.col("end") > F.col("hs")))
     inside = inside.select("job_id", F.greatest("start", "hs").alias("start"), F.least("end", "he").alias("end"), F.lit("fallback").alias("origin"))
     return primary.select("job_id", "start", "end", F.lit("primary").alias("origin")).unionByName(inside)
 
@@ -195,7 +216,7 @@ def overlap_join(gold: DataFrame, hyp: DataFrame, pad: float = 0.0, least: float
     """For each gold row the hypothesis rows that overlap it by more than ``least`` (padded), their texts in order."""
     h = hyp.select("job_id", F.col("ord").alias("hord"), F.col("start").alias("hs"), F.col("end").alias("he"), F.col("text").alias("htext"))
     over = F.least("end", F.col("he") + pad) - F.greatest("start", F.col("hs") - pad)
-    met = gold.join(h, "job_id").withColumn("over", over).filter(F.col("over") > least)
+    met = interval_join(gold, h, (F.col("start"), F.col("end")), (F.col("hs") - pad, F.col("he") + pad)).withColumn("over", over).filter(F.col("over") > least)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("hs", "hord", "htext"))), lambda x: x["htext"])
     return met.groupBy("job_id", "ord").agg(F.count("*").alias("n"), F.array_join(texts, " ").alias("hyp_text"))
 

@@ -39,6 +39,13 @@ def expired(jobs: DataFrame, now) -> DataFrame:
     return jobs.filter(F.col("expires_at") <= now)
 
 
+def stale_staging(staged: DataFrame, now, hours: float = 6.0) -> DataFrame:
+    """Rows of ``staged(staging_id, created_at, modified)`` at least ``hours`` old; text times without a zone are UTC, and a time that
+    can't be read gives way to the time of the file."""
+    at = F.coalesce(F.try_to_timestamp("created_at"), F.col("modified"))
+    return staged.filter(F.unix_micros(now) - F.unix_micros(at) >= int(hours * 3_600_000_000)).select("staging_id")
+
+
 def stalled_jobs(states: DataFrame, now, timeout_sec: int) -> DataFrame:
     """Running jobs without an event for ``timeout_sec``."""
     return states.filter((F.col("state") == "running") & (F.unix_micros("seen") < F.unix_micros(now) - timeout_sec * 1_000_000)).select("job_id", "seen")

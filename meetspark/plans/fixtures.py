@@ -33,10 +33,10 @@ INTERVALS = """intervals AS (SELECT user_id AS job_id, event_id AS ord, event_ty
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("vec_id")
-    return _read(spark, d, "embeddings").select((v % 5).alias("job_id"), F.expr("vec_id div 5").alias("ord"), (0.75 * F.expr("vec_id div 5")).alias("start"), (0.75 * F.expr("vec_id div 5") + 1.5).alias("end"), "embedding", "label")
+    return _read(spark, d, "embeddings").select(F.expr("vec_id div 100").alias("job_id"), (v % 100).alias("ord"), (0.75 * (v % 100)).alias("start"), (0.75 * (v % 100) + 1.5).alias("end"), "embedding", "label")
 
 
-VECTORS = """vectors AS (SELECT vec_id % 5 AS job_id, vec_id // 5 AS ord, 0.75::DOUBLE * (vec_id // 5) AS "start", 0.75::DOUBLE * (vec_id // 5) + 1.5 AS "end", embedding, label FROM embeddings)"""
+VECTORS = """vectors AS (SELECT vec_id // 100 AS job_id, vec_id % 100 AS ord, 0.75::DOUBLE * (vec_id % 100) AS "start", 0.75::DOUBLE * (vec_id % 100) + 1.5 AS "end", embedding, label FROM embeddings)"""
 
 
 def chapters(spark: SparkSession, d: str) -> DataFrame:

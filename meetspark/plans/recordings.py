@@ -76,11 +76,12 @@ def b8_script_word_ratio(spark, d):
     return H.script_word_ratio(X.segments(spark, d))
 
 
-@query("b12_digits_verified", """SELECT a.item_id, list_bool_and(list_transform(list_filter(regexp_split_to_array(a.text || ' ' || a.item_id, '[^0-9]+'), lambda x: x <> ''), lambda g: contains(b.text || (b.item_id * 7), g))) IS NOT FALSE AS ok FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id + 1) % 40""")
+@query("b12_digits_verified", """SELECT a.item_id, list_bool_and(list_transform(list_filter(regexp_split_to_array(a.text || ' ' || a.item_id, '[^0-9]+'), lambda x: x <> ''), lambda g: contains(b.text || (b.item_id * 7), g))) IS NOT FALSE AS ok FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id + 1) % (SELECT count(*) FROM benchmark)""")
 def b12_digits_verified(spark, d):
     a = _table(spark, d, "benchmark")
+    n = max(1, a.count())
     b = a.select(F.col("item_id").alias("i"), F.concat("text", (F.col("item_id") * 7).cast("string")).alias("source"))
-    return a.join(b, F.col("i") == (F.col("item_id") + 1) % 40).select("item_id", T.digit_groups_verified(F.concat_ws(" ", "text", F.col("item_id").cast("string")), F.col("source")).alias("ok"))
+    return a.join(b, F.col("i") == (F.col("item_id") + 1) % n).select("item_id", T.digit_groups_verified(F.concat_ws(" ", "text", F.col("item_id").cast("string")), F.col("source")).alias("ok"))
 
 
 # ---- intervals
@@ -129,12 +130,12 @@ _HOLES = """r AS (SELECT *, coalesce(max("end") OVER (PARTITION BY job_id ORDER
  holes AS (SELECT job_id, round(reach, 3) AS "start", round("start", 3) AS "end" FROM r WHERE "start" - reach >= {1} UNION ALL SELECT job_id, round(last, 3), round(duration, 3) FROM durations LEFT JOIN (SELECT job_id, max("end") AS last FROM r GROUP BY job_id) USING (job_id) WHERE duration - coalesce(last, 0) >= {1})"""
 
 
-_SYSTEMS = ["click", "view", "purchase"]
+_SYSTEMS = ["click", "view", "purchase", "error", "signup"]
 _OTHERS = {(a, b): f'"{b}"' for a in _SYSTEMS for b in _SYSTEMS if a != b} | {(a, "*"): " OR ".join(f'"{b}"' for b in _SYSTEMS if b != a) for a in _SYSTEMS}
 
 
 @query("c6_coverage_diff", f"""WITH {X.INTERVALS}, st AS (SELECT job_id, speaker, "start" AS t, 1 AS step FROM intervals UNION ALL SELECT job_id, speaker, "end", -1 FROM intervals),
- sw AS (SELECT job_id, t, {', '.join(f"coalesce(sum(step) FILTER (speaker = '{a}'), 0) AS {a}" for a in _SYSTEMS)} FROM st GROUP BY job_id, t HAVING count(*) FILTER (speaker IN ('click', 'view', 'purchase')) > 0),
+ sw AS (SELECT job_id, t, {', '.join(f"coalesce(sum(step) FILTER (speaker = '{a}'), 0) AS {a}" for a in _SYSTEMS)} FROM st GROUP BY job_id, t HAVING count(*) FILTER (speaker IN ('click', 'view', 'purchase', 'error', 'signup')) > 0),
  op AS (SELECT job_id, lead(t) OVER w - t AS dt, {', '.join(f"sum({a}) OVER w > 0 AS {a}" for a in _SYSTEMS)} FROM sw WINDOW w AS (PARTITION BY job_id ORDER BY t))
  {' UNION ALL '.join(f"""SELECT job_id, '{a}' AS system, '{b}' AS other, round(coalesce(sum(dt) FILTER ("{a}" AND NOT ({on})), 0), 3) AS only_sec, round(coalesce(sum(dt) FILTER ("{a}" AND ({on})), 0), 3) AS both_sec FROM op GROUP BY job_id""" for (a, b), on in _OTHERS.items())}""")
 def c6_coverage_diff(spark, d):
@@ -230,7 +231,8 @@ def c18_slice_window(spark, d):
 
 @query("c19_hysteresis_regions")
 def c19_hysteresis_regions(spark, d):
-    return V.hysteresis_regions(_table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("frame_idx"), F.pmod(F.col("value"), F.lit(1.0)).alias("prob")))
+    frame = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
+    return V.hysteresis_regions(_table(spark, d, "events").select(F.col("user_id").alias("job_id"), frame.alias("frame_idx"), F.pmod(F.col("value"), F.lit(1.0)).alias("prob")), pad=0.1)
 
 
 @query("c20_whole_file_region", f"""WITH {X.SEGMENTS}, {_DUR.format('segments')} SELECT job_id, 0 AS ord, 0.0 AS "start", duration AS "end" FROM durations""")
