@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,74 @@ def select_titles(replies: DataFrame, chapters: DataFrame, max_attempts: int = 2
     fold = f"""aggregate(p, cast(array() AS array<struct<chapter_id:string,pick:{pick}>>), (a, x) -> concat(a, array(named_struct('chapter_id', x.chapter_id,
       'pick', cast(get(filter(coalesce(x.c, array()), y -> NOT exists(a, z -> z.pick.key <=> y.key)), 0) AS {pick})))))"""
     return jobs.select("job_id", F.inline(F.expr(fold))).select("job_id", "chapter_id", "pick.title", "pick.attempt")
+
+
+PAYLOADS = {
+    "extract": EXTRACT,
+    "report": REPORT,
+    "title": "struct<title:string>",
+    "batch": "struct<titles:array<struct<id:string,title:string>>>",
+}
+
+
+def parse_payload(replies: DataFrame, task: str) -> DataFrame:
+    """The columns of ``replies(..., text)``, ``ok`` and the typed ``payload`` (null if not ok).
+
+    ``extract`` and ``report`` allow no unknown keys and want a source for each item and a text for each moment; ``title`` and ``batch``
+    ignore them and want titles of a character or more, a batch at least one.
+    """
+    known = {"extract": ["key_points", "actions", "open_questions", "asr_notes"], "report": ["summary", "key_moments"]}
+    keys, p = F.json_object_keys("text"), F.col("payload")
+    text = lambda c: F.length(F.coalesce(c, F.lit(""))) > 0
+    none = lambda kind: F.array().cast(kind)
+    if task == "extract":
+        good = None
+        for kind in ("key_points", "actions", "open_questions"):
+            each = F.forall(F.coalesce(p[kind], none(_ITEM)), lambda i: text(i["text"]) & (F.size(F.coalesce(i["segment_ids"], none("array<string>"))) > 0))
+            good = each if good is None else good & each
+    elif task == "report":
+        good = p["summary"].isNotNull() & F.forall(F.coalesce(p["key_moments"], none("array<struct<text:string,chapter_id:string,segment_id:string>>")), lambda m: text(m["text"]) & text(m["chapter_id"]) & text(m["segment_id"]))
+    elif task == "title":
+        good = text(p["title"])
+    else:
+        good = (F.size(F.coalesce(p["titles"], none("array<struct<id:string,title:string>>"))) > 0) & F.forall(F.coalesce(p["titles"], none("array<struct<id:string,title:string>>")), lambda t: text(t["id"]) & text(t["title"]))
+    strict = F.forall(keys, lambda k: k.isin(known[task])) if task in known else keys.isNotNull()
+    out = replies.withColumn("payload", F.from_json("text", PAYLOADS[task])).withColumn("ok", F.coalesce(keys.isNotNull() & strict & good, F.lit(False)))
+    return out.withColumn("payload", F.when(F.col("ok"), F.col("payload")))
+
+
+def select_batch_titles(batches: DataFrame, singles: DataFrame, chapters: DataFrame, max_attempts: int = 2, max_words: int = 10) -> DataFrame:
+    """``job_id, chapter_id, title, origin``: the first attempt of ``batches(job_id, attempt, text)`` whose titles hold for all chapters of the
+    job; for jobs without one, titles chapter by chapter from ``singles`` as ``select_titles`` does."""
+    made = parse_payload(batches.filter(F.col("attempt") <= max_attempts), "batch").filter("ok").select("job_id", "attempt", F.posexplode("payload.titles").alias("pos", "t"))
+    made = made.groupBy("job_id", "attempt", F.col("t.id").alias("chapter_id")).agg(F.max_by("t.title", "pos").alias("title"))  # the last of an id counts
+    tries = batches.filter(F.col("attempt") <= max_attempts).select("job_id", "attempt").distinct()
+    each = chapters.select("job_id", "chapter_id", "ord").join(tries, "job_id").join(made, ["job_id", "attempt", "chapter_id"], "left")
+    each = each.withColumn("title", F.trim(F.regexp_replace("title", r"\s+", " ")))
+    first = F.row_number().over(Window.partitionBy("job_id", "attempt", F.lower("title")).orderBy("ord"))
+    fair = F.coalesce(~is_blank(F.col("title")) & (word_count(F.col("title")) <= max_words) & ~starts_with_stamp(F.col("title"), strip_quotes=False) & (first == 1), F.lit(False))
+    whole = each.withColumn("fair", fair).groupBy("job_id", "attempt").agg(F.min(F.col("fair").cast("int")).alias("all")).filter("`all` = 1").groupBy("job_id").agg(F.min("attempt").alias("attempt"))
+    batch = each.join(whole, ["job_id", "attempt"]).select("job_id", "chapter_id", "title", F.lit("batch").alias("origin"))
+    rest = chapters.join(whole.select("job_id"), "job_id", "left_anti")
+    return batch.unionByName(select_titles(singles, rest, max_attempts, max_words).select("job_id", "chapter_id", "title", F.lit("single").alias("origin")))
+
+
+def build_prompts(template: str, chapters: DataFrame, segments: DataFrame) -> DataFrame:
+    """``job_id, chapter_id, prompt``: ``template`` with the chapter's ``chapter_id, title, start, end``, its ``chapter_text`` (``speaker: text`` of
+    segments with text) and its ``src_catalog`` (id, times and speaker of every segment) for the names in double braces.
+
+    A name that stays unfilled is an error.
+    """
+    met = chapter_segments(chapters).join(segments.select("job_id", "segment_id", "speaker", "text", "start", "end"), ["job_id", "segment_id"])
+    line = F.when(~is_blank(F.col("text")), F.concat(F.col("speaker"), F.lit(": "), F.trim("text")))
+    entry = F.concat_ws(" | ", "segment_id", F.format_string("%.3f-%.3f", "start", "end"), "speaker")
+    rows = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"), entry.alias("entry"))))
+    texts = met.groupBy("job_id", "chapter_id").agg(rows.alias("r"))
+    texts = texts.select("job_id", "chapter_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("chapter_text"), F.array_join(F.transform("r", lambda x: x["entry"]), "\n").alias("src_catalog"))
+    full = chapters.join(texts, ["job_id", "chapter_id"], "left")
+    values = {"chapter_id": F.col("chapter_id"), "title": F.col("title"), "start": F.format_string("%.3f", "start"), "end": F.format_string("%.3f", "end"), "chapter_text": F.col("chapter_text"), "src_catalog": F.col("src_catalog")}
+    left = [name for name in re.findall(r"\{\{(\w+)\}\}", template) if name not in values]
+    if left:
+        raise ValueError(f"unfilled names in the template: {', '.join(left)}")
+    parts = re.split(r"\{\{(\w+)\}\}", template)  # texts and names in turn, so a value with braces is never filled itself
+    return full.select("job_id", "chapter_id", F.concat(*(F.lit(x) if i % 2 == 0 else F.coalesce(values[x], F.lit("")) for i, x in enumerate(parts))).alias("prompt"))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import chapters as C
 from ..operators import clustering as E
 from ..operators import edits as I
 from ..operators import evaluate as J
 from ..operators import gates as H
+from ..operators import insights as G
 from ..operators import jobs as K
 from ..sources import artifacts as A
 from . import fixtures as X
-from .recordings import _BRIDGE, _DUR, _EDITED, _EV, _HOLES, _MOMENTS, _SWEEP, _WORDS, _durations, _events, _now, _table, _unit_vectors, _vectors
+from .recordings import _BRIDGE, _DUR, _EDITED, _MOMENTS, _WORDS, _durations, _now, _report_replies, _table, _title_replies, _unit_vectors
 from .registry import SQL, query
 
 _STAMPED = "regexp_matches(lower(regexp_replace({0}, '^[\\s«\"''(\\[{{`]+', '')), '^(in this segment|this chapter|the speaker|here is)')"
@@ -181,3 +181,39 @@ def a9_report_markdown(spark, d):
     c = X.chapters(spark, d)
     jobs = c.filter("ord = 0").select("job_id", F.col("title").alias("summary"), (F.col("job_id") % 2 == 0).alias("draft"))
     return A.render_report_markdown(jobs, c, speaker_totals(X.segments(spark, d)))
+
+
+# ---- replies and prompts
+
+_PROMPT = "Chapter {{chapter_id}} ({{start}} to {{end}}): {{title}}\n{{chapter_text}}\n---\n{{src_catalog}}"
+
+
+@query("b21_build_prompts", f"""WITH {X.CHAPTERS}, {_BRIDGE}, t AS (SELECT job_id, chapter_id, string_agg(speaker || ': ' || trim(text), chr(10) ORDER BY pos) FILTER (trim(text) <> '') AS tx, string_agg(segment_id || ' | ' || printf('%.3f-%.3f', "start", "end") || ' | ' || speaker, chr(10) ORDER BY pos) AS ct FROM bridge JOIN segments USING (job_id, segment_id) GROUP BY ALL)
+ SELECT job_id, chapter_id, 'Chapter ' || chapter_id || ' (' || printf('%.3f to %.3f', "start", "end") || '): ' || title || chr(10) || coalesce(tx, '') || chr(10) || '---' || chr(10) || ct AS prompt FROM chapters JOIN t USING (job_id, chapter_id)""")
+def b21_build_prompts(spark, d):
+    return G.build_prompts(_PROMPT, X.chapters(spark, d), X.segments(spark, d))
+
+
+@query("g1_parse_titles", f"""WITH {X.CHAPTERS}, t AS (SELECT *, first(title) OVER (PARTITION BY job_id ORDER BY ord) AS f FROM chapters) SELECT job_id, chapter_id, attempt, CASE WHEN attempt = 2 THEN true WHEN ord % 3 = 1 THEN false WHEN ord % 3 = 2 THEN f <> '' ELSE title <> '' END AS ok FROM t, (VALUES (1), (2)) a(attempt)""")
+def g1_parse_titles(spark, d):
+    return G.parse_payload(_title_replies(spark, d), "title").select("job_id", "chapter_id", "attempt", "ok")
+
+
+@query("g1_parse_reports", f"""WITH {X.CHAPTERS} SELECT job_id, min(title) FILTER (title = '') IS NULL AND job_id % 4 <> 3 AS ok FROM chapters GROUP BY job_id""")
+def g1_parse_reports(spark, d):
+    extra = F.regexp_replace("text", r"^\{", '{"other":1,')
+    r = _report_replies(spark, d).withColumn("text", F.when(F.col("job_id") % 4 == 3, extra).otherwise(F.col("text")))
+    return G.parse_payload(r, "report").select("job_id", "ok")
+
+
+def _batches(spark, d):
+    """Two replies with the titles of all chapters; every third job lacks one, another third has no JSON at first."""
+    c = X.chapters(spark, d).withColumn("t", F.struct(F.col("chapter_id").alias("id"), F.concat_ws(" ", "title", "chapter_id").alias("title")))
+    listed = F.transform(F.array_sort(F.collect_list(F.when((F.col("job_id") % 3 != 1) | (F.col("ord") > 0), F.struct("ord", "t")))), lambda x: x["t"])
+    jobs = c.groupBy("job_id").agg(F.to_json(F.struct(listed.alias("titles"))).alias("full")).withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2))))
+    return jobs.select("job_id", "attempt", F.when((F.col("job_id") % 3 == 2) & (F.col("attempt") == 1), "titles follow").otherwise(F.col("full")).alias("text"))
+
+
+@query("g2_batch_titles", SQL["g2_select_titles"].replace("SELECT job_id, chapter_id, title, attempt FROM f", "SELECT job_id, chapter_id, title, 'single' AS origin FROM f WHERE job_id % 3 = 1 UNION ALL SELECT job_id, chapter_id, trim(regexp_replace(title || ' ' || chapter_id, '\\s+', ' ', 'g')), 'batch' FROM chapters WHERE job_id % 3 <> 1"))
+def g2_batch_titles(spark, d):
+    return G.select_batch_titles(_batches(spark, d), _title_replies(spark, d), X.chapters(spark, d))
