@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import clip_turn_overlaps, merge_turns, speaker_at
+from .intervals import clip_turn_overlaps, covered_sec, merge_turns, speaker_at
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -143,11 +143,39 @@ def update_gallery(windows: DataFrame, gallery: DataFrame, threshold: float = 0.
     made = cluster_windows(rest, threshold).withColumn("cluster", F.col("label").cast("string"))
     names = _with_free_ids(made.select("job_id", "cluster").distinct(), gallery.select("job_id", "speaker"))
     assigned = near.filter("speaker IS NOT NULL").unionByName(made.join(names, ["job_id", "cluster"]).select("job_id", "ord", "speaker"))
-    heard = speaker_centroids(windows.select("job_id", "ord", "embedding").join(assigned, ["job_id", "ord"])).select("job_id", "speaker", F.col("n_windows").alias("m"), F.col("centroid").alias("v"))
+    return assigned, _blended(gallery, windows, assigned)
+
+
+def _blended(gallery: DataFrame, windows: DataFrame, assigned: DataFrame, keep_counts: bool = False) -> DataFrame:
+    """The gallery after a batch: centroids blended by count with the means of the windows; new speakers as they are. With ``keep_counts``
+    the numbers of windows stay those of before."""
+    heard = speaker_centroids(windows.select("job_id", "ord", "embedding").join(assigned.select("job_id", "ord", "speaker"), ["job_id", "ord"])).select("job_id", "speaker", F.col("n_windows").alias("m"), F.col("centroid").alias("v"))
     met = gallery.select("job_id", "speaker", F.col("n_windows").cast("long").alias("n"), F.col("centroid").alias("c")).join(heard, ["job_id", "speaker"], "full")
     blend = l2_normalize(F.zip_with("c", "v", lambda x, y: x * F.col("n") + y * F.col("m")))
-    after = met.select("job_id", "speaker", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n_windows"), F.when(F.col("v").isNull(), F.col("c")).when(F.coalesce("n", F.lit(0)) <= 0, F.col("v")).otherwise(blend).alias("centroid"))
-    return assigned, after
+    count = F.coalesce("n", F.lit(0)) if keep_counts else F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+    return met.select("job_id", "speaker", count.alias("n_windows"), F.when(F.col("v").isNull(), F.col("c")).when(F.coalesce("n", F.lit(0)) <= 0, F.col("v")).otherwise(blend).alias("centroid"))
+
+
+def refine_reassign(windows: DataFrame, gallery: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``job_id, ord, speaker`` in two passes: windows near the gallery move its centroids, and all are assigned anew to those; what is left
+    is clustered into the lowest free ids."""
+    near = assign_to_gallery(windows, gallery, threshold).filter("speaker IS NOT NULL")
+    return update_gallery(windows, _blended(gallery, windows, near, keep_counts=True), threshold)[0]
+
+
+def clear_winner(windows: DataFrame, gallery: DataFrame, threshold: float = 0.85, margin: float = 0.05, short: float = 2.0) -> DataFrame:
+    """``job_id, ord, speaker``: windows are clustered first; a cluster takes its nearest speaker of the gallery if that is within ``threshold`` and
+    nearer by ``margin`` than the next, or if the cluster has less than ``short`` seconds of speech; else it gets a free id."""
+    met = windows.select("job_id", "ord", "start", "end", "embedding").join(cluster_windows(windows, threshold), ["job_id", "ord"]).withColumn("cluster", F.col("label").cast("string"))
+    means = speaker_centroids(met.withColumn("speaker", F.col("cluster"))).select("job_id", F.col("speaker").alias("cluster"), F.col("centroid").alias("v"))
+    far = means.join(gallery.select("job_id", "speaker", "centroid"), "job_id", "left").select("job_id", "cluster", F.when(F.col("speaker").isNotNull(), F.struct(F.round(cosine_distance(F.col("v"), F.col("centroid")), 9).alias("d"), "speaker")).alias("x"))
+    near = far.groupBy("job_id", "cluster").agg(F.array_sort(F.collect_list("x")).alias("x"))  # one entry for each speaker of the gallery
+    sec = covered_sec(met.select(F.struct("job_id", "cluster").alias("job_id"), "ord", "start", "end")).select("job_id.job_id", "job_id.cluster", "covered_sec")
+    first = F.get("x", F.lit(0))
+    clear = (first["d"] <= threshold) & ((F.size("x") == 1) | (F.get("x", F.lit(1))["d"] - first["d"] >= margin))
+    named = near.join(sec, ["job_id", "cluster"], "left").filter(clear | ((F.coalesce("covered_sec", F.lit(0.0)) < short) & (F.size("x") > 0))).select("job_id", "cluster", first["speaker"].alias("speaker"))
+    rest = near.select("job_id", "cluster").join(named, ["job_id", "cluster"], "left_anti")
+    return met.join(named.unionByName(_with_free_ids(rest, gallery.select("job_id", "speaker"))), ["job_id", "cluster"]).select("job_id", "ord", "speaker")
 
 
 def greedy_remap(overlaps: DataFrame) -> DataFrame:

@@ -114,6 +114,19 @@ def grid_summary(segments: DataFrame) -> DataFrame:
     return segments.groupBy("job_id").agg(F.round(F.percentile(F.col("end") - F.col("start"), F.lit(0.5)), 6).alias("median_sec"), F.count(F.when(word_count(F.col("text")) <= 3, 1)).alias("n_short"))
 
 
+def grid_variants(rows: DataFrame, durations: DataFrame, baseline: str, loss: float = 5.0) -> DataFrame:
+    """Each variant of ``rows(variant, job_id, ord, start, end, text)`` against the variant ``baseline`` of the same job: share of
+    ``durations(job_id, duration)`` that is covered, median length, segments of three words or fewer, percentage points of cover won or lost, and a
+    warning at a loss of ``loss`` points or more."""
+    key = F.struct("variant", "job_id").alias("job_id")
+    cover = interval_union(rows.select(key, "ord", "start", "end")).groupBy("job_id").agg(F.sum(F.col("end") - F.col("start")).alias("sec")).select("job_id.*", "sec")
+    each = grid_summary(rows.select(key, "start", "end", "text")).select("job_id.*", "median_sec", "n_short").join(cover, ["variant", "job_id"], "left").join(durations, "job_id")
+    each = each.withColumn("cover", F.round(F.when(F.col("duration") > 0, F.coalesce("sec", F.lit(0.0)) / F.col("duration")).otherwise(0.0), 6))
+    base = each.filter(F.col("variant") == baseline).select("job_id", F.col("cover").alias("base"))
+    met = each.join(base, "job_id", "left").withColumn("delta_pp", F.round(100 * (F.col("cover") - F.col("base")), 3))
+    return met.select("variant", "job_id", "cover", "median_sec", "n_short", "delta_pp", F.coalesce(F.col("delta_pp") <= -loss, F.lit(False)).alias("warn"))
+
+
 def map_speakers(gold: DataFrame, hyp: DataFrame, least: float = 0.2, near: float = 2.0) -> DataFrame:
     """``job_id, hyp, gold``: hypothesis speakers matched one to one, gold segments in order.
 

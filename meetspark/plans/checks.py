@@ -100,6 +100,14 @@ def j7_hotspot(spark, d):
     return J.new_speakers_and_hotspot(X.hypothesis(spark, d), X.segments(spark, d), 10.0, 25.0)
 
 
+@query("j8_grid_variants", f"""WITH {X.HYPOTHESIS}, {_DUR.format('segments')}, r AS (SELECT 'base' AS variant, job_id, text, "end" - "start" AS d FROM segments UNION ALL SELECT 'thin', job_id, text, "end" - "start" FROM hypothesis), g AS (SELECT variant, job_id, round(sum(d) / any_value(duration), 6) AS cover, round(quantile_cont(d, 0.5), 6) AS median_sec, count(*) FILTER ({_WORDS.format('text')} <= 3) AS n_short FROM r JOIN durations USING (job_id) GROUP BY ALL)
+ SELECT g.variant, g.job_id, g.cover, g.median_sec, g.n_short, round(100 * (g.cover - b.cover), 3) AS delta_pp, round(100 * (g.cover - b.cover), 3) <= -5 AS warn FROM g JOIN g b ON b.job_id = g.job_id AND b.variant = 'base'""")
+def j8_grid_variants(spark, d):
+    s, h = X.segments(spark, d), X.hypothesis(spark, d)
+    part = lambda df, name: df.select(F.lit(name).alias("variant"), "job_id", "ord", "start", "end", "text")
+    return J.grid_variants(part(s, "base").unionByName(part(h, "thin")), _durations(s), "base")
+
+
 @query("j10_wer")
 def j10_wer(spark, d):
     return J.wer(X.segments(spark, d), X.hypothesis(spark, d).withColumn("text", F.when(F.col("ord") % 5 == 2, F.concat(F.lit("Well, "), "text")).otherwise(F.col("text"))))
@@ -151,6 +159,18 @@ def e6_update_gallery(spark, d):
     return E.update_gallery(v.filter("ord >= 50").drop("speaker"), early, 0.5)[1].select("job_id", "speaker", "n_windows", F.round(F.col("centroid")[0], 6).alias("first"))
 
 
+@query("e7_refine_reassign")
+def e7_refine_reassign(spark, d):
+    v = X.vectors(spark, d).withColumn("speaker", F.format_string("SPEAKER_%02d", F.col("label")))
+    return E.refine_reassign(v.filter("ord >= 50").drop("speaker"), E.speaker_centroids(v.filter("ord < 50")), 0.5)
+
+
+@query("e7_clear_winner")
+def e7_clear_winner(spark, d):
+    v = X.vectors(spark, d).withColumn("speaker", F.format_string("SPEAKER_%02d", F.col("label")))
+    return E.clear_winner(v.filter("ord >= 50").drop("speaker"), E.speaker_centroids(v.filter("ord < 50")), 0.7)
+
+
 # ---- artifacts and limits
 
 

@@ -98,3 +98,9 @@ _VEC = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM
 SQL["f3_merge_similar_units"] = f"""WITH RECURSIVE {_PACK}, un AS (SELECT job_id, unit::BIGINT AS unit, min(pc.s) AS "start", max(pc.e) AS "end", sum(pc.w) AS words FROM pk JOIN pc USING (job_id, piece) GROUP BY ALL HAVING sum(pc.w) > 0),
  uv AS (SELECT un.*, x FROM un JOIN {_VEC} ON vec_id = (job_id * 7 + unit) % (SELECT count(*) FROM embeddings)), {_alike('uv', 0.1, 180.0, 1_000_000)} SELECT job_id, unit, c AS chapter FROM al"""
 SQL["f12_merge_by_title_vectors"] = f"""WITH RECURSIVE {X.CHAPTERS}, uv AS (SELECT job_id, ord AS unit, "start", "end", 1 AS words, x FROM chapters JOIN {_VEC} ON vec_id = (job_id * 7 + ord) % (SELECT count(*) FROM embeddings)), {_alike('uv', 0.0, 180.0, 8)} SELECT job_id, unit AS ord, c AS parent FROM al"""
+
+SQL["f11_late_chunk_boundaries"] = f"""WITH RECURSIVE {X.SEGMENTS}, lw AS (SELECT job_id, ord, "start", "end", unnest(range(greatest(floor(("start" - 20) / 15) + 1, 0)::BIGINT, floor("start" / 15)::BIGINT + 1)) AS win FROM segments),
+ lv AS (SELECT lw.*, x FROM lw JOIN {_VEC} ON vec_id = (job_id * 7 + ord * 3 + win) % (SELECT count(*) FROM embeddings)), ls AS (SELECT *, CASE WHEN lag(ord) OVER w IS NOT NULL THEN list_cosine_similarity(x, lag(x) OVER w) END AS sim FROM lv WINDOW w AS (PARTITION BY job_id, win ORDER BY ord)),
+ le AS (SELECT job_id, ord, min("start") AS "start", max("end") AS "end", round(avg(sim), 9) AS sim FROM ls GROUP BY job_id, ord), lo AS (SELECT *, coalesce(sim < coalesce(lag(sim) OVER w, 2) AND sim <= coalesce(lead(sim) OVER w, 2), false) AS low, row_number() OVER w AS i FROM le WINDOW w AS (PARTITION BY job_id ORDER BY ord)),
+ lc AS (SELECT job_id, i, ord, 0::BIGINT AS c, "start" AS s FROM lo WHERE i = 1 UNION ALL SELECT job_id, i, ord, CASE WHEN opens THEN c + 1 ELSE c END, CASE WHEN opens THEN "start" ELSE s END FROM (SELECT lo.*, lc.c, lc.s, (lo.low AND lo."start" - lc.s >= 4) OR lo."end" - lc.s > 15 AS opens FROM lc JOIN lo ON lo.job_id = lc.job_id AND lo.i = lc.i + 1))
+ SELECT job_id, ord, c AS chapter FROM lc"""

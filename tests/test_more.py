@@ -60,6 +60,21 @@ def test_update_gallery_names_leftovers_and_blends(spark):
     assert got[1, "SPEAKER_01"][0] == 2 and np.allclose(got[1, "SPEAKER_01"][1], unit(unit(seen[1][2]) + unit(seen[2][2]))) and got[7, "SPEAKER_00"][0] == 1
 
 
+def test_two_passes_and_clear_winners(spark):
+    e, unit = np.eye(4), lambda v: (v / np.linalg.norm(v)).tolist()
+    kind = "job_id long, ord long, start double, end double, embedding array<double>"
+    gallery = spark.createDataFrame([(1, "SPEAKER_00", 1, e[0].tolist()), (1, "SPEAKER_01", 1, e[1].tolist())], "job_id long, speaker string, n_windows long, centroid array<double>")
+    # the second window is out of reach of the first pass and within that of the moved centroid
+    rows = [(1, 0, 0.0, 1.0, unit(e[0] + e[2])), (1, 1, 1.0, 2.0, unit(0.6 * e[0] + e[2])), (1, 2, 2.0, 3.0, e[3].tolist())]
+    got = {r.ord: r.speaker for r in clustering.refine_reassign(spark.createDataFrame(rows, kind), gallery, 0.4).collect()}
+    assert got == {0: "SPEAKER_00", 1: "SPEAKER_00", 2: "SPEAKER_02"}
+    # one clear, one short and between two speakers, one long and between them
+    between = lambda x: unit(e[0] + e[1] + x)
+    rows = [(1, 0, 0.0, 9.0, e[0].tolist()), (1, 1, 9.0, 10.0, between(3 * e[2])), (1, 2, 10.0, 15.0, between(3 * e[3])), (1, 3, 12.0, 13.0, between(3 * e[3]))]
+    got = {r.ord: r.speaker for r in clustering.clear_winner(spark.createDataFrame(rows, kind), gallery, 0.69).collect()}
+    assert got == {0: "SPEAKER_00", 1: "SPEAKER_00", 2: "SPEAKER_02", 3: "SPEAKER_02"}
+
+
 def test_interval_join_meets_each_pair_once(spark):
     rng = random.Random(5)
     span = lambda: sorted((rng.uniform(0, 400), rng.uniform(0, 400))) if rng.random() < 0.3 else [t := rng.uniform(0, 400), t + rng.uniform(0, 30)]
