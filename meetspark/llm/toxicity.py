@@ -32,7 +32,7 @@ BUCKETS = 1 << 16
 DIMENSIONS = 8
 SPAN = 1
 SHORTEST, LONGEST = 3, 5
-TOXIC_ROWS, HARMLESS_ROWS, TRAINING_CHARS = 600, 1_200, 4_000
+TOXIC_ROWS, HARMLESS_ROWS, TRAINING_CHARS = 600, 3_000, 4_000
 LONG, STRETCH = 64, 16
 _U = np.uint64
 _EDGES = re.compile(r"^(?:[^\w\n]|_)+|(?:[^\w\n]|_)+$", re.M)
@@ -88,6 +88,12 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets).astype(np.int32), np.concatenate(owner)
 
 
+def _all_subwords(words: list[str], at_once: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of many words, some at a time."""
+    bucket, own = zip(*(subwords(words[i : i + at_once]) for i in range(0, len(words), at_once)), strict=True)
+    return np.concatenate(bucket), np.concatenate([x + np.int32(i * at_once) for i, x in enumerate(own)])
+
+
 def words_of(block: Block, i: int) -> list[str]:
     """The words of a block's text, long runs taken apart."""
     found = (block.data[s:e].tobytes().decode() for s, e in zip(block.starts[block.first[i] : block.first[i + 1]], block.ends[block.first[i] : block.first[i + 1]], strict=True))
@@ -169,9 +175,15 @@ def _adam(state: dict, name: str, value: np.ndarray, grad: np.ndarray, step: int
     value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
-def _spread(index: np.ndarray, rows: np.ndarray, take: np.ndarray | slice, size: int) -> np.ndarray:
-    """Sums of ``rows[:, take]`` by ``index``, one dimension at a time so that the values taken are never all held."""
-    return np.stack([np.bincount(index, row[take], size) for row in rows])
+def _spread(index: np.ndarray, rows: np.ndarray, take: np.ndarray | None, size: int, at_once: int = 1 << 20) -> np.ndarray:
+    """Sums of ``rows[:, take]`` by ``index``, some values of one dimension at a time so that what is taken is never held whole."""
+    out = np.zeros((len(rows), size))
+    for i in range(0, len(index), at_once):
+        part = slice(i, i + at_once)
+        own, taken = index[part].astype(np.int64), part if take is None else take[part]
+        for total, row in zip(out, rows, strict=True):
+            total += np.bincount(own, row[taken], size)
+    return out
 
 
 def _spans(docs: list[np.ndarray], span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +204,7 @@ def train(texts: list[str], toxic: np.ndarray, prevalence: float = 0.5, span: in
     docs, toxic = [docs[i] for i in keep], np.asarray(toxic)[keep]
     if not docs or toxic.min() == toxic.max():
         return Model(np.zeros(BUCKETS), 0.0, 0.0, -4.0 if not len(toxic) or not toxic.max() else 4.0, span)
-    bucket, word = subwords(list(vocabulary))
+    bucket, word = _all_subwords(list(vocabulary))
     n, per_word = len(vocabulary), 1.0 / np.bincount(word)
     spans, owner = _spans(docs, span)
     real = spans >= 0
@@ -216,7 +228,7 @@ def train(texts: list[str], toxic: np.ndarray, prevalence: float = 0.5, span: in
         error = np.where(chosen, share[0] / np.maximum(count[owner], 1), np.where(label, 0.0, share[1])) * (p - chosen)
         both = np.stack([-error, error])
         by_span = np.einsum("cd,cn->dn", soft, both) * per_span
-        by_word = sum(_spread(filled[:, j], by_span, slice(None), n + 1) for j in range(span))[:, :n] * per_word
+        by_word = sum(_spread(filled[:, j], by_span, None, n + 1) for j in range(span))[:, :n] * per_word
         _adam(state, "soft", soft, np.einsum("cn,dn->cd", both, mean) + 1e-4 * soft, step, rate)
         _adam(state, "bias", bias, both.sum(axis=1), step, rate)
         _adam(state, "table", table, _spread(bucket, by_word, word, BUCKETS), step, rate)
