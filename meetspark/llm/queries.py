@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, licenses, line_dedup, packing, quality, simhash, substring_dedup, toxicity
+from . import centroids, decontaminate, fill_in_middle, html_text, language_id, licenses, line_dedup, packing, quality, simhash, substring_dedup, subword_quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,5 +58,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(_read(spark, sf_dir, "embeddings"), k=16, rounds=3)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def op12_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_quality.subword_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_simhash, op4_html_text, op5_language_id, op6_quality, op7_packing, op8_licenses, op9_toxicity, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_simhash, op4_html_text, op5_language_id, op6_quality, op7_packing, op8_licenses, op9_toxicity, op10_line_dedup, op11_centroids, op12_subword_quality, op13_fill_in_middle)}

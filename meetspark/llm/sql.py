@@ -77,6 +77,34 @@ r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, c
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept) AS kept_sha256 FROM documents LEFT JOIN r USING (doc_id)
 """
 
+_NEAREST = "SELECT vec_id, v, sha, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (SELECT vec_id, v, sha, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d FROM kept, c{r}) GROUP BY ALL"
+_MEANS = """
+a{r} AS (%s),
+g{r} AS (SELECT cluster, list(((s - ((s %% n + n) %% n)) // n)::BIGINT ORDER BY i) AS m FROM (SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) AS x(i) GROUP BY ALL) GROUP BY cluster),
+c{n} AS (SELECT c, coalesce(g{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN g{r} ON c = cluster)""" % _NEAREST
+
+OP11 = f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v, sha256('1:' || vec_id) AS sha FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha, v) - 1)::INTEGER AS c, v AS m FROM kept QUALIFY c < 16),
+{",".join(_MEANS.format(r=r, n=r + 1) for r in range(3))},
+a3 AS ({_NEAREST.format(r=3)})
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c = cluster
+"""
+
+OP13 = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS s FROM documents),
+u AS (SELECT *, ('0x' || s[1:8])::UBIGINT % (n + 1) AS a, ('0x' || s[9:16])::UBIGINT % (n + 1) AS b, ('0x' || s[17:24])::UBIGINT AS h3, ('0x' || s[25:32])::UBIGINT AS h4 FROM h),
+f AS (SELECT *, least(a, b)::BIGINT AS lo, greatest(a, b)::BIGINT AS hi,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, substring(t, 1, lo) AS x, substring(t, lo + 1, hi - lo) AS y, substring(t, hi + 1) AS z FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_decontaminate": OP2, "op8_licenses": OP8, "op10_line_dedup": OP10}
+    return {"op1_substring_dedup": OP1, "op2_decontaminate": OP2, "op8_licenses": OP8, "op10_line_dedup": OP10, "op11_centroids": OP11, "op13_fill_in_middle": OP13}
