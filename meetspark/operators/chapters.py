@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, word_count
 from .clustering import cosine
+from .scan import sorted_scan
 
 
 def _by_ord():
@@ -22,17 +26,22 @@ def attach_empty_segments(segments: DataFrame) -> DataFrame:
 def pack_pieces(segments: DataFrame, max_gap: float = 2.0, max_words: int = 80) -> DataFrame:
     """Unit of each segment: pieces join while the gap is small (or the speaker goes on) and the words stay within the target.
 
-    A fold over the job's pieces with a state of four values; it gives one unit id for each piece.
+    A scan of the job's pieces: the state is the unit's number, words, end and last speaker.
     """
     s = attach_empty_segments(segments)
     pieces = s.groupBy("job_id", "piece").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.sum(word_count(F.col("text"))).cast("int").alias("w"), F.min_by("speaker", "ord").alias("a"), F.max_by("speaker", "ord").alias("z"))
-    listed = pieces.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("piece", "s", "e", "w", "a", "z"))).alias("p"))
-    fold = f"""aggregate(p, named_struct('units', cast(array() AS array<int>), 'unit', -1, 'w', 0, 'e', 0D, 'z', cast(NULL AS string)),
-      (a, x) -> IF(a.unit >= 0 AND a.w + x.w <= {max_words} AND (a.z <=> x.a OR x.s - a.e <= {max_gap}D),
-        named_struct('units', concat(a.units, array(a.unit)), 'unit', a.unit, 'w', a.w + x.w, 'e', x.e, 'z', x.z),
-        named_struct('units', concat(a.units, array(a.unit + 1)), 'unit', a.unit + 1, 'w', x.w, 'e', x.e, 'z', x.z)),
-      a -> arrays_zip(transform(p, y -> y.piece), a.units))"""
-    units = listed.select("job_id", F.explode(F.expr(fold)).alias("x")).select("job_id", F.col("x.0").alias("piece"), F.col("x.units").cast("long").alias("unit"))
+
+    def scan(rows: Iterator[tuple]) -> Iterable[tuple]:
+        unit, words, end, last = -1, 0, 0.0, None
+        for piece, s, e, w, a, z in rows:
+            if unit >= 0 and words + w <= max_words and (last == a or s - end <= max_gap):
+                words += w
+            else:
+                unit, words = unit + 1, w
+            end, last = e, z
+            yield piece, unit
+
+    units = sorted_scan(pieces, ["piece"], scan, {"piece": "long", "unit": "long"})
     return s.join(units, ["job_id", "piece"])
 
 
@@ -44,31 +53,51 @@ def units(packed: DataFrame) -> DataFrame:
 
 
 def merge_similar_units(units_with_vectors: DataFrame, threshold: float = 0.7, cap: float = 180.0, max_units: int | None = None) -> DataFrame:
-    """Chapter of each unit of ``(job_id, unit, start, end, words, vector)``: a unit joins while its cosine with the running weighted
-    unit vector reaches ``threshold`` and the chapter stays within ``cap`` seconds and ``max_units`` units. A fold per job with the vector
-    as state."""
-    few = "true" if max_units is None else f"size(filter(a.ids, c -> c = a.c)) < {max_units}"
-    listed = units_with_vectors.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("unit", "start", "end", "words", F.transform("vector", lambda x: x.cast("double")).alias("v")))).alias("u"))
-    dot = "aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
-    near = f"coalesce(try_divide({dot.format(a='a.v', b='u[i].v')}, sqrt({dot.format(a='a.v', b='a.v')}) * sqrt({dot.format(a='u[i].v', b='u[i].v')})), 0D)"
-    mixed = "zip_with(a.v, u[i].v, (x, y) -> (x * a.w + y * greatest(u[i].words, 1)) / (a.w + greatest(u[i].words, 1)))"
-    fold = f"""aggregate(sequence(0, size(u) - 1), named_struct('ids', cast(array() AS array<int>), 'c', -1, 's', 0D, 'w', cast(0 AS bigint), 'v', cast(array() AS array<double>)),
-      (a, i) -> IF(a.c >= 0 AND {near} >= {threshold}D AND u[i].end - a.s <= {cap}D AND {few},
-        named_struct('ids', concat(a.ids, array(a.c)), 'c', a.c, 's', a.s, 'w', a.w + greatest(u[i].words, 1), 'v', {mixed}),
-        named_struct('ids', concat(a.ids, array(a.c + 1)), 'c', a.c + 1, 's', u[i].start, 'w', greatest(u[i].words, cast(1 AS bigint)), 'v', u[i].v)),
-      a -> zip_with(u, a.ids, (y, c) -> named_struct('unit', y.unit, 'chapter', c)))"""
-    return listed.select("job_id", F.explode(F.expr(fold)).alias("x")).select("job_id", "x.unit", F.col("x.chapter").cast("long").alias("chapter"))
+    """Chapter of each unit of ``(job_id, unit, start, end, words, vector)``: a unit joins while its cosine with the chapter's vector
+    reaches ``threshold`` and the chapter stays within ``cap`` seconds and ``max_units`` units.
+
+    The chapter's vector starts as that of its first unit. When a unit joins, it is the mean of both, weighted by the chapter's words
+    so far and the unit's (one at least), and made a unit vector again, so that neither outweighs by its length; a zero mean stays.
+    Zero vectors, and vectors of another length, are like none. A scan with the vector as state.
+    """
+
+    def scan(rows: Iterator[tuple]) -> Iterable[tuple]:
+        chapter, begin, weight, count, held, size = -1, 0.0, 0, 0, None, 0.0
+        for unit, start, end, words, vector in rows:
+            words, vector = max(words or 0, 1), np.asarray(vector, dtype=float)
+            norm = float(np.sqrt(vector @ vector))
+            like = float(held @ vector) / (size * norm) if held is not None and len(held) == len(vector) and size * norm > 0 else 0.0
+            joins = chapter >= 0 and len(held) == len(vector) and like >= threshold and end - begin <= cap and (max_units is None or count < max_units)
+            if joins:
+                held = (held * weight + vector * words) / (weight + words)
+                size = float(np.sqrt(held @ held))
+                held, size = (held / size, 1.0) if size else (held, size)
+                weight, count = weight + words, count + 1
+            else:
+                chapter, begin, weight, count, held, size = chapter + 1, start, words, 1, vector, norm
+            yield unit, chapter
+
+    rows = units_with_vectors.select("job_id", "unit", "start", "end", F.col("words").cast("long").alias("words"), F.coalesce("vector", F.array()).cast("array<double>").alias("vector"))
+    return sorted_scan(rows, ["unit"], scan, {"unit": "long", "chapter": "long"})
 
 
 def absorb_short_units(df: DataFrame, least: float = 5.0) -> DataFrame:
-    """``df(job_id, ord, start, end)``: a short row joins the one before, leading short ones the next. A fold per job."""
-    listed = df.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end"))).alias("u"))
-    fold = f"""aggregate(u, cast(array() AS array<struct<start:double,end:double>>), (a, x) ->
-        IF(size(a) > 0 AND (x.end - x.start < {least}D OR (size(a) = 1 AND a[0].end - a[0].start < {least}D)),
-           concat(slice(a, 1, size(a) - 1), array(named_struct('start', try_element_at(a, -1).start, 'end', x.end))),
-           concat(a, array(named_struct('start', x.start, 'end', x.end)))))"""
-    out = listed.select("job_id", F.posexplode(F.expr(fold)).alias("ord", "x"))
-    return out.select("job_id", F.col("ord").cast("long").alias("ord"), "x.start", "x.end")
+    """``df(job_id, ord, start, end)``: a short row joins the one before, leading short ones the next. A scan that holds one row."""
+
+    def scan(rows: Iterator[tuple]) -> Iterable[tuple]:
+        n, held = 0, None
+        for _, start, end in rows:
+            if held and (end - start < least or (n == 0 and held[1] - held[0] < least)):
+                held = held[0], end
+                continue
+            if held:
+                yield n, *held
+                n += 1
+            held = start, end
+        if held:
+            yield n, *held
+
+    return sorted_scan(df.select("job_id", "ord", "start", "end"), ["ord"], scan, {"ord": "long", "start": "double", "end": "double"})
 
 
 def build_chapters(segments: DataFrame, vectors: DataFrame, max_gap: float = 2.0, max_words: int = 80, threshold: float = 0.7, cap: float = 180.0, least: float = 5.0) -> DataFrame:
@@ -156,16 +185,19 @@ def late_chunk_boundaries(vectors: DataFrame, shortest: float = 45.0, longest: f
     """Chapter of each segment of ``vectors(job_id, win_id, ord, start, end, vector)``, which has a vector for each window it is in.
 
     The cosine of neighbours is averaged over windows. A chapter ends before a local minimum once it lasts ``shortest`` seconds, and
-    before any segment that would carry it beyond ``longest``. A fold over the job's segments.
+    before any segment that would carry it beyond ``longest``. A scan of the job's segments.
     """
     w = Window.partitionBy("job_id", "win_id").orderBy("ord")
     near = vectors.withColumn("sim", F.when(F.lag("ord").over(w).isNotNull(), cosine(F.col("vector"), F.lag("vector").over(w))))
     each = near.groupBy("job_id", "ord").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.round(F.avg("sim"), 9).alias("sim"))
     low = (F.col("sim") < F.coalesce(F.lag("sim").over(_by_ord()), F.lit(2.0))) & (F.col("sim") <= F.coalesce(F.lead("sim").over(_by_ord()), F.lit(2.0)))
-    jobs = each.withColumn("low", F.coalesce(low, F.lit(False))).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "low"))).alias("u"))
-    fold = f"""aggregate(u, named_struct('ids', cast(array() AS array<bigint>), 'c', cast(-1 AS bigint), 's', 0D), (a, x) ->
-      IF(a.c < 0 OR (x.low AND x.start - a.s >= {shortest}D) OR x.end - a.s > {longest}D,
-        named_struct('ids', concat(a.ids, array(a.c + 1)), 'c', a.c + 1, 's', x.start),
-        named_struct('ids', concat(a.ids, array(a.c)), 'c', a.c, 's', a.s)),
-      a -> zip_with(u, a.ids, (y, c) -> named_struct('ord', y.ord, 'chapter', c)))"""
-    return jobs.select("job_id", F.inline(F.expr(fold)))
+
+    def scan(rows: Iterator[tuple]) -> Iterable[tuple]:
+        chapter, begin = -1, 0.0
+        for ord_, start, end, low in rows:
+            if chapter < 0 or (low and start - begin >= shortest) or end - begin > longest:
+                chapter, begin = chapter + 1, start
+            yield ord_, chapter
+
+    marked = each.select("job_id", F.col("ord").cast("long").alias("ord"), "start", "end", F.coalesce(low, F.lit(False)).alias("low"))
+    return sorted_scan(marked, ["ord"], scan, {"ord": "long", "chapter": "long"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.text import latin_chars, tokens, word_count
 from .clustering import greedy_remap
 from .gates import script_word_ratio
 from .intervals import intersection_sec, interval_join, interval_union, overlap_join, speech_iou
+from .scan import sorted_scan
 
 
 def token_recall(gold: Column, hyp: Column) -> Column:
@@ -131,8 +134,8 @@ def map_speakers(gold: DataFrame, hyp: DataFrame, least: float = 0.2, near: floa
     """``job_id, hyp, gold``: hypothesis speakers matched one to one, gold segments in order.
 
     A gold segment of two different words or more takes the best segment of a speaker not yet matched: share of its words, plus
-    half the share of its time, among segments that overlap it or start within ``near`` seconds. A fold per job, over the best
-    candidate of each speaker.
+    half the share of its time, among segments that overlap it or start within ``near`` seconds. A scan of the job's gold segments, each with the
+    best candidate of each speaker.
     """
     g = gold.select("job_id", F.col("ord").alias("g_ord"), F.col("speaker").alias("g_speaker"), F.array_distinct(tokens(F.col("text"))).alias("g_words"), F.col("start").alias("gs"), F.col("end").alias("ge")).filter("size(g_words) >= 2")
     h = hyp.select("job_id", F.col("ord").alias("h_ord"), F.col("speaker").alias("h_speaker"), F.array_distinct(tokens(F.col("text"))).alias("h_words"), F.col("start").alias("hs"), F.col("end").alias("he"))
@@ -141,11 +144,17 @@ def map_speakers(gold: DataFrame, hyp: DataFrame, least: float = 0.2, near: floa
     score = F.col("common") / F.size("g_words") + F.when(shared > 0, 0.5 * shared / F.greatest(F.col("ge") - F.col("gs"), F.lit(0.01))).otherwise(0.0)
     best = met.groupBy("job_id", "g_ord", "g_speaker", "h_speaker").agg(F.min(F.struct((-F.round(score, 9)).alias("k"), "h_ord", "h_speaker")).alias("b"))
     per = best.groupBy("job_id", "g_ord", "g_speaker").agg(F.array_sort(F.collect_list("b")).alias("c"))
-    jobs = per.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("g_ord", "g_speaker", "c"))).alias("p"))
-    fold = f"""aggregate(p, cast(array() AS array<struct<hyp:string,gold:string>>), (a, x) ->
-      aggregate(array(get(filter(x.c, y -> NOT exists(a, z -> z.hyp = y.h_speaker)), 0)), a, (b, y) ->
-        IF(y IS NOT NULL AND y.k <= {-least!r}D AND NOT exists(b, z -> z.gold = x.g_speaker), concat(b, array(named_struct('hyp', y.h_speaker, 'gold', x.g_speaker))), b)))"""
-    return jobs.select("job_id", F.inline(F.expr(fold)))
+
+    def scan(rows: Iterator[tuple]) -> Iterable[tuple]:
+        taken, given = set(), set()
+        for _, gold_speaker, tries in rows:
+            pick = next((t for t in tries if t["h_speaker"] not in taken), None)
+            if pick and pick["k"] <= -least and gold_speaker not in given:
+                taken.add(pick["h_speaker"])
+                given.add(gold_speaker)
+                yield pick["h_speaker"], gold_speaker
+
+    return sorted_scan(per.select("job_id", "g_ord", "g_speaker", "c"), ["g_ord"], scan, {"hyp": "string", "gold": "string"})
 
 
 def chapters_glue(hyp: DataFrame, base: DataFrame, ends: DataFrame, good: float = 0.80, fair: float = 0.60) -> DataFrame:

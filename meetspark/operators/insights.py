@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digit_groups_verified, is_blank, starts_with_stamp, word_count
 from .chapters import chapter_segments, chapter_text
+from .scan import sorted_scan
 
 _ITEM = "array<struct<text:string,segment_ids:array<string>>>"
 EXTRACT = f"struct<key_points:{_ITEM},actions:{_ITEM},open_questions:{_ITEM},asr_notes:array<struct<text:string>>>"
@@ -103,18 +105,24 @@ def select_titles(replies: DataFrame, chapters: DataFrame, max_attempts: int = 2
     """``job_id, chapter_id, title, attempt``: first attempt of ``replies(job_id, chapter_id, attempt, text)`` that holds for each chapter.
 
     A title holds if it is JSON, not empty, not too long, without a stamp and not that of an earlier chapter of the job, whatever
-    its case. A chapter whose attempts all fail has nulls. A fold over the job's chapters.
+    its case. A chapter whose attempts all fail has nulls. A scan of the job's chapters that holds
+    the titles taken.
     """
     title = F.trim(F.regexp_replace(F.from_json("text", "struct<title:string>")["title"], r"\s+", " "))
     made = replies.filter(F.col("attempt") <= max_attempts).select("job_id", "chapter_id", "attempt", title.alias("title"))
     fair = made.filter(~is_blank(F.col("title")) & (word_count(F.col("title")) <= max_words) & ~starts_with_stamp(F.col("title"), strip_quotes=False))
     tries = fair.groupBy("job_id", "chapter_id").agg(F.array_sort(F.collect_list(F.struct("attempt", "title", F.lower("title").alias("key")))).alias("c"))
     each = chapters.select("job_id", "chapter_id", "ord").join(tries, ["job_id", "chapter_id"], "left")
-    jobs = each.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ord", "chapter_id", "c"))).alias("p"))
-    pick = "struct<attempt:int,title:string,key:string>"
-    fold = f"""aggregate(p, cast(array() AS array<struct<chapter_id:string,pick:{pick}>>), (a, x) -> concat(a, array(named_struct('chapter_id', x.chapter_id,
-      'pick', cast(get(filter(coalesce(x.c, array()), y -> NOT exists(a, z -> z.pick.key <=> y.key)), 0) AS {pick})))))"""
-    return jobs.select("job_id", F.inline(F.expr(fold))).select("job_id", "chapter_id", "pick.title", "pick.attempt")
+
+    def scan(rows: Iterator[tuple]) -> Iterable[tuple]:
+        used = set()
+        for _, chapter_id, tries in rows:
+            pick = next((t for t in tries or () if t["key"] not in used), None)
+            if pick:
+                used.add(pick["key"])
+            yield chapter_id, pick and pick["title"], pick and pick["attempt"]
+
+    return sorted_scan(each.select("job_id", "ord", "chapter_id", "c"), ["ord"], scan, {"chapter_id": "string", "title": "string", "attempt": "int"})
 
 
 PAYLOADS = {

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ORDER = ("start", "end", "ord")
+from .running import running
+from .scan import sorted_scan
+
+_ORDER = ["start", "end", "ord"]
+_FRAMES = 6000  # of a slice
 
 
-def _reach(df: DataFrame, *keys: str):
-    """Largest end before the row, in order of start."""
-    w = Window.partitionBy(*keys).orderBy("start", "end", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    return F.max("end").over(w)
+def _with_reach(df: DataFrame) -> DataFrame:
+    """With ``reach``, the largest end before the row in order of start."""
+    return running(df, _ORDER, {"reach": ("max_before", F.col("end"))})
 
 
 def interval_join(a: DataFrame, b: DataFrame, a_span: tuple[Column, Column], b_span: tuple[Column, Column], slice_sec: float = 60.0) -> DataFrame:
@@ -29,13 +35,18 @@ def interval_join(a: DataFrame, b: DataFrame, a_span: tuple[Column, Column], b_s
 
 
 def merge_regions(df: DataFrame, max_gap: float = 0.0, min_dur: float = 0.0) -> DataFrame:
-    """Join regions not more than ``max_gap`` apart (against the furthest end so far); drop short ones afterwards."""
-    w = Window.partitionBy("job_id").orderBy(*_ORDER)
-    marked = df.withColumn("reach", _reach(df, "job_id")).withColumn("new", F.when(F.col("reach").isNull() | (F.col("start") - F.col("reach") > max_gap), 1).otherwise(0))
-    islands = marked.withColumn("island", F.sum("new").over(w)).groupBy("job_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    """Join regions not more than ``max_gap`` apart (against the furthest end so far); drop short ones afterwards.
+
+    Rows that open a region are kept with the furthest end before them, which is where the region before ends; a job is never sorted
+    whole.
+    """
+    ends = df.groupBy("job_id").agg(F.max("end").alias("last"))
+    opens = _with_reach(df.select("job_id", *_ORDER)).filter(F.col("reach").isNull() | (F.col("start") - F.col("reach") > max_gap))
+    paired = running(opens.drop("end"), ["start", "ord"], {"closed": ("next", F.col("reach"))}).join(ends, "job_id")
+    islands = paired.select("job_id", "start", F.coalesce("closed", "last").alias("end"))
     if min_dur > 0:
         islands = islands.filter(F.col("end") - F.col("start") >= min_dur)
-    return islands.select("job_id", (F.row_number().over(Window.partitionBy("job_id").orderBy("start")) - 1).cast("long").alias("ord"), "start", "end")
+    return running(islands, ["start"], {"n": ("sum", F.lit(1))}).select("job_id", (F.col("n") - 1).cast("long").alias("ord"), "start", "end")
 
 
 def interval_union(df: DataFrame, eps: float = 0.0) -> DataFrame:
@@ -44,20 +55,22 @@ def interval_union(df: DataFrame, eps: float = 0.0) -> DataFrame:
 
 
 def covered_sec(df: DataFrame) -> DataFrame:
-    return interval_union(df).groupBy("job_id").agg(F.round(F.sum(F.col("end") - F.col("start")), 3).alias("covered_sec"))
+    """Seconds of the union: of each interval what lies beyond the furthest end before it."""
+    rows = _with_reach(df.filter(F.col("end") > F.col("start")).select("job_id", *_ORDER))
+    new = F.greatest(F.col("end") - F.greatest("start", "reach"), F.lit(0.0))
+    return rows.groupBy("job_id").agg(F.round(F.sum(new), 3).alias("covered_sec"))
 
 
 def intersection_sec(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Seconds in both unions, by one sweep over the boundaries instead of a range join."""
+    """Seconds in both unions, by one sweep over the boundaries instead of a range join; a side is in where any of its intervals is open."""
     events = None
     for side, df in (("a", a), ("b", b)):
-        u = interval_union(df)
+        real = df.filter(F.col("end") > F.col("start"))
         for col, step in (("start", 1), ("end", -1)):
-            part = u.select("job_id", F.col(col).alias("t"), F.lit(step if side == "a" else 0).alias("a"), F.lit(step if side == "b" else 0).alias("b"))
+            part = real.select("job_id", F.col(col).alias("t"), F.lit(step if side == "a" else 0).alias("a"), F.lit(step if side == "b" else 0).alias("b"))
             events = part if events is None else events.unionByName(part)
-    at = events.groupBy("job_id", "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.partitionBy("job_id").orderBy("t")
-    open_ = at.select("job_id", (F.lead("t").over(w) - F.col("t")).alias("dt"), F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b"))
+    at = events.groupBy("job_id", "t").agg(F.sum("a").alias("da"), F.sum("b").alias("db"))
+    open_ = running(at, ["t"], {"a": ("sum", F.col("da")), "b": ("sum", F.col("db")), "after": ("next", F.col("t"))}, at="t").withColumn("dt", F.col("after") - F.col("t"))
     sec = lambda cond: F.round(F.coalesce(F.sum(F.when(cond, F.col("dt"))), F.lit(0.0)), 3)
     on_a, on_b = F.col("a") > 0, F.col("b") > 0
     return open_.groupBy("job_id").agg(sec(on_a & on_b).alias("both_sec"), sec(on_a & ~on_b).alias("only_a_sec"), sec(on_b & ~on_a).alias("only_b_sec"), sec(on_a | on_b).alias("any_sec"))
@@ -70,12 +83,17 @@ def speech_iou(ref: DataFrame, hyp: DataFrame) -> DataFrame:
 
 def find_holes(df: DataFrame, durations: DataFrame | None = None, min_hole: float = 0.5) -> DataFrame:
     """Gaps of ``min_hole`` or more before, between and (with ``durations(job_id, duration)``) after the intervals."""
-    real = df.filter(F.col("end") > F.col("start"))
-    gaps = real.withColumn("reach", F.coalesce(_reach(real, "job_id"), F.lit(0.0))).filter(F.col("start") - F.col("reach") >= min_hole).select("job_id", F.col("reach").alias("start"), F.col("start").alias("end"))
-    if durations is not None:
-        last = durations.join(real.groupBy("job_id").agg(F.max("end").alias("last")), "job_id", "left").withColumn("last", F.coalesce("last", F.lit(0.0)))
-        gaps = gaps.unionByName(last.filter(F.col("duration") - F.col("last") >= min_hole).select("job_id", F.col("last").alias("start"), F.col("duration").alias("end")))
-    return gaps.select("job_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+    rows = df.filter(F.col("end") > F.col("start")).select("job_id", *_ORDER)
+    if durations is not None:  # the end of a recording counts as a row after all others
+        far = F.greatest(F.max("start").alias("s"), F.max("duration"))
+        ends = rows.select("job_id", "start", F.lit(None).cast("double").alias("duration")).unionByName(durations.select("job_id", F.lit(None).cast("double").alias("start"), F.col("duration").cast("double").alias("duration")))
+        ends = ends.groupBy("job_id").agg(far.alias("start"), F.max("duration").alias("close")).filter("close IS NOT NULL")
+        rows = rows.withColumn("close", F.lit(None).cast("double")).unionByName(ends.select("job_id", "start", F.lit(float("inf")).alias("end"), F.lit(None).cast("long").alias("ord"), "close"))
+    else:
+        rows = rows.withColumn("close", F.lit(None).cast("double"))
+    marked = _with_reach(rows).select("job_id", F.coalesce("reach", F.lit(0.0)).alias("reach"), F.coalesce("close", "start").alias("start"))
+    gaps = marked.filter(F.col("start") - F.col("reach") >= min_hole)
+    return gaps.select("job_id", F.round("reach", 3).alias("start"), F.round("start", 3).alias("end"))
 
 
 def pauses(df: DataFrame, durations: DataFrame, min_pause: float = 0.3) -> DataFrame:
@@ -113,21 +131,29 @@ def clip_turn_overlaps(df: DataFrame) -> DataFrame:
 def absorb_short_turns(df: DataFrame, min_dur: float = 1.0) -> DataFrame:
     """One pass from the left: a turn below ``min_dur`` goes to its nearer neighbour (tie: the same speaker, else the left).
 
-    An aggregate over the job's sorted turns; the state is the list of finished turns and bounds waiting for the next one.
+    A turn that waits lends its bounds to the next one. A scan that holds the last finished turn, the bounds that wait and one
+    turn ahead.
     """
-    turns = df.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "speaker"))).alias("t"))
-    fold = """
-    aggregate(sequence(0, size(t) - 1), named_struct('done', cast(array() AS array<struct<start:double,end:double,speaker:string>>), 's', cast(NULL AS double), 'e', cast(NULL AS double)),
-      (a, i) -> aggregate(array(named_struct('s', coalesce(least(a.s, t[i].start), t[i].start), 'e', coalesce(greatest(a.e, t[i].end), t[i].end), 'n', size(a.done))),
-        a, (z, c) -> CASE
-          WHEN c.e - c.s >= {m} OR size(t) = 1 OR (c.n = 0 AND i = size(t) - 1) THEN named_struct('done', concat(a.done, array(named_struct('start', c.s, 'end', c.e, 'speaker', t[i].speaker))), 's', cast(NULL AS double), 'e', cast(NULL AS double))
-          WHEN c.n > 0 AND (i = size(t) - 1 OR c.s - a.done[c.n - 1].end < get(t, i + 1).start - c.e
-               OR (c.s - a.done[c.n - 1].end = get(t, i + 1).start - c.e AND (a.done[c.n - 1].speaker = t[i].speaker OR NOT get(t, i + 1).speaker = t[i].speaker)))
-            THEN named_struct('done', concat(slice(a.done, 1, c.n - 1), array(named_struct('start', least(a.done[c.n - 1].start, c.s), 'end', greatest(a.done[c.n - 1].end, c.e), 'speaker', a.done[c.n - 1].speaker))), 's', cast(NULL AS double), 'e', cast(NULL AS double))
-          ELSE named_struct('done', a.done, 's', c.s, 'e', c.e) END),
-      a -> a.done)"""
-    out = turns.select("job_id", F.posexplode(F.expr(fold.replace("{m}", repr(float(min_dur)) + "D"))).alias("ord", "x"))
-    return out.select("job_id", F.col("ord").cast("long").alias("ord"), "x.speaker", "x.start", "x.end")
+
+    def scan(rows: Iterator[tuple]) -> Iterable[tuple]:
+        n, done, wait, first = 0, None, None, True
+        for (start, _, end, speaker), after in pairwise(chain(rows, [None])):
+            s, e = (start, end) if wait is None else (min(wait[0], start), max(wait[1], end))
+            wait = None
+            if e - s >= min_dur or (after is None and (first or done is None)):
+                if done:
+                    yield n, *done
+                    n += 1
+                done = speaker, s, e
+            elif done and (after is None or s - done[2] < after[0] - e or (s - done[2] == after[0] - e and (done[0] == speaker or after[3] != speaker))):
+                done = done[0], min(done[1], s), max(done[2], e)
+            else:
+                wait = s, e
+            first = False
+        if done:
+            yield n, *done
+
+    return sorted_scan(df.select("job_id", "start", "ord", "end", "speaker"), ["start", "ord"], scan, {"ord": "long", "speaker": "string", "start": "double", "end": "double"})
 
 
 def merge_turns(df: DataFrame, max_gap: float = 0.3, min_dur: float = 1.0) -> DataFrame:
@@ -182,22 +208,21 @@ def slice_window(df: DataFrame, parts: DataFrame) -> DataFrame:
 def hysteresis_regions(frames: DataFrame, thr: float = 0.5, neg: float = 0.35, min_silence: int = 2, min_speech: int = 2, frame: float = 0.1, pad: float = 0.0) -> DataFrame:
     """Speech from frame probabilities: in at ``thr``, out once ``min_silence`` frames have passed since the first of a run below
     ``neg``, at that first one. Regions are widened by ``pad`` seconds, within the recording and not over the one before."""
-    w = Window.partitionBy("job_id").orderBy("frame_idx")
     low = F.col("prob") < neg
-    f = frames.withColumn("low_from", F.last(F.when(~low, F.col("frame_idx")), True).over(w) + 1)
-    f = f.withColumn("low_from", F.when(low, F.coalesce("low_from", F.lit(0))))
+    each = frames.select("job_id", "frame_idx", "prob")
+    f = running(each, ["frame_idx"], {"high": ("last_known", F.when(~low, F.col("frame_idx")))}, at="frame_idx", width=_FRAMES)
+    f = f.withColumn("low_from", F.coalesce(F.col("high") + 1, F.lit(0)))
     event = F.when(F.col("prob") >= thr, 1).when(low & (F.col("frame_idx") - F.col("low_from") >= min_silence), 0)
-    f = f.withColumn("state", F.coalesce(F.last(event, True).over(w), F.lit(0)))
-    f = f.withColumn("rise", F.when((F.col("state") == 1) & (F.coalesce(F.lag("state").over(w), F.lit(0)) == 0), 1).otherwise(0)).withColumn("region", F.sum("rise").over(w))
-    fall = F.min(F.when((F.col("state") == 0) & (F.col("region") > 0), F.col("low_from")))
-    out = f.filter("region > 0").groupBy("job_id", "region").agg(F.min("frame_idx").alias("a"), fall.alias("b"), F.max("frame_idx").alias("last"))
-    out = out.withColumn("b", F.coalesce("b", F.col("last") + 1)).filter(F.col("b") - F.col("a") >= min_speech)
+    events = f.select("job_id", "frame_idx", "low_from", event.alias("event")).filter("event IS NOT NULL")
+    turns = running(events, ["frame_idx"], {"was": ("last_before", F.col("event"))}, at="frame_idx", width=_FRAMES).filter("event <> coalesce(was, 0)")
+    closing = F.when(F.col("event") == 0, F.col("low_from"))
     total = frames.groupBy("job_id").agg((F.max("frame_idx") + 1).alias("n"))
-    order = Window.partitionBy("job_id").orderBy("a")
-    out = out.join(total, "job_id").withColumn("e", F.least(F.col("b") * frame + pad, F.col("n") * frame))
-    begin = F.greatest(F.lit(0.0), F.col("a") * frame - pad, F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    out = out.withColumn("s", begin).filter("e > s")
-    return out.select("job_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), F.round("s", 3).alias("start"), F.round("e", 3).alias("end"))
+    spans = running(turns, ["frame_idx"], {"b": ("next", closing)}, at="frame_idx", width=_FRAMES).filter("event = 1").join(total, "job_id")
+    out = spans.select("job_id", F.col("frame_idx").alias("a"), F.coalesce("b", "n").alias("b"), "n").filter(F.col("b") - F.col("a") >= min_speech)
+    out = out.withColumn("e", F.least(F.col("b") * frame + pad, F.col("n") * frame))
+    out = running(out, ["a"], {"reach": ("max_before", F.col("e"))}, at="a", width=_FRAMES)
+    out = out.withColumn("s", F.greatest(F.lit(0.0), F.col("a") * frame - pad, F.coalesce("reach", F.lit(0.0)))).filter("e > s")
+    return running(out, ["a"], {"k": ("sum", F.lit(1))}, at="a", width=_FRAMES).select("job_id", (F.col("k") - 1).cast("long").alias("ord"), F.round("s", 3).alias("start"), F.round("e", 3).alias("end"))
 
 
 def whole_file_region(durations: DataFrame) -> DataFrame:
@@ -231,8 +256,8 @@ def coverage_diff(df: DataFrame, systems: list[str]) -> DataFrame:
     closes = real.select("job_id", "system", F.col("end").alias("t"), F.lit(-1).alias("step"))
     steps = [F.sum(F.when(F.col("system") == s, F.col("step")).otherwise(0)).alias(f"n{i}") for i, s in enumerate(systems)]
     at = opens.unionByName(closes).groupBy("job_id", "t").agg(*steps)
-    w = Window.partitionBy("job_id").orderBy("t")
-    open_ = at.select("job_id", (F.lead("t").over(w) - F.col("t")).alias("dt"), *((F.sum(f"n{i}").over(w) > 0).alias(f"on{i}") for i in range(len(systems))))
+    open_ = running(at, ["t"], {"after": ("next", F.col("t"))} | {f"open{i}": ("sum", F.col(f"n{i}")) for i in range(len(systems))}, at="t")
+    open_ = open_.select("job_id", (F.col("after") - F.col("t")).alias("dt"), *((F.col(f"open{i}") > 0).alias(f"on{i}") for i in range(len(systems))))
     sec = lambda cond: F.round(F.coalesce(F.sum(F.when(cond, F.col("dt"))), F.lit(0.0)), 3)
     cells = []
     for i, system in enumerate(systems):

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import pauses as pauses_of
+from .scan import sorted_scan
+
 
 def propose_n_parts(df: DataFrame, least: float = 300.0, most: float = 900.0, target: float = 600.0) -> DataFrame:
     """Number of parts of ``df(job_id, duration)``: near ``target`` seconds each, within the bounds."""
@@ -19,23 +26,59 @@ def needs_split(df: DataFrame, least: float = 300.0) -> DataFrame:
     return df.select("job_id", "duration", (F.col("duration") >= 2 * least).alias("needs_split"))
 
 
-def choose_cuts(plans: DataFrame, pauses: DataFrame, half_width: float = 120.0) -> DataFrame:
-    """Cuts of ``plans(job_id, duration, n_parts)``, left to right: the pause with the best ``duration - 0.15 * distance`` to the
-    ideal place among those after the last cut and not further than ``half_width``; the ideal place itself where there is none.
+def _milli(x: float) -> float:
+    return math.copysign(math.floor(abs(1000 * x) + 0.5) / 1000, x)
+
+
+def choose_cuts(plans: DataFrame, pauses: DataFrame, least: float = 300.0, most: float = 900.0, half_width: float = 120.0) -> DataFrame:
+    """``job_id, ord, at, pause_start, pause_end, pause, ideal, offset``: the cuts of ``plans(job_id, duration, n_parts)``, left to right.
 
-    A fold over the parts of a job; its state is the last cut.
+    Cut i must lie at least ``least`` after the cut before and leave ``least`` for every part still to come; within that, not more than
+    ``most`` after the cut before. Of the ``pauses(job_id, start, end, duration)`` whose middle lies there and is no cut yet,
+    the one with the best ``duration - 0.15 * distance`` to the ideal place wins if one is not further than ``half_width`` from it (ties: the
+    earlier); else the longest there (ties: the nearer, the earlier); else the ideal place moved into the bounds, with no pause. Where
+    the bounds leave no room the cut keeps ``least`` from the start and from the cut before and stays within the recording.
+
+    A scan of a job's pauses that holds those between the bounds of the next cut.
     """
-    p = pauses.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("mid", "duration"))).alias("p"))
-    jobs = plans.filter("n_parts > 1").join(p, "job_id", "left").withColumn("p", F.coalesce("p", F.array().cast("array<struct<mid:double,duration:double>>")))
-    fold = f"""aggregate(sequence(1, n_parts - 1), cast(array() AS array<struct<at:double,pause:double>>),
-      (a, i) -> concat(a, array(aggregate(
-        filter(p, x -> x.mid > coalesce(element_at(a, -1).at, 0D) AND abs(x.mid - duration * i / n_parts) <= {half_width}D),
-        named_struct('at', greatest(duration * i / n_parts, coalesce(element_at(a, -1).at, 0D)), 'pause', 0D, 'score', cast(NULL AS double)),
-        (b, x) -> IF(b.score IS NULL OR x.duration - 0.15D * abs(x.mid - duration * i / n_parts) > b.score,
-                     named_struct('at', x.mid, 'pause', x.duration, 'score', x.duration - 0.15D * abs(x.mid - duration * i / n_parts)), b),
-        b -> named_struct('at', b.at, 'pause', b.pause)))))"""
-    fold = fold.replace("element_at(a, -1)", "try_element_at(a, -1)")
-    return jobs.select("job_id", F.posexplode(F.expr(fold)).alias("ord", "x")).select("job_id", F.col("ord").cast("long").alias("ord"), F.round("x.at", 3).alias("at"), F.round("x.pause", 3).alias("pause"))
+
+    def scan(rows: Iterator[tuple]) -> Iterable[tuple]:
+        rows = iter(rows)
+        ahead = next(rows)
+        duration, n = ahead[0], ahead[1]
+        near: deque = deque()
+        last, mids = None, set()
+        for i in range(1, n):
+            ideal = duration / n * i
+            earliest = least if last is None else last + least
+            latest = min(duration - least * (n - i), max(most if last is None else last + most, earliest))
+            while near and near[0][2] < earliest:
+                near.popleft()
+            while ahead is not None and ahead[4] is not None and ahead[4] <= latest:
+                if ahead[4] >= earliest:
+                    near.append((ahead[2], ahead[3], ahead[4], ahead[5]))
+                ahead = next(rows, None)
+            inside = [p for p in near if p[2] <= latest]
+            close = [p for p in inside if p[2] not in mids and abs(p[2] - ideal) <= half_width]
+            if close:
+                best = max(close, key=lambda p: p[3] - 0.15 * abs(p[2] - ideal))
+            elif inside:
+                best = max(inside, key=lambda p: (p[3], -abs(p[2] - ideal)))
+            else:
+                if earliest > latest + 1e-6:
+                    at = min(max(ideal, least), duration - least)
+                    at = max(earliest, min(at, duration - 1e-3))
+                else:
+                    at = min(max(ideal, earliest), latest)
+                best = (_milli(at),) * 3 + (0.0,)
+            last = best[2]
+            mids = {last} if best[3] else mids  # earlier cuts are out of bounds by now
+            yield i - 1, last, best[0], best[1], best[3], _milli(ideal), _milli(last - ideal)
+
+    middle = F.floor((F.round(1000 * F.col("start")) + F.round(1000 * F.col("end")) + 1) / 2) / 1000  # whole milliseconds, half up
+    met = plans.filter("n_parts > 1").select("job_id", F.col("duration").alias("whole"), "n_parts").join(pauses.select("job_id", "start", "end", middle.alias("mid"), "duration"), "job_id", "left")
+    names = ("at", "pause_start", "pause_end", "pause", "ideal", "offset")
+    return sorted_scan(met.select("job_id", "whole", "n_parts", "start", "end", "mid", "duration"), ["mid", "start"], scan, {"ord": "long"} | dict.fromkeys(names, "double"))
 
 
 def parts_from_cuts(cuts: DataFrame, durations: DataFrame) -> DataFrame:
@@ -47,15 +90,52 @@ def parts_from_cuts(cuts: DataFrame, durations: DataFrame) -> DataFrame:
 
 
 def coalesce_short_parts(parts: DataFrame, least: float) -> DataFrame:
-    """A part shorter than ``least`` goes into the next one; a short last one into the one before. A fold per job."""
-    p = parts.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("p"))
-    fold = f"""aggregate(p, cast(array() AS array<struct<start:double,end:double>>),
-      (a, x) -> CASE WHEN size(a) > 0 AND try_element_at(a, -1).end - try_element_at(a, -1).start < {least}D
-          THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', try_element_at(a, -1).start, 'end', x.end))) ELSE concat(a, array(x)) END,
-      a -> CASE WHEN size(a) > 1 AND try_element_at(a, -1).end - try_element_at(a, -1).start < {least}D
-          THEN concat(slice(a, 1, size(a) - 2), array(named_struct('start', try_element_at(a, -2).start, 'end', try_element_at(a, -1).end))) ELSE a END)"""
-    out = p.select("job_id", F.posexplode(F.expr(fold)).alias("ord", "x"))
-    return out.select("job_id", F.col("ord").cast("long").alias("ord"), F.format_string("part%02d", F.col("ord") + 1).alias("part_id"), "x.start", "x.end")
+    """A part shorter than ``least`` goes into the next one; a short last one into the one before. A scan that holds two parts."""
+
+    def short(part: tuple) -> bool:
+        return round(part[1] - part[0], 3) + 1e-9 < least
+
+    def scan(rows: Iterator[tuple]) -> Iterable[tuple]:
+        n, done, held = 0, None, None
+        for start, end in rows:
+            if held and short(held):
+                held = held[0], end
+                continue
+            if done:
+                yield n, f"part{n + 1:02d}", *done
+                n += 1
+            done, held = held, (start, end)
+        if done and held and short(held):
+            done, held = (done[0], held[1]), None
+        for part in (done, held):
+            if part:
+                yield n, f"part{n + 1:02d}", *part
+                n += 1
+
+    return sorted_scan(parts.select("job_id", "start", "end"), ["start", "end"], scan, {"ord": "long", "part_id": "string", "start": "double", "end": "double"})
+
+
+def cut_plan(durations: DataFrame, regions: DataFrame, least: float = 240.0, most: float = 360.0, target: float = 300.0, min_pause: float = 0.8, half_width: float = 90.0, top: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cuts, parts and one row of metrics for each job of ``durations(job_id, duration)`` with ``regions(job_id, ord, start, end)`` of speech.
+
+    Cuts as ``choose_cuts``, kept where a part ends after short parts were merged. Metrics: ``job_id, duration, requested_n_parts, n_parts,
+    n_pauses, min_part_sec, max_part_sec, spread_sec, all_in_range, top_pauses`` (the longest first). A job too short to
+    be cut has one part and no cuts.
+    """
+    wanted = propose_n_parts(durations, least, most, target)
+    found = pauses_of(regions, durations, min_pause)
+    cuts = choose_cuts(wanted, found, least, most, half_width)
+    parts = coalesce_short_parts(parts_from_cuts(cuts, durations), least)
+    ends = parts.select("job_id", F.round("end", 3).alias("at"))
+    left = cuts.join(ends, ["job_id", "at"], "left_semi")
+    left = left.withColumn("ord", (F.row_number().over(Window.partitionBy("job_id").orderBy("at")) - 1).cast("long"))
+    sec = F.round(F.col("end") - F.col("start"), 3)
+    of_parts = parts.groupBy("job_id").agg(F.count("*").alias("n_parts"), F.min(sec).alias("min_part_sec"), F.max(sec).alias("max_part_sec"), F.round(F.max(sec) - F.min(sec), 3).alias("spread_sec"), F.bool_and(sec.between(least, most)).alias("all_in_range"))
+    long = cut_metrics(found, top).groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "mid", "duration"))), lambda x: F.struct(x["mid"].alias("mid"), x["duration"].alias("duration"))).alias("top_pauses"))
+    counts = found.groupBy("job_id").agg(F.count("*").alias("n_pauses"))
+    metrics = wanted.withColumnRenamed("n_parts", "requested_n_parts").join(of_parts, "job_id").join(counts, "job_id", "left").join(long, "job_id", "left")
+    metrics = metrics.select("job_id", "duration", "requested_n_parts", "n_parts", F.coalesce("n_pauses", F.lit(0).cast("long")).alias("n_pauses"), "min_part_sec", "max_part_sec", "spread_sec", "all_in_range", "top_pauses")
+    return left, parts, metrics
 
 
 def cut_metrics(pauses: DataFrame, top: int = 15) -> DataFrame:

@@ -15,14 +15,27 @@ SQL["c19_hysteresis_regions"] = """WITH RECURSIVE f AS (SELECT user_id AS job_id
  g AS (SELECT job_id, a, greatest(0, s, coalesce(max(e) OVER (PARTITION BY job_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS s, e FROM q)
  SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY a) - 1 AS ord, round(s, 3) AS "start", round(e, 3) AS "end" FROM g WHERE e > s"""
 
-_PLANS = f"""{X.INTERVALS}, {_DUR.format('intervals')}, {_HOLES.format('intervals', 0.3)}, np AS (SELECT job_id, duration, CAST(CASE WHEN duration < 600 THEN 1 ELSE least(greatest(greatest(2, ceil(duration / 900 - 1e-3)), floor(duration / 300 + 1e-3)), greatest(greatest(2, ceil(duration / 900 - 1e-3)), round_even(duration / 600, 0))) END AS BIGINT) AS n FROM durations),
- pz AS (SELECT job_id, list({{'mid': round(("start" + "end") / 2, 4), 'dur': round("end" - "start", 3)}} ORDER BY "start") AS p FROM holes GROUP BY job_id), jp AS (SELECT np.*, coalesce(p, []) AS p FROM np LEFT JOIN pz USING (job_id) WHERE n > 1),
- ct AS (SELECT job_id, 0::BIGINT AS k, 0::DOUBLE AS pl, 0::DOUBLE AS pause FROM jp
- UNION ALL SELECT job_id, k, CASE WHEN len(b) > 0 THEN b[1].mid ELSE greatest(ideal, last) END, CASE WHEN len(b) > 0 THEN b[1].dur ELSE 0 END FROM (SELECT job_id, k, ideal, last, list_sort(list_transform(list_filter(p, lambda x: x.mid > last AND abs(x.mid - ideal) <= 120), lambda x: {{'k': -(x.dur - 0.15 * abs(x.mid - ideal)), 'mid': x.mid, 'dur': x.dur}})) AS b
- FROM (SELECT jp.job_id, ct.k + 1 AS k, jp.duration * (ct.k + 1) / jp.n AS ideal, ct.pl AS last, jp.p FROM ct JOIN jp ON jp.job_id = ct.job_id AND ct.k + 1 < jp.n))),
- cuts AS (SELECT job_id, k - 1 AS ord, round(pl, 3) AS "at", round(pause, 3) AS pause FROM ct WHERE k > 0),
+
+def _cut_plans(n: str, pause: float, low: float, high: float, half: float) -> str:
+    """``cuts`` and ``pt`` (parts) of the recordings ``intervals``; ``n`` is the number of parts by ``duration`` and ``job_id``."""
+    return f"""{X.INTERVALS}, {_DUR.format('intervals')}, {_HOLES.format('intervals', pause)}, np AS (SELECT job_id, duration, {n} AS n FROM durations),
+ pz AS (SELECT job_id, list({{'mid': floor((round(1000 * "start") + round(1000 * "end") + 1) / 2) / 1000, 'dur': round("end" - "start", 3), 's': "start", 'e': "end"}} ORDER BY "start") AS p FROM holes GROUP BY job_id), jp AS (SELECT np.*, coalesce(p, []) AS p FROM np LEFT JOIN pz USING (job_id) WHERE n > 1),
+ ct AS (SELECT job_id, 0::BIGINT AS k, NULL::DOUBLE AS pl, 0::DOUBLE AS pause, NULL::DOUBLE AS used, NULL::DOUBLE AS "from", NULL::DOUBLE AS "to", NULL::DOUBLE AS ideal FROM jp
+ UNION ALL SELECT job_id, k, coalesce(b.mid, free), coalesce(b.dur, 0), CASE WHEN b IS NULL THEN used ELSE b.mid END, coalesce(b.s, free), coalesce(b.e, free), ideal
+ FROM (SELECT *, coalesce(list_sort(list_transform(list_filter(inside, lambda x: abs(x.mid - ideal) <= {half} AND x.mid IS DISTINCT FROM used), lambda x: {{'k': -(x.dur - 0.15 * abs(x.mid - ideal)), 'k2': 0::DOUBLE, 'mid': x.mid, 'dur': x.dur, 's': x.s, 'e': x.e}}))[1],
+       list_sort(list_transform(inside, lambda x: {{'k': -x.dur, 'k2': abs(x.mid - ideal), 'mid': x.mid, 'dur': x.dur, 's': x.s, 'e': x.e}}))[1]) AS b,
+       round(CASE WHEN lo > hi + 1e-6 THEN greatest(lo, least(least(greatest(ideal, {low}), duration - {low}), duration - 1e-3)) ELSE least(greatest(ideal, lo), hi) END, 3) AS free
+ FROM (SELECT *, list_filter(p, lambda x: x.mid >= lo AND x.mid <= hi) AS inside FROM (SELECT *, least(duration - {low} * (n - k), greatest(soft, lo)) AS hi
+ FROM (SELECT jp.job_id, jp.duration, jp.n, jp.p, ct.used, ct.k + 1 AS k, jp.duration / jp.n * (ct.k + 1) AS ideal, coalesce(ct.pl, 0) + {low} AS lo, coalesce(ct.pl, 0) + {high} AS soft FROM ct JOIN jp ON jp.job_id = ct.job_id AND ct.k + 1 < jp.n))))),
+ cuts AS (SELECT job_id, k - 1 AS ord, round(pl, 3) AS "at", round("from", 3) AS pause_start, round("to", 3) AS pause_end, round(pause, 3) AS pause, round(ideal, 3) AS ideal, round(pl - ideal, 3) AS "offset" FROM ct WHERE k > 0),
  pt AS (SELECT job_id, row_number() OVER w - 1 AS ord, s AS "start", coalesce(lead(s) OVER w, duration) AS "end" FROM (SELECT job_id, "at" AS s FROM cuts UNION ALL SELECT job_id, 0 FROM durations) JOIN durations USING (job_id) WINDOW w AS (PARTITION BY job_id ORDER BY s))"""
 
+
+_PLANS = _cut_plans("CAST(CASE WHEN duration < 600 THEN 1 ELSE least(greatest(greatest(2, ceil(duration / 900 - 1e-3)), floor(duration / 300 + 1e-3)), greatest(greatest(2, ceil(duration / 900 - 1e-3)), round_even(duration / 600, 0))) END AS BIGINT)", 0.3, 300, 900, 120)
+#: few pauses, tight bounds and more parts than some recordings have room for: every rule for a cut decides some
+_TIGHT = _cut_plans("CAST(2 + job_id % 6 AS BIGINT)", 100.0, 400, 700, 15)
+
+SQL["d2_choose_cuts_tight"] = f"WITH RECURSIVE {_TIGHT} SELECT * FROM cuts"
 SQL["d2_choose_cuts"] = f"WITH RECURSIVE {_PLANS} SELECT * FROM cuts"
 SQL["d3_parts_from_cuts"] = f"""WITH RECURSIVE {_PLANS} SELECT job_id, ord, printf('part%02d', ord + 1) AS part_id, "start", "end" FROM pt"""
 
@@ -34,8 +47,13 @@ def _group(src: str, joins: str) -> str:
  gg AS (SELECT job_id, g, min(gs) AS "start", arg_max(ge, i) AS "end" FROM gr GROUP BY job_id, g)"""
 
 
-SQL["d4_coalesce_short_parts"] = f"""WITH RECURSIVE {_PLANS}, {_group('pt', 'gr.ge - gr.gs < 500')}, la AS (SELECT *, max(g) OVER (PARTITION BY job_id) AS m FROM gg), fx AS (SELECT job_id, CASE WHEN g = m AND g > 0 AND "end" - "start" < 500 THEN g - 1 ELSE g END AS g, "start", "end" FROM la)
+SQL["d4_coalesce_short_parts"] = f"""WITH RECURSIVE {_PLANS}, {_group('pt', 'round(gr.ge - gr.gs, 3) + 1e-9 < 500')}, la AS (SELECT *, max(g) OVER (PARTITION BY job_id) AS m FROM gg), fx AS (SELECT job_id, CASE WHEN g = m AND g > 0 AND round("end" - "start", 3) + 1e-9 < 500 THEN g - 1 ELSE g END AS g, "start", "end" FROM la)
  SELECT job_id, g AS ord, printf('part%02d', g + 1) AS part_id, min("start") AS "start", max("end") AS "end" FROM fx GROUP BY job_id, g"""
+_BANDS = _cut_plans("CAST(CASE WHEN duration < 480 THEN 1 ELSE least(greatest(greatest(2, ceil(duration / 360 - 1e-3)), floor(duration / 240 + 1e-3)), greatest(greatest(2, ceil(duration / 360 - 1e-3)), round_even(duration / 300, 0))) END AS BIGINT)", 20.0, 240, 360, 90)
+SQL["d5_cut_plan"] = f"""WITH RECURSIVE {_BANDS}, {_group('pt', 'round(gr.ge - gr.gs, 3) + 1e-9 < 240')}, la AS (SELECT *, max(g) OVER (PARTITION BY job_id) AS m FROM gg), fx AS (SELECT job_id, CASE WHEN g = m AND g > 0 AND round("end" - "start", 3) + 1e-9 < 240 THEN g - 1 ELSE g END AS g, "start", "end" FROM la),
+ ps AS (SELECT job_id, g, round(max("end") - min("start"), 3) AS sec FROM fx GROUP BY job_id, g), pa AS (SELECT job_id, count(*) AS n_parts, min(sec) AS min_part_sec, max(sec) AS max_part_sec, round(max(sec) - min(sec), 3) AS spread_sec, bool_and(sec BETWEEN 240 AND 360) AS all_in_range FROM ps GROUP BY job_id),
+ pn AS (SELECT job_id, count(*) AS n_pauses, max(round("end" - "start", 3)) AS longest FROM holes GROUP BY job_id)
+ SELECT job_id, duration, n AS requested_n_parts, n_parts, coalesce(n_pauses, 0) AS n_pauses, min_part_sec, max_part_sec, spread_sec, all_in_range, longest FROM np JOIN pa USING (job_id) LEFT JOIN pn USING (job_id)"""
 SQL["f4_absorb_short_units"] = f"""WITH RECURSIVE {X.SEGMENTS}, {_group('segments', '(od."end" - od."start" < 9 OR (gr.g = 0 AND gr.ge - gr.gs < 9))')} SELECT job_id, g AS ord, "start", "end" FROM gg"""
 
 SQL["e8_greedy_remap"] = f"""WITH RECURSIVE {X.VECTORS}, ov AS (SELECT job_id, 'L' || label AS cluster, 'P' || (ord % 7) AS published, sum("end" - "start") AS sec FROM vectors GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sec DESC, cluster, published) AS i FROM ov WHERE sec > 0),
@@ -90,8 +108,8 @@ SQL["e11_turns_from_windows"] = f"""WITH RECURSIVE {X.VECTORS}, vs AS (SELECT jo
 def _alike(src: str, threshold: float, cap: float, most: int) -> str:
     """``al(job_id, unit, c)`` of ``src(job_id, unit, start, end, words, x)``: the state is the chapter's start, weight and mean vector."""
     return f"""ai AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY unit) AS i FROM {src}), al AS (SELECT job_id, i, unit, 0::BIGINT AS c, "start" AS s, greatest(words, 1)::BIGINT AS w, 1::BIGINT AS k, x AS v FROM ai WHERE i = 1
- UNION ALL SELECT job_id, i, unit, CASE WHEN ok THEN c ELSE c + 1 END, CASE WHEN ok THEN s ELSE "start" END, CASE WHEN ok THEN w + g ELSE g END, CASE WHEN ok THEN k + 1 ELSE 1 END, CASE WHEN ok THEN list_transform(list_zip(v, x), lambda p: (p[1] * w + p[2] * g) / (w + g)) ELSE x END
- FROM (SELECT a.job_id, a.i, a.unit, a."start", a.x, greatest(a.words, 1)::BIGINT AS g, l.c, l.s, l.w, l.k, l.v, coalesce(list_cosine_similarity(l.v, a.x), 0) >= {threshold} AND a."end" - l.s <= {cap} AND l.k < {most} AS ok FROM al l JOIN ai a ON a.job_id = l.job_id AND a.i = l.i + 1))"""
+ UNION ALL SELECT job_id, i, unit, CASE WHEN ok THEN c ELSE c + 1 END, CASE WHEN ok THEN s ELSE "start" END, CASE WHEN ok THEN w + g ELSE g END, CASE WHEN ok THEN k + 1 ELSE 1 END, CASE WHEN ok THEN list_transform(mix, lambda p: p / CASE WHEN len > 0 THEN len ELSE 1 END) ELSE x END
+ FROM (SELECT *, sqrt(list_sum(list_transform(mix, lambda p: p * p))) AS len FROM (SELECT *, list_transform(list_zip(v, x), lambda p: (p[1] * w + p[2] * g) / (w + g)) AS mix FROM (SELECT a.job_id, a.i, a.unit, a."start", a.x, greatest(a.words, 1)::BIGINT AS g, l.c, l.s, l.w, l.k, l.v, coalesce(list_cosine_similarity(l.v, a.x), 0) >= {threshold} AND a."end" - l.s <= {cap} AND l.k < {most} AS ok FROM al l JOIN ai a ON a.job_id = l.job_id AND a.i = l.i + 1))))"""
 
 
 _VEC = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings)"

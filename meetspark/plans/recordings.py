@@ -277,6 +277,20 @@ def d2_choose_cuts(spark, d):
     return _cuts(spark, d)[0]
 
 
+@query("d2_choose_cuts_tight")
+def d2_choose_cuts_tight(spark, d):
+    i = X.intervals(spark, d)
+    dur = _durations(i)
+    return D.choose_cuts(dur.withColumn("n_parts", 2 + F.col("job_id") % 6), V.pauses(i, dur, 100.0), 400.0, 700.0, 15.0)
+
+
+@query("d5_cut_plan")
+def d5_cut_plan(spark, d):
+    i = X.intervals(spark, d)
+    metrics = D.cut_plan(_durations(i), i, min_pause=20.0)[2]
+    return metrics.withColumn("longest", F.get("top_pauses", F.lit(0))["duration"]).drop("top_pauses")
+
+
 @query("d3_parts_from_cuts")
 def d3_parts_from_cuts(spark, d):
     return D.parts_from_cuts(*_cuts(spark, d))
