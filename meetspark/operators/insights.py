@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digit_groups_verified, is_blank, starts_with_stamp, word_count
@@ -16,14 +16,30 @@ _ITEM = "array<struct<text:string,segment_ids:array<string>>>"
 EXTRACT = f"struct<key_points:{_ITEM},actions:{_ITEM},open_questions:{_ITEM},asr_notes:array<struct<text:string>>>"
 
 
+_KINDS = ("key_points", "actions", "open_questions")
+_SHAPE = "ARRAY<OBJECT<segment_ids: ARRAY<STRING>, text: STRING>>"
+_LISTS = {"actions": _SHAPE, "asr_notes": "ARRAY<OBJECT<text: STRING>>", "key_points": _SHAPE, "open_questions": _SHAPE}
+
+
+def valid_extract(text: Column, payload: Column) -> Column:
+    """Whether a reply and its parsed payload are whole: the four lists and no other key, items of a text and one segment id or more and
+    nothing else, notes of a text; texts and ids are strings. Anything else spoils the whole reply."""
+    shape = "OBJECT<" + ", ".join(f"{k}: ({v}|ARRAY<VOID>)" for k, v in _LISTS.items()) + ">"
+    typed = F.schema_of_variant(F.try_parse_json(text)).rlike(f"^{shape}$")  # keys are in order of name; elements that lack a key do not show
+    each = [F.forall(payload[k], lambda i: i["text"].isNotNull() & (F.size(i["segment_ids"]) > 0) & F.forall(i["segment_ids"], lambda x: x.isNotNull())) for k in _KINDS]
+    notes = F.forall(payload["asr_notes"], lambda n: n["text"].isNotNull())
+    return F.coalesce(typed & each[0] & each[1] & each[2] & notes, F.lit(False))
+
+
 def parse_extract(replies: DataFrame) -> DataFrame:
-    """``replies(job_id, chapter_id, attempt, text)`` to items; replies that are no JSON or have unknown keys give none."""
-    keys = F.json_object_keys("text")
-    good = F.coalesce(F.forall(keys, lambda k: k.isin("key_points", "actions", "open_questions", "asr_notes")), F.lit(False))
-    parsed = replies.withColumn("ok", good).withColumn("p", F.when(F.col("ok"), F.from_json("text", EXTRACT))).filter("ok AND p IS NOT NULL")
-    parts = [parsed.select("job_id", "chapter_id", "attempt", F.lit(kind).alias("kind"), F.posexplode(f"p.{kind}").alias("idx", "i")) for kind in ("key_points", "actions", "open_questions")]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.filter("size(i.segment_ids) > 0").select("job_id", "chapter_id", "attempt", "kind", "idx", F.col("i.text").alias("text"), F.col("i.segment_ids").alias("segment_ids"))
+    """``replies(job_id, chapter_id, attempt, text)`` to items; a reply that is not valid as a whole gives none."""
+    parsed = parse_payload(replies, "extract").filter("ok")
+
+    def items_of(kind: str) -> Column:
+        return F.transform(F.col("payload")[kind], lambda i, at: F.struct(F.lit(kind).alias("kind"), at.alias("idx"), i["text"].alias("text"), i["segment_ids"].alias("segment_ids")))
+
+    items = F.flatten(F.array(*map(items_of, _KINDS)))
+    return parsed.select("job_id", "chapter_id", "attempt", F.explode(items).alias("i")).select("job_id", "chapter_id", "attempt", "i.*")
 
 
 def hydrate_items(items: DataFrame, chapters: DataFrame, segments: DataFrame) -> DataFrame:
@@ -43,15 +59,32 @@ def filter_digit_verified(items: DataFrame, chapters: DataFrame, segments: DataF
     return met.filter((F.col("kind") != "key_points") | digit_groups_verified(F.col("text"), F.col("source"))).drop("source")
 
 
-def select_attempts(items: DataFrame) -> DataFrame:
-    """Items of the first attempt of each chapter that has any."""
-    first = F.min("attempt").over(Window.partitionBy("job_id", "chapter_id"))
-    return items.withColumn("f", first).filter("attempt = f").drop("f")
+def select_replies(replies: DataFrame, chapters: DataFrame, max_attempts: int = 2) -> DataFrame:
+    """``job_id, chapter_id, attempt, status, n_unknown`` of each chapter with replies: which reply counts as a whole.
 
-
-def build_insights(replies: DataFrame, chapters: DataFrame, segments: DataFrame) -> DataFrame:
-    items = filter_digit_verified(hydrate_items(parse_extract(replies), chapters, segments), chapters, segments)
-    return select_attempts(items).select("job_id", "chapter_id", "attempt", "kind", "idx", "pos", "text", "segment_id", "start", "end", "speaker")
+    Attempts go in order, ``max_attempts`` at most. A valid reply whose ids all belong to its chapter is ``accepted``. Any other is asked
+    for again: the last one is ``reduced`` if it is valid (its items with unknown ids are left out) and else ``failed``. A chapter whose
+    attempts are not used up has status ``retry`` and the latest attempt. What later filters drop from a reply never causes a retry.
+    """
+    allowed = chapters.select("job_id", "chapter_id", F.col("source_ids").alias("allowed"))
+    made = parse_payload(replies, "extract").join(allowed, ["job_id", "chapter_id"], "left")
+    used = F.flatten(F.flatten(F.array(*(F.transform(F.col("payload")[k], lambda i: i["segment_ids"]) for k in _KINDS))))
+    unknown = F.size(F.filter(used, lambda x: ~F.coalesce(F.array_contains("allowed", x), F.lit(False))))
+    n = F.row_number().over(Window.partitionBy("job_id", "chapter_id").orderBy("attempt"))
+    tries = made.select("job_id", "chapter_id", "attempt", "ok", F.when(F.col("ok"), unknown).alias("unknown"), n.alias("n")).filter(F.col("n") <= max_attempts)
+    clean = F.min(F.when(F.col("ok") & (F.col("unknown") == 0), F.struct("n", "attempt")))
+    out = tries.groupBy("job_id", "chapter_id").agg(clean.alias("clean"), F.max(F.struct("n", "attempt", "ok", "unknown")).alias("last"))
+    status = F.when(F.col("clean").isNotNull(), "accepted").when(F.col("last.n") < max_attempts, "retry").when(F.col("last.ok"), "reduced").otherwise("failed")
+    return out.select("job_id", "chapter_id", F.coalesce("clean.attempt", "last.attempt").alias("attempt"), status.alias("status"), F.when(F.col("clean").isNotNull(), 0).otherwise(F.col("last.unknown")).cast("long").alias("n_unknown"))
+
+
+def build_insights(replies: DataFrame, chapters: DataFrame, segments: DataFrame, max_attempts: int = 2) -> DataFrame:
+    """Items with their sources, of the reply that counts for each chapter (``select_replies``): those with an unknown id go, then key points
+    with digits that the chapter does not have. A chapter that waits for a retry or failed has no rows."""
+    used = select_replies(replies, chapters, max_attempts).filter(F.col("status").isin("accepted", "reduced")).select("job_id", "chapter_id", "attempt")
+    items = parse_extract(replies.join(used, ["job_id", "chapter_id", "attempt"], "left_semi"))
+    found = filter_digit_verified(hydrate_items(items, chapters, segments), chapters, segments)
+    return found.select("job_id", "chapter_id", "attempt", "kind", "idx", "pos", "text", "segment_id", "start", "end", "speaker")
 
 
 def speaker_totals(segments: DataFrame) -> DataFrame:
@@ -72,6 +105,37 @@ def clock_gate(sources: DataFrame, segments: DataFrame) -> DataFrame:
     return met.groupBy("job_id").agg(F.count("*").alias("n_sources"), F.count(F.when(~same, 1)).alias("n_bad")).withColumn("ok", F.col("n_bad") == 0)
 
 
+def clock_mismatches(insight_chapters: DataFrame, sources: DataFrame, chapters: DataFrame, segments: DataFrame, report_chapters: DataFrame | None = None, moments: DataFrame | None = None) -> DataFrame:
+    """``job_id, kind, item``: every copied time, speaker or title that is not exactly that of its origin.
+
+    ``chapter`` unknown or with other bounds than in ``chapters(job_id, chapter_id, start, end, title)``; ``segment`` unknown, ``source`` with
+    other times or speaker than its segment; ``report chapter`` unknown or with other bounds or title; ``moment`` of
+    ``moments(job_id, pos, start, end, speaker, chapter_id)`` that no source of a known segment has. All joins are on job and id.
+    """
+    c = chapters.select("job_id", "chapter_id", F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.col("title").alias("c_title"), F.lit(True).alias("known"))
+    equal = lambda *names: [F.col(n).eqNullSafe(F.col(f"c_{n}")) for n in names]
+
+    def differs(df: DataFrame, kind: str, *names: str) -> DataFrame:
+        met = df.join(c, ["job_id", "chapter_id"], "left")
+        right = F.col("known")
+        for e in equal(*names):
+            right = right & e
+        return met.filter(~F.coalesce(right, F.lit(False))).select("job_id", F.lit(kind).alias("kind"), F.col("chapter_id").alias("item"))
+
+    truth = segments.select("job_id", "segment_id", F.struct("start", "end", "speaker").alias("truth"))
+    met = sources.join(truth, ["job_id", "segment_id"], "left").withColumn("own", F.struct("start", "end", "speaker"))
+    out = differs(insight_chapters, "chapter", "start", "end")
+    wrong = met.filter(~F.col("own").eqNullSafe(F.col("truth")))
+    out = out.unionByName(wrong.select("job_id", F.when(F.col("truth").isNull(), "segment").otherwise("source").alias("kind"), F.col("segment_id").alias("item")))
+    if report_chapters is not None:
+        out = out.unionByName(differs(report_chapters, "report chapter", "start", "end", "title"))
+    if moments is not None:
+        held = met.filter("truth IS NOT NULL").select("job_id", "start", "end", "speaker", "chapter_id").distinct()
+        lost = moments.join(held, ["job_id", "start", "end", "speaker", "chapter_id"], "left_anti")
+        out = out.unionByName(lost.select("job_id", F.lit("moment").alias("kind"), F.col("pos").cast("string").alias("item")))
+    return out
+
+
 REPORT = "struct<summary:string,key_moments:array<struct<text:string,chapter_id:string,segment_id:string>>>"
 
 
@@ -136,7 +200,7 @@ PAYLOADS = {
 def parse_payload(replies: DataFrame, task: str) -> DataFrame:
     """The columns of ``replies(..., text)``, ``ok`` and the typed ``payload`` (null if not ok).
 
-    ``extract`` and ``report`` allow no unknown keys and want a source for each item and a text for each moment; ``title`` and ``batch``
+    ``extract`` wants its four lists whole (``valid_extract``); ``report`` allows no unknown keys and wants a text for each moment; ``title`` and ``batch``
     ignore them and want titles of a character or more, a batch at least one.
     """
     known = {"extract": ["key_points", "actions", "open_questions", "asr_notes"], "report": ["summary", "key_moments"]}
@@ -144,10 +208,7 @@ def parse_payload(replies: DataFrame, task: str) -> DataFrame:
     text = lambda c: F.length(F.coalesce(c, F.lit(""))) > 0
     none = lambda kind: F.array().cast(kind)
     if task == "extract":
-        good = None
-        for kind in ("key_points", "actions", "open_questions"):
-            each = F.forall(F.coalesce(p[kind], none(_ITEM)), lambda i: text(i["text"]) & (F.size(F.coalesce(i["segment_ids"], none("array<string>"))) > 0))
-            good = each if good is None else good & each
+        good = valid_extract(F.col("text"), p)
     elif task == "report":
         good = p["summary"].isNotNull() & F.forall(F.coalesce(p["key_moments"], none("array<struct<text:string,chapter_id:string,segment_id:string>>")), lambda m: text(m["text"]) & text(m["chapter_id"]) & text(m["segment_id"]))
     elif task == "title":

@@ -527,20 +527,56 @@ def g10_llm_budget(spark, d):
 
 
 def _replies(spark, d):
-    c = X.chapters(spark, d)
-    odd = F.col("job_id") % 7 == 3
-    ids = F.when(odd, F.concat(F.slice("source_ids", 1, 1), F.array(F.lit("s9999")))).otherwise(F.slice("source_ids", 1, 2))
-    item = F.struct(F.when(F.col("job_id") % 5 == 2, F.concat("title", F.lit(" 98765"))).otherwise(F.col("title")).alias("text"), ids.alias("segment_ids"))
-    return c.select("job_id", "chapter_id", F.lit(1).alias("attempt"), F.to_json(F.struct(F.array(item).alias("key_points"), F.array(item).alias("actions"))).alias("text"))
+    """Two attempts a chapter, in eight kinds by ``(job_id + ord) % 8``: every way for a reply to count, to be asked for again or to fail."""
+    c = X.chapters(spark, d).withColumn("k", (F.col("job_id") + F.col("ord")) % 8)
+    item = lambda text, ids: F.struct(text.alias("text"), ids.alias("segment_ids"))
+    good, lost, digits = item(F.col("title"), F.slice("source_ids", 1, 2)), item(F.col("title"), F.array(F.col("source_ids")[0], F.lit("s9999"))), item(F.concat("title", F.lit(" 98765")), F.slice("source_ids", 1, 2))
+    odd = F.struct(F.col("title").alias("text"), F.slice("source_ids", 1, 2).alias("segment_ids"), F.lit(1).alias("weight"))
+    bare = item(F.col("title"), F.array().cast("array<string>"))
+
+    def reply(key_points=(), actions=(), questions=(), notes=True):
+        lists = [F.array(*x).alias(n) for n, x in (("key_points", key_points), ("actions", actions), ("open_questions", questions))]
+        return F.to_json(F.struct(*lists, *([F.array(F.struct(F.col("title").alias("text"))).alias("asr_notes")] if notes else [])))
+
+    first = [reply([good], [good]), reply([good, lost]), F.lit("no reply"), reply([odd]), reply([bare]), reply([lost]), reply([digits], [digits]), reply([good], notes=False)]
+    second = {1: reply([good], [], [good]), 2: reply([lost, good], [digits]), 3: reply([], [good]), 5: F.lit("{"), 7: reply([], [], [good, digits])}
+    pick = lambda texts: F.coalesce(*(F.when(F.col("k") == k, t) for k, t in texts))
+    tries = F.array(F.struct(F.lit(1).alias("attempt"), pick(enumerate(first)).alias("text")), F.struct(F.lit(2).alias("attempt"), pick(second.items()).alias("text")))
+    return c.select("job_id", "chapter_id", F.inline(tries)).filter("text IS NOT NULL")
+
+
+_STATUS = "WITH {0}, k AS (SELECT *, (job_id + ord) % 8 AS k FROM chapters)"
+#: kind of reply: attempt, list and place of each item that counts; 'D' has digits that no chapter has
+_COUNTS = "(VALUES (0, 1, 'key_points', 0, ''), (0, 1, 'actions', 0, ''), (1, 2, 'key_points', 0, ''), (1, 2, 'open_questions', 0, ''), (2, 2, 'key_points', 1, ''), (2, 2, 'actions', 0, ' 98765'), (3, 2, 'actions', 0, ''), (6, 1, 'key_points', 0, ' 98765'), (6, 1, 'actions', 0, ' 98765'), (7, 2, 'open_questions', 0, ''), (7, 2, 'open_questions', 1, ' 98765')) AS v(k, attempt, kind, idx, more)"
 
 
-@query("g5_build_insights", f"""WITH {X.CHAPTERS}, {_BRIDGE}, i AS (SELECT job_id, chapter_id, unnest(['key_points', 'actions']) AS kind, CASE WHEN job_id % 5 = 2 THEN title || ' 98765' ELSE title END AS text FROM chapters WHERE job_id % 7 <> 3),
- src AS (SELECT job_id, chapter_id, string_agg(s.text, ' ' ORDER BY pos) AS src FROM bridge JOIN segments s USING (job_id, segment_id) GROUP BY ALL), ok AS (SELECT i.* FROM i JOIN src USING (job_id, chapter_id) WHERE kind = 'actions' OR list_bool_and(list_transform(list_filter(regexp_split_to_array(i.text, '[^0-9]+'), lambda x: x <> ''), lambda g: contains(src, g))) IS NOT FALSE)
- SELECT ok.job_id, ok.chapter_id, 1 AS attempt, kind, 0 AS idx, pos, ok.text, segment_id, s."start", s."end", s.speaker FROM ok JOIN bridge b USING (job_id, chapter_id) JOIN segments s USING (job_id, segment_id) WHERE pos < 2""")
+@query("g5_select_replies", _STATUS.format(X.CHAPTERS) + """ SELECT job_id, chapter_id, CASE WHEN k IN (0, 4, 6) THEN 1 ELSE 2 END AS attempt, CASE k WHEN 2 THEN 'reduced' WHEN 4 THEN 'retry' WHEN 5 THEN 'failed' ELSE 'accepted' END AS status, CASE WHEN k = 2 THEN 1 WHEN k NOT IN (4, 5) THEN 0 END AS n_unknown FROM k""")
+def g5_select_replies(spark, d):
+    return G.select_replies(_replies(spark, d), X.chapters(spark, d))
+
+
+@query("g5_build_insights", _STATUS.format(X.CHAPTERS) + f""", {_BRIDGE}, i AS (SELECT job_id, chapter_id, attempt, kind, idx, title || more AS text FROM k JOIN {_COUNTS} USING (k)),
+ src AS (SELECT job_id, chapter_id, string_agg(s.text, ' ' ORDER BY pos) AS src FROM bridge JOIN segments s USING (job_id, segment_id) GROUP BY ALL), ok AS (SELECT i.* FROM i JOIN src USING (job_id, chapter_id) WHERE kind <> 'key_points' OR list_bool_and(list_transform(list_filter(regexp_split_to_array(i.text, '[^0-9]+'), lambda x: x <> ''), lambda g: contains(src, g))) IS NOT FALSE)
+ SELECT ok.job_id, ok.chapter_id, attempt, kind, idx, pos, ok.text, segment_id, s."start", s."end", s.speaker FROM ok JOIN bridge b USING (job_id, chapter_id) JOIN segments s USING (job_id, segment_id) WHERE pos < 2""")
 def g5_build_insights(spark, d):
     return G.build_insights(_replies(spark, d), X.chapters(spark, d), X.segments(spark, d))
 
 
+@query("g11_clock_mismatches", f"""WITH {X.CHAPTERS}, {_BRIDGE}, k AS (SELECT *, (job_id + ord) % 6 AS k FROM chapters)
+ SELECT job_id, 'chapter' AS kind, chapter_id AS item FROM k WHERE k = 1 UNION ALL SELECT job_id, 'chapter', chapter_id || 'x' FROM k WHERE k = 2 UNION ALL SELECT job_id, 'source', source_ids[1] FROM k WHERE k = 3 UNION ALL SELECT job_id, 'segment', source_ids[1] || 'x' FROM k WHERE k = 4
+ UNION ALL SELECT job_id, 'report chapter', chapter_id FROM k WHERE k IN (0, 5) UNION ALL SELECT job_id, 'moment', ord::VARCHAR FROM k WHERE k IN (1, 2, 4)""")
+def g11_clock_mismatches(spark, d):
+    c = X.chapters(spark, d).withColumn("k", (F.col("job_id") + F.col("ord")) % 6)
+    s = X.segments(spark, d)
+    k = F.col("k")
+    insight = c.select("job_id", F.when(k == 2, F.concat("chapter_id", F.lit("x"))).otherwise(F.col("chapter_id")).alias("chapter_id"), F.when(k == 1, F.col("start") + 1).otherwise(F.col("start")).alias("start"), "end")
+    first = c.withColumn("segment_id", F.col("source_ids")[0]).drop("start", "end", "title").join(s.select("job_id", "segment_id", "start", "end", "speaker"), ["job_id", "segment_id"])
+    src = first.select("job_id", "chapter_id", F.when(k == 4, F.concat("segment_id", F.lit("x"))).otherwise(F.col("segment_id")).alias("segment_id"), "start", F.when(k == 3, F.col("end") + 0.5).otherwise(F.col("end")).alias("end"), "speaker")
+    ref = c.select("job_id", "chapter_id", "start", F.when(k == 0, F.col("end") - 1).otherwise(F.col("end")).alias("end"), F.when(k == 5, F.concat("title", F.lit("!"))).otherwise(F.col("title")).alias("title"))
+    moments = first.select("job_id", F.col("ord").alias("pos"), F.when(k == 1, F.col("start") + 1).otherwise(F.col("start")).alias("start"), F.when(k == 3, F.col("end") + 0.5).otherwise(F.col("end")).alias("end"), F.when(k == 2, F.lit("nobody")).otherwise(F.col("speaker")).alias("speaker"), "chapter_id")
+    return G.clock_mismatches(insight, src, c, s, ref, moments)
+
+
 def _report_replies(spark, d):
     """Two moments for each chapter: its first source, then the same again or, in two chapters of three, an unknown one."""
     c = X.chapters(spark, d)
