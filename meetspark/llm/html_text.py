@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _ATTRIBUTES = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
+_MARK = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _RAW = frozenset("script style noscript template textarea title iframe object svg canvas select option".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,7 +35,7 @@ _FURNITURE_WORDS = frozenset(
     "subscription tags toolbar topbar widget widgets contentinfo complementary search alert".split()
 )
 # Words that often name parts of the content too, and first parts that say what an element has or is about, not what it is.
-_WEAK_WORDS = frozenset("alert copyright disclaimer header notice notices related replies respond search tags".split())
+_WEAK_WORDS = frozenset("header related search tags".split())
 _STATES = frozenset("has no not is with without category cat tag type format status page single hentry js".split())
 _TITLES = frozenset("article content entry post section story title".split())  # whose header is the content's
 STRONG, WEAK = 0.05, 0.5
@@ -44,7 +45,6 @@ _ROOTS = frozenset(["article", "main"])
 _HOLDERS = frozenset("html body article main section div td center fieldset".split())
 # How much a path's score gains in an article or main element; the share of the selected text that the chosen element holds.
 ROOT_GAIN, SHARE = 4.0, 0.9
-FAILURES, DEEPEST = 8, 256
 _RAW_END = {tag: re.compile(rf"</{tag}(?![a-zA-Z0-9:-])", re.I) for tag in _RAW}
 _PARAGRAPH = frozenset(["p"])  # any other block ends an open paragraph
 
@@ -83,13 +83,31 @@ class Page:
     linked: list[int]  # characters inside links
 
 
+def tag_end(page: str, start: int, first: int, dead: set[int]) -> int:
+    """Place of the ``>`` outside quotes that ends the tag whose name ends at ``start`` and whose first ``>`` is at ``first``; -1 if its
+    quotes never close. ``dead`` holds quotes that are known to open what never ends, so none is followed twice."""
+    if _ATTRIBUTES.match(page, start, first + 1):
+        return first
+    at, opened = start, []
+    while m := _MARK.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        opened.append(m.start())
+        close = page.find(m[0], m.end()) if m.start() not in dead else -1
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(opened)
+    return -1
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """``("text", text, "")``, ``("open", tag, attributes)`` and ``("close", tag, "")`` in page order, in time linear in its length.
 
-    A tag whose quotes never close ends at its first ``>``; after ``FAILURES`` such tags quotes are no longer looked at. Without any
-    ``>`` the rest of the page is text, as is a ``<`` before anything but a tag.
+    A tag whose quotes never close ends at its first ``>``. Without any ``>`` the rest of the page is text, as is a ``<`` before
+    anything but a tag.
     """
-    at, failures = 0, 0
+    at, dead = 0, set()
     while at < len(page):
         i = page.find("<", at)
         if i < 0:
@@ -114,9 +132,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         at = end + 1
         if not name:
             continue
-        if failures < FAILURES:
-            m = _ATTRIBUTES.match(page, name.end())
-            at, failures = (m.end(), failures) if m else (at, failures + 1)
+        quoted = tag_end(page, name.end(), end, dead)
+        if quoted >= 0:
+            at = quoted + 1
         tag = name[0].lower()
         yield ("close", tag, "") if closing else ("open", tag, page[name.end() : at - 1])
         if not closing and tag in _RAW:
@@ -126,12 +144,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def parse(page: str) -> Page:
-    """The elements and text blocks of a page. Elements nested deeper than ``DEEPEST`` count as part of those around them."""
+    """The elements and text blocks of a page, at any depth."""
     out = Page([""], [0], [0], [0], [False], [1.0], [], [], [], [])
     paths: dict[tuple[int, str], int] = {}
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, element, path
-    opened: Counter[str] = Counter()
-    beyond: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack
+    scopes = [0]  # places of the open elements that bound implied ends
     text: list[str] = []
     linked, in_link = 0, 0
 
@@ -150,20 +168,17 @@ def parse(page: str) -> Page:
     def pop() -> str:
         tag, element, _ = stack.pop()
         out.last[element] = len(out.tag) - 1
-        opened[tag] -= 1
+        opened[tag].pop()
+        if scopes[-1] == len(stack):
+            scopes.pop()
         return tag
 
     def close_open(these: frozenset[str]) -> None:
         """Ends the nearest open element of these in scope, and all inside it."""
-        if not any(opened[t] for t in these):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in these:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i][0] in _SCOPE:
-                return
+        place = max((opened[t][-1] for t in these if opened[t]), default=-1)
+        if place >= scopes[-1]:
+            while len(stack) > place:
+                pop()
 
     for kind, value, attributes in tokens(page):
         if kind == "text":
@@ -172,9 +187,7 @@ def parse(page: str) -> Page:
             if in_link:
                 linked += len(plain.strip())
         elif kind == "close":
-            if beyond[value]:
-                beyond[value] -= 1
-            elif opened[value]:
+            if opened[value]:
                 if value in _BLOCK:
                     flush()
                 while pop() != value:
@@ -192,9 +205,6 @@ def parse(page: str) -> Page:
                 continue
             if value == "a":
                 in_link += 1
-            if len(stack) > DEEPEST:
-                beyond[value] += 1
-                continue
             element, (_, above, path) = len(out.tag), stack[-1]
             root = out.root[above] or (element if value in _ROOTS else 0)
             out.tag.append(value)
@@ -203,7 +213,9 @@ def parse(page: str) -> Page:
             out.root.append(root)
             out.furniture.append(out.furniture[above] or value in _FURNITURE_TAGS or value == "header" and not out.root[above])
             out.penalty.append(_penalty(value, attributes, root > 0))
-            opened[value] += 1
+            opened[value].append(len(stack))
+            if value in _SCOPE:
+                scopes.append(len(stack))
             stack.append((value, element, paths.setdefault((path, value), len(paths) + 1) if value in _BLOCK else path))
     flush()
     while len(stack) > 1:
@@ -262,22 +274,32 @@ def content(page: str | None, threshold: float = 0.25) -> str:
                 exempt.add(r)
                 r = tree.parent[r]
     named = np.array([p < 1 and e not in exempt for e, p in enumerate(tree.penalty)])
-    penalty = np.ones(n)
+    least = [1.0] * n
     for e in range(1, n):
-        above = penalty[tree.parent[e]]
-        penalty[e] = min(above, tree.penalty[e]) if named[e] else above
+        above = least[tree.parent[e]]
+        least[e] = min(above, tree.penalty[e]) if named[e] else above
+    penalty = np.array(least)
     gain = np.where(root > 0, ROOT_GAIN, 1.0) * penalty[element]
     score, linkish = path_scores(list(zip((tree.path[i] for i in use), (root > 0).tolist(), penalty[element].tolist(), strict=True)), size, link, stops, gain)
     # an element named like furniture is judged whole, by the mean score of its text
     poor = named & (inner(score * size) < threshold * score.max() * inner(size))
-    for e in range(1, n):
-        poor[e] |= poor[tree.parent[e]]
+    if poor.any():
+        below = poor.tolist()
+        for e in range(1, n):
+            below[e] = below[e] or below[tree.parent[e]]
+        poor = np.array(below)
     plain = ~poor[element]
     seed = (score >= threshold * score.max()) & ~linkish & plain
     if not seed.any():  # nothing but links: those of an article are its content
         return "\n".join(t for t, r, p in zip(texts, root, penalty[element], strict=True) if r and p == 1)
     holder = np.array([t in _HOLDERS for t in tree.tag])
     holder[0] = True
+    around, heading = [0] * n, [False] * n  # nearest holder around an element; whether it is in a heading
+    for e in range(1, n):
+        above, tag = tree.parent[e], tree.tag[e]
+        around[e] = e if tag in _HOLDERS else around[above]
+        heading[e] = heading[above] or tag in ("h1", "h2", "h3")
+    held_by, titled_in = np.array(around), np.array(heading)
     mass = inner(np.where(seed, (size - link) * gain, 0.0))
     seeded = inner(seed.astype(float)) > 0
     chosen = int(np.flatnonzero(holder & seeded & (mass >= SHARE * mass[0] * (1 - 1e-12))).max())  # elements are numbered as they open
@@ -287,32 +309,19 @@ def content(page: str | None, threshold: float = 0.25) -> str:
     whole = {0} | {e for e, t in enumerate(tree.tag) if t in ("html", "body")}
     inside = within(chosen)
     while not of_root and chosen not in whole:  # a wrapper that adds little but the heading
-        parent = tree.parent[chosen]
-        while not holder[parent]:
-            parent = tree.parent[parent]
+        parent = int(held_by[tree.parent[chosen]])
         wider = within(parent)
         more, first = wider & ~inside, int(np.argmax(inside))
-        titled = any(_in_heading(tree, e) for e in element[:first][more[:first]].tolist())
+        titled = titled_in[element[:first][more[:first]]].any()
         if parent in whole or not titled or size[more].sum() > 0.2 * size[inside].sum() or link[more].sum() > 0.5 * size[more].sum():
             break
         chosen, inside = parent, wider
     if chosen in whole:  # no element of its own: what stands beside selected paths, and articles that have any
-        near = element.copy()
-        while (low := ~holder[near]).any():
-            near[low] = np.array(tree.parent)[near[low]]
-        inside &= seeded[near] | (root > 0) & seeded[root]
+        inside &= seeded[held_by[element]] | (root > 0) & seeded[root]
     inside &= plain
     return "\n".join(t for t, keep, r, links in zip(texts, inside, root, linkish, strict=True) if keep and (r or not links))
 
 
-def _in_heading(tree: Page, element: int) -> bool:
-    while element:
-        if tree.tag[element] in ("h1", "h2", "h3"):
-            return True
-        element = tree.parent[element]
-    return False
-
-
 def _extract(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
