@@ -1,14 +1,15 @@
 """Benchmark decontamination by winnowing, in DataFrame operations alone.
 
 Word 4-grams are hashed; the least hash in every window of ten words is kept as the window's fingerprint, in benchmark items
-and in documents alike, so any shared window shares its fingerprint and is found. Fingerprints that meet are extended:
-the whole windows are compared word by word. Items shorter than a window are one window of their own length and go the
-same way with that length.
+and in documents alike, so any shared window shares its fingerprint and is found. Neighbouring windows of a document mostly
+share theirs: such a run is one row with its fingerprint and the words it spans. Runs are joined with the benchmark's
+fingerprints; those that meet are extended: their windows are compared with the benchmark's word by word. Items shorter than a
+window are one window of their own length and go the same way with that length.
 
 The benchmark's fingerprints also set bits of a filter, ``BITS_PER_PRINT`` for each and ``MOST_BITS`` at most (1 MB, a literal of
-the plan). One scan of the documents computes the fingerprints of all window lengths and keeps the windows whose bit is
-set; those are joined with the benchmark's windows by their words. The filter only ever lets through more, so results are
-exact whatever the benchmark's size: a larger one sends more windows to the join.
+the plan). One scan of the documents computes the fingerprints of all window lengths and keeps the runs whose bit is
+set. The filter only ever lets through more, so results are exact whatever the benchmark's size; where a larger one fills it, all
+runs of the documents go to the join of fingerprints, about a row for each four words.
 """
 
 from __future__ import annotations
@@ -55,15 +56,36 @@ def window_prints(words: Column, window: int, gram: int) -> Column:
     return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: let(grams(h), least))
 
 
+RUN = 64  # windows of a run; longer ones, of repeated words, are cut
+
+
 def _met(lengths: list[int], gram: int, bits: Column, size: int):
-    """Of a word array: how many words it has, and the windows of each length whose fingerprint's bit is set."""
+    """Of a word array: how many words it has, and the runs of windows of each length with one fingerprint whose bit is set."""
 
-    def windows(w: Column, length: int) -> Column:
+    def runs(w: Column, length: int) -> Column:
         held = lambda x: F.getbit(F.get(bits, F.shiftright(x.bitwiseAND(F.lit(size - 1)), 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
-        at = F.filter(F.transform(window_prints(w, length, gram), lambda x, i: F.when(held(x), i)), lambda i: i.isNotNull())
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.array_join(F.slice(w, i + 1, F.lit(length)), " ").alias("key")))
 
-    return lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(*(windows(w, n) for n in lengths)).alias("met"))
+        def of(prints: Column) -> Column:
+            opens = F.transform(prints, lambda x, i: F.when(held(x) & ((i % RUN == 0) | (x != F.get(prints, i - 1))), i))
+            return let(F.filter(opens, lambda i: i.isNotNull()), lambda at: F.transform(at, lambda i: run(prints, i)))
+
+        def run(prints: Column, i: Column) -> Column:
+            # how many of the next windows, up to the next cut, have the same fingerprint
+            print_ = F.get(prints, i)
+            ahead = F.slice(prints, i + 1, F.lit(RUN) - i % RUN)
+            n = F.coalesce(F.nullif(F.array_position(F.transform(ahead, lambda x: x != print_), True), F.lit(0).cast("long")) - 1, F.size(ahead).cast("long")).cast("int")
+            return F.struct(i.alias("at"), F.lit(length).alias("length"), print_.alias("print"), F.array_join(F.slice(w, i + 1, n + (length - 1)), " ").alias("words"))
+
+        return let(window_prints(w, length, gram), of)
+
+    return lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(*(runs(w, n) for n in lengths)).alias("met"))
+
+
+def _windows_of(runs: DataFrame) -> DataFrame:
+    """``uid, at, length, key`` of every window of ``runs(uid, at, length, words)``."""
+    words = F.split("words", " ")
+    each = runs.select("uid", F.col("at").alias("first"), "length", words.alias("w")).select("uid", "first", "length", "w", F.posexplode(F.slice("w", F.lit(1), F.size("w") - F.col("length") + 1)).alias("i", "x"))
+    return each.select("uid", (F.col("first") + F.col("i")).alias("at"), "length", F.array_join(F.slice("w", F.col("i") + 1, F.col("length")), " ").alias("key"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -95,13 +117,13 @@ def _filter(windows: DataFrame, most_bits: int) -> tuple[Column, int]:
 
 
 def scanned(docs: DataFrame, windows: DataFrame, gram: int = GRAM, most_bits: int = MOST_BITS) -> DataFrame:
-    """The columns of ``docs(..., text)`` but ``text``, its ``n_words``, ``met`` (windows that the filter lets through) and ``uid``, a number
+    """The columns of ``docs(..., text)`` but ``text``, its ``n_words``, ``met`` (runs that the filter lets through) and ``uid``, a number
     of the row."""
     words = split_words(lower_ascii(F.col("text")))
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most a window's words
     others = [c for c in docs.columns if c != "text"]
     if not lengths:
-        out = docs.select(*others, F.size(words).cast("long").alias("n_words"), F.lit(None).cast("array<struct<at:int,length:int,key:string>>").alias("met"))
+        out = docs.select(*others, F.size(words).cast("long").alias("n_words"), F.lit(None).cast("array<struct<at:int,length:int,print:long,words:string>>").alias("met"))
     else:
         out = docs.select(*others, let(words, _met(lengths, gram, *_filter(windows, most_bits))).alias("x")).select(*others, F.col("x.n").alias("n_words"), F.col("x.met").alias("met"))
     return saved(out.withColumn("uid", F.monotonically_increasing_id()), "scanned")
@@ -112,8 +134,9 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, most_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text"))
     windows = benchmark_windows(benchmark.filter("item_id IS NOT NULL"), window, gram)
     scan = scanned(rows, windows, gram, most_bits)
-    kinds = windows.select("length", "key").distinct()
-    hits = saved(scan.select("uid", F.explode("met").alias("m")).select("uid", "m.*").join(kinds, ["length", "key"]), "hits")
+    prints, kinds = windows.select("length", "print").distinct(), windows.select("length", "key").distinct()
+    runs = scan.select("uid", F.explode("met").alias("m")).select("uid", "m.*").join(prints, ["length", "print"])
+    hits = saved(_windows_of(runs).join(kinds, ["length", "key"]), "hits")
     covered = hits.select("uid", F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("at"))
     covered = covered.groupBy("uid").agg(F.countDistinct("at").alias("n_hit"))
     items = hits.select("uid", "key").distinct().join(windows.select("key", F.col("item_id").cast("string").alias("item")).distinct(), "key")
