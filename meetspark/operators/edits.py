@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_title, is_blank
@@ -83,18 +83,61 @@ def mark_titles_stale(markers: DataFrame, retitled: DataFrame, chapters: DataFra
     return markers.join(new, "job_id", "left_anti").unionByName(new)
 
 
+def _most_edits(longer: Column, min_confidence: float) -> Column:
+    return F.floor((1 - min_confidence) * longer + 1e-9).cast("int")
+
+
+def similar_words(words: DataFrame, terms: DataFrame, min_confidence: float = 0.6, shortest: int = 6, few_terms: int = 20_000) -> DataFrame:
+    """All pairs ``found, term, far, confidence`` of ``words(found)`` and ``terms(term)``, of ``shortest`` letters or more, whose confidence
+    ``1 - edits / longer length`` reaches the bound: an exact join.
+
+    With at most k edits, one of k + 1 parts of the term stands unchanged in the word, and if it is part i, shifted by no more than the i
+    edits before it or the k - i after it allow. Terms are joined by their parts, words by their substrings at those places; pairs
+    whose letters alone differ too much go before their edits are counted. k follows from the two lengths. Up to ``few_terms``
+    terms are counted and sent to all tasks (some ten parts each); more are shuffled with the words' substrings.
+    """
+    return _alike(words, terms, min_confidence, shortest, few_terms).distinct()
+
+
+def _alike(words: DataFrame, terms: DataFrame, min_confidence: float, shortest: int, few_terms: int) -> DataFrame:
+    """The pairs of ``similar_words``, some more than once."""
+    wide = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few bytes of words are much work
+    reach = 1 / min_confidence
+    letters = "aggregate(split({0}, ''), 0L, (a, c) -> a | shiftleft(1L, pmod(ascii(c), 64)))"
+    known = terms.select("term").filter(F.length("term") >= shortest).distinct()
+    few = known.limit(few_terms + 1).count() <= few_terms
+    t = known.withColumn("n", F.length("term")).withColumn("t_letters", F.expr(letters.format("term")))
+    lengths = F.sequence(F.ceil(F.col("n") * min_confidence - 1e-9).cast("int"), F.floor(F.col("n") * reach + 1e-9).cast("int"))
+    k_of = lambda other: _most_edits(F.greatest(F.col("n"), other), min_confidence)
+    t = t.withColumn("k", F.explode(F.array_distinct(F.transform(lengths, k_of)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    # parts of n div (k + 1) letters, the last n mod (k + 1) of them one longer
+    size = lambda n: F.expr(f"cast({n} div (k + 1) + if(i >= k + 1 - {n} % (k + 1), 1, 0) as int)")
+    place = lambda n: F.expr(f"cast(i * ({n} div (k + 1)) + greatest(0, i - (k + 1 - {n} % (k + 1))) as int)")
+    keyed = t.select("term", "t_letters", "n", "k", "i", F.substring("term", place("n") + 1, size("n")).alias("part"))
+    w = words.select("found").filter(F.length("found") >= shortest).distinct().repartition(wide).withColumn("l", F.length("found")).withColumn("letters", F.expr(letters.format("found")))
+    spans = F.sequence(F.greatest(F.lit(shortest), F.ceil(F.col("l") * min_confidence - 1e-9).cast("int")), F.floor(F.col("l") * reach + 1e-9).cast("int"))
+    w = w.withColumn("n", F.explode(spans)).withColumn("k", _most_edits(F.greatest("n", "l"), min_confidence)).filter("abs(n - l) <= k").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    w = w.withColumn("p", place("n")).withColumn("size", size("n"))
+    low, high = F.expr("greatest(0, p - i, p + l - n - (k - i))"), F.expr("least(l - size, p + i, p + l - n + (k - i))")
+    w = w.withColumn("low", low).withColumn("high", high).filter("low <= high").withColumn("q", F.explode(F.sequence("low", "high")))
+    w = w.select("found", "letters", "n", "l", "k", "i", F.substring("found", F.col("q") + 1, F.col("size")).alias("part"))
+    key = ["n", "k", "i", "part"]
+    met = w.join(F.broadcast(keyed), key) if few else w.repartition(wide, *key).join(keyed.repartition(wide, *key), key)
+    met = met.filter("bit_count(letters & ~t_letters) <= k AND bit_count(t_letters & ~letters) <= k")
+    met = met.withColumn("far", F.expr("levenshtein(found, term, k)")).filter("far >= 0")  # -1 beyond k
+    return met.select("found", "term", "far", F.round(1 - F.col("far") / F.greatest("n", "l"), 6).alias("confidence"))
+
+
 def suggest_terms(segments: DataFrame, dictionary: DataFrame, min_confidence: float = 0.6) -> DataFrame:
-    """Nearest dictionary term for words of six letters or more that are none: ``1 - levenshtein / longer length``.
+    """``job_id, segment_id, from, to, found, suggested, confidence, start, end``: for every place of a word of six letters or more that is no
+    term, the dictionary term nearest to it (ties: the first by name) if its confidence reaches the bound.
 
-    Words meet terms of the same first letter and a length at most two apart, so the join has equality keys.
+    ``from`` and ``to`` are characters of the segment's text, ``found`` the word in lower case, ``start`` and ``end`` the segment's times. Different
+    words are matched once (``similar_words``); the transcript itself is never changed.
     """
-    words = segments.select("job_id", "segment_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 6))).alias("found"))
-    each = words.select("found").distinct()
-    keyed = each.withColumn("a", F.substring("found", 1, 1)).withColumn("n", F.explode(F.sequence(F.length("found") - 2, F.length("found") + 2)))
-    terms = dictionary.select("term").distinct().withColumn("a", F.substring("term", 1, 1)).withColumn("n", F.length("term"))
-    longer = F.greatest(F.length("found"), F.length("term"))
-    far = F.expr(f"levenshtein(found, term, cast(floor({1 - min_confidence!r}D * greatest(length(found), length(term)) + 1e-9) as int))")  # -1 beyond the bound
-    met = keyed.join(terms, ["a", "n"]).withColumn("far", far).filter("far >= 0").withColumn("confidence", F.round(1 - F.col("far") / longer, 6))
-    best = met.groupBy("found").agg(F.min(F.struct((-F.col("confidence")).alias("k"), "term")).alias("b")).select("found", F.col("b.term").alias("suggested"), (-F.col("b.k")).alias("confidence"))
-    best = best.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") < 1))
-    return words.join(best, "found").select("job_id", "segment_id", "found", "suggested", "confidence")
+    runs = segments.select("job_id", "segment_id", "start", "end", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+|\P{L}+"), F.lit(0))).alias("pos", "run"))
+    so_far = F.sum(F.length("run")).over(Window.partitionBy("job_id", "segment_id").orderBy("pos"))
+    places = runs.withColumn("to", so_far).withColumn("found", F.lower("run")).filter((F.length("found") >= 6) & F.col("run").rlike(r"^\p{L}"))
+    pairs = _alike(places.select("found"), dictionary, min_confidence, 6, 20_000)
+    best = pairs.groupBy("found").agg(F.min(F.struct((-F.col("confidence")).alias("k"), "term")).alias("b")).select("found", F.col("b.term").alias("suggested"), (-F.col("b.k")).alias("confidence")).filter("confidence < 1")
+    return places.join(best, "found").select("job_id", "segment_id", (F.col("to") - F.length("run")).cast("long").alias("from"), F.col("to").cast("long").alias("to"), "found", "suggested", "confidence", "start", "end")

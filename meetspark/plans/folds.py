@@ -69,9 +69,11 @@ def _single_bytes(text: str) -> str:
     return f"translate({text}, '{_LETTERS}', {' || '.join(f'chr({ord(c)})' for c in _BYTES)})"
 
 
-SQL["i9_suggest_terms"] = f"""WITH {X.SEGMENTS}, tm AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: length(w) >= 6)) AS term FROM benchmark), wd AS (SELECT DISTINCT job_id, segment_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: length(w) >= 6)) AS found FROM segments),
- m AS (SELECT found, term, round(1 - levenshtein({_single_bytes('found')}, {_single_bytes('term')}) / greatest(length(found), length(term)), 6) AS conf FROM (SELECT DISTINCT found FROM wd) JOIN tm ON found[1] = term[1] AND abs(length(found) - length(term)) <= 2),
- b AS (SELECT found, arg_min(term, (-conf, term)) AS suggested, max(conf) AS confidence FROM m GROUP BY found) SELECT job_id, segment_id, found, suggested, confidence FROM wd JOIN b USING (found) WHERE confidence >= 0.6 AND confidence < 1"""
+SQL["i9_suggest_terms"] = f"""WITH {X.SEGMENTS}, tm AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: length(w) >= 6)) AS term FROM benchmark),
+ rn AS (SELECT job_id, segment_id, "start", "end", unnest(r) AS run, unnest(range(1, len(r) + 1)) AS pos FROM (SELECT *, regexp_extract_all(text, '\\p{{L}}+|\\P{{L}}+') AS r FROM segments)),
+ wd AS (SELECT *, lower(run) AS found, sum(length(run)) OVER (PARTITION BY job_id, segment_id ORDER BY pos) AS "to" FROM rn),
+ m AS (SELECT found, term, round(1 - levenshtein({_single_bytes('found')}, {_single_bytes('term')}) / greatest(length(found), length(term)), 6) AS conf FROM (SELECT DISTINCT found FROM wd WHERE length(found) >= 6 AND regexp_matches(found, '^\\p{{L}}')), tm),
+ b AS (SELECT found, arg_min(term, (-conf, term)) AS suggested, max(conf) AS confidence FROM m GROUP BY found) SELECT job_id, segment_id, "to" - length(run) AS "from", "to", found, suggested, confidence, "start", "end" FROM wd JOIN b USING (found) WHERE confidence >= 0.6 AND confidence < 1"""
 SQL["j10_cer"] = f"""WITH {X.HYPOTHESIS}, p AS (SELECT s.job_id, s.text, coalesce(h.text, '') AS h FROM segments s LEFT JOIN hypothesis h USING (job_id, segment_id)), e AS (SELECT job_id, sum(length(text)) AS chars, sum(levenshtein({_single_bytes('text')}, {_single_bytes('h')})) AS edits FROM p GROUP BY job_id)
  SELECT job_id, chars, edits, round(CASE WHEN chars > 0 THEN edits / chars ELSE 0 END, 6) AS cer FROM e"""
 
