@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ..functions.text import latin_chars, tokens, word_count
 from .clustering import greedy_remap
 from .gates import script_word_ratio
 from .intervals import intersection_sec, interval_join, interval_union, overlap_join, speech_iou
+from .running import running
 from .scan import sorted_scan
 
 
@@ -84,25 +86,82 @@ def new_speakers_and_hotspot(turns: DataFrame, known: DataFrame, low: float, hig
     return spot.join(new, "job_id", "left").select("job_id", F.coalesce("new_ids", F.lit("")).alias("new_ids"), "n_hotspot", "hotspot_sec")
 
 
-def wer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Words and word edits per pair of segments, and the rate over the job.
+_EDIT = 1 << 24  # costs of an edit in whole numbers; a substitution is one less, so that ties go to it
 
-    Each different word of a pair is one character, by its place among the pair's words, so the edit distance of characters is that
-    of words; a segment has fewer different words than the plane of characters used has places.
+
+def _edit_counts(ref: list, hyp: list) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of an alignment with the fewest edits, and among those the most substitutions.
+
+    One row of costs at a time: a row's insertions are a running minimum. The two lengths and the total cost give all three counts.
     """
-    split = lambda c: F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
-    met = ref.select("job_id", "segment_id", split(F.col("text")).alias("r")).join(hyp.select("job_id", "segment_id", split(F.col("text")).alias("h")), ["job_id", "segment_id"], "left")
-    met = met.withColumn("h", F.coalesce("h", F.array().cast("array<string>"))).withColumn("all", F.array_union("r", "h"))
-    one = lambda c: F.array_join(F.transform(c, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position("all", w) + 0x4DFF), 4, "0")), "UTF-16BE")), "")
-    d = F.levenshtein(one(F.col("r")), one(F.col("h")))
-    return met.groupBy("job_id").agg(F.sum(F.size("r")).alias("words"), F.sum(d).alias("edits")).withColumn("wer", F.round(F.when(F.col("words") > 0, F.col("edits") / F.col("words")).otherwise(0.0), 6))
-
-
-def cer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Characters and edits per pair of segments, and the rate over the job."""
-    met = ref.select("job_id", "segment_id", "text").join(hyp.select("job_id", "segment_id", F.col("text").alias("h")), ["job_id", "segment_id"], "left")
-    d = F.levenshtein("text", F.coalesce("h", F.lit("")))
-    return met.groupBy("job_id").agg(F.sum(F.length("text")).alias("chars"), F.sum(d).alias("edits")).withColumn("cer", F.round(F.when(F.col("chars") > 0, F.col("edits") / F.col("chars")).otherwise(0.0), 6))
+    codes: dict = {}
+    r, h = (np.array([codes.setdefault(x, len(codes)) for x in side], dtype=np.int64) for side in (ref, hyp))
+    n, m = len(r), len(h)
+    along = np.arange(m + 1, dtype=np.int64) * _EDIT
+    row = along
+    for x in r:
+        best = row + _EDIT
+        best[1:] = np.minimum(best[1:], row[:-1] + np.where(h == x, 0, _EDIT - 1))
+        row = np.minimum.accumulate(best - along) + along
+    edits = -(-int(row[-1]) // _EDIT)
+    substitutions = edits * _EDIT - int(row[-1])
+    return substitutions, (edits - substitutions + n - m) // 2, (edits - substitutions - n + m) // 2
+
+
+def align(ref: DataFrame, hyp: DataFrame, unit: str = "word", pause: float = 0.0) -> DataFrame:
+    """``job_id, island, n_ref, n_hyp, substitutions, deletions, insertions`` of ``ref`` and ``hyp(job_id, ord, start, end, text)``.
+
+    Segments need no common ids: a job's texts are put in order of time on both sides and aligned by the fewest edits. Alignments never
+    cross a common pause, a time longer than ``pause`` at which neither side has a segment (``island`` is where the stretch between two
+    such pauses starts), so stretches are aligned on their own, in parallel, whatever the length of the job; time is the product of the two
+    sides' units in a stretch. Units are words of letters and digits in lower case, or with ``unit="char"`` the characters of the texts joined
+    by spaces as they are. Words of a stretch that only one side has are deletions or insertions.
+    """
+    if unit not in ("word", "char"):
+        raise ValueError("unit must be word or char")
+    sides = [df.select("job_id", F.lit(i).alias("side"), "start", "end", F.col("ord").cast("long").alias("ord"), F.coalesce("text", F.lit("")).alias("text")) for i, df in enumerate((ref, hyp))]
+    order = ["start", "end", "side", "ord"]
+    reach = running(sides[0].unionByName(sides[1]), order, {"reach": ("max_before", F.col("end"))})
+    opens = F.when(F.col("reach").isNull() | (F.col("start") - F.col("reach") > pause), F.col("start"))
+    met = running(reach.withColumn("opens", opens).drop("reach"), order, {"island": ("last_known", F.col("opens"))})
+    words = F.filter(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    said = words if unit == "word" else F.col("text")
+    rows = met.select(F.struct("job_id", "island").alias("at"), "side", "start", "ord", said.alias("said"))
+
+    def scan(group: Iterator[tuple]) -> Iterable[tuple]:
+        held: tuple[list, list] = ([], [])
+        for side, _, _, said in group:
+            held[side].append(said)
+        r, h = ([x for part in side for x in part] if unit == "word" else " ".join(side) for side in held)
+        yield len(r), len(h), *_edit_counts(r, h)
+
+    out = sorted_scan(rows, ["side", "start", "ord"], scan, dict.fromkeys(("n_ref", "n_hyp", "substitutions", "deletions", "insertions"), "long"), key="at")
+    return out.select("at.job_id", "at.island", "n_ref", "n_hyp", "substitutions", "deletions", "insertions")
+
+
+_COUNTS = ("substitutions", "deletions", "insertions")
+
+
+def _rate(edits: Column, n: Column) -> Column:
+    return F.round(F.when(n > 0, edits / n).when(edits > 0, 1.0).otherwise(0.0), 6)
+
+
+def wer(ref: DataFrame, hyp: DataFrame, pause: float = 0.0) -> DataFrame:
+    """``job_id, words, hyp_words, substitutions, deletions, insertions, edits, wer`` by ``align``; without reference words the rate is 1 if the
+    hypothesis has any, else 0."""
+    out = align(ref, hyp, "word", pause).groupBy("job_id").agg(F.sum("n_ref").alias("words"), F.sum("n_hyp").alias("hyp_words"), *(F.sum(c).alias(c) for c in _COUNTS))
+    return out.withColumn("edits", F.col("substitutions") + F.col("deletions") + F.col("insertions")).withColumn("wer", _rate(F.col("edits"), F.col("words")))
+
+
+def cer(ref: DataFrame, hyp: DataFrame, pause: float = 0.0) -> DataFrame:
+    """Characters, edits and the rate of each job by ``align``, spaces between segments included."""
+    out = align(ref, hyp, "char", pause).groupBy("job_id").agg(F.sum("n_ref").alias("chars"), F.sum(F.expr("substitutions + deletions + insertions")).alias("edits"))
+    return out.withColumn("cer", _rate(F.col("edits"), F.col("chars")))
+
+
+def error_rates(per_job: DataFrame, rate: str = "wer", units: str = "words") -> DataFrame:
+    """One row over all jobs: ``macro`` is the mean of their rates, ``micro`` all edits over all units."""
+    return per_job.agg(F.count("*").alias("n_jobs"), F.sum(units).alias(units), F.sum("edits").alias("edits"), F.round(F.avg(rate), 6).alias("macro"), _rate(F.sum("edits"), F.sum(units)).alias("micro"))
 
 
 def speaker_count_gate(turns: DataFrame, most: int = 5, tiny: float = 3.0) -> DataFrame:

@@ -30,7 +30,7 @@ def sorted_scan(rows: DataFrame, order: list[str], scan: Callable[[Iterator[tupl
     """``key`` and the columns of ``schema`` (name to type), as ``scan`` yields them for each job.
 
     ``scan`` gets the job's rows as tuples of the other columns of ``rows``, sorted by ``order`` (which should leave no ties), and yields
-    tuples. It may stop early. A null key is a job as any other.
+    tuples. It may stop early. A null key is a job as any other; a struct may be the key.
     """
     columns = [c for c in rows.columns if c != key]
     fields = list(schema.items())

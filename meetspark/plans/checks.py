@@ -13,7 +13,7 @@ from ..operators import insights as G
 from ..operators import jobs as K
 from ..sources import artifacts as A
 from . import fixtures as X
-from .recordings import _BRIDGE, _DUR, _EDITED, _MOMENTS, _WORDS, _durations, _now, _report_replies, _table, _title_replies, _unit_vectors
+from .recordings import _BRIDGE, _DUR, _EDITED, _MOMENTS, _WORDS, _durations, _now, _report_replies, _table, _title_replies, _unit_vectors, bent_hypothesis
 from .registry import SQL, query
 
 _STAMPED = "regexp_matches(lower(regexp_replace({0}, '^[\\s«\"''(\\[{{`]+', '')), '^(in this segment|this chapter|the speaker|here is)')"
@@ -110,7 +110,12 @@ def j8_grid_variants(spark, d):
 
 @query("j10_wer")
 def j10_wer(spark, d):
-    return J.wer(X.segments(spark, d), X.hypothesis(spark, d).withColumn("text", F.when(F.col("ord") % 5 == 2, F.concat(F.lit("Well, "), "text")).otherwise(F.col("text"))))
+    return J.wer(X.segments(spark, d), bent_hypothesis(spark, d), 0.2)
+
+
+@query("j10_error_rates")
+def j10_error_rates(spark, d):
+    return J.error_rates(J.wer(X.segments(spark, d), bent_hypothesis(spark, d), 0.2))
 
 
 _STALE = f"""{_EDITED}, {_BRIDGE}, sc AS (SELECT job_id, coalesce(c, '-') AS chapter_id, count(*) AS n FROM changed LEFT JOIN (SELECT job_id, segment_id, min(chapter_id) AS c FROM bridge GROUP BY ALL) USING (job_id, segment_id) WHERE job_id % 4 <> 1 GROUP BY ALL),

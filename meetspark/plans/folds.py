@@ -74,8 +74,11 @@ SQL["i9_suggest_terms"] = f"""WITH {X.SEGMENTS}, tm AS (SELECT DISTINCT unnest(l
  wd AS (SELECT *, lower(run) AS found, sum(length(run)) OVER (PARTITION BY job_id, segment_id ORDER BY pos) AS "to" FROM rn),
  m AS (SELECT found, term, round(1 - levenshtein({_single_bytes('found')}, {_single_bytes('term')}) / greatest(length(found), length(term)), 6) AS conf FROM (SELECT DISTINCT found FROM wd WHERE length(found) >= 6 AND regexp_matches(found, '^\\p{{L}}')), tm),
  b AS (SELECT found, arg_min(term, (-conf, term)) AS suggested, max(conf) AS confidence FROM m GROUP BY found) SELECT job_id, segment_id, "to" - length(run) AS "from", "to", found, suggested, confidence, "start", "end" FROM wd JOIN b USING (found) WHERE confidence >= 0.6 AND confidence < 1"""
-SQL["j10_cer"] = f"""WITH {X.HYPOTHESIS}, p AS (SELECT s.job_id, s.text, coalesce(h.text, '') AS h FROM segments s LEFT JOIN hypothesis h USING (job_id, segment_id)), e AS (SELECT job_id, sum(length(text)) AS chars, sum(levenshtein({_single_bytes('text')}, {_single_bytes('h')})) AS edits FROM p GROUP BY job_id)
- SELECT job_id, chars, edits, round(CASE WHEN chars > 0 THEN edits / chars ELSE 0 END, 6) AS cer FROM e"""
+#: both sides in stretches between common pauses: what neither of them covers for 0.2 seconds
+_ISLANDS = f"""{X.HYPOTHESIS}, bs AS (SELECT job_id, 0 AS side, ord, "start", "end", text FROM segments UNION ALL SELECT job_id, 1, ord, "start", "end", CASE WHEN ord % 7 = 3 THEN text || ' indeed so' WHEN ord % 7 = 5 THEN replace(text, 'e', '') ELSE text END FROM hypothesis),
+ rc AS (SELECT *, max("end") OVER (PARTITION BY job_id ORDER BY "start", "end", side, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM bs), il AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" - reach > 0.2 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY "start", "end", side, ord) AS island FROM rc)"""
+SQL["j10_cer"] = f"""WITH {_ISLANDS}, p AS (SELECT job_id, island, coalesce(string_agg(text, ' ' ORDER BY "start", ord) FILTER (side = 0), '') AS text, coalesce(string_agg(text, ' ' ORDER BY "start", ord) FILTER (side = 1), '') AS h FROM il GROUP BY ALL),
+ e AS (SELECT job_id, sum(length(text))::BIGINT AS chars, sum(levenshtein({_single_bytes('text')}, {_single_bytes('h')}))::BIGINT AS edits FROM p GROUP BY job_id) SELECT job_id, chars, edits, round(CASE WHEN chars > 0 THEN edits / chars WHEN edits > 0 THEN 1 ELSE 0 END, 6) AS cer FROM e"""
 
 
 def _same(src: str, gap: float, p: str) -> str:

@@ -767,9 +767,15 @@ def j9_der(spark, d):
     return J.der(X.segments(spark, d), X.hypothesis(spark, d), collar=0.1)
 
 
+def bent_hypothesis(spark, d):
+    """The hypothesis with words added and letters lost."""
+    text = F.when(F.col("ord") % 7 == 3, F.concat("text", F.lit(" indeed so"))).when(F.col("ord") % 7 == 5, F.replace("text", F.lit("e"), F.lit(""))).otherwise(F.col("text"))
+    return X.hypothesis(spark, d).withColumn("text", text)
+
+
 @query("j10_cer")
 def j10_cer(spark, d):
-    return J.cer(X.segments(spark, d), X.hypothesis(spark, d))
+    return J.cer(X.segments(spark, d), bent_hypothesis(spark, d), 0.2)
 
 
 @query("j11_speaker_count_gate", f"""WITH {X.INTERVALS}, p AS (SELECT job_id, speaker, sum("end" - "start") AS sec FROM intervals GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sec DESC, speaker) AS k FROM p) SELECT job_id, count(*) AS n_speakers, count(*) FILTER (sec < 30) AS n_tiny, round(sum(sec) FILTER (k <= 2) / sum(sec), 6) AS top_share FROM r GROUP BY job_id""")

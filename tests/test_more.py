@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -93,25 +94,67 @@ def test_padding_of_hysteresis_regions(spark):
     assert padded == [(0.0, 0.5), (0.5, 1.2)]
 
 
-def test_word_errors_equal_plain_edit_distance(spark):
-    rng = random.Random(6)
-    text = lambda: " ".join(rng.choice(["a", "B", "cé", "d.", "e"]) for _ in range(rng.randint(0, 12)))
-    ref = [(1, f"s{i}", text()) for i in range(40)]
-    hyp = [(1, f"s{i}", text()) for i in range(35)]
-    kind = "job_id long, segment_id string, text string"
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, before = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
-        return row[-1]
-
-    split = lambda t: t.lower().replace(".", " ").split()
-    other = {s: t for _, s, t in hyp}
-    r = evaluate.wer(spark.createDataFrame(ref, kind), spark.createDataFrame(hyp, kind)).first()
-    assert (r.words, r.edits) == (sum(len(split(t)) for _, _, t in ref), sum(edits(split(t), split(other.get(s, ""))) for _, s, t in ref))
+def plain_counts(ref, hyp):
+    """Substitutions, deletions, insertions: fewest edits, then most substitutions."""
+    row = [(j, 0, 0, j) for j in range(len(hyp) + 1)]
+    for i, x in enumerate(ref, 1):
+        row, before = [(i, 0, i, 0)], row
+        for j, y in enumerate(hyp, 1):
+            e, s, d, n = before[j - 1]
+            ways = [(e, s, d, n) if x == y else (e + 1, s - 1, d, n)]
+            e, s, d, n = before[j]
+            ways.append((e + 1, s, d + 1, n))
+            e, s, d, n = row[-1]
+            ways.append((e + 1, s, d, n + 1))
+            row.append(min(ways, key=lambda w: w[:2]))
+    _, s, d, n = row[-1]
+    return -s, d, n
+
+
+@pytest.mark.parametrize("unit", ["word", "char"])
+def test_alignment_equals_a_loop(spark, unit):
+    rng = random.Random(12)
+    kind = "job_id string, segment_id string, ord long, start double, end double, text string"
+    sides, jobs = ([], []), {}
+    for j in range(8):
+        for side in (0, 1):
+            t, rows = 0.0, []
+            for i in range(rng.randint(0 if j else 3, 25)):
+                t += rng.choice([0.0, 0.1, 0.5, 3.0])
+                text = " ".join(rng.choice(["red", "Blue", "green,", "é1", "-"]) for _ in range(rng.randint(0, 9)))
+                rows.append((f"j{j}", f"{side}-{i}", i, round(t, 2), round(t + 1.0, 2), None if rng.random() < 0.05 else text))
+                t += 1.0
+            sides[side].extend(rows)
+            jobs.setdefault(f"j{j}", ([], []))[side].extend(rows)
+    want = {}
+    for j, both in jobs.items():
+        marked = sorted(((r[3], r[4], side, r[2], r[5] or "") for side in (0, 1) for r in both[side]))
+        far, groups = None, []
+        for s, e, side, _, text in marked:
+            if far is None or s - far > 0.2:
+                groups.append((s, ([], [])))
+            groups[-1][1][side].append((s, text))
+            far = e if far is None else max(far, e)
+        for s, (r, h) in groups:
+            r, h = ([t for _, t in sorted(x, key=lambda x: x[0])] for x in (r, h))
+            r, h = ([w for t in x for w in re.sub(r"[^\w]+|_", " ", t).lower().split()] if unit == "word" else " ".join(x) for x in (r, h))
+            want[j, s] = (len(r), len(h), *plain_counts(r, h))
+    ref, hyp = (spark.createDataFrame(x, kind) for x in sides)
+    got = {(r.job_id, r.island): tuple(r)[2:] for r in evaluate.align(ref, hyp, unit, 0.2).collect()}
+    assert got == want
+    if unit == "word":
+        rates = evaluate.wer(ref, hyp, 0.2)
+        assert {r.job_id: (r.words, r.edits) for r in rates.collect()} == {j: (sum(v[0] for (k, _), v in want.items() if k == j), sum(sum(v[2:]) for (k, _), v in want.items() if k == j)) for j in {k for k, _ in want}}
+        total, each = evaluate.error_rates(rates).first(), rates.collect()
+        assert total.micro == pytest.approx(sum(r.edits for r in each) / sum(r.words for r in each), abs=1e-6) and total.macro == pytest.approx(sum(r.wer for r in each) / len(each), abs=1e-6)
+
+
+def test_words_without_a_partner_are_insertions_or_deletions(spark):
+    kind = "job_id string, segment_id string, ord long, start double, end double, text string"
+    ref = spark.createDataFrame([("a", "x", 0, 0.0, 1.0, "one two"), ("b", "x", 0, 0.0, 1.0, "one")], kind)
+    hyp = spark.createDataFrame([("a", "y", 0, 0.5, 1.5, "one too"), ("a", "z", 1, 9.0, 10.0, "and more"), ("c", "z", 0, 0.0, 1.0, "ghost")], kind)
+    got = {r.job_id: (r.words, r.hyp_words, r.substitutions, r.deletions, r.insertions, r.wer) for r in evaluate.wer(ref, hyp).collect()}
+    assert got == {"a": (2, 4, 1, 0, 2, 1.5), "b": (1, 0, 0, 1, 0, 1.0), "c": (0, 1, 0, 0, 1, 1.0)}
 
 
 def plain_chapters(rows, vectors, threshold, cap, least):
