@@ -822,6 +822,58 @@ def k4_admission_audit(spark, d):
     return K.admission_audit(X.intervals(spark, d).withColumnRenamed("job_id", "client"))
 
 
+_JOBS = f"""{_EV}, jb AS (SELECT job_id, min(ts) - INTERVAL 1 HOUR AS created_at, min(ts) + (job_id % 20) * INTERVAL 2 DAYS AS expires_at FROM ev GROUP BY job_id UNION ALL SELECT job_id + 100000, min(ts), max(ts) FROM ev GROUP BY job_id),
+ ch AS (SELECT job_id, ord, ts, CASE stage WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS state, job_id % 3 = 0 AS has_chapters FROM ev),
+ st AS (SELECT jb.*, CASE WHEN expires_at <= TIMESTAMP '2024-01-22' THEN 'expired' WHEN x.state = 'failed' AND x.has_chapters THEN 'done' ELSE coalesce(x.state, 'queued') END AS state, started_at, finished_at FROM jb LEFT JOIN (SELECT job_id, max_by({{'state': state, 'has_chapters': has_chapters}}, (ts, ord)) AS x, min(ts) FILTER (state = 'running') AS started_at, min(ts) FILTER (state IN ('done', 'failed')) AS finished_at FROM ch GROUP BY job_id) USING (job_id))"""
+
+
+def _jobs(spark, d):
+    """Jobs with times of creation and expiry, half of them without any event, and their changes of state."""
+    e = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    some = e.groupBy("job_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    jobs = some.select("job_id", F.expr("a - INTERVAL 1 HOUR").alias("created_at"), F.expr("a + (job_id % 20) * INTERVAL 2 DAYS").alias("expires_at")).unionByName(some.select((F.col("job_id") + 100000).alias("job_id"), F.col("a").alias("created_at"), F.col("b").alias("expires_at")))
+    state = F.when(F.col("stage") == "purchase", "done").when(F.col("stage") == "error", "failed").otherwise("running")
+    return jobs, e.select("job_id", "ord", "ts", state.alias("state"), (F.col("job_id") % 3 == 0).alias("has_chapters"))
+
+
+@query("k2_job_states", f"WITH {_JOBS} SELECT job_id, state, epoch_us(started_at) AS started_at, epoch_us(finished_at) AS finished_at FROM st")
+def k2_job_states(spark, d):
+    s = K.job_states(*_jobs(spark, d), F.lit("2024-01-22 00:00:00").cast("timestamp"))
+    return s.select("job_id", "state", *(F.unix_micros(c).alias(c) for c in ("started_at", "finished_at")))
+
+
+@query("k7_job_progress", f"""WITH {_JOBS}, s AS (SELECT job_id, stage, max_by(value, (ts, ord)) AS value, min((ts, ord)) AS first FROM ev GROUP BY ALL), p AS (SELECT job_id, stage, value, row_number() OVER (PARTITION BY job_id ORDER BY first) AS pos FROM s), q AS (SELECT *, CASE WHEN pos % 2 = 0 OR pos > 3 THEN 'running' ELSE 'done' END AS status, CAST(floor(value) AS BIGINT) % 100 AS pct FROM p),
+ o AS (SELECT job_id, count(*) FILTER (status = 'done') AS done, arg_min(pct, pos) FILTER (status = 'running') AS share, arg_max(stage, pos) FILTER (status = 'running') AS bs, arg_max(pct, pos) FILTER (status = 'running') AS bp, arg_max(stage, pos) AS ls, arg_max(pct, pos) AS lp FROM q GROUP BY job_id)
+ SELECT job_id, CASE WHEN state = 'done' THEN 100 ELSE greatest(CAST(least(100, floor(100 * (coalesce(done, 0) + coalesce(share, 0) / 100) / 7 + 1e-9)) AS BIGINT), CASE WHEN state = 'running' THEN coalesce(bp, lp) END) END AS pct, coalesce(bs, ls) AS stage,
+ CASE WHEN state IN ('done', 'failed') AND finished_at IS NOT NULL THEN (epoch_us(finished_at) - epoch_us(created_at)) // 1000000 ELSE greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created_at)) // 1000000) END AS elapsed_sec FROM st LEFT JOIN o USING (job_id)""")
+def k7_job_progress(spark, d):
+    jobs, changes = _jobs(spark, d)
+    states = K.job_states(jobs, changes, F.lit("2024-01-22 00:00:00").cast("timestamp")).join(jobs.select("job_id", "created_at"), "job_id")
+    s = K.latest_stage(_events(spark, d)).select("job_id", "pos", "stage", F.when((F.col("pos") % 2 == 0) | (F.col("pos") > 3), "running").otherwise("done").alias("status"), (F.floor("value") % 100).alias("pct"), F.lit(None).cast("double").alias("runtime_sec"))
+    return K.job_progress(states, s, 7, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+
+
+@query("k4_admission", f"""WITH {X.INTERVALS}, r AS (SELECT job_id AS client, ord, "start" AS ts, job_id % 10 = 0 AS loopback, "start" + (ord % 5) AS started, greatest("start" + (ord % 5), "end") AS ended FROM intervals),
+ s AS (SELECT ord, ts AS t, 1 AS rank, 1 AS a, 1 AS q, true AS own FROM r UNION ALL SELECT ord, started, CASE WHEN started = ts THEN 2 ELSE 0 END, 0, -1, false FROM r UNION ALL SELECT ord, ended, CASE WHEN ended = ts THEN 2 ELSE 0 END, -1, 0, false FROM r),
+ w AS (SELECT ord, own, sum(a) OVER o - 1 AS active, sum(q) OVER o - 1 AS queued FROM s WINDOW o AS (ORDER BY t, rank, ord, own, a)), n AS (SELECT ord, count(*) OVER (PARTITION BY client ORDER BY ts RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) - 1 AS n_before FROM r),
+ f AS (SELECT client, ord, n_before, active, queued, CASE WHEN n_before >= 40 AND NOT loopback THEN 'address' WHEN active >= 90 THEN 'concurrent' WHEN queued >= 7 THEN 'queue' END AS reason FROM r JOIN n USING (ord) JOIN (SELECT * FROM w WHERE own) USING (ord))
+ SELECT client, ord, n_before, active::BIGINT AS active, queued::BIGINT AS queued, CASE WHEN reason IS NULL THEN 200 WHEN reason = 'address' THEN 429 ELSE 409 END AS status, reason FROM f""")
+def k4_admission(spark, d):
+    i = X.intervals(spark, d)
+    r = i.select(F.col("job_id").alias("client"), "ord", F.col("start").alias("ts"), (F.col("job_id") % 10 == 0).alias("loopback"), (F.col("start") + F.col("ord") % 5).alias("started"), F.greatest(F.col("start") + F.col("ord") % 5, "end").alias("ended"))
+    return K.admission(r, 40, 90, 7)
+
+
+@query("k9_stage_plan", f"""WITH {X.CHAPTERS}, c AS (SELECT job_id, count(*) FILTER (trim(title) = '' OR (job_id % 4 = 1 AND ord = 0)) AS untitled FROM chapters GROUP BY job_id), p AS (SELECT *, unnest(['normalize', 'vad', 'diarize', 'asr', 'chunk', 'titles', 'extract', 'report']) AS stage, unnest(range(0, 8)) AS pos FROM c)
+ SELECT job_id, pos, stage, CASE WHEN pos < 4 THEN CASE WHEN job_id % 3 = 0 OR pos = 1 THEN 'done' ELSE 'pending' END WHEN pos = 4 THEN 'done' WHEN pos = 5 THEN CASE WHEN untitled = 0 THEN 'done' ELSE 'unavailable' END WHEN pos = 6 THEN CASE WHEN job_id % 5 = 0 THEN 'done' ELSE 'pending' END ELSE 'pending' END AS status FROM p""")
+def k9_stage_plan(spark, d):
+    c = X.chapters(spark, d)
+    has = F.array(*(F.struct(F.lit(artifact).alias("artifact"), valid.alias("valid")) for artifact, valid in (("regions", F.lit(True)), ("chapters", F.lit(True)), ("transcript", F.col("job_id") % 3 == 0), ("insights", F.col("job_id") % 5 == 0))))
+    a = c.select("job_id").distinct().select("job_id", F.inline(has))
+    titled = c.select("job_id", F.when((F.col("job_id") % 4 == 1) & (F.col("ord") == 0), " ").otherwise(F.col("title")).alias("title"))
+    return K.stage_plan(a, titled, [s for s, _ in K.STEPS if s != "titles"])
+
+
 @query("k5_expired", f"""WITH {_EV} SELECT job_id, epoch_us(min(ts)) AS started FROM ev GROUP BY job_id HAVING min(ts) + INTERVAL 20 DAYS <= TIMESTAMP '2024-01-22'""")
 def k5_expired(spark, d):
     jobs = K.job_state(_events(spark, d)).withColumn("expires_at", F.expr("started + INTERVAL 20 DAYS"))

@@ -95,8 +95,9 @@ def stream_units(segments: DataFrame, max_gap: float = 2.0, max_words: int = 80,
 def stream_chapters(units: DataFrame, threshold: float = 0.7, cap: float = 180.0, idle: str | None = None) -> DataFrame:
     """Chapters ``job_id, chapter, start, end, n_units`` of ``units(job_id, unit, start, end, words, vector, last)`` as they close.
 
-    A unit joins the open chapter while its cosine with the chapter's weighted mean reaches ``threshold`` and the chapter stays within ``cap``
-    seconds. State per job is the open chapter: its bounds, weight and mean. It goes when the job ends or has been silent for ``idle``, if given.
+    A unit joins the open chapter while its cosine with the chapter's vector reaches ``threshold`` and the chapter stays within ``cap``
+    seconds; the vector is the weighted mean, made a unit vector after each unit. Units of a job have to arrive in order
+    (``timers.stream_chapters_in_time`` puts them in order). State per job is the open chapter: its bounds, weight and vector. It goes when the job ends or has been silent for ``idle``, if given.
     """
     milliseconds, timeout = _idle(idle)
 
@@ -107,9 +108,11 @@ def stream_chapters(units: DataFrame, threshold: float = 0.7, cap: float = 180.0
             for r in rows.itertuples():
                 v, w = np.asarray(r.vector, float), max(int(r.words), 1)
                 m = np.asarray(mean, float)
-                near = float(m @ v / max(np.linalg.norm(m) * np.linalg.norm(v), 1e-12)) if n else -1.0
+                near = float(m @ v / max(np.linalg.norm(m) * np.linalg.norm(v), 1e-12)) if n and len(m) == len(v) else -1.0
                 if n and near >= threshold and r.end - start <= cap:
-                    mean, weight, n, end = ((m * weight + v * w) / (weight + w)).tolist(), weight + w, n + 1, float(r.end)
+                    mixed = (m * weight + v * w) / (weight + w)
+                    size = np.linalg.norm(mixed)
+                    mean, weight, n, end = (mixed / size if size else mixed).tolist(), weight + w, n + 1, float(r.end)
                 else:
                     if n:
                         out.append((chapter, start, end, n))
