@@ -1,25 +1,27 @@
 """Mixture-controlled packing of token streams by deficit round-robin over source queues.
 
-Each source is a queue of tokens: its documents one after the other. Time goes in rounds of about one window. In every
-round a queue is credited its share of the window; credit below ``quantum`` tokens is carried on as a deficit, so what a
-queue has been served after round k is a closed formula of k and the queues' totals. Every document can therefore find its
-own pieces, windows and offsets alone, in any partition: deficits are carried across windows and partitions by arithmetic,
-not by state. Windows are cut every ``window`` tokens of the served stream, so all but the last are full.
-
-With weights other than the natural ones, queues run dry one after the other; each such phase is its own round-robin.
+Each source is a queue of tokens: its documents one after the other, dealt out in quanta. In every round a queue is credited its
+share of a window; it is served a quantum when its credit has grown to one, and what is left is carried on as a deficit. So the
+round of a queue's j-th quantum is a closed formula of j, the queue's total and the sum of all, a row that any partition can
+compute. The quanta in order of round and source are the served stream: their places are running sums over slices of rounds, found by
+joins, and windows are cut every ``window`` tokens of it, so all but the last are full. Deficits are carried over windows and
+partitions by arithmetic, not by state; nothing is held for all sources anywhere.
+
+With weights other than the natural ones, a queue's share is its weight; queues run dry one after the other, and the others go on in
+their proportions.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import running
 from .storage import saved
 from .tokens import encoder_of
 from .words import blocks
@@ -28,6 +30,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 ROWS_PER_BLOCK = 1_000
 BLOCKS_PER_GROUP = 1_000
+QUANTUM = 512  # tokens; at any place in the stream a queue has had its share of it but for a quantum and a round
+ROUNDS_PER_SLICE = 1_000
 
 
 def _tokens(vocabulary: str):
@@ -44,123 +48,57 @@ def _tokens(vocabulary: str):
     return run
 
 
-def phases(totals: list[int], weights: list[float] | None) -> np.ndarray:
-    """Tokens that each queue gives in each phase; one phase when the weights are the natural ones."""
-    if weights is None:
-        return np.array([totals], dtype=object)
-    rate = [Fraction(w) for w in weights]
-    ends = sorted({Fraction(t) / r for t, r in zip(totals, rate, strict=True)})
-    served = [[min(t, int(r * e)) for t, r in zip(totals, rate, strict=True)] for e in ends]
-    return np.diff(np.array([[0] * len(totals), *served], dtype=object), axis=0)
-
-
-class Schedule:
-    """Where each token of each queue is served."""
-
-    def __init__(self, given: np.ndarray, window: int, quantum: int):
-        self.window, self.quantum = window, quantum
-        total = [int(x) for x in given.sum(axis=1)]
-        self.rounds = [max(1, -(-t // window)) for t in total]
-        exact = max((r * max(map(int, g)) for r, g in zip(self.rounds, given, strict=True)), default=0) < 1 << 62
-        self.given = given.astype(np.int64) if exact else given
-        self.from_queue = np.concatenate([self.given[:1] * 0, np.cumsum(self.given, axis=0)])
-        self.from_all = np.concatenate([[0], np.cumsum(total)])
-
-    def served(self, phase: int, k: np.ndarray) -> np.ndarray:
-        """Tokens of each queue served in the first k rounds of a phase; [len(k), queues]."""
-        n, rounds, q = self.given[phase], self.rounds[phase], self.quantum
-        out = (k[:, None] * n[None, :]) // (rounds * q) * q
-        return np.where((k >= rounds)[:, None], n[None, :], out)
-
-    def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Row, start in the row's stretch, length and global place of each piece of stretches of queues."""
-        found = []
-        for phase in range(len(self.rounds)):
-            base, n = self.from_queue[phase][queue], self.given[phase][queue]
-            lo, hi = np.maximum(start, base) - base, np.minimum(start + length, base + n) - base
-            rows = np.flatnonzero(lo < hi)
-            if len(rows):
-                found.append(self._in_phase(phase, rows, queue[rows], lo[rows], hi[rows], (base - start)[rows]))
-        if not found:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        row, at, size, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((at.astype(np.int64), row))
-        row, at, size, place = row[order], at[order], size[order], place[order]
-        join = np.zeros(len(row), dtype=bool)
-        join[1:] = (row[1:] == row[:-1]) & (place[1:] == place[:-1] + size[:-1])
-        head = np.flatnonzero(~join)
-        size = np.add.reduceat(size, head)
-        row, at, place = row[head], at[head], place[head]
-        n = ((place + size - 1) // self.window - place // self.window + 1).astype(np.int64)
-        i = np.repeat(np.arange(len(row)), n)
-        nth = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        cut = place[i] // self.window * self.window + nth * self.window
-        begin, end = np.maximum(place[i], cut), np.minimum(place[i] + size[i], cut + self.window)
-        return row[i], at[i] + begin - place[i], end - begin, begin
-
-    def _in_phase(self, phase, rows, queue, lo, hi, back):
-        n, rounds, q = self.given[phase][queue], self.rounds[phase], self.quantum
-        after = lambda x: np.minimum(-(-((x // q + 1) * (rounds * q)) // n), rounds)  # noqa: E731  rounds until x is served
-        k0, k1 = (after(lo) - 1).astype(np.int64), (after(hi - 1) - 1).astype(np.int64)
-        # rounds that serve the stretch: all between, or of a slow queue those of its quanta
-        j0, j1 = (lo // q).astype(np.int64), ((hi - 1) // q).astype(np.int64)
-        slow = j1 - j0 < k1 - k0
-        count = np.where(slow, j1 - j0, k1 - k0) + 1
-        i = np.repeat(np.arange(len(rows)), count)
-        k = np.repeat(np.where(slow, j0, k0) - (np.cumsum(count) - count), count) + np.arange(len(i))
-        by = slow[i]
-        quantum = (k[by] * q).astype(self.given.dtype)
-        k[by] = np.minimum(-(-((quantum // q + 1) * (rounds * q)) // n[i[by]]), rounds).astype(np.int64) - 1
-        once = np.ones(len(i), dtype=bool)
-        once[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1])
-        i, k = i[once], k[once]
-        at, end, place = [], [], []
-        step = max(1, (1 << 20) // self.given.shape[1])
-        for j in range(0, len(i), step):
-            part, own = slice(j, j + step), queue[i[j : j + step]]
-            here, line = np.arange(len(own)), np.arange(self.given.shape[1])[None, :]
-            k_part = k[part].astype(self.given.dtype)
-            before, past = self.served(phase, k_part), self.served(phase, k_part + 1)
-            opened = np.where(line < own[:, None], past, before).sum(axis=1)
-            a, b = np.maximum(before[here, own], lo[i[part]]), np.minimum(past[here, own], hi[i[part]])
-            at.append(a)
-            end.append(b)
-            place.append(self.from_all[phase] + opened + a - before[here, own])
-        at, end, place = (np.concatenate(x) for x in (at, end, place))
-        use = end > at
-        return rows[i][use], (at + back[i])[use], (end - at)[use], place[use]
+def cut_windows(row: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Stretches of texts (row, start in the row, length, place in the stream), in order of row and start, with neighbours joined that are
+    neighbours in the stream too, and cut at the edges of windows."""
+    join = np.zeros(len(row), dtype=bool)
+    join[1:] = (row[1:] == row[:-1]) & (place[1:] == place[:-1] + size[:-1])
+    head = np.flatnonzero(~join)
+    size = np.add.reduceat(size, head)
+    row, at, place = row[head], at[head], place[head]
+    n = (place + size - 1) // window - place // window + 1
+    i = np.repeat(np.arange(len(row)), n)
+    nth = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    cut = (place[i] // window + nth) * window
+    begin, end = np.maximum(place[i], cut), np.minimum(place[i] + size[i], cut + window)
+    return row[i], at[i] + begin - place[i], end - begin, begin
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def _cut(schedule: Schedule, width: int):
+def _cut(window: int, quantum: int, width: int):
     kind = {2: np.uint16, 4: np.uint32}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 512):
                 part = batch.slice(first, 512)
-                queue, begin, n = (np.asarray(part.column(c)).astype(np.int64) for c in ("queue", "begin", "n"))
-                row, at, size, place = (x.astype(np.int64) for x in schedule.pieces(queue, begin, n))
+                begin, n = (np.asarray(part.column(c)).astype(np.int64) for c in ("begin", "n"))
+                served = part.column("served")
+                own = np.repeat(np.arange(len(part)), np.asarray(served.value_lengths()).astype(np.int64))
+                j, place = (np.asarray(served.flatten().field(c)).astype(np.int64) for c in ("j", "place"))
+                low, high = np.maximum(j * quantum, begin[own]), np.minimum((j + 1) * quantum, (begin + n)[own])
+                row, at, size, place = cut_windows(own, low - begin[own], high - low, place + low - j * quantum, window)
                 crc, held, ids = np.zeros(len(row), dtype=np.int64), -1, b""
-                for j in range(len(row)):
-                    if row[j] != held:
-                        held, ids = row[j], memoryview(np.frombuffer(part.column("ids")[int(row[j])].as_py(), kind).astype("<u4").tobytes())
-                    crc[j] = zlib.crc32(ids[4 * at[j] : 4 * (at[j] + size[j])])
+                for i in range(len(row)):
+                    if row[i] != held:
+                        held, ids = row[i], memoryview(np.frombuffer(part.column("ids")[int(row[i])].as_py(), kind).astype("<u4").tobytes())
+                    crc[i] = zlib.crc32(ids[4 * at[i] : 4 * (at[i] + size[i])])
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), pa.array(at), pa.array(size), pa.array(crc), pa.array(n[row]), pa.array(place // schedule.window), pa.array(place % schedule.window), part.column("source").take(take)], names=[x.split()[0] for x in _PIECES.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), pa.array(at), pa.array(size), pa.array(crc), pa.array(n[row]), pa.array(place // window), pa.array(place % window), part.column("source").take(take)], names=[x.split()[0] for x in _PIECES.split(", ")])
 
     return run
 
 
-def pack(docs: DataFrame, window: int = 2048, weights: dict[str, float] | None = None, quantum: int = 64, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Pack all documents into windows of ``window`` tokens, each filled to the target proportions of the sources.
+def pack(docs: DataFrame, window: int = 2048, weights: dict[str, float] | None = None, quantum: int = QUANTUM, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Pack all documents into windows of ``window`` tokens, served in the target proportions of the sources.
 
     ``docs`` has ``doc_id, text, source``; each document's ids end with id 1. ``weights`` are target shares by source
     (missing ones: 1); None means the natural shares. Returns a row for each piece: ``doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset, source``. Windows are full but for the last. Every source has a queue of its own,
-    whatever their number: the queues' totals are held by each task, and the time of a piece grows with their number.
+    whatever their number. In any stretch of the stream each queue that is not dry has its share but for ``quantum`` tokens and what a
+    round gives it; a smaller quantum mixes finer and cuts more pieces.
 
     Edge cases: a null or empty text is one token; a null source is a queue of its own; repeated rows are packed each; rows
     without an id are packed with a null id; an empty table gives an empty result; extra columns are ignored.
@@ -169,21 +107,28 @@ def pack(docs: DataFrame, window: int = 2048, weights: dict[str, float] | None =
     tokens = texts.mapInArrow(_tokens(vocabulary), "doc_id long, source string, n long, ids binary")
     tokens = saved(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
     width = encoder_of(vocabulary, END_ID).dtype.itemsize
-    names = sorted(r[0] for r in tokens.select("source").distinct().collect())
-    shares = None if weights is None else [weights.get(s, 1.0) for s in names]
-    queues = tokens.sparkSession.createDataFrame(list(enumerate(names)), "queue int, source string")
     block = F.pmod(F.xxhash64("uid"), F.lit(max(1, tokens.count() // ROWS_PER_BLOCK)))
-    sizes = tokens.select("uid", "doc_id", "n", "source", block.alias("block")).join(queues, "source").drop("source")
-    parts = saved(sizes.groupBy("queue", "block").agg(F.sum("n").alias("n")).withColumn("group", F.expr(f"block div {BLOCKS_PER_GROUP}")), "blocks")
-    totals = {r[0]: r[1] for r in parts.groupBy("queue").agg(F.sum("n")).collect()}
-    schedule = Schedule(phases([totals.get(i, 0) for i in range(max(1, len(names)))], shares), window, quantum)
+    sizes = tokens.select("uid", "doc_id", "n", "source", block.alias("block"))
+    parts = saved(sizes.groupBy("source", "block").agg(F.sum("n").alias("n")).withColumn("group", F.expr(f"block div {BLOCKS_PER_GROUP}")), "blocks")
     # tokens ahead of a block in its queue: those of the groups of blocks before, then those of the blocks before in its group
-    groups = parts.groupBy("queue", "group").agg(F.sum("n").alias("n"))
-    groups = groups.select("queue", "group", (F.sum("n").over(Window.partitionBy("queue").orderBy("group")) - F.col("n")).alias("ahead_of_group"))
-    ahead = parts.select("queue", "group", "block", (F.sum("n").over(Window.partitionBy("queue", "group").orderBy("block")) - F.col("n")).alias("in_group"))
-    ahead = ahead.join(groups, ["queue", "group"]).select("queue", "block", (F.col("ahead_of_group") + F.col("in_group")).alias("ahead"))
-    inside = Window.partitionBy("queue", "block").orderBy("doc_id", "uid")
-    placed = sizes.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(ahead, ["queue", "block"])
-    placed = placed.select("uid", "queue", (F.col("ahead") + F.col("inside")).alias("begin"))
-    ready = tokens.join(placed.hint("shuffle_hash"), "uid").select("doc_id", "source", "n", "ids", "queue", "begin")
-    return ready.mapInArrow(_cut(schedule, width), _PIECES)
+    groups = parts.groupBy("source", "group").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("source")
+    groups = groups.select("source", "group", (F.sum("n").over(whole.orderBy("group")) - F.col("n")).alias("ahead_of_group"), F.sum("n").over(whole).alias("total"))
+    ahead = parts.select("source", "group", "block", (F.sum("n").over(Window.partitionBy("source", "group").orderBy("block")) - F.col("n")).alias("in_group"))
+    ahead = ahead.join(groups, ["source", "group"]).select("source", "block", (F.col("ahead_of_group") + F.col("in_group")).alias("ahead"), "total")
+    inside = Window.partitionBy("source", "block").orderBy("doc_id", "uid")
+    placed = sizes.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(ahead, ["source", "block"])
+    placed = saved(placed.select("uid", "source", "n", (F.col("ahead") + F.col("inside")).alias("begin"), "total"), "placed")
+    # the weight of a queue, and of all
+    weight = F.col("total").cast("double") if weights is None else F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("source")), F.lit(1.0)).cast("double") if weights else F.lit(1.0)
+    every = parts.groupBy("source").agg(F.sum("n").alias("total")).agg(F.sum(weight)).first()[0] or 1.0
+    # the quanta that a document's tokens are in; each is served in the round that brings its queue's credit to its end
+    asked = placed.select("uid", "source", "total", F.explode(F.expr(f"sequence(begin div {quantum}, (begin + n - 1) div {quantum})")).alias("j"))
+    quanta = asked.groupBy("source", "j").agg(F.first("total").alias("total"))
+    end = F.least((F.col("j") + 1) * quantum, "total")
+    quanta = quanta.select(F.lit(0).alias("all"), "source", "j", (end - F.col("j") * quantum).alias("size"), (F.ceil(end * (every / window) / weight) - 1).cast("long").alias("round"))
+    served = running(quanta, ["round", "source", "j"], {"through": ("sum", F.col("size"))}, at="round", width=ROUNDS_PER_SLICE, key="all")
+    served = served.select("source", "j", (F.col("through") - F.col("size")).alias("place"))
+    lists = asked.select("uid", "source", "j").join(served, ["source", "j"]).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("j", "place"))).alias("served"))
+    ready = tokens.join(lists.join(placed.select("uid", "begin"), "uid").hint("shuffle_hash"), "uid").select("doc_id", "source", "n", "ids", "begin", "served")
+    return ready.mapInArrow(_cut(window, quantum, width), _PIECES)

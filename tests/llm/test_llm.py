@@ -257,12 +257,33 @@ def test_packing_keeps_a_queue_for_each_of_many_sources(spark):
     assert (place[order] == np.concatenate([[0], np.cumsum(got.length.to_numpy()[order])[:-1]])).all()
     rounds = -(-int(total.sum()) // 2048)
     half = got[got.sequence_id < rounds // 2].groupby("source")["length"].sum().reindex(total.index).fillna(0)
-    # half way each source, not its hash bucket, has had half of its tokens, but for about a round
+    # half way each source, not its hash bucket, has had half of its tokens, but for about a round and a quantum
     assert (abs(half - total * (rounds // 2) / rounds) <= total / rounds + 2).all()
     shares = packing.pack(d, window=2048, weights={"hot": 1000.0}).toPandas()
     assert shares["length"].sum() == total.sum()
 
 
+def test_packing_mixes_sources_within_its_bound_in_few_pieces(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 900))), "en", rng.choice(["a", "b", "b", "c", "c", "c", "c"]), 0) for i in range(300)]
+    d = spark.createDataFrame(rows, DOC)
+    got = packing.pack(d).toPandas().sort_values(["sequence_id", "offset"])
+    assert len(got) < 3 * 300
+    total, before = got.groupby("source")["length"].sum(), collections.Counter()
+    for source, length in zip(got.source, got.length, strict=True):
+        before[source] += length
+        for s in "abc":  # its share of what has been served so far, but for a quantum and a round
+            assert abs(before[s] - total[s] * sum(before.values()) / total.sum()) <= packing.QUANTUM + 2048 + 2048 * total[s] / total.sum()
+    finer = packing.pack(d, quantum=64).toPandas()
+    assert len(finer) > len(got) and finer["length"].sum() == got["length"].sum()
+
+
+def test_packing_of_very_many_sources(spark):
+    d = spark.range(100_000).selectExpr("id AS doc_id", "concat('w', id % 10) AS text", "'en' AS lang", "concat('host', id) AS source", "2L AS n_chars")
+    r = packing.pack(d).agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.max(F.expr("sequence_id * 2048 + offset + length")).alias("end"), F.countDistinct("source").alias("sources")).first()
+    assert r.sources == 100_000 and r.tokens == r.end and r.n < 102_000
+
+
 def test_quality_counts_and_verdict(spark):
     rng = random.Random(6)
     good = [(i, " ".join(rng.choice(["the", "river", "runs", "slowly", "under", "old", "trees"]) + str(rng.randint(0, 9)) for _ in range(80))) for i in range(30)]
