@@ -41,8 +41,9 @@ def changed_segments(current: DataFrame, original: DataFrame) -> DataFrame:
 
 
 def stale_chapters(changed: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Changed segments by the first chapter that owns them; those that none owns under ``-``."""
-    bridge = chapter_segments(chapters).groupBy("job_id", "segment_id").agg(F.min("chapter_id").alias("chapter_id"))
+    """Changed segments by the first chapter (by ``ord``) that owns them; those that none owns under ``-``."""
+    owned = chapters.select("job_id", "ord", "chapter_id", F.explode("source_ids").alias("segment_id"))
+    bridge = owned.groupBy("job_id", "segment_id").agg(F.min_by("chapter_id", "ord").alias("chapter_id"))
     met = changed.join(bridge, ["job_id", "segment_id"], "left").withColumn("chapter_id", F.coalesce("chapter_id", F.lit("-")))
     return met.groupBy("job_id", "chapter_id").agg(F.array_join(F.array_sort(F.collect_list("segment_id")), ",").alias("segments"))
 

@@ -29,6 +29,28 @@ def pair_status(gold: DataFrame, hyp: DataFrame, recall: float = 0.55, pad: floa
     return met.select("job_id", "ord", F.when(F.col("n").isNull(), "missing").when(r >= recall, "match").otherwise("differ").alias("status"))
 
 
+def pair_status_strict(gold: DataFrame, hyp: DataFrame, jaccard: float = 0.55, recall: float = 0.7, pad: float = 0.0, mapping: DataFrame | None = None) -> DataFrame:
+    """match, differ or missing for each gold row, where the speaker must be among those of the overlapping hypothesis rows.
+
+    Texts agree if the different words in common are ``jaccard`` of the larger side's or ``recall`` of the gold's; where a side has no
+    words, if both have the same (none). ``mapping(job_id, hyp, gold)`` renames hypothesis speakers; those without an entry keep their name.
+    """
+    if mapping is not None:
+        names = mapping.select("job_id", F.col("hyp").alias("speaker"), F.col("gold").alias("__gold"))
+        hyp = hyp.join(names, ["job_id", "speaker"], "left").withColumn("speaker", F.coalesce("__gold", "speaker")).drop("__gold")
+    h = hyp.select("job_id", F.col("ord").alias("hord"), F.col("start").alias("hs"), F.col("end").alias("he"), F.col("text").alias("htext"), F.col("speaker").alias("hspeaker"))
+    over = F.least("end", F.col("he") + pad) - F.greatest("start", F.col("hs") - pad)
+    met = interval_join(gold, h, (F.col("start"), F.col("end")), (F.col("hs") - pad, F.col("he") + pad)).filter(over > 0)
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hs", "hord", "htext"))), lambda x: x["htext"]), " ")
+    found = met.groupBy("job_id", "ord").agg(said.alias("hyp_text"), F.bool_or(F.col("hspeaker") == F.col("speaker")).alias("same"))
+    g, t = tokens(F.col("text")), tokens(F.coalesce("hyp_text", F.lit("")))
+    both = F.size(F.array_intersect(g, t))
+    a, b = F.size(F.array_distinct(g)), F.size(F.array_distinct(t))
+    alike = F.when((a == 0) | (b == 0), g == t).otherwise((both / F.greatest(a, b) >= jaccard) | (both / F.greatest(a, F.lit(1)) >= recall))
+    status = F.when(F.col("hyp_text").isNull(), "missing").when(F.coalesce("same", F.lit(False)) & alike, "match").otherwise("differ")
+    return gold.select("job_id", "ord", "text").join(found, ["job_id", "ord"], "left").select("job_id", "ord", status.alias("status"))
+
+
 def speaker_stats(turns: DataFrame, least: float = 30.0) -> DataFrame:
     per = turns.groupBy("job_id", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("sec"))
     return per.groupBy("job_id").agg(F.count("*").alias("n_speakers"), F.count(F.when(F.col("sec") >= least, 1)).alias("n_large"))

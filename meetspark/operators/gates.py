@@ -27,10 +27,14 @@ def script_word_ratio(segments: DataFrame, script: str = "Latin") -> DataFrame:
     return jobs.select("job_id", F.coalesce("total", F.lit(0)).alias("total_words"), F.coalesce(F.round(F.col("good") / F.col("total"), 3), F.lit(1.0)).alias("word_ratio"))
 
 
-def check_monotonic(segments: DataFrame) -> DataFrame:
-    """The first segment of each job with bad bounds or before its predecessor, if any."""
+def check_monotonic(segments: DataFrame, durations: DataFrame | None = None, slack: float = 1.0) -> DataFrame:
+    """The first segment of each job with bad bounds, before its predecessor, or (with ``durations(job_id, duration)``) more than ``slack``
+    seconds beyond the end of the recording, if any; the reasons are tried in this order."""
     prev = F.lag("start").over(Window.partitionBy("job_id").orderBy("ord"))
     why = F.when((F.col("start") < 0) | (F.col("end") <= F.col("start")), "bounds").when(F.col("start") < prev, "order")
+    if durations is not None:
+        segments = segments.join(durations.select("job_id", F.col("duration").alias("__duration")), "job_id", "left")
+        why = why.when(F.col("end") > F.col("__duration") + slack, "end")
     bad = segments.withColumn("why", why).groupBy("job_id").agg(F.min(F.when(F.col("why").isNotNull(), F.struct("ord", "why"))).alias("b"))
     return bad.select("job_id", F.lit("G1.4").alias("check_id"), F.when(F.col("b").isNull(), "pass").otherwise("fail").alias("status"), F.coalesce(F.col("b.why"), F.lit("")).alias("value"))
 

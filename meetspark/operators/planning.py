@@ -148,10 +148,10 @@ def merge_parts(parts: DataFrame, segments: DataFrame, chapters: DataFrame) -> t
     """Segments and chapters with times and ids of their part, as those of the whole job.
 
     ``parts(job_id, part_id, start)``; ``segments(job_id, part_id, ord, segment_id, start, end)``; ``chapters(job_id, part_id, ord,
-    start, end, source_ids)``. Segments and chapters are numbered in order of part and place; source ids follow.
+    start, end, source_ids)``. Segments and chapters are numbered in order of the parts' starts and of place; source ids follow.
     """
     at = parts.select("job_id", "part_id", F.col("start").alias("shift"))
-    w = Window.partitionBy("job_id").orderBy("part_id", "ord")
+    w = Window.partitionBy("job_id").orderBy("shift", "part_id", "ord")
 
     def moved(df: DataFrame) -> DataFrame:
         return df.join(at, ["job_id", "part_id"]).withColumn("n", F.row_number().over(w)).withColumn("start", F.round(F.col("start") + F.col("shift"), 3)).withColumn("end", F.round(F.col("end") + F.col("shift"), 3))

@@ -197,15 +197,23 @@ def a6_convert_legacy(spark, d):
     return A.convert_legacy_transcript(rows).select("conv_id", "turn", "id", "turn_id", "speaker", "empty")
 
 
-@query("a9_report_markdown", f"""WITH {X.CHAPTERS}, c AS (SELECT job_id, string_agg('- ' || printf('%02d:%02d', CAST(floor("start") AS BIGINT) // 60, CAST(floor("start") AS BIGINT) % 60) || ' ' || title, chr(10) ORDER BY ord) AS c, min_by(title, ord) AS summary FROM chapters GROUP BY job_id),
- s AS (SELECT job_id, string_agg('- ' || speaker || ': ' || printf('%.3f', sec), chr(10) ORDER BY speaker) AS s FROM (SELECT job_id, speaker, round(sum("end" - "start"), 3)::DOUBLE AS sec FROM segments GROUP BY ALL) GROUP BY job_id)
- SELECT job_id, '# Report' || chr(10) || chr(10) || CASE WHEN job_id % 2 = 0 THEN '> draft' || chr(10) || chr(10) ELSE '' END || summary || chr(10) || chr(10) || '## Chapters' || chr(10) || c || chr(10) || chr(10) || '## Speakers' || chr(10) || s || chr(10) AS md FROM c JOIN s USING (job_id)""")
+_SPAN = "'- [' || printf('%02d:%02d', CAST(floor({0}.\"start\") AS BIGINT) // 60, CAST(floor({0}.\"start\") AS BIGINT) % 60) || '–' || printf('%02d:%02d', CAST(floor({0}.\"end\") AS BIGINT) // 60, CAST(floor({0}.\"end\") AS BIGINT) % 60) || '] '"
+
+
+@query("a9_report_markdown", f"""WITH {X.CHAPTERS}, c AS (SELECT job_id, string_agg({_SPAN.format('chapters')} || title || ' (' || chapter_id || ')', chr(10) ORDER BY ord) AS c, min_by(title, ord) AS summary FROM chapters GROUP BY job_id),
+ m AS (SELECT g.job_id, string_agg({_SPAN.format('g')} || h.title || ' (' || g.speaker || ', ' || chapter_id || ')', chr(10) ORDER BY h.ord) AS m FROM segments g JOIN chapters h ON h.job_id = g.job_id AND g.segment_id = h.source_ids[1] WHERE g.job_id % 3 <> 1 GROUP BY g.job_id),
+ s AS (SELECT job_id, string_agg('- ' || speaker || CASE WHEN speaker = 'user' THEN ' — the user' ELSE '' END || ': ' || printf('%.3f', sec), chr(10) ORDER BY speaker) AS s FROM (SELECT job_id, speaker, round(sum("end" - "start"), 3)::DOUBLE AS sec FROM segments GROUP BY ALL) GROUP BY job_id)
+ SELECT job_id, '# Report' || chr(10) || chr(10) || CASE WHEN job_id % 2 = 0 THEN '> draft' || chr(10) || chr(10) ELSE '' END || trim(summary) || chr(10) || chr(10) || '## Key moments' || chr(10) || coalesce(m, '') || chr(10) || chr(10) || '## Chapters' || chr(10) || c || chr(10) || chr(10) || '## Speakers' || chr(10) || s || chr(10) AS md FROM c JOIN s USING (job_id) LEFT JOIN m USING (job_id)""")
 def a9_report_markdown(spark, d):
     from ..operators.insights import speaker_totals
 
-    c = X.chapters(spark, d)
+    c, g = X.chapters(spark, d), X.segments(spark, d)
     jobs = c.filter("ord = 0").select("job_id", F.col("title").alias("summary"), (F.col("job_id") % 2 == 0).alias("draft"))
-    return A.render_report_markdown(jobs, c, speaker_totals(X.segments(spark, d)))
+    first = c.filter("job_id % 3 <> 1").select("job_id", F.col("ord").alias("pos"), "chapter_id", F.col("title").alias("text"), F.col("source_ids")[0].alias("segment_id"))
+    moments = first.join(g.select("job_id", "segment_id", "start", "end", "speaker"), ["job_id", "segment_id"])
+    speakers = speaker_totals(g).withColumn("label", F.when(F.col("speaker") == "user", "the user"))
+    return A.render_report_markdown(jobs, c, speakers, moments)
+
 
 
 # ---- replies and prompts

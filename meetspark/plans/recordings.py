@@ -620,6 +620,16 @@ def g11_clock_gate(spark, d):
 # ---- gates
 
 
+@query("h2_check_end", f"""WITH {X.SEGMENTS}, e AS (SELECT job_id, max("end") - CASE job_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 4 END AS duration FROM segments GROUP BY job_id),
+ p AS (SELECT job_id, ord, CASE WHEN "end" <= "start" THEN 'bounds' WHEN "start" < lag("start") OVER (PARTITION BY job_id ORDER BY ord) THEN 'order' WHEN "end" > duration + 1 THEN 'end' END AS why FROM (SELECT * REPLACE (CASE WHEN job_id % 5 = 4 AND ord = 2 THEN greatest("start" - 30, 0) ELSE "start" END AS "start") FROM segments) JOIN e USING (job_id))
+ SELECT job_id, 'G1.4' AS check_id, CASE WHEN count(why) = 0 THEN 'pass' ELSE 'fail' END AS status, coalesce(min_by(why, ord) FILTER (why IS NOT NULL), '') AS value FROM p GROUP BY job_id""")
+def h2_check_end(spark, d):
+    s = X.segments(spark, d)
+    ends = s.groupBy("job_id").agg((F.max("end") - F.when(F.first(F.col("job_id") % 3) == 0, 0).when(F.first(F.col("job_id") % 3) == 1, 1).otherwise(4)).alias("duration"))
+    moved = s.withColumn("start", F.when((F.col("job_id") % 5 == 4) & (F.col("ord") == 2), F.greatest(F.col("start") - 30, F.lit(0.0))).otherwise(F.col("start")))
+    return H.check_monotonic(moved, ends)
+
+
 @query("h2_check_monotonic", f"""WITH {X.INTERVALS}, p AS (SELECT *, CASE WHEN "start" < 0 OR "end" <= "start" THEN 'bounds' WHEN "start" < lag("start") OVER (PARTITION BY job_id ORDER BY ord) THEN 'order' END AS why FROM intervals)
  SELECT job_id, 'G1.4' AS check_id, CASE WHEN count(why) = 0 THEN 'pass' ELSE 'fail' END AS status, coalesce(min_by(why, ord) FILTER (why IS NOT NULL), '') AS value FROM p GROUP BY job_id""")
 def h2_check_monotonic(spark, d):
@@ -688,7 +698,7 @@ def i5_changed_segments(spark, d):
     return I.changed_segments(_now(spark, d), X.segments(spark, d))
 
 
-@query("i6_stale_chapters", f"""WITH {_EDITED}, {_BRIDGE} SELECT job_id, coalesce(c, '-') AS chapter_id, string_agg(segment_id, ',' ORDER BY segment_id) AS segments FROM changed LEFT JOIN (SELECT job_id, segment_id, min(chapter_id) AS c FROM bridge WHERE chapter_id <> 'C01' GROUP BY ALL) USING (job_id, segment_id) GROUP BY ALL""")
+@query("i6_stale_chapters", f"""WITH {_EDITED}, {_BRIDGE} SELECT job_id, coalesce(c, '-') AS chapter_id, string_agg(segment_id, ',' ORDER BY segment_id) AS segments FROM changed LEFT JOIN (SELECT job_id, segment_id, arg_min(bridge.chapter_id, chapters.ord) AS c FROM bridge JOIN chapters USING (job_id, chapter_id) WHERE chapter_id <> 'C01' GROUP BY ALL) USING (job_id, segment_id) GROUP BY ALL""")
 def i6_stale_chapters(spark, d):
     return I.stale_chapters(I.changed_segments(_now(spark, d), X.segments(spark, d)), X.chapters(spark, d).filter("chapter_id <> 'C01'"))
 
@@ -714,6 +724,13 @@ def i9_suggest_terms(spark, d):
 # ---- evaluation
 
 
+@query("j2_pair_status_strict", f"""WITH {X.HYPOTHESIS}, o AS (SELECT g.job_id, g.ord, string_agg(h.text, ' ' ORDER BY h."start", h.ord) AS hyp, bool_or(h.speaker = g.speaker) AS same FROM segments g JOIN hypothesis h ON g.job_id = h.job_id AND least(g."end", h."end" + 0.1) - greatest(g."start", h."start" - 0.1) > 0 GROUP BY ALL),
+ r AS (SELECT s.job_id, s.ord, hyp, same, list_distinct({_TOKENS.format('text')}) AS g, list_distinct({_TOKENS.format("coalesce(hyp, '')")}) AS h, {_TOKENS.format('text')} = {_TOKENS.format("coalesce(hyp, '')")} AS equal FROM segments s LEFT JOIN o USING (job_id, ord))
+ SELECT job_id, ord, CASE WHEN hyp IS NULL THEN 'missing' WHEN same AND CASE WHEN len(g) = 0 OR len(h) = 0 THEN equal ELSE len(list_intersect(g, h)) / greatest(len(g), len(h)) >= 0.55 OR len(list_intersect(g, h)) / len(g) >= 0.7 END THEN 'match' ELSE 'differ' END AS status FROM r""")
+def j2_pair_status_strict(spark, d):
+    return J.pair_status_strict(X.segments(spark, d), X.hypothesis(spark, d), pad=0.1)
+
+
 @query("j2_pair_status", f"""WITH {X.HYPOTHESIS}, o AS (SELECT g.job_id, g.ord, string_agg(h.text, ' ' ORDER BY h."start", h.ord) AS hyp FROM segments g JOIN hypothesis h ON g.job_id = h.job_id AND least(g."end", h."end" + 0.5) - greatest(g."start", h."start" - 0.5) > 0 GROUP BY ALL),
  r AS (SELECT s.job_id, s.ord, hyp, list_distinct({_TOKENS.format('text')}) AS g, list_distinct({_TOKENS.format("coalesce(hyp, '')")}) AS h FROM segments s LEFT JOIN o USING (job_id, ord))
  SELECT job_id, ord, CASE WHEN hyp IS NULL THEN 'missing' WHEN round(CASE WHEN len(g) = 0 THEN CASE WHEN len(h) = 0 THEN 1.0 ELSE 0.0 END ELSE len(list_intersect(g, h)) / len(g) END, 6) >= 0.55 THEN 'match' ELSE 'differ' END AS status FROM r""")

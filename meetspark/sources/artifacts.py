@@ -173,13 +173,24 @@ def legacy_header(df: DataFrame) -> DataFrame:
     return df.select("job_id", both.alias("engine"), F.coalesce(given("language"), F.lit("ru")).alias("language"), number("max_segment_sec", 25.0).alias("max_segment_sec"), number("runtime_sec", 0.0).alias("runtime_sec"))
 
 
-def render_report_markdown(jobs: DataFrame, chapters: DataFrame, speakers: DataFrame) -> DataFrame:
-    """A markdown report for each job of ``jobs(job_id, summary, draft)``."""
+def render_report_markdown(jobs: DataFrame, chapters: DataFrame, speakers: DataFrame, moments: DataFrame | None = None) -> DataFrame:
+    """A markdown report for each job of ``jobs(job_id, summary, draft)``: summary, key moments, chapters and speakers.
+
+    ``moments(job_id, pos, start, end, text, speaker, chapter_id)`` and ``chapters(job_id, ord, chapter_id, start, end, title)`` are listed with
+    their time ranges in order, ``speakers(job_id, speaker, speech_sec)`` with their label where a column ``label`` has one. A job without rows
+    for a section has it empty.
+    """
     from ..functions.text import format_mmss
 
     lines = lambda df, line, by: df.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, line.alias("l")))), lambda s: s["l"]), "\n").alias("l"))
-    c = lines(chapters, F.concat(F.lit("- "), format_mmss(F.col("start")), F.lit(" "), F.col("title")), "ord").withColumnRenamed("l", "c")
-    s = lines(speakers, F.concat(F.lit("- "), F.col("speaker"), F.lit(": "), F.format_string("%.3f", "speech_sec")), "speaker").withColumnRenamed("l", "s")
+    span = F.concat(F.lit("- ["), format_mmss(F.col("start")), F.lit("–"), format_mmss(F.col("end")), F.lit("] "))
+    c = lines(chapters, F.concat(span, F.coalesce("title", F.lit("")), F.lit(" ("), F.col("chapter_id"), F.lit(")")), "ord").withColumnRenamed("l", "c")
+    label = F.when(F.coalesce("label", F.lit("")) != "", F.concat(F.lit(" — "), F.col("label"))).otherwise(F.lit("")) if "label" in speakers.columns else F.lit("")
+    s = lines(speakers, F.concat(F.lit("- "), F.col("speaker"), label, F.lit(": "), F.format_string("%.3f", "speech_sec")), "speaker").withColumnRenamed("l", "s")
+    if moments is None:
+        m = jobs.select("job_id", F.lit("").alias("m"))
+    else:
+        m = lines(moments, F.concat(span, F.col("text"), F.lit(" ("), F.col("speaker"), F.lit(", "), F.col("chapter_id"), F.lit(")")), "pos").withColumnRenamed("l", "m")
     draft = F.when(F.col("draft"), F.lit("> draft\n\n")).otherwise(F.lit(""))
-    md = F.concat(F.lit("# Report\n\n"), draft, F.coalesce("summary", F.lit("")), F.lit("\n\n## Chapters\n"), F.coalesce("c", F.lit("")), F.lit("\n\n## Speakers\n"), F.coalesce("s", F.lit("")), F.lit("\n"))
-    return jobs.join(c, "job_id", "left").join(s, "job_id", "left").select("job_id", md.alias("md"))
+    md = F.concat(F.lit("# Report\n\n"), draft, F.trim(F.coalesce("summary", F.lit(""))), F.lit("\n\n## Key moments\n"), F.coalesce("m", F.lit("")), F.lit("\n\n## Chapters\n"), F.coalesce("c", F.lit("")), F.lit("\n\n## Speakers\n"), F.coalesce("s", F.lit("")), F.lit("\n"))
+    return jobs.join(c, "job_id", "left").join(s, "job_id", "left").join(m, "job_id", "left").select("job_id", md.alias("md"))
