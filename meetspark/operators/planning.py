@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chapters import build_chapters
 from .intervals import pauses as pauses_of
 from .scan import sorted_scan
 
@@ -164,6 +165,33 @@ def merge_parts(parts: DataFrame, segments: DataFrame, chapters: DataFrame) -> t
     return out, whole.select("job_id", "part_id", (F.col("n") - 1).cast("long").alias("ord"), F.format_string("C%02d", F.col("n") - 1).alias("chapter_id"), "start", "end", "source_ids")
 
 
+def merge_parts_continuous(parts: DataFrame, segments: DataFrame, vectors: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """Like ``merge_parts``, with chapters that go on over the edges of parts: ``segments`` also have ``speaker, text``, and the chapters are built
+    (``build_chapters``, with its ``limits``) over the job's segments in their new order, so that what is open at the end of a part, a piece,
+    a unit or a chapter, is carried into the next. ``vectors(job_id, unit, vector)`` are those of the whole job's units.
+
+    A part without segments or text carries what is open through; a job of one part has the chapters of that part.
+    """
+    none = segments.select("job_id", "part_id", "ord", "start", "end", F.array().cast("array<string>").alias("source_ids")).limit(0)
+    merged, _ = merge_parts(parts, segments, none)
+    first = parts.select("job_id", "part_id", F.col("start").alias("shift"))
+    old = segments.join(first, ["job_id", "part_id"])
+    number = F.row_number().over(Window.partitionBy("job_id").orderBy("shift", "part_id", "ord"))
+    said = old.select("job_id", number.cast("long").alias("ord"), "speaker", "text")
+    whole = merged.join(said, ["job_id", "ord"])
+    return whole, build_chapters(whole, vectors, **limits)
+
+
+def merge_blocks(merged: DataFrame, segments: DataFrame) -> DataFrame:
+    """``job_id, n_merged, n_expected, count_match, blocks_kept``: whether every segment of every part is in the merged job, and each part's are one block
+    of neighbours."""
+    runs = F.lag("part_id").over(Window.partitionBy("job_id").orderBy("ord"))
+    seen = merged.withColumn("new", F.when(runs.eqNullSafe(F.col("part_id")), 0).otherwise(1)).groupBy("job_id").agg(F.count("*").alias("n_merged"), F.sum("new").alias("blocks"), F.countDistinct("part_id").alias("parts"))
+    want = segments.groupBy("job_id").agg(F.count("*").alias("n_expected"))
+    out = want.join(seen, "job_id", "left").withColumn("n_merged", F.coalesce("n_merged", F.lit(0).cast("long")))
+    return out.select("job_id", "n_merged", "n_expected", (F.col("n_merged") == F.col("n_expected")).alias("count_match"), F.coalesce(F.col("blocks") == F.col("parts"), F.lit(False)).alias("blocks_kept"))
+
+
 def validate_merge(segments: DataFrame, chapters: DataFrame) -> DataFrame:
     """Per job: segments, segments that start before the one in front, and segments that no chapter or several have."""
     used = chapters.select("job_id", F.explode("source_ids").alias("segment_id")).groupBy("job_id", "segment_id").agg(F.count("*").alias("uses"))

@@ -157,6 +157,32 @@ def f5_build_chapters(spark, d):
     return out.select("job_id", "ord", "chapter_id", "start", "end", F.array_join("source_ids", ",").alias("sources"), F.array_join("speakers", ",").alias("speakers"), "duration_sec")
 
 
+def _split_jobs(spark, d, size=3):
+    """Jobs as parts of ``size`` segments: the parts, and segments in the time of their part with ids of their own."""
+    s = X.segments(spark, d).withColumn("part_id", F.format_string("part%02d", F.expr(f"ord div {size}")))
+    parts = s.groupBy("job_id", "part_id").agg(F.min("start").alias("start"))
+    local = s.join(parts.withColumnRenamed("start", "shift"), ["job_id", "part_id"])
+    return parts, local.select("job_id", "part_id", (F.col("ord") % size).alias("ord"), F.format_string("p%d", F.col("ord") % size).alias("segment_id"), "speaker", "text", F.round(F.col("start") - F.col("shift"), 3).alias("start"), F.round(F.col("end") - F.col("shift"), 3).alias("end"))
+
+
+@query("f7_merge_continuous")
+def f7_merge_continuous(spark, d):
+    from ..operators.planning import merge_parts_continuous
+
+    v = _unit_vectors(spark, d).select("job_id", "unit", "vector")
+    out = merge_parts_continuous(*_split_jobs(spark, d), v, threshold=0.1, least=9.0)[1]
+    return out.select("job_id", "ord", "chapter_id", "start", "end", F.array_join("source_ids", ",").alias("sources"), F.array_join("speakers", ",").alias("speakers"), "duration_sec")
+
+
+@query("f7_merge_blocks", f"""WITH {X.SEGMENTS} SELECT job_id, count(*) AS n_merged, count(*) AS n_expected, true AS count_match, true AS blocks_kept FROM segments GROUP BY job_id""")
+def f7_merge_blocks(spark, d):
+    from ..operators.planning import merge_blocks, merge_parts_continuous
+
+    parts, local = _split_jobs(spark, d)
+    v = _unit_vectors(spark, d).select("job_id", "unit", "vector")
+    return merge_blocks(merge_parts_continuous(parts, local, v)[0], local)
+
+
 @query("e6_update_gallery")
 def e6_update_gallery(spark, d):
     v = X.vectors(spark, d).withColumn("speaker", F.format_string("SPEAKER_%02d", F.col("label")))

@@ -197,3 +197,32 @@ def test_interval_operators_of_long_jobs_equal_loops(spark):
         found = [(round(a[1], 3), round(b[0], 3)) for a, b in zip(edges, edges[1:], strict=False) if b[0] - a[1] >= 0.5]
         want[j] = found
     assert holes == {j: f for j, f in want.items() if f}
+
+
+def test_continuous_parts_equal_the_whole_job(spark):
+    rng = random.Random(21)
+    rows, t = [], 0.0
+    for i in range(60):
+        t = round(t + rng.choice([0.0, 0.5, 3.0]), 3)
+        rows.append(("j", i, f"s{i + 1:04d}", rng.choice("ab"), rng.choice(["", "one two three", "four " * rng.randint(1, 40)]), t, round(t + rng.choice([0.5, 4.0, 12.0]), 3)))
+        t = rows[-1][6]
+    kind = "job_id string, ord long, segment_id string, speaker string, text string, start double, end double"
+    whole = spark.createDataFrame(rows, kind)
+    n = C.units(C.pack_pieces(whole)).select("unit").collect()
+    vectors = spark.createDataFrame([("j", r.unit, [rng.gauss(0, 1) for _ in range(3)]) for r in n], "job_id string, unit long, vector array<double>")
+    edges = [0, 7, 8, 25, 41, 60]
+    parts, local = [], []
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        name = f"part{10 - k}"  # names do not follow time: starts do
+        parts.append(("j", name, rows[a][5]))
+        local += [("j", name, i, f"p{i}", r[3], r[4], round(r[5] - rows[a][5], 3), round(r[6] - rows[a][5], 3)) for i, r in enumerate(rows[a:b])]
+    kind = "job_id string, part_id string, ord long, segment_id string, speaker string, text string, start double, end double"
+    split = spark.createDataFrame(local, kind)
+    merged, chapters = D.merge_parts_continuous(spark.createDataFrame(parts, "job_id string, part_id string, start double"), split, vectors, threshold=0.0, least=9.0)
+    assert [(r.ord, r.segment_id, r.start, r.end, r.text) for r in merged.orderBy("ord").collect()] == [(i + 1, r[2], r[5], r[6], r[4]) for i, r in enumerate(rows)]
+    want = C.build_chapters(whole, vectors, threshold=0.0, least=9.0)
+    assert [tuple(r) for r in chapters.orderBy("ord").collect()] == [tuple(r) for r in want.orderBy("ord").collect()]
+    # some chapter goes over an edge, which merging part by part could not give
+    assert any(len({next(k for k, b in enumerate(edges[1:]) if int(s[1:]) - 1 < b) for s in r.source_ids}) > 1 for r in chapters.collect())
+    assert tuple(D.merge_blocks(merged, split).first())[1:] == (60, 60, True, True)
+    assert tuple(D.merge_blocks(merged.filter("ord <> 9"), split).first())[1:] == (59, 60, False, True)
