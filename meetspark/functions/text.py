@@ -84,12 +84,18 @@ def hash_client(ip: Column, salt: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(salt), ip), 256)
 
 
-def is_loopback(ip: Column) -> Column:
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.trim(_text(ip))), r"^\[(.*)\](:\d+)?$", "$1"), r"^::ffff:", "")
+def _local(name: Column) -> Column:
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.trim(_text(name))), r"^\[(.*)\](:\d+)?$", "$1"), r"^::ffff:", "")
     host = F.regexp_replace(host, r"^([^:]+):\d+$", "$1")
     return host.isin("localhost", "::1") | host.rlike(r"^127\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
 
 
+def is_loopback(ip: Column, host: Column | None = None) -> Column:
+    """Whether the address, or the host that was asked for, is this machine's: 127.0.0.0/8, ``::1``, mapped addresses, ``localhost``; brackets and
+    ports do not matter, nulls are not."""
+    return _local(ip) if host is None else _local(ip) | _local(host)
+
+
 def gain_plan(rms: Column, peak: Column, threshold: float = -30.0, target: float = -23.0, most: float = 18.0, ceiling: float = -1.0) -> Column:
     """Gain to bring a quiet recording to the target without passing the peak ceiling: struct ``gain_db, applied, capped``."""
     raw = F.lit(target) - rms
@@ -107,5 +113,25 @@ def duration_trim(sec: Column, max_min: float | None) -> Column:
     return F.lit(None).cast("double") if max_min is None else F.when(sec > max_min * 60, F.lit(max_min * 60.0))
 
 
+def trim_decision(sec: Column, max_min: float | None) -> Column:
+    """Struct ``will_trim, trim_to_sec`` of a recording's length: one of exactly the limit stays whole."""
+    to = duration_trim(sec, max_min)
+    return F.struct(to.isNotNull().alias("will_trim"), to.alias("trim_to_sec"))
+
+
+def loudness(n: Column, sum_sq: Column, max_abs: Column) -> tuple[Column, Column]:
+    """Aggregates ``rms_dbfs, peak_dbfs`` over frames of ``n`` samples with their sums of squares and largest magnitudes; -100 for none or
+    silence."""
+    count, power, peak = F.sum(n), F.sum(sum_sq), F.max(max_abs)
+    rms = F.when((count > 0) & (power > 0), 20 * F.log10(F.sqrt(power / count))).otherwise(-100.0)
+    return rms.alias("rms_dbfs"), F.when(peak > 0, 20 * F.log10(peak)).otherwise(-100.0).alias("peak_dbfs")
+
+
+def title_error(title: Column, taken: Column, max_words: int = 10) -> Column:
+    """Why a title can't be used, null if it can: ``empty``, ``long`` (more words than ``max_words``), ``stamp`` (starts with a time), ``duplicate``
+    (``taken`` is true), in this order."""
+    return F.when(is_blank(title), "empty").when(word_count(title) > max_words, "long").when(starts_with_stamp(title, strip_quotes=False), "stamp").when(taken, "duplicate")
+
+
 def number_id(prefix: str, width: int, n: Column) -> Column:
     return F.format_string(f"{prefix}%0{width}d", n.cast("long"))

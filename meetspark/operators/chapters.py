@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, word_count
+from ..functions.text import is_blank, tokens, word_count
 from .clustering import cosine
 from .scan import sorted_scan
 
@@ -100,6 +100,22 @@ def absorb_short_units(df: DataFrame, least: float = 5.0) -> DataFrame:
     return sorted_scan(df.select("job_id", "ord", "start", "end"), ["ord"], scan, {"ord": "long", "start": "double", "end": "double"})
 
 
+def embed_units(texts: DataFrame, dimensions: int = 64) -> DataFrame:
+    """``job_id, unit, vector`` of ``texts(job_id, unit, text)``: hashed word vectors of length one, for where no model's vectors are at hand.
+
+    A word counts as often as the unit has it, times ``1 + ln((1 + units) / (1 + units with it))``, in the dimension that the first eight
+    digits of its md5 give. A unit without words has an empty vector, which is like none.
+    """
+    said = texts.select("job_id", "unit", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("word")).groupBy("job_id", "unit", "word").agg(F.count("*").alias("tf"))
+    n = texts.count()
+    rare = said.groupBy("word").agg((1 + F.log((1 + n) / (1 + F.count("*")))).alias("idf"))
+    place = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
+    each = said.join(rare, "word").groupBy("job_id", "unit", place.alias("i")).agg(F.sum(F.col("tf") * F.col("idf")).alias("x"))
+    rows = each.groupBy("job_id", "unit").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("size"))
+    return texts.select("job_id", "unit").join(rows.select("job_id", "unit", dense.alias("vector")), ["job_id", "unit"], "left").withColumn("vector", F.coalesce("vector", F.array().cast("array<double>")))
+
+
 def build_chapters(segments: DataFrame, vectors: DataFrame, max_gap: float = 2.0, max_words: int = 80, threshold: float = 0.7, cap: float = 180.0, least: float = 5.0) -> DataFrame:
     """Chapters of ``segments(job_id, ord, segment_id, speaker, text, start, end)`` with ``vectors(job_id, unit, vector)`` of their units.
 

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import digit_groups_verified, is_blank, starts_with_stamp, word_count
+from ..functions.text import digit_groups_verified, is_blank, starts_with_stamp, title_error, word_count
 from .chapters import chapter_segments, chapter_text
 from .scan import sorted_scan
 
@@ -165,6 +165,14 @@ def build_report(replies: DataFrame, sources: DataFrame, chapters: DataFrame, se
     return out.withColumn("draft_warning", F.lit(profile == "demo"))
 
 
+def title_errors(titles: DataFrame, max_words: int = 10) -> DataFrame:
+    """``job_id, chapter_id, title, error`` of ``titles(job_id, ord, chapter_id, title)``, white space made single: a title is a duplicate if an earlier
+    chapter of the job has the same one, whatever its case."""
+    clean = titles.withColumn("title", F.trim(F.regexp_replace("title", r"\s+", " ")))
+    place = F.row_number().over(Window.partitionBy("job_id", F.lower("title")).orderBy("ord"))
+    return clean.withColumn("__place", place).select("job_id", "chapter_id", "title", title_error(F.col("title"), F.col("__place") > 1, max_words).alias("error"))
+
+
 def select_titles(replies: DataFrame, chapters: DataFrame, max_attempts: int = 2, max_words: int = 10) -> DataFrame:
     """``job_id, chapter_id, title, attempt``: first attempt of ``replies(job_id, chapter_id, attempt, text)`` that holds for each chapter.
 

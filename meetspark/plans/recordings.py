@@ -64,9 +64,36 @@ def b1_gain_plan(spark, d):
 
 @query("b2_loudness", """SELECT user_id AS job_id, round(CASE WHEN sum(value * value) > 0 THEN 20 * log10(sqrt(sum(value * value) / count(*)) / 1000) ELSE -100 END, 4) AS rms_dbfs, round(20 * log10(max(value) / 1000), 4) AS peak_dbfs FROM events WHERE value > 0 GROUP BY user_id""")
 def b2_loudness(spark, d):
-    e = _table(spark, d, "events").filter("value > 0")
-    sq = F.sum(F.col("value") * F.col("value"))
-    return e.groupBy(F.col("user_id").alias("job_id")).agg(F.round(F.when(sq > 0, 20 * F.log10(F.sqrt(sq / F.count("*")) / 1000)).otherwise(-100.0), 4).alias("rms_dbfs"), F.round(20 * F.log10(F.max("value") / 1000), 4).alias("peak_dbfs"))
+    e = _table(spark, d, "events").filter("value > 0").withColumn("x", F.col("value") / 1000)
+    found = e.groupBy(F.col("user_id").alias("job_id")).agg(*T.loudness(F.lit(1), F.col("x") * F.col("x"), F.col("x")))
+    return found.select("job_id", F.round("rms_dbfs", 4).alias("rms_dbfs"), F.round("peak_dbfs", 4).alias("peak_dbfs"))
+
+
+@query("b10_title_errors", f"""WITH {X.CHAPTERS}, t AS (SELECT job_id, ord, chapter_id, trim(regexp_replace(CASE ord % 5 WHEN 1 THEN '  ' WHEN 2 THEN repeat('many words ', 6) WHEN 3 THEN '12:30 ' || title WHEN 4 THEN upper(first(title) OVER (PARTITION BY job_id ORDER BY ord)) ELSE title END, '\\s+', ' ', 'g')) AS title FROM chapters)
+ SELECT job_id, chapter_id, title, CASE WHEN title = '' THEN 'empty' WHEN len(string_split(title, ' ')) > 10 THEN 'long' WHEN ord % 5 = 3 THEN 'stamp' WHEN row_number() OVER (PARTITION BY job_id, lower(title) ORDER BY ord) > 1 THEN 'duplicate' END AS error FROM t""")
+def b10_title_errors(spark, d):
+    c, k = X.chapters(spark, d), F.col("ord") % 5
+    first = F.first("title").over(Window.partitionBy("job_id").orderBy("ord"))
+    title = F.when(k == 1, "  ").when(k == 2, "many words " * 6).when(k == 3, F.concat(F.lit("12:30 "), "title")).when(k == 4, F.upper(first)).otherwise(F.col("title"))
+    return G.title_errors(c.select("job_id", "ord", "chapter_id", title.alias("title")))
+
+
+@query("b13_upload_checks", """SELECT event_id, event_id * 1024 <= 5 * 1024 * 1024 AS fits, value > 90 AS will_trim, CASE WHEN value > 90 THEN 90.0::DOUBLE END AS trim_to_sec, event_id % 4 <> 3 AS loopback FROM events""")
+def b13_upload_checks(spark, d):
+    e = _table(spark, d, "events").select("event_id", "value", (F.col("event_id") % 4).alias("k"))
+    ip = F.when(F.col("k") == 0, "::ffff:127.0.0.9").when(F.col("k") == 1, "[::1]:8080").otherwise("10.0.0.7")
+    host = F.when(F.col("k") == 2, "LOCALHOST:8000").otherwise("example.org")
+    cut = T.trim_decision(F.col("value"), 1.5)
+    return e.select("event_id", T.size_check(F.col("event_id") * 1024, 5).alias("fits"), cut["will_trim"].alias("will_trim"), cut["trim_to_sec"].alias("trim_to_sec"), T.is_loopback(ip, host).alias("loopback"))
+
+
+@query("e12_embed_units", f"""WITH {X.SEGMENTS}, w AS (SELECT job_id, ord, unnest({_TOKENS.format('text')}) AS word FROM segments), t AS (SELECT job_id, ord, word, count(*) AS tf FROM w GROUP BY ALL), r AS (SELECT word, 1 + ln((1 + (SELECT count(*) FROM segments)) / (1 + count(*))) AS idf FROM t GROUP BY word),
+ e AS (SELECT job_id, ord, ('0x' || md5(word)[1:8])::UBIGINT % 64 AS i, sum(tf * idf) AS x FROM t JOIN r USING (word) GROUP BY ALL), v AS (SELECT job_id, ord, count(*) AS n, sqrt(sum(x * x)) AS size, sum(x) AS total, max(x) AS most, arg_max(i, (x, -i::BIGINT)) AS top FROM e GROUP BY ALL)
+ SELECT job_id, ord AS unit, coalesce(n, 0) AS n_dimensions, round(total / size, 6) AS total, round(most / size, 6) AS most FROM segments LEFT JOIN v USING (job_id, ord)""")
+def e12_embed_units(spark, d):
+    v = C.embed_units(X.segments(spark, d).select("job_id", F.col("ord").alias("unit"), "text"))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return v.select("job_id", "unit", F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("n_dimensions"), F.when(F.size("vector") > 0, F.round(total, 6)).alias("total"), F.round(F.array_max("vector"), 6).alias("most"))
 
 
 @query("b8_script_word_ratio", f"""WITH {X.SEGMENTS}, w AS (SELECT job_id, unnest({_TOKENS.format('text')}) AS w FROM segments WHERE trim(text) <> '')

@@ -75,6 +75,17 @@ def write_artifacts(df: DataFrame, path: str) -> None:
     documents(df).repartition("job_id").write.mode("overwrite").partitionBy("job_id").text(path)
 
 
+def store_artifacts(df: DataFrame, path: str, created: str = "created_at", files_of: int = 1_000_000) -> None:
+    """``df(job_id, ..., created)`` as Parquet by day of ``created`` (``job_date``; null times under their own), days that are written again replaced whole.
+
+    Rows of a day are dealt out by job and sorted by it, so that a file holds many jobs and a job is found by its range; files have at most
+    ``files_of`` rows. ``write_artifacts`` exports single jobs as JSON.
+    """
+    dated = df.withColumn("job_date", F.to_date(F.col(created).cast("timestamp")))
+    ready = dated.repartition("job_date", F.pmod(F.xxhash64("job_id"), F.lit(16))).sortWithinPartitions("job_date", "job_id")
+    ready.write.option("maxRecordsPerFile", files_of).option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("job_date").parquet(path)
+
+
 def _with_others(names: list[str]):
     """Whether the JSON object of a row has a key beside these."""
     return lambda row: F.size(F.array_except(F.coalesce(F.json_object_keys(row), F.array().cast("array<string>")), F.array(*map(F.lit, names)))) > 0

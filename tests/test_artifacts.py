@@ -71,3 +71,15 @@ def test_prompts_reject_unknown_names(spark):
     assert insights.build_prompts("{{title}}: {{chapter_text}} {{src_catalog}}", c, s).first().prompt == "{{end}}: A: hi s1 | 0.000-1.000 | A"
     with pytest.raises(ValueError, match="other"):
         insights.build_prompts("{{other}}", c, s)
+
+
+def test_rows_are_stored_by_day_and_replaced_whole(spark, tmp_path):
+    ddl = "job_id string, created_at string, state string"
+    path = str(tmp_path / "jobs")
+    first = [(f"j{i}", f"2024-01-0{1 + i % 2}T10:00:00+00:00", "queued") for i in range(40)] + [("n", None, "queued")]
+    artifacts.store_artifacts(spark.createDataFrame(first, ddl), path)
+    artifacts.store_artifacts(spark.createDataFrame([("j1", "2024-01-02T10:00:00+00:00", "done")], ddl), path)
+    got = sorted((r.job_id, str(r.job_date), r.state) for r in spark.read.parquet(path).collect())
+    assert got == sorted([(f"j{i}", "2024-01-01", "queued") for i in range(0, 40, 2)] + [("j1", "2024-01-02", "done"), ("n", "None", "queued")])
+    files = [p for p in (tmp_path / "jobs").rglob("*.parquet")]
+    assert len(files) < 20  # not one for each job
