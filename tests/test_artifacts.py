@@ -59,7 +59,8 @@ def test_payloads_are_strict_where_they_have_to_be(spark):
         return [r.ok for r in insights.parse_payload(df, task).orderBy("i").collect()]
 
     item = '{"text": "a", "segment_ids": ["s1"]}'
-    assert ok("extract", f'{{"key_points": [{item}]}}', f'{{"key_points": [{item}], "x": 1}}', '{"actions": [{"text": "a", "segment_ids": []}]}', "no", None, "{}") == [True, False, False, False, False, True]
+    whole = f'{{"key_points": [{item}], "actions": [], "open_questions": [], "asr_notes": []%s}}'  # all four lists are required
+    assert ok("extract", whole % "", whole % ', "x": 1', f'{{"key_points": [{item}]}}', whole.replace('"s1"', "") % "", "no", None, "{}") == [True, False, False, False, False, False, False]
     assert ok("title", '{"title": "a", "x": 1}', '{"title": ""}', "[]") == [True, False, False]
     assert ok("batch", '{"titles": [{"id": "C00", "title": "a"}]}', '{"titles": []}', '{"titles": [{"id": "C00"}]}') == [True, False, False]
     assert ok("report", '{"summary": "", "key_moments": []}', '{"key_moments": []}', '{"summary": "a", "key_moments": [{"text": "a"}]}') == [True, False, False]
