@@ -130,6 +130,15 @@ def _edit_counts(ref: list, hyp: list) -> tuple[int, int, int]:
     return substitutions, (edits - substitutions + n - m) // 2, (edits - substitutions - n + m) // 2
 
 
+def _stretches(ref: DataFrame, hyp: DataFrame, pause: float) -> DataFrame:
+    """``job_id, side, start, end, ord, text, island`` of both sides (0 and 1); an island is what lies between two common pauses."""
+    sides = [df.select("job_id", F.lit(i).alias("side"), "start", "end", F.col("ord").cast("long").alias("ord"), F.coalesce("text", F.lit("")).alias("text")) for i, df in enumerate((ref, hyp))]
+    order = ["start", "end", "side", "ord"]
+    reach = running(sides[0].unionByName(sides[1]), order, {"reach": ("max_before", F.col("end"))})
+    opens = F.when(F.col("reach").isNull() | (F.col("start") - F.col("reach") > pause), F.col("start"))
+    return running(reach.withColumn("opens", opens).drop("reach"), order, {"island": ("last_known", F.col("opens"))})
+
+
 def align(ref: DataFrame, hyp: DataFrame, unit: str = "word", pause: float = 0.0) -> DataFrame:
     """``job_id, island, n_ref, n_hyp, substitutions, deletions, insertions`` of ``ref`` and ``hyp(job_id, ord, start, end, text)``.
 
@@ -141,11 +150,7 @@ def align(ref: DataFrame, hyp: DataFrame, unit: str = "word", pause: float = 0.0
     """
     if unit not in ("word", "char"):
         raise ValueError("unit must be word or char")
-    sides = [df.select("job_id", F.lit(i).alias("side"), "start", "end", F.col("ord").cast("long").alias("ord"), F.coalesce("text", F.lit("")).alias("text")) for i, df in enumerate((ref, hyp))]
-    order = ["start", "end", "side", "ord"]
-    reach = running(sides[0].unionByName(sides[1]), order, {"reach": ("max_before", F.col("end"))})
-    opens = F.when(F.col("reach").isNull() | (F.col("start") - F.col("reach") > pause), F.col("start"))
-    met = running(reach.withColumn("opens", opens).drop("reach"), order, {"island": ("last_known", F.col("opens"))})
+    met = _stretches(ref, hyp, pause)
     words = F.filter(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
     said = words if unit == "word" else F.col("text")
     rows = met.select(F.struct("job_id", "island").alias("at"), "side", "start", "ord", said.alias("said"))
@@ -176,8 +181,10 @@ def wer(ref: DataFrame, hyp: DataFrame, pause: float = 0.0) -> DataFrame:
 
 
 def cer(ref: DataFrame, hyp: DataFrame, pause: float = 0.0) -> DataFrame:
-    """Characters, edits and the rate of each job by ``align``, spaces between segments included."""
-    out = align(ref, hyp, "char", pause).groupBy("job_id").agg(F.sum("n_ref").alias("chars"), F.sum(F.expr("substitutions + deletions + insertions")).alias("edits"))
+    """``job_id, chars, edits, cer`` over the stretches of ``align``, spaces between segments included; the edits are Spark's own edit distance."""
+    text = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("start", "ord", "text")))), lambda x: x["text"]), " ")
+    each = _stretches(ref, hyp, pause).groupBy("job_id", "island").agg(text(0).alias("r"), text(1).alias("h"))
+    out = each.groupBy("job_id").agg(F.sum(F.length("r")).alias("chars"), F.sum(F.levenshtein("r", "h").cast("long")).alias("edits"))
     return out.withColumn("cer", _rate(F.col("edits"), F.col("chars")))
 
 
