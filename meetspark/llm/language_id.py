@@ -24,7 +24,9 @@ from .words import Block, blocks
 
 BUCKET_BITS = 15
 GRAM_BYTES = 3
-LANGUAGES_AT_ONCE = 64
+COUNTED_AT_ONCE = 64  # languages whose counts a task holds before it passes them on
+MODEL_ENTRIES = 1 << 22  # buckets of all languages that the driver and each task hold in one pass
+MEANS_AT_ONCE = 1 << 21
 EFFECTIVE_GRAMS = 40
 RIGHT_MARKUP, RIGHT_ADDRESS = 0.9, 0.8
 HOST_WEIGHT, SUFFIX_WEIGHT = 10.0, 100.0
@@ -47,46 +49,86 @@ def _counts(languages: list[str], bits: int):
     index = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), 1 << bits), dtype=np.int64)
+        counts: dict[int, np.ndarray] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for i, n in counts.items():
+                bucket = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), i)), pa.array(bucket), pa.array(n[bucket])], names=["lang", "bucket", "n"])
+            counts.clear()
+
         for batch in batches:
             lang = np.array([index.get(x, -1) for x in batch.column("declared").to_pylist()])
             for b in blocks(batch.column("text")):
                 found, inside = _grams(b, bits)
                 own = np.where(inside, np.repeat(lang[b.rows], np.diff(b.offsets))[: len(found)], -1)
-                for i in np.unique(own[own >= 0]):
+                for i in np.unique(own[own >= 0]).tolist():
+                    if i not in counts:
+                        if len(counts) == COUNTED_AT_ONCE:
+                            yield from counted()
+                        counts[i] = np.zeros(1 << bits, dtype=np.int64)
                     counts[i] += np.bincount(found[own == i], minlength=1 << bits)
-        lang, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(counts[lang, bucket])], names=["lang", "bucket", "n"])
+        yield from counted()
 
     return run
 
 
-def log_probabilities(rows: DataFrame, languages: list[str], bits: int) -> np.ndarray:
-    """Of each of at most ``LANGUAGES_AT_ONCE`` languages the log probability of each bucket, in units of ``1 / _UNIT``."""
-    found = rows.filter(F.col("declared").isin(languages)).select("declared", "text").mapInArrow(_counts(languages, bits), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((len(languages), 1 << bits), 0.1)
-    table[found["lang"].to_numpy(int), found["bucket"].to_numpy(int)] += found["n"].to_numpy(float)
-    return np.rint((np.log(table) - np.log(table.sum(axis=1, keepdims=True))) * _UNIT).astype(np.int32)
+def gram_counts(rows: DataFrame, languages: list[str], bits: int) -> DataFrame:
+    """``lang`` (place in ``languages``), ``bucket, n`` of the n-grams of the rows that declare a language, in one pass over the texts."""
+    found = rows.filter("declared IS NOT NULL").select("declared", "text").mapInArrow(_counts(languages, bits), "lang long, bucket long, n long")
+    return found.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def passes(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Runs of languages, from and to, that have at most ``most`` entries together, or are one language."""
+    out, first, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > most:
+            out.append((first, i))
+            first, held = i, 0
+        held += n
+    return [*out, (first, len(sizes))]
+
+
+def _models(counted: DataFrame, first: int, last: int, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each language from ``first`` before ``last`` the log probability of a bucket that it never has, the buckets that it has and their
+    log probabilities, in units of ``1 / _UNIT``."""
+    found = counted.filter(F.col("lang").between(first, last - 1)).select(*(F.col(c).cast(t) for c, t in (("lang", "int"), ("bucket", "int"), ("n", "double")))).toPandas().sort_values("lang")
+    edges = np.searchsorted(found["lang"].to_numpy(), np.arange(first, last + 1))
+    bucket, n = found["bucket"].to_numpy(np.int32), found["n"].to_numpy()
+    out = []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        table = np.full(1 << bits, 0.1)
+        table[bucket[lo:hi]] += n[lo:hi]
+        every = np.log(table.sum())
+        out.append((int(np.rint((np.log(0.1) - every) * _UNIT)), bucket[lo:hi], np.rint((np.log(table[bucket[lo:hi]]) - every) * _UNIT).astype(np.int32)))
+    return out
 
 
-def _means(table: np.ndarray, bits: int):
-    """Adds to each row's ``means`` the mean log likelihood of its n-grams under each language of the table."""
+def _means(models: list[tuple[int, np.ndarray, np.ndarray]], bits: int, known: int):
+    """Adds to each row's ``means``, of which it has ``known``, the mean log likelihood of its n-grams under each of the models."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, grams = np.zeros((len(batch), len(table))), np.zeros(len(batch), dtype=np.int64)
-            for b in blocks(batch.column("text"), block_bytes=1 << 19):
-                found, _ = _grams(b, bits)
-                n = np.maximum(np.diff(b.offsets) - GRAM_BYTES + 1, 0)
-                begin = np.minimum(b.offsets[:-1], len(found))
-                end = np.minimum(begin + n, len(found))
-                for i, line in enumerate(table):
-                    total = np.concatenate([[0], np.cumsum(line[found], dtype=np.int64)])
-                    out[b.rows, i] = (total[end] - total[begin]) / np.maximum(n, 1) / _UNIT
-                grams[b.rows] = n
-            before = _dense(batch.column("means"), len(batch))
-            kept = [c for c in batch.schema.names if c not in ("means", "grams")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(np.hstack([before, out])), pa.array(grams)], names=[*kept, "means", "grams"])
+        step = max(1, MEANS_AT_ONCE // (known + len(models)))
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                out, grams = np.zeros((len(batch), len(models))), np.zeros(len(batch), dtype=np.int64)
+                for b in blocks(batch.column("text"), block_bytes=1 << 19):
+                    found, _ = _grams(b, bits)
+                    n = np.maximum(np.diff(b.offsets) - GRAM_BYTES + 1, 0)
+                    begin = np.minimum(b.offsets[:-1], len(found))
+                    end = np.minimum(begin + n, len(found))
+                    line = np.empty(1 << bits, dtype=np.int32)
+                    for i, (unseen, bucket, value) in enumerate(models):
+                        line.fill(unseen)
+                        line[bucket] = value
+                        total = np.concatenate([[0], np.cumsum(line[found], dtype=np.int64)])
+                        out[b.rows, i] = (total[end] - total[begin]) / np.maximum(n, 1) / _UNIT
+                    grams[b.rows] = n
+                before = _dense(batch.column("means"), len(batch))
+                kept = [c for c in batch.schema.names if c not in ("means", "grams")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(np.hstack([before, out])), pa.array(grams)], names=[*kept, "means", "grams"])
 
     return run
 
@@ -147,12 +189,13 @@ def _fused(languages: list[str], corpus: np.ndarray):
     return run
 
 
-def identify(rows: DataFrame, bits: int = BUCKET_BITS, min_posterior: float = MIN_POSTERIOR, at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
+def identify(rows: DataFrame, bits: int = BUCKET_BITS, min_posterior: float = MIN_POSTERIOR, entries: int = MODEL_ENTRIES) -> DataFrame:
     """``uid, language, posterior, text_language, accepted`` of ``rows(uid, text, declared, address, host, suffix)``.
 
     ``uid`` is unique; ``declared`` and ``address`` are language codes or null (no evidence); ``host`` and ``suffix`` may be
-    null (one group of their own). Every declared language takes part: models are fitted and texts scored ``at_once`` languages at
-    a time, which bounds the driver's and the tasks' memory, and further languages cost further passes. A row is accepted if its text has
+    null (one group of their own). Every declared language takes part: one pass counts the n-grams of all of them, and one scores all
+    texts as long as the languages have at most ``entries`` different buckets together, which bounds the driver's and the tasks' memory;
+    rare codes have few, so thousands of them fit beside the common ones. What is beyond costs further passes. A row is accepted if its text has
     a letter and its best language a posterior of ``min_posterior`` or more; a text without a letter (null, empty) is ``und``
     with posterior 0. Ties go to the first language by name. If nothing is declared at all, every row is ``und``.
     """
@@ -163,9 +206,11 @@ def identify(rows: DataFrame, bits: int = BUCKET_BITS, min_posterior: float = MI
     letters = F.coalesce(F.col("text").rlike(_LETTER), F.lit(False))
     now = rows.select("uid", letters.alias("letters"), "declared", "address", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"), "text", F.array().cast("array<double>").alias("means"), F.lit(0).cast("long").alias("grams"))
     shape = f"uid {kind}, letters boolean, declared string, address string, host string, suffix string, text string, means array<double>, grams long"
-    for i in range(0, len(languages), at_once):
-        now = now.mapInArrow(_means(log_probabilities(rows, languages[i : i + at_once], bits), bits), shape)
-        if i + at_once < len(languages):
+    counted = saved(gram_counts(rows, languages, bits), "grams")
+    sizes = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}  # at most one row for each code
+    for first, last in passes([sizes.get(i, 0) for i in range(len(languages))], entries):
+        now = now.mapInArrow(_means(_models(counted, first, last, bits), bits, first), shape)
+        if last < len(languages):
             now = saved(now, "means")
     guess = F.when(F.col("letters"), F.array_position("means", F.array_max("means")).cast("int") - 1).otherwise(-1)
     known = saved(now.drop("text").withColumn("guess", guess), "evidence")

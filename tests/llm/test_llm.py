@@ -526,7 +526,7 @@ def plain_language(rows, bits=language_id.BUCKET_BITS):
 
 
 def test_language_id_equals_plain_loops_with_many_languages(spark):
-    """Seventy languages, three of them at a time and all at once."""
+    """Seventy languages, scored in many passes, in a few and all at once."""
     rng = random.Random(15)
     codes = [a + b for a in "abcdefghij" for b in "qrstuvw"]
     letters = {c: rng.sample("abcdefghijklmnopqrstuvwxyzäöüéèñçøåß", 9) for c in codes}
@@ -538,11 +538,28 @@ def test_language_id_equals_plain_loops_with_many_languages(spark):
     rows += [(None, "aq", None, "h1", "s1"), ("", None, None, "h1", "s1"), ("12 34", "aq", "aq", "h2", "s2"), ("x" * 9_000, None, None, "h3", "s3")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "uid long, text string, declared string, address string, host string, suffix string")
     want = plain_language(rows)
-    for at_once in (25, 64, 100):
-        got = {r.uid: (r.language, r.posterior) for r in language_id.identify(df, at_once=at_once).collect()}
+    for entries in (2_000, 9_000, language_id.MODEL_ENTRIES):
+        got = {r.uid: (r.language, r.posterior) for r in language_id.identify(df, entries=entries).collect()}
         assert all(got[i][0] == w[0] and abs(got[i][1] - w[1]) < 1e-4 for i, w in enumerate(want))
 
 
+def test_two_thousand_codes_take_one_pass(spark, monkeypatch):
+    """Rare codes have few buckets; counts go on in parts when a task has met more languages than it holds."""
+    assert language_id.passes([32_768] * 60 + [1_000] * 2_000, language_id.MODEL_ENTRIES) == [(0, 2060)]
+    assert language_id.passes([5, 9, 1, 1, 1], 3) == [(0, 1), (1, 2), (2, 5)] and language_id.passes([0, 0], 0) == [(0, 2)]
+    monkeypatch.setattr(language_id, "COUNTED_AT_ONCE", 3)
+    codes = [a + b + c for a in "abcdefghijklmn" for b in "abcdefghijkl" for c in "qrstuvwxyzab"][:2_000]
+    rows = [(i, f"{c} " * 9, c, None, f"h{i % 5}", None) for i, c in enumerate(codes)] + [(5_000, f"{codes[7]} " * 40, None, None, "h1", None)]
+    df = spark.createDataFrame(rows, "uid long, text string, declared string, address string, host string, suffix string")
+    counted = {(r.lang, r.bucket): r.n for r in language_id.gram_counts(df.coalesce(1), sorted(codes), 15).collect()}
+    want = collections.Counter()
+    for _, text, code, *_ in rows[:-1]:
+        want.update((sorted(codes).index(code), int(b)) for b in quality.buckets(np.frombuffer(text.encode(), np.uint8), 15, 3))
+    assert counted == want
+    got = {r.uid: r.language for r in language_id.identify(df).collect()}
+    assert got[5_000] == codes[7] and all(got[i] == c for i, c in enumerate(codes))
+
+
 def test_language_is_declared_anywhere_outside_comments(spark):
     fr = "<p>le chat et la rue de la ville est grande</p>"
     pages = [(1, None, "<!--" + " <html lang=xx> " * 300 + f"--><html class='a' lang='fr-CA'>{fr}"), (2, None, " " * 5_000 + f"<HTML xml:lang=fr>{fr}"), (3, None, "<html lang=en><p>the cat and the street"), (4, None, "<html data-lang=de><p>the cat and the street")]
