@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import clip_turn_overlaps, covered_sec, merge_turns, speaker_at
+from .lineage import stored
+from .running import running
+
+_PART_IDS = 1 << 31
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -75,12 +79,81 @@ def average_linkage(vectors: np.ndarray, threshold: float, sizes: np.ndarray | N
     return pd.factorize(label)[0].astype(np.int64)
 
 
-def cluster_windows(df: DataFrame, threshold: float = 0.85, part: int = 2000) -> DataFrame:
+def _nearest(rows: DataFrame, threshold: float, most: int) -> DataFrame:
+    """``job_id, id, near`` of ``rows(job_id, id, mean, live)``: the nearest other cluster of the job under ``threshold``; ties go to the least id.
+
+    A job's clusters are dealt into blocks by id; each task compares two blocks, about ``most`` rows, and passes on one row for a
+    cluster at most, so neither a job nor its pairs ever come together.
+    """
+    dealt = rows.withColumn("blocks", F.ceil(F.col("live") / max(1, most // 2))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("job_id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "mean")
+
+    def two(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        ids, mean, low = rows.id.to_numpy(), np.stack(rows["mean"].to_numpy()), (rows.own == rows.lo).to_numpy()
+        if rows.lo.iloc[0] == rows.hi.iloc[0]:
+            far = np.round(1 - mean @ mean.T, 12)
+            far = np.minimum(far, far.T)
+            np.fill_diagonal(far, np.inf)
+            found = [(ids, ids, far)]
+        else:
+            far = np.round(1 - mean[low] @ mean[~low].T, 12)
+            if not far.size:  # an empty block
+                return pd.DataFrame(columns=["job_id", "id", "near", "far"])
+            found = [(ids[low], ids[~low], far), (ids[~low], ids[low], far.T)]
+        out = pd.concat([pd.DataFrame({"id": of, "near": to[far.argmin(axis=1)], "far": far.min(axis=1)}) for of, to, far in found])
+        return out[out.far < threshold].assign(job_id=rows.job_id.iloc[0])[["job_id", "id", "near", "far"]]
+
+    pairs = met.groupBy("job_id", "lo", "hi").applyInPandas(two, "job_id long, id long, near long, far double")
+    return pairs.groupBy("job_id", "id").agg(F.min(F.struct("far", "near"))["near"].alias("near"))
+
+
+def merge_alike(clusters: DataFrame, threshold: float, most: int = 4000) -> tuple[DataFrame, int]:
+    """``job_id, id, root`` of ``clusters(job_id, id, n, mean)``: average linkage of a job's clusters, ``root`` the least id of each result; and
+    the number of rounds it took.
+
+    A job of up to ``most`` clusters is one group. Others go through rounds: all pairs of clusters that are each other's nearest merge at
+    once, which for average linkage gives what merging one pair at a time gives, and a cluster without another under ``threshold`` is
+    finished, as mean distances to what others merge into lie beyond it too. So a job where nothing is alike takes one
+    round, and one with at most ``most`` clusters left is one group again.
+    """
+    roots, live, rounds = clusters.select("job_id", "id", F.col("id").alias("root")), clusters, 0
+    while True:
+        sizes = live.groupBy("job_id").agg(F.count("*").alias("live"))
+        if sizes.filter(F.col("live") > most).isEmpty():
+            break
+        rounds += 1
+        sized = live.join(sizes, "job_id")
+        crowded = sized.filter(F.col("live") > most)
+        near = stored(_nearest(crowded, threshold, most), "near")
+        mutual = near.join(near.select("job_id", F.col("near").alias("id"), F.col("id").alias("near")), ["job_id", "id", "near"], "left_semi")
+        pairs = mutual.filter("id < near").select("job_id", F.col("near").alias("gone"), F.col("id").alias("keep"))
+        going = crowded.join(near, ["job_id", "id"], "left_semi").join(pairs.withColumnRenamed("gone", "id"), ["job_id", "id"], "left")
+        sides = F.array_sort(F.collect_list(F.struct("id", "n", "mean")))  # one cluster, or two that merge
+        going = going.groupBy("job_id", F.coalesce("keep", "id").alias("id")).agg(sides[0].alias("a"), F.get(sides, F.lit(1)).alias("b"))
+        mixed = F.zip_with("a.mean", "b.mean", lambda x, y: (x * F.col("a.n") + y * F.col("b.n")) / (F.col("a.n") + F.col("b.n")))
+        going = going.select("job_id", "id", (F.col("a.n") + F.coalesce("b.n", F.lit(0))).alias("n"), F.coalesce(mixed, F.col("a.mean")).alias("mean"))
+        live = stored(sized.filter(F.col("live") <= most).drop("live").unionByName(going), "live")
+        roots = stored(roots.join(pairs.withColumnRenamed("gone", "root"), ["job_id", "root"], "left").select("job_id", "id", F.coalesce("keep", "root").alias("root")), "roots")
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id").reset_index(drop=True)
+        label = average_linkage(np.stack(rows["mean"].to_numpy()), threshold, rows.n.to_numpy())
+        return pd.DataFrame({"job_id": rows.job_id, "root": rows.id, "top": rows.id.groupby(label).transform("min")})
+
+    last = live.groupBy("job_id").applyInPandas(one, "job_id long, root long, top long")
+    if rounds == 0:
+        return last.select("job_id", F.col("root").alias("id"), F.col("top").alias("root")), rounds
+    return roots.join(last, ["job_id", "root"], "left").select("job_id", "id", F.coalesce("top", "root").alias("root")), rounds
+
+
+def cluster_windows(df: DataFrame, threshold: float = 0.85, part: int = 2000, most: int = 4000) -> DataFrame:
     """``job_id, ord, label`` of ``df(job_id, ord, embedding)``; labels count from 0 by first appearance.
 
     A task clusters a part of ``part`` ords of a job, whatever the job's length. The parts' clusters, as means and sizes, are then
-    clustered by job in the same way: for a job of one part this changes nothing, and for others it merges by the true mean
-    distances between the parts' clusters. A job's part clusters (voices heard in a part) are one group.
+    merged by job in the same way (``merge_alike``): for a job of one part this changes nothing, and for others it merges by the true mean
+    distances between the parts' clusters. No task holds more than a part, or about ``most`` clusters.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -93,16 +166,18 @@ def cluster_windows(df: DataFrame, threshold: float = 0.85, part: int = 2000) ->
         mean: list[list[float] | None] = [None] * len(rows)
         for i, at in enumerate(first):
             mean[at] = unit[label == i].mean(axis=0).tolist()
-        return pd.DataFrame({"job_id": rows.job_id, "part": rows.part, "ord": rows.ord, "label": label, "n": n[label], "mean": mean})
-
-    def both(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        return pd.DataFrame({"job_id": rows.job_id, "part": rows.part, "label": rows.label, "whole": average_linkage(np.stack(rows["mean"].to_numpy()), threshold, rows.n.to_numpy())})
+        # ids of clusters: parts in order, then labels by first appearance
+        return pd.DataFrame({"job_id": rows.job_id, "ord": rows.ord, "id": rows.part * _PART_IDS + label, "n": n[label], "mean": mean})
 
     keyed = df.select("job_id", F.col("ord").cast("long").alias("ord"), F.expr(f"cast(ord as bigint) div {part}").alias("part"), "embedding")
-    parts = keyed.groupBy("job_id", "part").applyInPandas(one, "job_id long, part long, ord long, label long, n long, mean array<double>")
-    whole = parts.filter("mean IS NOT NULL").groupBy("job_id").applyInPandas(both, "job_id long, part long, label long, whole long")
-    return parts.join(whole, ["job_id", "part", "label"]).select("job_id", "ord", F.col("whole").alias("label"))
+    parts = stored(keyed.groupBy("job_id", "part").applyInPandas(one, "job_id long, ord long, id long, n long, mean array<double>"), "parts")
+    roots, rounds = merge_alike(parts.filter("mean IS NOT NULL").select("job_id", "id", "n", "mean"), threshold, most)
+    if rounds == 0:  # no job has more than ``most`` clusters
+        whole = roots.withColumn("label", F.dense_rank().over(Window.partitionBy("job_id").orderBy("root")))
+    else:
+        roots = stored(roots, "roots")
+        whole = roots.join(running(roots.select("job_id", "root").distinct(), ["root"], {"label": ("sum", F.lit(1))}, at="root", width=float(_PART_IDS)), ["job_id", "root"])
+    return parts.select("job_id", "ord", "id").join(whole, ["job_id", "id"]).select("job_id", "ord", (F.col("label") - 1).cast("long").alias("label"))
 
 
 def renumber_speakers(df: DataFrame) -> DataFrame:

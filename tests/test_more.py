@@ -47,6 +47,36 @@ def test_long_jobs_are_clustered_by_parts(spark):
     assert clustering.cluster_windows(df.limit(0)).count() == 0
 
 
+def test_crowded_jobs_are_merged_by_rounds(spark):
+    """Blocks of three clusters give what one group gives: alike and unlike clusters, equal ones, jobs on both sides of the bound."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for job, n in ((1, 60), (2, 5), (3, 41)):
+        for i in range(n):
+            v = 3 * np.eye(5)[rng.integers(0, 5)] + rng.normal(0, 1, 5) if job != 3 else np.eye(41)[i]
+            rows.append((job, 7 * i - 20, int(rng.integers(1, 9)), (v / np.linalg.norm(v) * rng.uniform(0.8, 1)).tolist()))
+    rows += [(4, i, 2, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "job_id long, id long, n long, mean array<double>")
+    for threshold in (0.3, 0.7):
+        merged, rounds = clustering.merge_alike(df, threshold, most=6)
+        got = {(r.job_id, r.id): r.root for r in merged.collect()}
+        assert len(got) == len(rows) and rounds > 1
+        for job in (1, 2, 3, 4):
+            own = [r for r in rows if r[0] == job]
+            label = clustering.average_linkage(np.array([r[3] for r in own]), threshold, np.array([r[2] for r in own]))
+            assert [got[job, r[1]] for r in own] == [own[int(np.flatnonzero(label == k)[0])][1] for k in label]
+        assert len({x for (job, _), x in got.items() if job == 3}) == 41 and len({x for (job, _), x in got.items() if job == 4}) == 2
+    assert clustering.merge_alike(df.filter("job_id = 3"), 0.7, most=6)[1] == 1  # nothing is alike
+
+
+def test_windows_of_crowded_jobs_keep_their_labels(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1, i, (2 * np.eye(8)[i % 8] + rng.normal(0, 0.5, 8)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "job_id long, ord long, embedding array<double>")
+    one, many = (clustering.cluster_windows(df, 0.5, part=40, most=most).orderBy("ord").toPandas() for most in (4000, 10))
+    assert one.equals(many) and one.label.iloc[0] == 0 and one.label.nunique() >= 8
+
+
 def test_update_gallery_names_leftovers_and_blends(spark):
     e = np.eye(4)
     gallery = spark.createDataFrame([(1, "SPEAKER_00", 3, e[0].tolist()), (1, "SPEAKER_02", 1, e[1].tolist())], "job_id long, speaker string, n_windows long, centroid array<double>")
