@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -179,6 +180,51 @@ def test_alignment_equals_a_loop(spark, unit):
         assert total.micro == pytest.approx(sum(r.edits for r in each) / sum(r.words for r in each), abs=1e-6) and total.macro == pytest.approx(sum(r.wer for r in each) / len(each), abs=1e-6)
 
 
+def test_character_errors_equal_a_loop(spark):
+    rng = random.Random(5)
+    kind = "job_id long, ord long, start double, end double, text string"
+    pairs = [("", ""), ("", "ab"), ("ab", ""), ("aaa", "aa"), ("abab", "ab"), ("ab", "ba"), ("é😀", "e😀€")]
+    for _ in range(400):
+        letters = "abé€😀 "[: rng.randint(1, 6)]
+        r, h = (rng.choices(letters, k=rng.randint(0, 80)) for _ in range(2))
+        h = h if rng.random() < 0.3 else [x for x in r if rng.random() < 0.9]
+        h[len(h) // 2 : len(h) // 2] = rng.choices(letters, k=rng.randint(0, 4))
+        pairs.append(("".join(r), "".join(h)))
+    want = {i: (len(r), sum(plain_counts(r, h))) for i, (r, h) in enumerate(pairs)}
+    ref, hyp = (spark.createDataFrame([(i, 0, 0.0, 1.0, p[side]) for i, p in enumerate(pairs)], kind) for side in (0, 1))
+    assert {r.job_id: (r.chars, r.edits) for r in evaluate.cer(ref, hyp).collect()} == want
+
+
+def test_long_stretches_cost_far_less_than_a_table_of_characters(spark):
+    rng = random.Random(6)
+    kind = "job_id long, ord long, start double, end double, text string"
+    r = "".join(rng.choices("abcdefgh klmno", k=30_000))
+    h = "x" + r.replace("e", "") + "y"
+
+    def took(r, h, table):
+        ref, hyp = (spark.createDataFrame([(0, 0, 0.0, 1.0, t)], kind) for t in (r, h))
+        out = ref.join(hyp.select("job_id", F.col("text").alias("h")), "job_id").select(F.levenshtein("text", "h").alias("edits")) if table else evaluate.cer(ref, hyp)
+        began = time.monotonic()
+        edits = out.first().edits
+        return edits, time.monotonic() - began
+
+    for table in (False, True):
+        took("ab", "b", table)  # code is compiled
+    (edits, sec), (want, table_sec) = took(r, h, False), took(r, h, True)
+    assert edits == want
+    assert sec < table_sec / 2
+
+
+def test_counts_of_edited_copies_equal_a_loop():
+    rng = random.Random(7)
+    for _ in range(500):
+        r = rng.choices("abc", k=rng.randint(0, 30))
+        h = list(r)
+        at = rng.randint(0, len(h))
+        h[at : at + rng.randint(0, 4)] = rng.choices("abc", k=rng.randint(0, 4))
+        assert evaluate._edit_counts(r, h) == plain_counts(r, h)
+
+
 def test_words_without_a_partner_are_insertions_or_deletions(spark):
     kind = "job_id string, segment_id string, ord long, start double, end double, text string"
     ref = spark.createDataFrame([("a", "x", 0, 0.0, 1.0, "one two"), ("b", "x", 0, 0.0, 1.0, "one")], kind)
